@@ -2,7 +2,17 @@
 
 from __future__ import annotations
 
+from cladewise.llm import op1_url_filter as op1
+from cladewise.llm import op4_license_scan as op4
 from cladewise.llm import op9_quality_rules as op9
 
-QUERIES = {"op9_quality_rules": op9.op9_quality_rules}
-ORACLE_SQL = {"op9_quality_rules": op9.OP9_SQL}
+QUERIES = {
+    "op1_url_filter": op1.op1_url_filter,
+    "op4_license_scan": op4.op4_license_scan,
+    "op9_quality_rules": op9.op9_quality_rules,
+}
+ORACLE_SQL = {
+    "op1_url_filter": op1.OP1_SQL,
+    "op4_license_scan": op4.OP4_SQL,
+    "op9_quality_rules": op9.OP9_SQL,
+}
