@@ -6,7 +6,9 @@ from cladewise.llm import op1_url_filter as op1
 from cladewise.llm import op2_html_extract as op2
 from cladewise.llm import op3_decontaminate as op3
 from cladewise.llm import op4_license_scan as op4
+from cladewise.llm import op5_bpe as op5
 from cladewise.llm import op6_near_dedup as op6
+from cladewise.llm import op8_token_counts as op8
 from cladewise.llm import op9_quality_rules as op9
 
 QUERIES = {
@@ -14,7 +16,9 @@ QUERIES = {
     "op2_html_extract": op2.op2_html_extract,
     "op3_decontaminate": op3.op3_decontaminate,
     "op4_license_scan": op4.op4_license_scan,
+    "op5_bpe": op5.op5_bpe,
     "op6_near_dedup": op6.op6_near_dedup,
+    "op8_token_counts": op8.op8_token_counts,
     "op9_quality_rules": op9.op9_quality_rules,
 }
 ORACLE_SQL = {
