@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from cladewise.llm import op1_url_filter as op1
+from cladewise.llm import op10_quality_classifier as op10
 from cladewise.llm import op2_html_extract as op2
 from cladewise.llm import op3_decontaminate as op3
 from cladewise.llm import op4_license_scan as op4
 from cladewise.llm import op5_bpe as op5
 from cladewise.llm import op6_near_dedup as op6
+from cladewise.llm import op7_toxicity as op7
 from cladewise.llm import op8_token_counts as op8
 from cladewise.llm import op9_quality_rules as op9
 
@@ -18,8 +20,10 @@ QUERIES = {
     "op4_license_scan": op4.op4_license_scan,
     "op5_bpe": op5.op5_bpe,
     "op6_near_dedup": op6.op6_near_dedup,
+    "op7_toxicity": op7.op7_toxicity,
     "op8_token_counts": op8.op8_token_counts,
     "op9_quality_rules": op9.op9_quality_rules,
+    "op10_quality_classifier": op10.op10_quality_classifier,
 }
 ORACLE_SQL = {
     "op1_url_filter": op1.OP1_SQL,
