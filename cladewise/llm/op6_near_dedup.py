@@ -7,10 +7,14 @@
 3. Two sets with Jaccard >= 0.75 share most of their sketches (see ``needed``),
    hence a value among the first ``len - needed + 1`` of both, in any common
    order (the prefix principle). Only those values get inverted lists. A list
-   of at most ``HOT`` classes gives its pairs. A longer one gives the pairs of
-   its smallest class with all others; what these leave unconnected is gone
-   over again in rounds, each list with its next class, until every list has
-   at most one component or has been gone through.
+   of at most ``HOT`` classes gives its pairs.
+   Classes that have a hot value among their first ones get lists anew, from
+   their full sets: values in the order of rarity among these classes, of which
+   a set of n needs n - ceil(0.75 n) + 1, and a value's place bounds what can be
+   common. Each list gives the pairs of one class, the pivot, with all others;
+   once these are confirmed and joined to components, it gives the pairs that
+   the bounds leave possible between components. So a large group of near
+   copies costs one pair for each member and list, not all pairs.
 4. The union-sketch estimate filters pairs; the exact Jaccard on the full sets,
    computed from the whole texts, confirms them. Alternating stars give the
    components.
@@ -48,8 +52,6 @@ HOT = 24
 MAX_HOT = 500_000
 #: More ids of candidates than this (8 bytes each) are not broadcast but joined.
 MAX_BROADCAST_IDS = 500_000
-#: Rounds in which a long list gives the pairs of its smallest class, before all pairs between its components are compared.
-STAR_ROUNDS = 3
 
 
 def shingle_sets(column) -> Iterator[np.ndarray]:
@@ -158,18 +160,51 @@ def _pairs(rows: DataFrame) -> DataFrame:
     return rows.filter(f"{SIZES} and r1 <> r2").select(F.least("r1", "r2").alias("a"), F.greatest("r1", "r2").alias("b")).distinct()
 
 
+def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [x.view(np.int64) for x in shingle_sets(batch.column(1))]
+        for a in range(0, len(found), 256):
+            part = found[a : a + 256]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(part)), pa.array(np.array([len(x) for x in part], np.int64)), lists(part, pa.int64())], names=["rep", "n", "set"])
+
+
+def long_lists(reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """``value, rep, n, i``: the full sets' rarest values, enough of them that two sets with Jaccard >= 0.75 share one.
+
+    ``i`` is the value's place in its set, rarest first (by sets among ``reps``
+    that hold it, then by hash). At most n - i + 1 values can be common from
+    there on, so a row goes where that is too few for the smallest set of its
+    list; and values of one set have no list.
+    """
+    kind = dict(docs.dtypes)["doc_id"]
+    sets = _some(docs, reps.select(F.col("rep").alias("doc_id"))).mapInArrow(_full_sets, f"rep {kind}, n bigint, set array<bigint>")
+    values = written(sets.select("rep", "n", F.explode("set").alias("value")), "values")
+    counts = values.df.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1")
+    ranked = values.df.join(counts, "value", "left").withColumn("df", F.coalesce("df", F.lit(1)))
+    ranked = ranked.withColumn("i", F.expr("row_number() over (partition by rep, n order by df, value)").cast("long"))
+    first = written(ranked.filter("df > 1 and i <= n - ceil(0.75 * n) + 1").select("value", "rep", "n", "i"), "first")
+    values.drop()
+    least = first.df.groupBy("value").agg(F.min("n").alias("least"), F.count("*").alias("c")).filter("c > 1").drop("c")
+    return first.df.join(least, "value").filter("7 * (n - i + 1) >= 3 * (n + greatest(least, ceil(0.75 * n)))").drop("least")
+
+
+#: What two places of one value leave possible: sizes, and the values common from there on.
+PLACES = f"{SIZES} and 7 * (1 + least(n1 - i1, n2 - i2)) >= 3 * (n1 + n2)"
+
+
 def star_pairs(lists_: DataFrame) -> DataFrame:
-    """Pairs of each list's smallest class with the classes of other components."""
-    pivot = lists_.groupBy("value").agg(F.min(F.struct("n", "rep", "component")).alias("p"))
-    both = lists_.join(pivot, "value").filter("component <> p.component")
-    return _pairs(both.select(F.col("p.rep").alias("r1"), F.col("p.n").alias("n1"), F.col("rep").alias("r2"), F.col("n").alias("n2")))
+    """Pairs of each list's pivot, the class with the most values that can be common, with the list's other classes."""
+    pivot = lists_.groupBy("value").agg(F.min(F.struct("i", "n", "rep")).alias("p"))
+    both = lists_.join(pivot, "value").select(F.col("p.rep").alias("r1"), F.col("p.n").alias("n1"), F.col("p.i").alias("i1"), F.col("rep").alias("r2"), F.col("n").alias("n2"), F.col("i").alias("i2"))
+    return _pairs(both.filter(PLACES))
 
 
 def rest_pairs(lists_: DataFrame) -> DataFrame:
-    """All pairs of different components in what is left of the long lists."""
-    one = lists_.select("value", F.col("rep").alias("r1"), F.col("n").alias("n1"), F.col("component").alias("c1"))
-    two = lists_.select("value", F.col("rep").alias("r2"), F.col("n").alias("n2"), F.col("component").alias("c2"))
-    return _pairs(one.join(two, "value").filter(f"r1 < r2 and c1 <> c2 and {SIZES}"))
+    """All pairs between components that the lists' places leave possible: classes outside the component of their list's pivot, with all."""
+    pivot = lists_.groupBy("value").agg(F.min(F.struct("i", "n", "rep", "component")).alias("p"))
+    one = lists_.join(pivot, "value").filter("component <> p.component").select("value", F.col("rep").alias("r1"), F.col("n").alias("n1"), F.col("i").alias("i1"), F.col("component").alias("c1"))
+    two = lists_.select("value", F.col("rep").alias("r2"), F.col("n").alias("n2"), F.col("i").alias("i2"), F.col("component").alias("c2"))
+    return _pairs(one.join(two, "value").filter(f"c1 <> c2 and {PLACES}"))
 
 
 def estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -180,11 +215,11 @@ def estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     least NEEDED must be in both.
     """
     side = lambda k, n: classes.select(F.col("rep").alias(k), F.col("n_shingles").alias(f"n{n}"), F.col("sketch").alias(f"s{n}"))
-    both = pairs.join(side("b", 2), "b").join(side("a", 1), "a")
-    both = both.withColumn("common", F.array_intersect("s1", "s2"))
-    union = f"array_sort(array_union(s1, s2))[{K - 1}]"
-    test = f"if(n1 <= {K} and n2 <= {K}, 100L * size(common) >= 75 * (n1 + n2 - size(common)), size(common) >= {NEEDED} and size(filter(common, x -> x <= {union})) >= {NEEDED})"
-    return both.filter(test).select("a", "b").distinct()
+    both = pairs.join(side("b", 2), "b").join(side("a", 1), "a").withColumn("common", F.array_intersect("s1", "s2"))
+    whole = f"n1 <= {K} and n2 <= {K}"
+    both = both.filter(f"if({whole}, 100L * size(common) >= 75 * (n1 + n2 - size(common)), size(common) >= {NEEDED})")
+    both = both.withColumn("last", F.expr(f"get(sort_array(array_union(s1, s2)), {K - 1})"))
+    return both.filter(f"{whole} or size(filter(common, x -> x <= last)) >= {NEEDED}").select("a", "b").distinct()
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,56 +237,48 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([a, batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _some(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents of the ids; the ids are broadcast only where they are few."""
+    table = written(ids.distinct(), "ids").df
+    wanted = F.broadcast(table) if table.count() <= MAX_BROADCAST_IDS else table
+    return docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi")
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs whose full sets, from the whole texts, have a Jaccard of 0.75 or more."""
-    ids = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")
-    wanted = F.broadcast(ids.df) if ids.df.count() <= MAX_BROADCAST_IDS else ids.df
-    whole = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi")
+    whole = _some(docs, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")))
     kind = dict(docs.dtypes)["doc_id"]
     both = pairs.join(whole.select(F.col("doc_id").alias("b"), F.col("text").alias("t2")), "b")
     both = both.join(whole.select(F.col("doc_id").alias("a"), F.col("text").alias("t1")), "a")
     return both.select("a", "b", "t1", "t2").mapInArrow(_confirm, f"a {kind}, b {kind}")
 
 
-def _with_component(lists_: DataFrame, forest: Written | None) -> DataFrame:
-    if forest is None:
-        return lists_.withColumn("component", F.col("rep"))
-    found = forest.df.select(F.col("node").alias("rep"), F.col("component").alias("_c"))
-    return lists_.join(found, "rep", "left").withColumn("component", F.coalesce("_c", "rep")).drop("_c")
+def links(classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Confirmed links ``(a, b)``: all of the short lists, and of the long ones enough to connect what is connected."""
 
+    def alike(pairs: DataFrame) -> DataFrame:
+        possible = written(estimated(pairs, classes), "pairs")
+        found = written(confirmed(possible.df, docs), "links").df
+        possible.drop()
+        return found
 
-def links(classes: DataFrame, docs: DataFrame) -> list[Written]:
-    """Tables ``(a, b)`` of confirmed links: all of the short lists, and of the long ones enough to connect what is connected."""
     firsts = first_values(classes)
-    hot = written(firsts.filter("hot").select("value", "rep", "n"), "lists")
-    alike = lambda pairs: written(confirmed(table.df, docs), "links") if (table := tables.append(t := written(estimated(pairs, classes), "pairs")) or t) else None
-    tables: list[Written] = []
-    lists_ = hot.df.withColumn("component", F.col("rep"))
-    found = [alike(short_pairs(firsts).union(star_pairs(lists_)).distinct())]
-    left = hot
-    for turn in range(2, STAR_ROUNDS + 2):
-        # Gone through: a list's smallest class. Done: a list within one component.
-        pivot = left.df.groupBy("value").agg(F.min(F.struct("n", "rep")).alias("p"))
-        rest = left.df.join(pivot, "value").filter("rep <> p.rep").drop("p")
-        edges = found[0].df
-        for more in found[1:]:
-            edges = edges.union(more.df)
-        forest = star_forest(edges, "a", "b")
-        rest = written(_with_component(rest, forest), "lists")
-        open_ = rest.df.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("value")
-        now = written(rest.df.join(open_, "value", "left_semi"), "lists")
-        for table in (left, rest, forest):
-            if table is not None:
-                table.drop()
-        left = now
-        if left.df.isEmpty():
-            break
-        found.append(alike(star_pairs(left.df) if turn <= STAR_ROUNDS else rest_pairs(left.df)))
-        left.df = left.df.drop("component")
-    left.drop()
-    for table in tables:
-        table.drop()
-    return found
+    hot = written(firsts.filter("hot").select("rep").distinct(), "reps")
+    if hot.df.isEmpty():
+        return alike(short_pairs(firsts))
+    long = written(long_lists(hot.df, docs), "lists")
+    found = alike(short_pairs(firsts).union(star_pairs(long.df)).distinct())
+    forest = star_forest(found, "a", "b")
+    rest = written(rest_pairs(_with_component(long.df, forest)), "rest")
+    long.drop()
+    return found if rest.df.isEmpty() else found.union(alike(rest.df))
+
+
+def _with_component(rows: DataFrame, forest: Written | None) -> DataFrame:
+    if forest is None:
+        return rows.withColumn("component", F.col("rep"))
+    found = forest.df.select(F.col("node").alias("rep"), F.col("component").alias("_c"))
+    return rows.join(found, "rep", "left").withColumn("component", F.coalesce("_c", "rep")).drop("_c")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -261,11 +288,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     some = rows.df.filter("n_shingles > 0 and doc_id is not null")
     one = F.min_by(F.struct("n_shingles", "n_first", "sketch"), "doc_id")
     classes = written(some.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), one.alias("s")).select("d1", "d2", "rep", "s.*"), "classes")
-    found = links(classes.df, docs)
-    edges = found[0].df
-    for more in found[1:]:
-        edges = edges.union(more.df)
-    forest = star_forest(edges, "a", "b")
+    forest = star_forest(links(classes.df, docs), "a", "b")
     of = _with_component(classes.df.select("d1", "d2", "rep"), forest).select("d1", "d2", "component")
     own = rows.df.select("doc_id", "n_shingles", "d1", "d2").join(written(of, "members").df, ["d1", "d2"], "left")
     component = F.when(F.col("doc_id").isNull() | (F.col("n_shingles") == 0), F.col("doc_id")).otherwise(F.coalesce("component", "doc_id"))
