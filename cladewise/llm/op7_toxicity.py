@@ -187,6 +187,20 @@ def scores(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def _keep(batches: Iterator[pa.RecordBatch], shared, at: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        done = 0
+        for found in _split(batch.column(at)):
+            yield batch.slice(done, len(found)).filter(pa.array(shared.value.score(found) < 0.5))
+            done += len(found)
+
+
+def keep_rows(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` that aren't predicted toxic, with their own columns."""
+    shared, at = df.sparkSession.sparkContext.broadcast(model), df.columns.index(text_col)
+    return df.mapInArrow(lambda x: _keep(x, shared, at), df.schema)
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of all documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -45,21 +45,25 @@ def _repeat_words(words: str) -> Column:
     return F.expr(f"sort_array({hashed})")
 
 
-def measure(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of ``df``: the id and the measurements of its text."""
+def measure(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole_rows: bool = False) -> DataFrame:
+    """One row for each row of ``df``: the id and the measurements of its text, and with ``whole_rows`` the row itself as the struct ``row``."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = df.select(F.col(id_col).alias("doc_id"), text.alias("_text"))
+    row = ["row"] if whole_rows else []
+    rows = df.select(F.col(id_col).alias("doc_id"), text.alias("_text"), *[F.struct(*df.columns).alias(x) for x in row])
     rows = rows.select(
         "doc_id",
+        *row,
         "_text",
         F.expr(rf"filter(split(_text, r'{WHITE}+'), w -> w <> '')").alias("_words"),
         F.expr(r"filter(split(_text, r'\n'), l -> l rlike r'[^\x20\x09-\x0D]')").alias("_lines"),
     )
-    rows = rows.select("doc_id", "_text", "_words", "_lines", _repeat_words("_words").alias("_sorted"))
+    rows = rows.select("doc_id", *row, "_text", "_words", "_lines", _repeat_words("_words").alias("_sorted"))
     rows = rows.withColumn("_again", F.expr("sort_array(transform(filter(_sorted, (e, j) -> coalesce(e.h = get(_sorted, j - 1).h, false) or coalesce(e.h = get(_sorted, j + 1).h, false)), e -> e.i))"))
     return rows.select(
         "doc_id",
-        F.size("_words").cast("long").alias("n_words"),
+        *row,
+        # Adds 0. A filter on the results isn't moved below a projection that isn't deterministic; there it would compute the arrays anew for each of their elements.
+        (F.size("_words") + F.when(F.monotonically_increasing_id() < 0, 1).otherwise(0)).cast("long").alias("n_words"),
         F.length(F.regexp_replace("_text", rf"{WHITE}+", "")).cast("long").alias("word_chars"),
         (F.length("_text") - F.length(F.regexp_replace("_text", r"[#*$%&|<>]+", ""))).cast("long").alias("n_symbols"),
         F.expr("cast(size(_lines) - size(array_distinct(_lines)) as bigint)").alias("n_dup_lines"),
@@ -69,10 +73,10 @@ def measure(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     )
 
 
-def ledger(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def ledger(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole_rows: bool = False) -> DataFrame:
     """The measurements and ``fail_bits``: bit b is set where the rule of bit b fails."""
     bits = " | ".join(f"if({test}, {1 << bit}, 0)" for bit, _, test in RULES)
-    return measure(df, id_col, text_col).withColumn("fail_bits", F.expr(bits).cast("long"))
+    return measure(df, id_col, text_col, whole_rows).withColumn("fail_bits", F.expr(bits).cast("long"))
 
 
 def apply_policy(rows: DataFrame, policy: str = "v1") -> DataFrame:
@@ -80,6 +84,11 @@ def apply_policy(rows: DataFrame, policy: str = "v1") -> DataFrame:
     return rows.withColumn("kept", F.col("fail_bits").bitwiseAND(F.lit(policy_mask(policy)).cast("long")) == 0)
 
 
+def keep_rows(df: DataFrame, policy: str = "v1", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` that a policy keeps, with their own columns."""
+    return apply_policy(ledger(df, id_col, text_col, whole_rows=True), policy).filter("kept").select("row.*")
+
+
 def ablations(rows: DataFrame, policy: str = "v1") -> DataFrame:
     """For each rule of a policy: rows it fails, rows it alone fails, and rows kept without it.
 
