@@ -253,8 +253,8 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return both.select("a", "b", "t1", "t2").mapInArrow(_confirm, f"a {kind}, b {kind}")
 
 
-def links(classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Confirmed links ``(a, b)``: all of the short lists, and of the long ones enough to connect what is connected."""
+def linked(classes: DataFrame, docs: DataFrame) -> Written | None:
+    """The star forest of the confirmed links: all of the short lists, and of the long ones enough to connect what is connected."""
 
     def alike(pairs: DataFrame) -> DataFrame:
         possible = written(estimated(pairs, classes), "pairs")
@@ -265,13 +265,15 @@ def links(classes: DataFrame, docs: DataFrame) -> DataFrame:
     firsts = first_values(classes)
     hot = written(firsts.filter("hot").select("rep").distinct(), "reps")
     if hot.df.isEmpty():
-        return alike(short_pairs(firsts))
+        return star_forest(alike(short_pairs(firsts)), "a", "b")
     long = written(long_lists(hot.df, docs), "lists")
-    found = alike(short_pairs(firsts).union(star_pairs(long.df)).distinct())
-    forest = star_forest(found, "a", "b")
+    forest = star_forest(alike(short_pairs(firsts).union(star_pairs(long.df)).distinct()), "a", "b")
     rest = written(rest_pairs(_with_component(long.df, forest)), "rest")
     long.drop()
-    return found if rest.df.isEmpty() else found.union(alike(rest.df))
+    if rest.df.isEmpty():
+        return forest
+    more = alike(rest.df)
+    return forest if more.isEmpty() else star_forest(more if forest is None else more.union(forest.df), "a", "b")
 
 
 def _with_component(rows: DataFrame, forest: Written | None) -> DataFrame:
@@ -288,7 +290,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     some = rows.df.filter("n_shingles > 0 and doc_id is not null")
     one = F.min_by(F.struct("n_shingles", "n_first", "sketch"), "doc_id")
     classes = written(some.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), one.alias("s")).select("d1", "d2", "rep", "s.*"), "classes")
-    forest = star_forest(links(classes.df, docs), "a", "b")
+    forest = linked(classes.df, docs)
     of = _with_component(classes.df.select("d1", "d2", "rep"), forest).select("d1", "d2", "component")
     own = rows.df.select("doc_id", "n_shingles", "d1", "d2").join(written(of, "members").df, ["d1", "d2"], "left")
     component = F.when(F.col("doc_id").isNull() | (F.col("n_shingles") == 0), F.col("doc_id")).otherwise(F.coalesce("component", "doc_id"))
