@@ -142,7 +142,7 @@ def root_frame(edges: DataFrame, root) -> DataFrame:
         types = (nodes, nodes, pa.float64(), pa.int32())
         return pa.table({name: pa.array([r[i] for r in out], types[i]) for i, name in enumerate(("node", "parent", "length", "depth"))})
 
-    return edges.select("u", "v", "length").groupBy(F.lit(1)).applyInArrow(walk, f"node {kind}, parent {kind}, length double, depth int")
+    return edges.select("u", "v", "length").groupBy(F.lit("all")).applyInArrow(walk, f"node {kind}, parent {kind}, length double, depth int")
 
 
 def clean_length(length: Column) -> Column:
