@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 K = 3
 #: Diagonals at most so far apart belong to one span.
 NEAR = 2
-#: Share of a template's words that a span must cover.
+#: Share of a template's words that a span must cover; a template of fewer than WHOLE words, where one word may be the version, is covered whole or not found.
 COVERAGE = 0.8
+WHOLE = 16
 # The base phrases, which count only where they stand whole, and the further templates.
 BASE: tuple[tuple[str, str], ...] = (
     ("mit", "under the mit license"),
@@ -34,12 +35,11 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("mit", "released under the mit license"),
     ("apache-2", "licensed under the apache license version 2 0"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("gpl-3", "this work is licensed under the gnu general public license version 3"),
     ("gpl-3", "gnu general public license version 3"),
     ("gpl-2", "gnu general public license version 2"),
     ("lgpl", "gnu lesser general public license"),
     ("agpl", "gnu affero general public license"),
-    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("mpl", "this source code form is subject to the terms of the mozilla public license"),
     ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
     ("cc-by-sa", "creative commons attribution sharealike 4 0 international license"),
     ("cc-by-nc", "licensed under cc by nc 4 0"),
@@ -96,7 +96,7 @@ def spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``df``: words, base places, labels and the best coverage."""
     place = F.expr("base and covered = len")
-    found = F.expr(f"tid >= 0 and covered >= {COVERAGE} * len and (covered = len or not base)")
+    found = F.expr(f"tid >= 0 and covered >= if(len < {WHOLE}, len, {COVERAGE} * len)")
     joined = lambda test: F.array_join(F.array_sort(F.collect_set(F.when(test, F.col("label")))), ",")
     out = spans(df, id_col, text_col).groupBy("doc_id", "digest").agg(
         F.max("n_words").alias("n_words"), F.count(F.when(place, 1)).alias("n_base"), F.min(F.when(place, F.col("first_diagonal"))).alias("first_word"), F.max(F.when(place, F.col("first_diagonal"))).alias("last_word"),
@@ -124,7 +124,7 @@ s AS (SELECT rid, tid, any_value(label) AS label, any_value(base) AS base, any_v
   FROM c CROSS JOIN (SELECT unnest([0, 1, 2]) AS o) GROUP BY rid, tid, cluster),
 a AS (SELECT rid, count(*) FILTER (base AND cov = n) AS n_base, min(diag) FILTER (base AND cov = n) AS first_word, max(diag) FILTER (base AND cov = n) AS last_word,
   array_to_string(list_sort(list_distinct(list(label) FILTER (base AND cov = n))), ',') AS base_labels,
-  array_to_string(list_sort(list_distinct(list(label) FILTER (CASE WHEN base THEN cov = n ELSE cov >= {COVERAGE} * n END))), ',') AS labels,
+  array_to_string(list_sort(list_distinct(list(label) FILTER (cov >= CASE WHEN n < {WHOLE} THEN n ELSE {COVERAGE} * n END))), ',') AS labels,
   max(CAST(cov AS DOUBLE) / n) AS score FROM s GROUP BY rid)
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
   coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score

@@ -10,8 +10,8 @@ the roots of their shares, gives the weights. Each text is scored whole.
 Fitting runs on the driver over at most ``SAMPLE`` rows of each class (a
 documented bound); scoring is one pass over all rows with a broadcast model of
 fixed size. Defined results: null and empty texts get the score of no feature at
-all; without labels of both classes every score is the smoothed share of label
-1 (one half without labels). One output row for each input row; a null id isn't
+all; without labels of both classes every score is the share of label 1 with one
+row of label 1 and two of label 0 added (so nothing is toxic without labels). One output row for each input row; a null id isn't
 held out. Extra columns are ignored.
 """
 
@@ -90,7 +90,7 @@ def fit(column: pa.Array, label: np.ndarray, shares_: tuple[int, int]) -> Model:
     """The model of labelled texts; ``shares_``: how many rows of each class there are in all."""
     n0, n1 = int((label == 0).sum()), int((label == 1).sum())
     if not n0 or not n1:
-        return Model(np.full(1 << BITS, -1, np.int32), np.zeros(0), float(np.log((n1 + 1) / (n0 + 1))))
+        return Model(np.full(1 << BITS, -1, np.int32), np.zeros(0), float(np.log((n1 + 1) / (n0 + 2))))
     whole = np.arange(1 << BITS, dtype=np.int32)
     counts = np.zeros((2, 1 << BITS), np.int32)
     at = 0
