@@ -241,3 +241,59 @@ def radius(size: Column, hypothetical: Column, base: float = 6.0, power: float =
 def in_rectangle(layout: DataFrame, x0: float, y0: float, x1: float, y1: float) -> DataFrame:
     """Nodes at x in [x0, x1) and y in [y0, y1)."""
     return layout.filter((F.col("x") >= x0) & (F.col("x") < x1) & (F.col("y") >= y0) & (F.col("y") < y1))
+
+
+def descendants(nodes: DataFrame, top: DataFrame) -> DataFrame:
+    """``top_id, node_id`` of every node below (or at) each node of ``top``: one join for each level below."""
+    down = nodes.select(F.col("parent_id").alias("_p"), F.col("node_id").alias("_c")).filter("_p is not null")
+    level = nodes.join(top.select("node_id").distinct(), "node_id", "left_semi").select(F.col("node_id").alias("top_id"), "node_id")
+    out = level
+    while True:
+        level = written(level.join(down, F.col("node_id") == F.col("_p")).select("top_id", F.col("_c").alias("node_id")), "level").df
+        if level.isEmpty():
+            return out
+        out = out.union(level)
+
+
+def find_links(links: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Links by ``target``, and by ``source`` too where that is not null."""
+    w = wanted.select(F.col("source").alias("_s"), F.col("target").alias("target"))
+    return links.join(w, "target").filter("_s is null or _s = source").select(*links.columns)
+
+
+def scaled(value: Column, least: float, most: float, size: float, log: bool = False) -> Column:
+    """A link length on a linear scale from 0, or on a logarithmic one from ``least``, to ``size``."""
+    if log:
+        return F.when(value <= 0, 0.0).otherwise(F.log(F.greatest(value, F.lit(least)) / least) / F.log(F.lit(most / least)) * size)
+    return value / most * size
+
+
+def fitted(layout: DataFrame, width: float, height: float, margin: float = 0.0) -> DataFrame:
+    """``node_id, x, y`` moved and scaled (both axes alike) to fit a box; one point alone lies in its middle."""
+    box = layout.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
+    k = F.least((width - 2 * margin) / F.greatest(F.col("x1") - F.col("x0"), F.lit(1e-9)), (height - 2 * margin) / F.greatest(F.col("y1") - F.col("y0"), F.lit(1e-9)))
+    placed = layout.crossJoin(F.broadcast(box.withColumn("k", k)))  # one row
+    put = lambda c, size: (F.col(c) - (F.col(f"{c}0") + F.col(f"{c}1")) / 2) * F.col("k") + size / 2
+    return placed.select("node_id", put("x", width).alias("x"), put("y", height).alias("y"))
+
+
+def selected_ids(groups: DataFrame, metadata: DataFrame, chosen: DataFrame, key: str = "ID") -> DataFrame:
+    """Distinct ids of the records of all members of the chosen groups, with ``number`` where an id is numeric."""
+    members = groups.join(chosen.select("group_id").distinct(), "group_id", "left_semi").select(F.col("node_id").alias(key))
+    return metadata.join(members.distinct(), key, "left_semi").select(key).distinct().withColumn("number", F.expr(f"try_cast(`{key}` as bigint)"))
+
+
+def with_length(nodes: DataFrame, changes: DataFrame) -> DataFrame:
+    """Nodes with some link lengths edited (``node_id, value``); ``original_length`` keeps what they were."""
+    new = changes.select("node_id", F.col("value").alias("_v"))
+    return nodes.join(new, "node_id", "left").withColumn("original_length", F.col("length")).withColumn("length", F.coalesce("_v", "length")).drop("_v")
+
+
+def radial_layout(nodes: DataFrame) -> DataFrame:
+    """``node_id, x, y``: each leaf takes an equal share of the circle, an inner node the middle of its leaves' shares, at its distance from the root."""
+    leaves = nodes.filter("not is_hypo")
+    n = leaves.count()
+    angle = leaves.select("node_id", (F.expr("row_number() over (order by node_id) - 1") * (2 * 3.141592653589793 / max(1, n))).alias("a"))
+    spread = descendants(nodes, nodes).join(angle, "node_id").groupBy(F.col("top_id").alias("node_id")).agg(F.avg("a").alias("a"))
+    down = descendants(nodes, nodes).join(nodes.select(F.col("node_id").alias("top_id"), clean_length(F.col("length")).alias("l")), "top_id").groupBy("node_id").agg(F.sum("l").alias("r"))
+    return spread.join(down, "node_id").select("node_id", (F.col("r") * F.cos("a")).alias("x"), (F.col("r") * F.sin("a")).alias("y"))

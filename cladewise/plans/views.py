@@ -42,6 +42,14 @@ def embeddings_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("sample"), F.transform("embedding", lambda x: (F.floor((x.cast("double") + 0.6) * 10) + 1).cast("int")).alias("alleles"))
 
 
+def nations_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nation x (market segment, quarter of balances), with up to 9 customers as the allele: 25 samples whatever the scale."""
+    place = F.coalesce(*[F.when(F.col("c_mktsegment") == x, i) for i, x in enumerate(("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD"))], F.lit(4)) * 4 + F.least(F.greatest(F.floor((F.col("c_acctbal") + 1000) / 2750), F.lit(0)), F.lit(3)).cast("int")
+    counts = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("sample"), place.alias("locus")).agg(F.least(F.count("*"), F.lit(9)).cast("int").alias("a"))
+    cells = counts.groupBy("sample").agg(F.map_from_entries(F.collect_list(F.struct("locus", "a"))).alias("m"))
+    return cells.select("sample", F.transform(F.sequence(F.lit(0), F.lit(19)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0))).alias("alleles"))
+
+
 def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """World, regions, nations (hypothetical) and customers: ``node_id, parent_id, length, depth, is_hypo, ord``."""
     region, nation, customer = (table(spark, sf_dir, t) for t in ("region", "nation", "customer"))

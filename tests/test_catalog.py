@@ -2,6 +2,7 @@
 
 import pytest
 
+import cladewise.plans.catalog_more  # noqa: F401
 from cladewise.plans.catalog import ORACLE_SQL, QUERIES
 from tests.oracle import same
 
