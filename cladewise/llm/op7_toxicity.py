@@ -26,12 +26,15 @@ from pyspark.sql import functions as F
 
 from cladewise.llm.arrow_text import pieces, texts
 from cladewise.llm.labelled import remainder, sample, shares
+from cladewise.plans.storage import written
 
 SIZES = (3, 4, 5)
 BITS = 20
 FEATURES = 1 << 12
 #: Labelled rows of each class that the fit sees at most.
 SAMPLE = 4000
+#: Bytes of their texts at most; where they have more, the first ones in the order of the sample's hash are taken.
+SAMPLE_BYTES = 96 << 20
 PENALTY = 1.0
 ROUNDS = 150
 PIECE = 1 << 19
@@ -171,7 +174,13 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> Model:
     """Fit on labelled rows outside the held-out fold (crc32 of the id, modulo 5, is 0)."""
     fold = remainder(F.col("doc_id"), 5) == 0
     chosen = sample(labels, "toxic", fold, SAMPLE, True)
-    rows = docs.select("doc_id", F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label").toArrow().combine_chunks()
+    rows = docs.select("doc_id", F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label", F.xxhash64("doc_id").alias("h"))
+    table = written(rows, "labelled")
+    sizes = table.df.select("h", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")).orderBy("h").toArrow()
+    fits = int(np.searchsorted(np.cumsum(sizes.column("size").to_numpy().astype(np.int64)), SAMPLE_BYTES, "right"))
+    last = sizes.column("h")[min(fits, sizes.num_rows - 1)].as_py() if sizes.num_rows else 0
+    rows = table.df.filter(F.col("h") <= last).toArrow().combine_chunks()
+    table.drop()
     order = np.argsort(rows.column("doc_id").to_numpy(), kind="stable")
     rows = rows.take(pa.array(order))
     column = rows.column("text").combine_chunks() if rows.num_rows else pa.array([], pa.string())
