@@ -6,7 +6,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cladewise.operators.components import star_forest
 from cladewise.plans.storage import written
 
 
@@ -161,12 +160,22 @@ def collapse(nodes: DataFrame, threshold: float, force: DataFrame | None = None,
         joined = joined.join(keep.select("node_id").distinct().withColumn("_k", F.lit(True)), "node_id", "left").filter("_k is null or value <= 0").drop("_k")
     if force is not None:
         joined = joined.union(links.join(force.select("node_id").distinct(), "node_id", "left_semi").select(*joined.columns))
-    forest = star_forest(joined.select(F.col("node_id").alias("src"), F.col("parent_id").alias("dst")))
-    if forest is None:
-        return nodes.select("node_id", F.col("node_id").alias("group_id"))
-    own = nodes.select("node_id", "depth").join(forest.df.withColumnRenamed("node", "node_id"), "node_id", "left").withColumn("component", F.coalesce("component", "node_id"))
-    tops = own.groupBy("component").agg(F.min_by("node_id", F.struct("depth", "node_id")).alias("group_id"))
-    return own.join(tops, "component").select("node_id", "group_id")
+    up = joined.select(F.col("node_id").alias("_n"), F.col("parent_id").alias("_up")).distinct()
+    now = nodes.select("node_id").join(up, F.col("node_id") == F.col("_n"), "left").select("node_id", F.coalesce("_up", "node_id").alias("group_id"))
+    return _to_tops(now)
+
+
+def _to_tops(now: DataFrame) -> DataFrame:
+    """``node_id, group_id`` followed to the end of each chain, by doubling: a join for each power of two of the longest."""
+    now = written(now, "tops")
+    while True:
+        ahead = now.df.select(F.col("node_id").alias("_n"), F.col("group_id").alias("_g")).filter("_n <> _g")
+        step = now.df.join(ahead, F.col("group_id") == F.col("_n"), "left").select("node_id", F.coalesce("_g", "group_id").alias("group_id"), F.col("_g").isNotNull().alias("moved"))
+        after = written(step, "tops")
+        now.drop()
+        now = after
+        if now.df.filter("moved").isEmpty():
+            return now.df.select("node_id", "group_id")
 
 
 def group_labels(nodes: DataFrame, groups: DataFrame) -> DataFrame:

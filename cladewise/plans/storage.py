@@ -23,6 +23,9 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+_kept: set[str] = set()
+
+
 class Written:
     """A DataFrame written as Parquet and read again; ``drop()`` deletes the files."""
 
@@ -31,12 +34,25 @@ class Written:
         self.path = f"{shared_dir(spark)}/cladewise-{name}-{uuid.uuid4().hex}"
         df.write.parquet(self.path)
         self.df = spark.read.schema(df.schema).parquet(self.path)
+        _kept.add(self.path)
 
     def drop(self) -> None:
         """Delete the files; later reads of ``df`` fail."""
-        jvm, conf = self.df.sparkSession._jvm, self.df.sparkSession._jsc.hadoopConfiguration()
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(conf).delete(path, True)
+        _delete(self.df.sparkSession, self.path)
+
+
+def _delete(spark: SparkSession, where: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _kept.discard(where)
+
+
+def sweep(spark: SparkSession) -> int:
+    """Delete all tables of this process that are left, once the results that read them are written; how many there were."""
+    left = list(_kept)
+    for where in left:
+        _delete(spark, where)
+    return len(left)
 
 
 def written(df: DataFrame, name: str = "table") -> Written:
