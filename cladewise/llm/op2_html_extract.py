@@ -5,6 +5,9 @@ other unseen elements give none. What stands inside a menu, header, footer,
 sidebar, notice, advert, form or reader-comment element (by tag, role, id or
 class) is boilerplate from the start.
 
+Where a page has neither an ``article`` nor a ``main`` element, divisions named
+content, main, story or the like stand for it.
+
 Pass 1 labels each other block from its length, stop-word density and link
 density: many links are boilerplate, long blocks with stop words are text, and
 short ones stay ambiguous. Within an ``article`` or ``main`` element prose of any
@@ -39,6 +42,10 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 CUES = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion nav navbar navigation menu menus breadcrumb breadcrumbs header masthead footer sidebar aside widget cookie cookies consent gdpr notice notices banner popup modal overlay comment comments reply replies disqus discussion respond share sharing social related recommended newsletter subscribe signup login pagination pager toolbar toc skip".split()
 )
+#: Parts of names that say the same wherever they stand (commentlist, topSidebar).
+CUE_PARTS = ("comment", "cookie", "sidebar", "advert", "promo", "newsletter", "breadcrumb", "footer", "sponsor", "popup", "disqus", "navigation", "navbar", "subscri")
+#: Names of elements that hold the text of a page without an article or main element.
+CONTENT = frozenset("article content main story entry".split())
 STOP_WORDS = frozenset(
     (
         "a an and are as at be by for from has have he in is it its not of on or she that the they this to was we were which will with you "
@@ -52,6 +59,7 @@ LONG = 12
 STOP_SHARE = 0.12
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"""(?:^|[\s"'/])(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
+ARTICLE = re.compile(r"<(?:article|main)\b", re.I)
 WORDS = re.compile(r"\w+")
 CUE_WORDS = re.compile(r"[a-z]+")
 TEXT, NOT, OPEN = 1, 0, None
@@ -62,14 +70,24 @@ def _chrome(tag: str, attributes: str, in_article: bool) -> bool:
     if tag in CHROME and not (tag == "header" and in_article):
         return True
     for name, value in ATTRIBUTE.findall(attributes):
-        found = CUE_WORDS.findall(value.lower())
-        if ROLES.intersection(found) if name.lower() == "role" else tag not in ("body", "html", "article", "main") and CUES.intersection(found):
-            return True
-        if tag == "article" and name.lower() != "role" and {"comment", "reply", "related", "promo", "ad", "teaser"}.intersection(found):
+        found = set(CUE_WORDS.findall(value.lower()))
+        if name.lower() == "role":
+            if ROLES & found:
+                return True
+        elif tag not in ("body", "html", "article", "main"):
+            cues = CUES & found - ({"header"} if in_article else set())
+            if cues or any(part in value.lower() for part in CUE_PARTS):
+                return True
+        if tag == "article" and name.lower() != "role" and {"comment", "comments", "reply", "related", "promo", "ad", "ads", "teaser"} & found:
             return True
     return False
 
 
+def _content(attributes: str) -> bool:
+    """Whether an element's names say that it holds the text."""
+    return any(name.lower() != "role" and CONTENT.intersection(CUE_WORDS.findall(value.lower())) for name, value in ATTRIBUTE.findall(attributes))
+
+
 class Block:
     """A run of text between block-level tags."""
 
@@ -87,6 +105,7 @@ def blocks(page: str) -> list[tuple[Block, str]]:
     unseen = chrome = article = False
     container = links = made = 0
     heading = False
+    named = ARTICLE.search(page) is None
     block = Block(chrome, article, heading, container)
     at, upto = 0, len(page)
 
@@ -153,7 +172,7 @@ def blocks(page: str) -> list[tuple[Block, str]]:
         made += 1
         container = made
         chrome = chrome or _chrome(tag, m[3], article)
-        article = article or (tag in ("article", "main") and not chrome)
+        article = article or (not chrome and (tag in ("article", "main") or named and tag in ("div", "section") and _content(m[3])))
         heading = heading or tag in HEADINGS
         if tag in HEADINGS or tag in ("div", "blockquote", "pre", "tbody", "figure", "figcaption", "section"):
             container = stack[-1][4]

@@ -50,6 +50,8 @@ def test_main_text():
     prose = "the cat is on the mat and it was a good day for all of us"
     plain = f"<body><div class=menu><a href=1>one</a> <a href=2>two</a></div><div><p>{prose}</p><p>Short one.</p></div><ul><li><a href=3>{prose}</a></ul></body>"
     assert op2_html_extract.main_text(plain) == f"{prose} Short one."
+    named = f"<body><div id='cookieBanner'><p>{prose}</p></div><div id=main-content><div class='post-header'><h2>Title</h2></div><p>a | b | c</p><p>{prose}</p><ol class=commentlist><li>{prose}</ol></div><div class=right-sidebar>{prose}</div><p>{prose}</p>"
+    assert op2_html_extract.main_text(named) == f"Title a | b | c {prose}"
     assert [op2_html_extract.main_text(x) for x in (None, "", "<", "<p", "&am", "</p></div>")] == ["", "", "", "", "", ""]
 
 
