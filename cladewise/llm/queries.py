@@ -28,5 +28,6 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_url_filter": op1.OP1_SQL,
     "op4_license_scan": op4.OP4_SQL,
+    "op6_near_dedup": op6.OP6_SQL,
     "op9_quality_rules": op9.OP9_SQL,
 }
