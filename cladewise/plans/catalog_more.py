@@ -104,10 +104,16 @@ def _threshold(spark, sf_dir):
     return spark.createDataFrame([(tree.auto_threshold(views.tree(spark, sf_dir), 100),)], "threshold double")
 
 
-@register("radial_layout")
+@register(
+    "radial_layout",
+    f"""WITH RECURSIVE {views.TREE}, d(top_id, node_id) AS (SELECT node_id, node_id FROM tree UNION ALL SELECT d.top_id, t.node_id FROM d JOIN tree t ON t.parent_id = d.node_id),
+a AS (SELECT node_id, (row_number() OVER (ORDER BY node_id) - 1) * (2 * pi() / count(*) OVER ()) AS a FROM tree WHERE NOT is_hypo), s AS (SELECT top_id AS node_id, avg(a) AS a FROM d JOIN a ON a.node_id = d.node_id GROUP BY 1),
+r AS (SELECT d.node_id, sum(coalesce(t.length, 0)) AS r FROM d JOIN tree t ON t.node_id = d.top_id GROUP BY 1) SELECT s.node_id, round(r * cos(a), 4) + 0.0::DOUBLE AS x, round(r * sin(a), 4) + 0.0::DOUBLE AS y FROM s JOIN r ON r.node_id = s.node_id""",
+)
 def _radial(spark, sf_dir):
     """Positions on a circle."""
-    return tree.radial_layout(views.tree(spark, sf_dir))
+    at = tree.radial_layout(views.tree(spark, sf_dir))
+    return at.select("node_id", (F.round("x", 4) + 0.0).alias("x"), (F.round("y", 4) + 0.0).alias("y"))
 
 
 @register("forced_groups", f"WITH RECURSIVE {views.TREE}, go AS (SELECT node_id, parent_id, parent_id IS NOT NULL AND (node_id IN ('n1', 'n2') OR (length <= 1 AND (node_id <> 'n4' OR length <= 0))) AS j FROM tree), g(node_id, top, go) AS (SELECT node_id, node_id, j FROM go UNION ALL SELECT g.node_id, t.parent_id, u.j FROM g JOIN go t ON t.node_id = g.top JOIN go u ON u.node_id = t.parent_id WHERE g.go) SELECT node_id, top AS group_id FROM g WHERE NOT go")
