@@ -75,3 +75,17 @@ def project(nodes: DataFrame, metadata: DataFrame | None = None, options: dict[s
 def split_line(left: Column, right: Column) -> Column:
     """``a,b|c,d``."""
     return F.concat(F.array_join(left, ","), F.lit("|"), F.array_join(right, ","))
+
+
+def share_payload(nodes: DataFrame, metadata: DataFrame, colours: dict[str, dict[str, str]] | None = None, key: str = "ID") -> tuple[str, DataFrame]:
+    """What a map service takes: the Newick text of the leaves that have metadata, and their rows with positions, dates as whole numbers and a colour column for each coloured one. (Nothing is sent.)"""
+    from cladewise.operators import metadata as meta
+    from cladewise.operators.tree import induced
+
+    leaves = nodes.filter("not is_hypo").join(metadata.select(F.col(key).alias("node_id")).distinct(), "node_id", "left_semi")
+    rows = [(r["node_id"], r["parent_id"], None if r["is_hypo"] else r["node_id"], r["length"]) for r in induced(nodes, leaves).orderBy("node_id").collect()]
+    table = meta.aliased(metadata.join(leaves.select(F.col("node_id").alias(key)), key, "left_semi"), {"latitude": ("^lat", ""), "longitude": ("^lon", ""), "year": ("year", ""), "month": ("month", ""), "day": ("(^|[^a-z])day", "")})
+    table = table.withColumns({c: meta.whole_number(F.col(c)) for c in ("year", "month", "day")})
+    for column, palette in (colours or {}).items():
+        table = table.withColumn(f"{column}__colour", meta.colours(F.col(column), palette))
+    return newick(rows), table.select(*meta.distinct_columns(table.columns))

@@ -122,3 +122,43 @@ def test_upsert_stream(spark, tmp_path):
     upsert_stream(spark.readStream.schema(schema).parquet(source), folder).awaitTermination()
     rows = {r["ID"]: (r["a"], r["b"]) for r in spark.read.parquet(f"{folder}/v1").collect()}
     assert rows == {"1": ("x", "new"), "2": ("y", "z"), "3": ("q", None)}
+
+
+def test_run_names_and_consecutive_rows(spark):
+    df = spark.createDataFrame([(1, "/a/MSTree_0.05.txt"), (2, "NJ.txt"), (3, "x_7_b.txt")], "i int, p string")
+    assert [tuple(r["r"]) for r in df.select(evaluate.run_parts(df.p).alias("r")).collect()] == [("MSTree", 0.05), ("NJ", None), ("x", 7.0)]
+    assert [tuple(r) for r in evaluate.consecutive(df, "i", "i").orderBy("place").collect()] == [(1, 1, 2), (2, 3, None)]
+
+
+def test_share_payload(spark):
+    nodes = spark.createDataFrame([("r", None, None, True), ("x", "r", 1.0, True), ("a", "x", 2.0, False), ("b", "x", 3.0, False), ("c", "r", 4.0, False)], "node_id string, parent_id string, length double, is_hypo boolean")
+    rows = spark.createDataFrame([("a", "1.5", "2", "y2001", "u"), ("c", "", "", "-3", "v"), ("z", "", "", "", "")], "ID string, Latitude string, Longitude string, `Collection Year` string, k string")
+    text, table = sinks.share_payload(nodes, rows, {"k": {"u": "#000000"}})
+    assert text == "(a:3,c:4);"
+    assert {r["ID"]: (r["year"], r["k__colour"]) for r in table.collect()} == {"a": ("2001", "#000000"), "c": ("", "#FFFFFF")}
+
+
+def test_server(spark):
+    import threading
+    from urllib.error import HTTPError
+    from urllib.parse import urlencode
+    from urllib.request import urlopen
+
+    from cladewise.server import serve
+
+    server = serve(spark, port=0)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}"
+
+    def status(path, form=None):
+        try:
+            with urlopen(base + path, urlencode(form).encode() if form is not None else None) as r:
+                return r.status, r.read().decode()
+        except HTTPError as e:
+            return e.code, ""
+
+    assert [status(p)[0] for p in ("/", "/maketree", "/nowhere")] == [200, 405, 404]
+    assert status("/maketree", {"method": "MSTree"})[0] == 204
+    assert status("/maketree", {"profile": "#S\tL1\na\t1\nb\t2\n", "method": "MSTree"})[1].endswith(";")
+    assert status("/maketree", {"profile": "#S\tL1\na\t1\n", "method": "__import__('os')"})[0] == 500
+    server.shutdown()
