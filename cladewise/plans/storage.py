@@ -6,6 +6,7 @@ local session (as in tests) that names none gets a folder of its own.
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +27,18 @@ def shared_dir(spark: SparkSession) -> str:
 _kept: set[str] = set()
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int):
+    """Arrow batches of at most so many rows for what is written within; the session's setting comes back afterwards."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class Written:
     """A DataFrame written as Parquet and read again; ``drop()`` deletes the files."""
 
