@@ -19,6 +19,7 @@ from __future__ import annotations
 import heapq
 from array import array
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +33,11 @@ from cladewise.llm.vocabulary import BYTE_BPE, Vocabulary, default_path, load
 # Fixed value: the pattern of byte-level pre-tokens.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Bytes of text whose pieces are indexed together; pieces kept between stretches.
-STRETCH = 24 << 20
-KEPT_PIECES = 250_000
+STRETCH = 6 << 20
+KEPT_PIECES = 200_000
 FEW = 24
+#: Texts of one outgoing batch.
+SLICE = 256
 
 
 class PairIndex:
@@ -158,18 +161,14 @@ class Encoder:
             out += ["\0" + part] if k % 2 else PATTERN.findall(part)
         return out
 
-    def encode(self, found: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the texts end to end, and how many each text has."""
+    def pieces(self, found: list[str]) -> list[np.ndarray]:
+        """For each text, the numbers of its pieces; the ids of all these pieces are known afterwards."""
         if len(self.known) > KEPT_PIECES:
             self._clear()
         known, old = self.known, len(self.known)
-        numbers, sizes = [], []
-        for text in found:
-            cut = self._pieces(text)
-            numbers.append(np.array([known.setdefault(w, len(known)) for w in cut], np.int32))
-            sizes.append(len(cut))
+        numbers = [np.array([known.setdefault(w, len(known)) for w in self._pieces(text)], np.int32) for text in found]
         if len(known) > old:
-            fresh = list(known)[old:]
+            fresh = list(islice(known, old, None))
             # A special token's name follows a null byte, which no other piece holds before a letter.
             marked = {k: self.v.special[w[1:]] for k, w in enumerate(fresh) if w[0] == "\0" and w[1:] in self.v.special}
             ids, lens = PairIndex(self.v, [b"" if k in marked else w.encode() for k, w in enumerate(fresh)]).run().ids()
@@ -179,10 +178,19 @@ class Encoder:
                 lens[list(marked)] = 1
             self.begins = np.concatenate([self.begins, np.cumsum(lens) - lens + len(self.flat)])
             self.lens, self.flat = np.concatenate([self.lens, lens]), np.concatenate([self.flat, ids])
+        return numbers
+
+    def ids(self, numbers: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts of these pieces end to end, and how many each text has."""
         which = np.concatenate(numbers) if numbers else np.zeros(0, np.int32)
         each = self.lens[which]
         upto = np.concatenate([[0], np.cumsum(each)])
-        return gather(self.flat, self.begins[which], each), np.diff(upto[np.concatenate([[0], np.cumsum(np.array(sizes, np.int64))])])
+        sizes = np.array([len(x) for x in numbers], np.int64)
+        return gather(self.flat, self.begins[which], each), np.diff(upto[np.concatenate([[0], np.cumsum(sizes)])])
+
+    def encode(self, found: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts end to end, and how many each text has."""
+        return self.ids(self.pieces(found))
 
 
 def decode_ids(v: Vocabulary, ids: np.ndarray) -> str:
@@ -196,14 +204,11 @@ def _round_trip(batches: Iterator[pa.RecordBatch], path: str, decode: bool) -> I
     for batch in batches:
         _, bounds = texts(batch.column(1))
         for lo, hi in pieces(bounds, STRETCH):
-            found = [x or "" for x in batch.column(1).slice(lo, hi - lo).to_pylist()]
-            ids, sizes = encoder.encode(found)
-            ends = np.cumsum(sizes)
-            for a in range(0, len(found), 512):
-                b = min(len(found), a + 512)
-                first = int(ends[a - 1]) if a else 0
-                upto = np.concatenate([[first], ends[a:b]])
-                columns = [batch.column(0).slice(lo + a, b - a), pa.ListArray.from_arrays(pa.array((upto - first).astype(np.int32)), pa.array(ids[first : upto[-1]]))]
+            numbers = encoder.pieces([x or "" for x in batch.column(1).slice(lo, hi - lo).to_pylist()])
+            for a in range(0, len(numbers), SLICE):
+                ids, sizes = encoder.ids(numbers[a : a + SLICE])
+                upto = np.concatenate([[0], np.cumsum(sizes)])
+                columns = [batch.column(0).slice(lo + a, len(sizes)), pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pa.array(ids))]
                 if decode:
                     columns.append(pa.array([decode_ids(encoder.v, ids[x:y]) for x, y in zip(upto[:-1], upto[1:], strict=True)], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "decoded"][: len(columns)])
