@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from cladewise.llm.arrow_text import hash_words, lists, pieces, texts, windows, words
 from cladewise.operators.components import star_forest
-from cladewise.plans.storage import Written, written
+from cladewise.plans.storage import Written, small_batches, written
 
 N = 5
 K = 96
@@ -52,6 +52,8 @@ HOT = 24
 MAX_HOT = 500_000
 #: More ids of candidates than this (8 bytes each) are not broadcast but joined.
 MAX_BROADCAST_IDS = 500_000
+#: Rows of one Arrow batch: pairs carry two whole texts.
+BATCH = 1000
 
 
 def shingle_sets(column) -> Iterator[np.ndarray]:
@@ -285,7 +287,11 @@ def _with_component(rows: DataFrame, forest: Written | None) -> DataFrame:
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``df``: ``doc_id, n_shingles, component_id, kept``."""
-    docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    with small_batches(df.sparkSession, BATCH):
+        return _near_duplicates(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")))
+
+
+def _near_duplicates(docs: DataFrame) -> DataFrame:
     rows = written(sketches(docs), "sketches")
     some = rows.df.filter("n_shingles > 0 and doc_id is not null")
     one = F.min_by(F.struct("n_shingles", "n_first", "sketch"), "doc_id")
