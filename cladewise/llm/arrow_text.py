@@ -6,7 +6,10 @@ memory follows a piece or, where one text is longer, that text's words.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +44,22 @@ def _power(n: int) -> np.ndarray:
     return _powers
 
 
+def tidy(kernel: Callable) -> Callable:
+    """A kernel over Arrow batches that gives its memory back to the system at its end: workers are used again and idle ones would keep it."""
+
+    @wraps(kernel)
+    def run(*args) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from kernel(*args)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
+                trim(0)
+
+    return run
+
+
 def texts(column) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets (one more than rows) of a string column; null counts as empty."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column

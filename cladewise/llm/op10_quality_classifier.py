@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladewise.llm.arrow_text import hash_words, lists, pieces, texts, windows, words
+from cladewise.llm.arrow_text import hash_words, lists, pieces, texts, tidy, windows, words
 from cladewise.llm.labelled import remainder, sample
 from cladewise.llm.op2_html_extract import STOP_WORDS
 
@@ -149,11 +149,13 @@ def fit(x: np.ndarray, label: np.ndarray) -> Forest:
     return Forest(np.stack(columns), np.stack(thresholds), np.stack(values), bias)
 
 
+@tidy
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists(list(statistics(batch.column(2))), pa.float64())], names=["doc_id", "label", "x"])
 
 
+@tidy
 def _score(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     forest = shared.value
     for batch in batches:

@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cladewise.llm.arrow_text import tidy
+
 # Element names, cue words and stop words.
 UNSEEN = frozenset("head script style noscript template svg math iframe object embed applet canvas audio video map title textarea select option button datalist".split())
 RAW = frozenset("script style textarea title noscript template iframe svg".split())
@@ -226,6 +228,7 @@ def main_text(page: str | None) -> str:
     return " ".join(text for b, text in found if b.label == TEXT)
 
 
+@tidy
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo in range(0, batch.num_rows, 256):

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladewise.llm.arrow_text import hash_words, lists, pieces, texts, windows, words
+from cladewise.llm.arrow_text import hash_words, lists, pieces, texts, tidy, windows, words
 from cladewise.plans.storage import written
 
 SEED = 3
@@ -101,6 +101,7 @@ def _find(seeds: np.ndarray, rows: np.ndarray, hashes: np.ndarray, whole: np.nda
     return [(spots[a:b], which[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
+@tidy
 def _count(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     seeds, short = shared.value
     total = np.zeros(len(seeds), np.int64)
@@ -114,6 +115,7 @@ def _count(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch
     yield pa.RecordBatch.from_arrays([pa.array(seeds[some]), pa.array(total[some])], names=["seed", "n_docs"])
 
 
+@tidy
 def _passages(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     seeds, short, margin = shared.value
     for batch in batches:
@@ -182,6 +184,7 @@ def align(passages: list[np.ndarray], wanted: list[np.ndarray]) -> tuple[np.ndar
     return score, begin, end
 
 
+@tidy
 def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sides = []

@@ -27,14 +27,14 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladewise.llm.arrow_text import pieces, texts
+from cladewise.llm.arrow_text import pieces, texts, tidy
 from cladewise.llm.vocabulary import BYTE_BPE, Vocabulary, default_path, load
 
 # Fixed value: the pattern of byte-level pre-tokens.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Bytes of text whose pieces are indexed together; pieces kept between stretches.
-STRETCH = 6 << 20
-KEPT_PIECES = 200_000
+STRETCH = 4 << 20
+KEPT_PIECES = 150_000
 FEW = 24
 #: Texts of one outgoing batch.
 SLICE = 256
@@ -199,6 +199,7 @@ def decode_ids(v: Vocabulary, ids: np.ndarray) -> str:
     return gather(flat, begins[ids], lens[ids]).tobytes().decode("utf-8", "replace")
 
 
+@tidy
 def _round_trip(batches: Iterator[pa.RecordBatch], path: str, decode: bool) -> Iterator[pa.RecordBatch]:
     encoder = Encoder(path)
     for batch in batches:
@@ -214,6 +215,7 @@ def _round_trip(batches: Iterator[pa.RecordBatch], path: str, decode: bool) -> I
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "decoded"][: len(columns)])
 
 
+@tidy
 def _decode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     v = load(path)
     for batch in batches:

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladewise.llm.arrow_text import hash_words, lists, pieces, texts, windows, words
+from cladewise.llm.arrow_text import hash_words, lists, pieces, texts, tidy, windows, words
 from cladewise.operators.components import star_forest
 from cladewise.plans.storage import Written, small_batches, written
 
@@ -81,6 +81,7 @@ def needed(n: int) -> int:
     return -(-3 * n // 4) if 4 * n <= 3 * K else NEEDED
 
 
+@tidy
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets, digests, sketches, firsts = [], [], [], []
@@ -113,6 +114,7 @@ def sketches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return rows.mapInArrow(_sketch, f"doc_id {kind}, n_shingles bigint, d1 bigint, d2 bigint, n_first int, sketch array<bigint>")
 
 
+@tidy
 def _order(batches: Iterator[pa.RecordBatch], hot) -> Iterator[pa.RecordBatch]:
     """The first values of each sketch, in the order (hot values last and by count, hash)."""
     values, counts = hot.value
@@ -162,6 +164,7 @@ def _pairs(rows: DataFrame) -> DataFrame:
     return rows.filter(f"{SIZES} and r1 <> r2").select(F.least("r1", "r2").alias("a"), F.greatest("r1", "r2").alias("b")).distinct()
 
 
+@tidy
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [x.view(np.int64) for x in shingle_sets(batch.column(1))]
@@ -224,6 +227,7 @@ def estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return both.filter(f"{whole} or size(filter(common, x -> x <= last)) >= {NEEDED}").select("a", "b").distinct()
 
 
+@tidy
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         last, keep = (None, None), []

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladewise.llm.arrow_text import pieces, texts
+from cladewise.llm.arrow_text import pieces, texts, tidy
 from cladewise.llm.labelled import remainder, sample, shares
 from cladewise.plans.storage import written
 
@@ -163,6 +163,7 @@ def minimise(loss, x: np.ndarray, kept: int = 10) -> np.ndarray:
     return x
 
 
+@tidy
 def _score(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     model = shared.value
     for batch in batches:
@@ -196,6 +197,7 @@ def scores(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+@tidy
 def _keep(batches: Iterator[pa.RecordBatch], shared, at: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         done = 0

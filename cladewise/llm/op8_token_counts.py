@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladewise.llm.arrow_text import texts
+from cladewise.llm.arrow_text import texts, tidy
 from cladewise.llm.vocabulary import WORD_BPE, Vocabulary, default_path, load
 
 # Fixed value: the pattern of words.
@@ -88,6 +88,7 @@ def normal(text: str) -> str:
     return text.lower()
 
 
+@tidy
 def _count(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     v = load(path)
     counts = Counts(v)
