@@ -1,15 +1,15 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
-
-1. Each item's word n-grams are counted over all documents. An item keeps its
-   rare ones: those in no more documents than ``RARE_TIMES`` the item's lower
-   quartile, or than ``RARE_FLOOR``. So every item keeps at least a quarter of
-   its n-grams, however often it leaked.
-2. A document's places of rare seeds, with a margin of one and a half times the
-   longest item, make its passages. Their seeds join the items.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
+
+1. Every word n-gram of every item is a seed, rare or not. The items go to all
+   tasks, in parts of about ``MAX_SEEDS`` seeds with a pass over the texts each.
+2. A document's places of an item's seeds, with a margin of twice the item's
+   words, make passages: an alignment of ``THRESHOLD`` spans no more words.
+   A passage is left out only if no alignment with it can reach ``THRESHOLD``.
 3. Smith-Waterman alignment of words (match 2, mismatch -1, gap -1) scores each
    pair of passage and item; the score is divided by that of the item against
    itself. Pairs of ``THRESHOLD`` or more are leaks: copies of which words were
-   replaced, dropped or added, and copies of the larger part of an item.
+   replaced, dropped or added, and copies of the larger part of an item, where
+   one n-gram is whole.
 
 Words are runs of X.
 Items with equal words are one item, named by its smallest id and counted in
@@ -23,9 +23,11 @@ repeated rows are one. Null ids are kept as they are. Extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,12 +35,12 @@ from cladewise.llm.arrow_text import hash_words, lists, pieces, texts, tidy, win
 from cladewise.plans.storage import written
 
 SEED = 3
-RARE_TIMES = 8
-RARE_FLOOR = 5
 THRESHOLD = 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
-#: More seeds than this (16 bytes each) are not broadcast: the documents' seeds join them in a shuffle.
+#: Seeds (some 30 bytes each, with the words of their items) of one broadcast; items with more go out in parts.
 MAX_SEEDS = 2_000_000
+#: Pairs of a place and an item taken at a time.
+PLACES = 1 << 18
 #: Cells of one batch of alignments.
 CELLS = 1 << 21
 WORD = np.zeros(256, bool)
@@ -69,19 +71,41 @@ def _item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 found.append(np.unique(_seeds_of(hashes[a:b])) if b > a else np.zeros(0, np.int64))
                 digests.append(hashes[a:b].view(np.int64))
                 sizes.append(b - a)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(sizes, np.int64)), lists(digests, pa.int64()), lists(found, pa.int64())], names=["item_id", "text", "n_words", "words", "seeds"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(sizes, np.int64)), lists(digests, pa.int64()), lists(found, pa.int64())], names=["item_id", "n_words", "words", "seeds"])
 
 
 def items(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """Distinct items: ``item_id`` (smallest), ``n_items, text, n_words, seeds``."""
+    """Distinct items: ``item_id`` (smallest), ``n_items, n_words, words`` (hashes), ``seeds``."""
     kind = dict(benchmark.dtypes)[id_col]
     rows = benchmark.select(F.col(id_col).alias("item_id"), F.lower(F.col(text_col).cast("string")).alias("text"))
-    rows = rows.mapInArrow(_item_seeds, f"item_id {kind}, text string, n_words bigint, words array<bigint>, seeds array<bigint>").filter("n_words > 0")
-    return rows.groupBy("words").agg(F.min("item_id").alias("item_id"), F.count("*").alias("n_items"), F.first("text").alias("text"), F.first("n_words").alias("n_words"), F.first("seeds").alias("seeds")).drop("words")
+    rows = rows.mapInArrow(_item_seeds, f"item_id {kind}, n_words bigint, words array<bigint>, seeds array<bigint>").filter("n_words > 0")
+    return rows.groupBy("words").agg(F.min("item_id").alias("item_id"), F.count("*").alias("n_items"), F.first("n_words").alias("n_words"), F.first("seeds").alias("seeds"))
+
+
+class Items(NamedTuple):
+    """Items as the tasks get them: sorted seeds, of each the items that hold it (``owners`` from ``first``), and each item's id, count and words (from ``begins``)."""
+
+    seeds: np.ndarray
+    first: np.ndarray
+    owners: np.ndarray
+    ids: pa.Array
+    counts: pa.Array
+    words: np.ndarray
+    begins: np.ndarray
+
 
+def _packed(table: pa.Table) -> Items:
+    seeds, words_ = (table.column(name).combine_chunks() for name in ("seeds", "words"))
+    each, sizes = (pc.list_value_length(x).to_numpy(zero_copy_only=False) for x in (seeds, words_))
+    values, owners = seeds.flatten().to_numpy(), np.repeat(np.arange(len(each)), each)
+    order = np.argsort(values, kind="stable")
+    distinct, first = np.unique(values[order], return_index=True)
+    begins = np.concatenate([[0], np.cumsum(sizes)])
+    return Items(distinct, np.append(first, len(values)), owners[order], table.column("item_id").combine_chunks(), table.column("n_items").combine_chunks(), words_.flatten().to_numpy().view(np.uint64), begins)
 
-def _find(seeds: np.ndarray, rows: np.ndarray, hashes: np.ndarray, whole: np.ndarray, short: bool) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(places, index into seeds) of the seeds in each row of a piece."""
+
+def _find(seeds: np.ndarray, rows: np.ndarray, hashes: np.ndarray, whole: np.ndarray, short: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, places and indexes into seeds of the seeds in a piece, by place."""
     sizes = [(SEED, whole)] + ([(n, windows(hashes, n)) for n in range(1, SEED)] if short else [])
     spots, which, last = [], [], []
     for n, values in sizes:
@@ -96,49 +120,36 @@ def _find(seeds: np.ndarray, rows: np.ndarray, hashes: np.ndarray, whole: np.nda
     inside = last < rows[row + 1]
     spots, which, row = spots[inside], which[inside], row[inside]
     order = np.argsort(spots, kind="stable")
-    spots, which, row = spots[order], which[order], row[order]
-    cuts = np.searchsorted(row, np.arange(len(rows)))
-    return [(spots[a:b], which[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-
-
-@tidy
-def _count(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    seeds, short = shared.value
-    total = np.zeros(len(seeds), np.int64)
-    for batch in batches:
-        for _, _, _, _, rows, hashes, whole in _hashed(batch.column(0)):
-            found = _find(seeds, rows, hashes, whole, short)
-            each = [np.unique(which) for _, which in found if len(which)]
-            if each:
-                total += np.bincount(np.concatenate(each), minlength=len(seeds))
-    some = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(seeds[some]), pa.array(total[some])], names=["seed", "n_docs"])
-
-
-@tidy
-def _passages(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    seeds, short, margin = shared.value
-    for batch in batches:
-        ids, begins, cut, own, size = [], [], [], [], 0
-        for lo, part, starts, ends, rows, hashes, whole in _hashed(batch.column(1)):
-            for r, (spots, which) in enumerate(_find(seeds, rows, hashes, whole, short)):
-                if not len(spots):
-                    continue
-                for group in np.split(np.arange(len(spots)), np.flatnonzero(np.diff(spots) > 2 * margin) + 1):
-                    a, b = max(rows[r], spots[group[0]] - margin), min(rows[r + 1], spots[group[-1]] + margin)
-                    ids.append(lo + r)
-                    begins.append(a - rows[r])
-                    cut.append(part[starts[a] : ends[b - 1]].tobytes().decode())
-                    own.append(np.unique(seeds[which[group]]))
-                    size += len(cut[-1])
-                    if size > 8 << 20:
-                        yield _passage_batch(batch.column(0), ids, begins, cut, own)
-                        ids, begins, cut, own, size = [], [], [], [], 0
-        yield _passage_batch(batch.column(0), ids, begins, cut, own)
-
-
-def _passage_batch(column, ids, begins, cut, own) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([column.take(pa.array(ids, pa.int64())), pa.array(np.array(begins, np.int64)), pa.array(cut, pa.string()), lists(own, pa.int64())], names=["doc_id", "first_word", "passage", "seeds"])
+    return row[order], spots[order], which[order]
+
+
+def _passages(known: Items, rows: np.ndarray, found: tuple[np.ndarray, np.ndarray, np.ndarray]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Row, item, begin and end of the passages around the places of each item's seeds, for some rows of a piece at a time."""
+    row, spots, which = found
+    many = known.first[which + 1] - known.first[which]
+    upto = np.concatenate([[0], np.cumsum(many)])
+    hits = np.searchsorted(row, np.arange(len(rows)))
+    for lo, hi in pieces(upto[hits], PLACES):
+        a, b = hits[lo], hits[hi]
+        k = np.repeat(np.arange(a, b), many[a:b])
+        if not len(k):
+            continue
+        item = known.owners[known.first[which[k]] + np.arange(len(k)) - (upto[k] - upto[a])]
+        order = np.lexsort((spots[k], item, row[k]))
+        r, item, at = row[k][order], item[order], spots[k][order]
+        margin = 2 * (known.begins[item + 1] - known.begins[item])
+        new = np.ones(len(k), bool)
+        new[1:] = (r[1:] != r[:-1]) | (item[1:] != item[:-1]) | (at[1:] - at[:-1] > 2 * margin[1:])
+        head = np.flatnonzero(new)
+        tail = np.append(head[1:], len(k)) - 1
+        r, item, margin = r[head], item[head], margin[head]
+        yield r, item, np.maximum(rows[r], at[head] - margin), np.minimum(rows[r + 1], at[tail] + margin)
+
+
+def most(passage: np.ndarray, wanted: np.ndarray) -> int:
+    """A score that no alignment of the two exceeds: that of the item's best stretch if all its words that the passage holds anywhere matched."""
+    up = np.concatenate([[0], np.cumsum(np.where(np.isin(wanted, passage), MATCH, max(MISMATCH, GAP)))])
+    return int((up - np.minimum.accumulate(up)).max())
 
 
 def align(passages: list[np.ndarray], wanted: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -185,20 +196,26 @@ def align(passages: list[np.ndarray], wanted: list[np.ndarray]) -> tuple[np.ndar
 
 
 @tidy
-def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _copies(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+    known, short = shared.value
+    sizes = np.diff(known.begins)
     for batch in batches:
-        sides = []
-        for name in ("passage", "item"):
-            column = batch.column(batch.schema.get_field_index(name))
-            sides.append([hashes[a:b] for _, _, _, _, rows, hashes, _ in _hashed(column) for a, b in zip(rows[:-1], rows[1:], strict=True)])
-        score, begin, end = align(*sides)
-        share = score / np.array([MATCH * max(1, len(x)) for x in sides[1]])
-        first = batch.column(1).to_numpy()
-        out = pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(2), batch.column(3), pa.array(share), pa.array(first + begin), pa.array(first + end)],
-            names=["doc_id", "item_id", "n_items", "score", "first_word", "end_word"],
-        )
-        yield out.filter(pa.array(share >= THRESHOLD))
+        for lo, _, _, _, rows, hashes, whole in _hashed(batch.column(1)):
+            for r, item, begin, end in _passages(known, rows, _find(known.seeds, rows, hashes, whole, short)):
+                texts_ = [hashes[a:b] for a, b in zip(begin, end, strict=True)]
+                wanted = [known.words[known.begins[i] : known.begins[i + 1]] for i in item]
+                pick = [k for k, (x, y) in enumerate(zip(texts_, wanted, strict=True)) if most(x, y) >= THRESHOLD * MATCH * len(y)]
+                score, start, stop = align([texts_[k] for k in pick], [wanted[k] for k in pick])
+                share = score / (MATCH * sizes[item[pick]])
+                keep = np.flatnonzero(share >= THRESHOLD)
+                if not len(keep):
+                    continue
+                at = np.array(pick)[keep]
+                base, which = begin[at] - rows[r[at]], pa.array(item[at])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(lo + r[at])), known.ids.take(which), known.counts.take(which), pa.array(share[keep]), pa.array(base + start[keep]), pa.array(base + stop[keep])],
+                    names=["doc_id", "item_id", "n_items", "score", "first_word", "end_word"],
+                )
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -207,41 +224,21 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     texts_ = docs.select(F.col(id_col).alias("doc_id"), F.lower(F.col(text_col).cast("string")).alias("text"))
     kind = dict(texts_.dtypes)["doc_id"]
     known = written(items(benchmark), "items")
-    bounds = known.df.agg(F.max("n_words").alias("longest"), F.min("n_words").alias("least"), F.sum(F.size("seeds")).alias("n")).first()
+    bounds = known.df.agg(F.min("n_words").alias("least"), F.sum(F.size("seeds")).alias("n")).first()
     out = f"doc_id {kind}, item_id {dict(known.df.dtypes)['item_id']}, n_items bigint, score double, first_word bigint, end_word bigint"
-    if not bounds["n"]:
-        known.drop()
-        return spark.createDataFrame([], out)
-    margin, short = int(bounds["longest"] * 1.5) + 1, bounds["least"] < SEED
-    every = known.df.select("item_id", F.explode("seeds").alias("seed"))
-    parts = -(-bounds["n"] // MAX_SEEDS)
-    # Beyond the bound the seeds go out in parts, each with its own pass over the texts.
-    counts, cut = [], []
-    for k in range(parts):
-        table = every.filter(F.pmod(F.xxhash64("seed"), F.lit(parts)) == k).select("seed").distinct().orderBy("seed").toArrow()
-        shared = spark.sparkContext.broadcast((table.column("seed").to_numpy(), short))
-        counts.append(texts_.select("text").mapInArrow(lambda x, shared=shared: _count(x, shared), "seed bigint, n_docs bigint").groupBy("seed").agg(F.sum("n_docs").alias("n_docs")))
-    total = counts[0]
-    for more in counts[1:]:
-        total = total.union(more)
-    numbered = every.join(total, "seed", "left").fillna(0, ["n_docs"])
-    quartile = numbered.groupBy("item_id").agg(F.expr("percentile_disc(0.25) within group (order by n_docs)").alias("q"))
-    rare = written(numbered.join(quartile, "item_id").filter(f"n_docs <= greatest({RARE_FLOOR}, {RARE_TIMES} * q) and n_docs > 0").select("seed", "item_id"), "seeds")
+    # Beyond the bound the items go out in parts, each with its own pass over the texts.
+    parts, found = -(-(bounds["n"] or 0) // MAX_SEEDS), []
     for k in range(parts):
-        table = rare.df.filter(F.pmod(F.xxhash64("seed"), F.lit(parts)) == k).select("seed").distinct().orderBy("seed").toArrow()
+        table = known.df.filter(F.pmod(F.xxhash64("words"), F.lit(parts)) == k).toArrow()
         if table.num_rows:
-            shared = spark.sparkContext.broadcast((table.column("seed").to_numpy(), short, margin))
-            cut.append(texts_.mapInArrow(lambda x, shared=shared: _passages(x, shared), f"doc_id {kind}, first_word bigint, passage string, seeds array<bigint>"))
-    if not cut:
+            shared = spark.sparkContext.broadcast((_packed(table), bounds["least"] < SEED))
+            found.append(texts_.mapInArrow(lambda x, shared=shared: _copies(x, shared), out))
+    known.drop()
+    if not found:
         return spark.createDataFrame([], out)
-    passages = cut[0]
-    for more in cut[1:]:
-        passages = passages.union(more)
-    found = written(passages.withColumn("pid", F.xxhash64("passage")), "passages")
-    pairs = found.df.select("doc_id", "first_word", "pid", F.explode("seeds").alias("seed")).join(rare.df, "seed").select("doc_id", "first_word", "pid", "item_id").distinct()
-    named = known.df.select("item_id", "n_items", F.col("text").alias("item"))
-    both = pairs.join(found.df.select(F.col("doc_id").alias("_d"), F.col("first_word").alias("_f"), F.col("pid").alias("_p"), "passage"), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("first_word") == F.col("_f")) & (F.col("pid") == F.col("_p"))).join(named, "item_id")
-    scored = both.select("doc_id", "first_word", "item_id", "n_items", "passage", "item").mapInArrow(_score, out)
+    scored = found[0]
+    for more in found[1:]:
+        scored = scored.union(more)
     best = F.max_by(F.struct("score", "first_word", "end_word"), F.struct("score", -F.col("first_word"), -F.col("end_word")))
     return scored.groupBy("doc_id", "item_id", "n_items").agg(best.alias("b")).select("doc_id", "item_id", "n_items", "b.*")
 

@@ -106,6 +106,36 @@ def test_leaks(spark):
     assert op3_decontaminate.leaks(empty(spark), bench).count() == 0 and op3_decontaminate.leaks(df, bench.limit(0)).count() == 0
 
 
+def test_copies_repeated_in_many_documents(spark):
+    rng = np.random.default_rng(9)
+    vocabulary = [f"w{i}" for i in range(4000)]
+    text = lambda n: " ".join(rng.choice(vocabulary, n))
+    items = [text(48) for _ in range(3)]
+    copies = [edited(items[0], 8), " ".join(items[1].split()[:36]), " ".join(f"{x} and" if k % 4 == 0 else x for k, x in enumerate(items[2].split()))]
+    docs = [(3000 * k + i, f"{text(20)} {x} {text(20)}") for k, x in enumerate(copies) for i in range(3000)]
+    docs += [(9000, items[0]), *((10000 + i, text(90)) for i in range(500))]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = op3_decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(3000 * k + i, k) for k in range(3) for i in range(3000)} | {(9000, 0)}
+
+
+def test_copies_with_words_added(spark):
+    item = [f"w{i}" for i in range(20)]
+    added = " ".join(x for k, w in enumerate(item[:17]) for x in ([w, f"x{k}"] if k else [w])) + " " + " ".join(item[17:])
+    bench = spark.createDataFrame([(None, " ".join(item))], "item_id long, text string")
+    got = op3_decontaminate.leaks(spark.createDataFrame([(1, added), (2, "w1 w2 w3 and others")], "doc_id long, text string"), bench).collect()
+    assert [(r["doc_id"], r["item_id"], r["score"]) for r in got] == [(1, None, 0.6)]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 5), max_size=12), st.lists(st.integers(0, 5), min_size=1, max_size=8))
+def test_no_alignment_exceeds_the_bound(a, b):
+    passage, item = np.array(a, np.uint64), np.array(b, np.uint64)
+    score, begin, end = op3_decontaminate.align([passage], [item])
+    assert score[0] <= op3_decontaminate.most(passage, item)
+    assert score[0] < len(b) or end[0] - begin[0] <= 2 * len(b)
+
+
 def test_parts_of_the_seeds_change_nothing(spark, monkeypatch):
     docs, bench = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
     one = {tuple(r) for r in op3_decontaminate.leaks(docs, bench).collect()}
