@@ -2,8 +2,9 @@
 
 Each stage takes all that its predecessor kept and lets its decisions take
 effect; all but the last return the columns of the documents. A row without a
-doc_id goes by a number made from its text. Of rows that share a doc_id the
-near-duplicate stage keeps one.
+doc_id goes by a number made from its text. Rows that share a doc_id but not
+the text are documents of their own; of equal rows the near-duplicate stage
+keeps one.
 """
 
 from __future__ import annotations
@@ -23,6 +24,20 @@ def _key() -> Column:
     return F.coalesce(F.col("doc_id").cast("long"), F.shiftrightunsigned(F.xxhash64("text"), 1).bitwiseOR(F.lit(1 << 62)))
 
 
+def _keyed(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """The documents with ``_key``, one for each pair of id and text, in the order of the ids; and whether any key has several rows.
+
+    Usually that is the id. Where ids repeat, the pairs are numbered.
+    """
+    rows = docs.withColumn("_key", _key())
+    if rows.groupBy("_key").count().filter("count > 1").isEmpty():
+        return rows, False
+    # The bytes of the text: under a collation, different texts may be equal.
+    rows = rows.withColumnRenamed("_key", "_id").withColumn("_text", F.coalesce(F.sha2(F.col("text").cast("string").cast("binary"), 256), F.lit("")))
+    pairs = written(rows.select("_id", "_text").distinct().orderBy("_id", "_text").withColumn("_key", F.monotonically_increasing_id()), "keys").df
+    return rows.join(pairs, ["_id", "_text"]).drop("_id", "_text"), True
+
+
 def _without(rows: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows (with ``_key``) whose key is none of ``ids`` (a column ``_key``)."""
     table = written(ids, "ids").df
@@ -42,19 +57,15 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: that of the smallest id."""
-    rows = docs.withColumn("_key", _key())
-    judged = op6_near_dedup.near_duplicates(rows, "_key").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
-    judged = written(judged.filter("not kept or n > 1").withColumnRenamed("doc_id", "_key"), "judged").df
-    left = _without(rows, judged.filter("not kept").select("_key"))
-    twice = judged.filter("kept and n > 1").select("_key")
-    if not twice.isEmpty():
-        left = _without(left, twice).unionByName(left.join(twice, "_key", "left_semi").dropDuplicates(["_key"]))
-    return left.select(*docs.columns)
+    rows, repeated = _keyed(docs)
+    judged = written(op6_near_dedup.near_duplicates(rows, "_key").filter("not kept").select(F.col("doc_id").alias("_key")).distinct(), "judged").df
+    left = _without(rows, judged)
+    return (left.dropDuplicates(["_key"]) if repeated else left).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no copy of a benchmark item."""
-    rows = docs.withColumn("_key", _key())
+    rows, _ = _keyed(docs)
     found = op3_decontaminate.leaks(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "_key")
     return _without(rows, found.select(F.col("doc_id").alias("_key")).distinct()).select(*docs.columns)
 

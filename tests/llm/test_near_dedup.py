@@ -119,3 +119,21 @@ def test_dirty_pipeline(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     out = pipeline.run(spark, str(tmp_path)).collect()
     assert sorted(r["doc_id"] for r in out) == [1, 3]
+
+
+def test_rows_of_one_id_with_different_texts(spark, tmp_path):
+    import corpus_pipeline as pipeline
+
+    text = lambda c: " ".join(f"{c}{i} of the{i}" for i in range(40))
+    leak = " ".join(f"leak{i}" for i in range(20))
+    # 5: a copy of 3, a document of its own (twice), one with a leak, and a near copy of that of its own.
+    rows = [(3, text("a")), (5, text("a") + " more"), (5, text("b")), (5, text("b")), (5, f"{text('c')} {leak}"), (5, text("b") + " more"), (7, text("b") + " again"), (8, text("d")), (8, None), (8, "")]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    left = pipeline.near_dedup(spark, docs, str(tmp_path))
+    found = [(r["doc_id"], r["text"]) for r in left.collect()]
+    own = [t for i, t in found if i == 5 and t in (text("b"), text("b") + " more")]
+    assert len(own) == 1 and len(found) == 6
+    assert set(found) == {(3, text("a")), (5, own[0]), (5, f"{text('c')} {leak}"), (8, text("d")), (8, None), (8, "")}
+    clean = [(r["doc_id"], r["text"]) for r in pipeline.decontamination(spark, left, str(tmp_path)).collect()]
+    assert sorted(clean, key=repr) == sorted([x for x in found if leak not in (x[1] or "")], key=repr)
