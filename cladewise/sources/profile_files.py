@@ -22,14 +22,10 @@ def lines(spark: SparkSession, source: str) -> DataFrame:
 
 def header(rows: DataFrame) -> tuple[list[str], bool]:
     """The header's fields, and whether it was an ordinary line: the last line of ``#`` before the data (``##`` is a comment), else the first line."""
-    # Comments stand at the top: the head of the file is enough.
-    last = None
-    for row in rows.orderBy("ord").limit(1000).collect():
-        if row["line"].startswith("#"):
-            last = last if row["line"].startswith("##") else row["line"]
-            continue
-        return (last or row["line"]).strip("\r\n").split("\t"), last is None
-    return (last or "").split("\t"), False
+    first = rows.filter("line not like '#%'").agg(F.min("ord").alias("ord"), F.min_by("line", "ord").alias("line")).first()
+    named = rows.filter("line like '#%' and line not like '##%'")
+    last = (named if first["ord"] is None else named.filter(F.col("ord") < first["ord"])).agg(F.max_by("line", "ord")).first()[0]
+    return (last or first["line"] or "").strip("\r\n").split("\t"), last is None and first["ord"] is not None
 
 
 def loci(fields: list[str]) -> list[int]:

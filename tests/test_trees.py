@@ -118,6 +118,14 @@ def test_ragged_profile_raises(spark):
         profile_files.read_profile(spark, "#S\tL1\tL2\na\t1\n").collect()
 
 
+def test_header_below_many_comments(spark):
+    comments = [f"# note {i}" for i in range(1500)]
+    rows = profile_files.read_profile(spark, "\n".join([*comments, "#S\tL1\tL2", "## more", "a\t1\t2", "#late\tX", "b\t3\t4"]))
+    assert sorted(map(tuple, rows.collect())) == [("a", 0, "1"), ("a", 1, "2"), ("b", 0, "3"), ("b", 1, "4")]
+    rows = profile_files.read_profile(spark, "\n".join([*(f"#{x}" for x in comments), "S\tL1", "a\t1"]))
+    assert list(map(tuple, rows.collect())) == [("a", 0, "1")]
+
+
 def test_fasta(spark):
     rows = profile_files.read_profile(spark, ">a first\nAC\nGN\n>b\nACG-\n").collect()
     assert {(r["sample"], r["locus"]): r["allele"] for r in rows}[("b", 3)] == "-" and len(rows) == 8
