@@ -1,7 +1,9 @@
 """Near duplicates by bottom-k sketches from one hash function.
 
 1. Each text gives its set of 5-word shingle hashes; texts with equal sets fall
-   into one class at once, so exact copies never meet again.
+   into one class at once, so exact copies never meet again. A class is known by
+   the 128-bit digest of its set and numbered once it is written; ids come back
+   in only when the components are named.
 2. A class keeps the ``K`` smallest hashes of its set, its sketch. Values that
    more than ``HOT`` sketches retain are counted; in each sketch they come last.
 3. Two sets with Jaccard >= 0.75 share most of their sketches (see ``needed``),
@@ -16,8 +18,8 @@
    the bounds leave possible between components. So a large group of near
    copies costs one pair for each member and list, not all pairs.
 4. The union-sketch estimate filters pairs; the exact Jaccard on the full sets,
-   computed from the whole texts, confirms them. Alternating stars give the
-   components.
+   computed once from the whole texts of the classes that are still candidates,
+   confirms them. Alternating stars give the components.
 
 The one probabilistic step is ``needed`` for sets larger than a sketch: the odds
 that a pair at exactly 0.75 shares too few values are below 1.2e-8, and fall
@@ -25,8 +27,9 @@ steeply above 0.75. Sets are compared as sets of 63-bit hashes.
 
 Defined results: null, empty and blank texts have an empty set, component
 ``doc_id`` and no link. A text with fewer than 5 words is one shingle. Repeated
-rows each give a row. Rows with a null id link with nothing, have a null
-component and are kept. Extra columns are ignored.
+rows each give a row. An id is one node: rows that share it but not the text
+share their component, whatever set each has. Rows with a null id link with
+nothing, have a null component and are kept. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -50,9 +53,9 @@ NEEDED = 47
 HOT = 24
 #: More hot values than this (16 bytes each) are not broadcast but joined.
 MAX_HOT = 500_000
-#: More ids of candidates than this (8 bytes each) are not broadcast but joined.
+#: More candidate classes than this (an id and a digest, some 32 bytes each) are not broadcast but joined.
 MAX_BROADCAST_IDS = 500_000
-#: Rows of one Arrow batch: pairs carry two whole texts.
+#: Rows of one Arrow batch, which carries whole texts.
 BATCH = 1000
 
 
@@ -81,6 +84,11 @@ def needed(n: int) -> int:
     return -(-3 * n // 4) if 4 * n <= 3 * K else NEEDED
 
 
+def digest(found: np.ndarray) -> np.ndarray:
+    """Two 64-bit halves of a set's digest."""
+    return np.frombuffer(hashlib.blake2b(found.tobytes(), digest_size=16).digest(), np.int64)
+
+
 @tidy
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
@@ -96,7 +104,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = 0
         for at, found in enumerate(shingle_sets(batch.column(1)), 1):
             sets.append(len(found))
-            digests.append(np.frombuffer(hashlib.blake2b(found.tobytes(), digest_size=16).digest(), np.int64))
+            digests.append(digest(found))
             kept = found[:K].view(np.int64)
             sketches.append(kept)
             firsts.append(len(kept) - needed(len(found)) + 1)
@@ -137,15 +145,14 @@ def _order(batches: Iterator[pa.RecordBatch], hot) -> Iterator[pa.RecordBatch]:
 def first_values(classes: DataFrame) -> DataFrame:
     """``value, rep, n, hot`` for each value of a class that gets into the inverted lists."""
     spark = classes.sparkSession
-    kind = dict(classes.dtypes)["rep"]
     counts = written(classes.select(F.explode("sketch").alias("value")).groupBy("value").agg(F.count("*").alias("n")).filter(F.col("n") > HOT), "hot")
     if counts.df.count() <= MAX_HOT:
         table = counts.df.orderBy("value").toArrow()
         hot = spark.sparkContext.broadcast((table.column("value").to_numpy(), table.column("n").to_numpy()))
         counts.drop()
-        return classes.select("rep", "n_shingles", "n_first", "sketch").mapInArrow(lambda x: _order(x, hot), f"value bigint, rep {kind}, n bigint, hot boolean")
-    rows = classes.select("rep", "d1", "d2", "n_shingles", "n_first", F.explode("sketch").alias("value")).join(counts.df, "value", "left")
-    whole = rows.groupBy("d1", "d2", "rep", "n_shingles", "n_first").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("rank"), "value"))).alias("s"))  # K values at most
+        return classes.select("rep", "n_shingles", "n_first", "sketch").mapInArrow(lambda x: _order(x, hot), "value bigint, rep bigint, n bigint, hot boolean")
+    rows = classes.select("rep", "n_shingles", "n_first", F.explode("sketch").alias("value")).join(counts.df, "value", "left")
+    whole = rows.groupBy("rep", "n_shingles", "n_first").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("rank"), "value"))).alias("s"))  # K values at most
     return whole.select("rep", F.col("n_shingles").alias("n"), F.explode(F.slice("s", 1, F.col("n_first"))).alias("e")).select("e.value", "rep", "n", (F.col("e.rank") > 0).alias("hot"))
 
 
@@ -167,30 +174,49 @@ def _pairs(rows: DataFrame) -> DataFrame:
 @tidy
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [x.view(np.int64) for x in shingle_sets(batch.column(1))]
+        found = list(shingle_sets(batch.column(1)))
         for a in range(0, len(found), 256):
             part = found[a : a + 256]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(part)), pa.array(np.array([len(x) for x in part], np.int64)), lists(part, pa.int64())], names=["rep", "n", "set"])
+            one, two = np.array([digest(x) for x in part], np.int64).reshape(-1, 2).T
+            sizes = pa.array(np.array([len(x) for x in part], np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(part)), pa.array(one), pa.array(two), sizes, lists([x.view(np.int64) for x in part], pa.int64())], names=["doc_id", "d1", "d2", "n", "set"])
+
+
+def full_sets(classes: DataFrame, reps: DataFrame, docs: DataFrame) -> Written:
+    """``rep, n, set`` of the classes in ``reps``, each from the whole text of one of its rows."""
+    ids = written(classes.join(reps.distinct(), "rep", "left_semi").select(F.col("least").alias("doc_id"), "d1", "d2", "rep"), "ids")
+    few = ids.df.count()
+    hint = F.broadcast if few <= MAX_BROADCAST_IDS else lambda x: x
+    # An id may stand for several texts: the digest says which is the class's.
+    some = docs.select("doc_id", "text").join(hint(ids.df.select("doc_id").distinct()), "doc_id", "left_semi")
+    rows = some.mapInArrow(_full_sets, f"doc_id {dict(docs.dtypes)['doc_id']}, d1 bigint, d2 bigint, n bigint, set array<bigint>")
+    found = written(rows.join(hint(ids.df), ["doc_id", "d1", "d2"]).select("rep", "n", "set"), "sets")
+    ids.drop()
+    if found.df.count() == few:
+        return found
+    once = written(found.df.dropDuplicates(["rep"]), "sets")  # repeated rows gave a set each
+    found.drop()
+    return once
 
 
-def long_lists(reps: DataFrame, docs: DataFrame) -> DataFrame:
+def long_lists(sets: DataFrame) -> Written:
     """``value, rep, n, i``: the full sets' rarest values, enough of them that two sets with Jaccard >= 0.75 share one.
 
-    ``i`` is the value's place in its set, rarest first (by sets among ``reps``
+    ``i`` is the value's place in its set, rarest first (by sets among these
     that hold it, then by hash). At most n - i + 1 values can be common from
     there on, so a row goes where that is too few for the smallest set of its
     list; and values of one set have no list.
     """
-    kind = dict(docs.dtypes)["doc_id"]
-    sets = _some(docs, reps.select(F.col("rep").alias("doc_id"))).mapInArrow(_full_sets, f"rep {kind}, n bigint, set array<bigint>")
     values = written(sets.select("rep", "n", F.explode("set").alias("value")), "values")
     counts = values.df.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1")
     ranked = values.df.join(counts, "value", "left").withColumn("df", F.coalesce("df", F.lit(1)))
-    ranked = ranked.withColumn("i", F.expr("row_number() over (partition by rep, n order by df, value)").cast("long"))
+    ranked = ranked.withColumn("i", F.expr("row_number() over (partition by rep order by df, value)").cast("long"))
     first = written(ranked.filter("df > 1 and i <= n - ceil(0.75 * n) + 1").select("value", "rep", "n", "i"), "first")
     values.drop()
     least = first.df.groupBy("value").agg(F.min("n").alias("least"), F.count("*").alias("c")).filter("c > 1").drop("c")
-    return first.df.join(least, "value").filter("7 * (n - i + 1) >= 3 * (n + greatest(least, ceil(0.75 * n)))").drop("least")
+    out = written(first.df.join(least, "value").filter("7 * (n - i + 1) >= 3 * (n + greatest(least, ceil(0.75 * n)))").drop("least"), "lists")
+    first.drop()
+    return out
 
 
 #: What two places of one value leave possible: sizes, and the values common from there on.
@@ -213,73 +239,50 @@ def rest_pairs(lists_: DataFrame) -> DataFrame:
 
 
 def estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs that the sketch of the union leaves possible.
+    """``a, b, whole``: pairs that the sketch of the union leaves possible.
 
-    Sets that are whole in their sketches are compared exactly. Else the K
-    smallest values of both sketches are a sample of the union, of which at
-    least NEEDED must be in both.
+    Sets that are whole in their sketches are compared exactly, and these pairs
+    are links (``whole``). Else the K smallest values of both sketches are a
+    sample of the union, of which at least NEEDED must be in both.
     """
     side = lambda k, n: classes.select(F.col("rep").alias(k), F.col("n_shingles").alias(f"n{n}"), F.col("sketch").alias(f"s{n}"))
-    both = pairs.join(side("b", 2), "b").join(side("a", 1), "a").withColumn("common", F.array_intersect("s1", "s2"))
-    whole = f"n1 <= {K} and n2 <= {K}"
-    both = both.filter(f"if({whole}, 100L * size(common) >= 75 * (n1 + n2 - size(common)), size(common) >= {NEEDED})")
+    both = pairs.join(side("b", 2), "b").join(side("a", 1), "a").withColumns({"whole": F.expr(f"n1 <= {K} and n2 <= {K}"), "common": F.array_intersect("s1", "s2")})
+    # 100 c >= 75 (n1 + n2 - c)
+    both = both.filter(f"if(whole, 7L * size(common) >= 3 * (n1 + n2), size(common) >= {NEEDED})")
     both = both.withColumn("last", F.expr(f"get(sort_array(array_union(s1, s2)), {K - 1})"))
-    return both.filter(f"{whole} or size(filter(common, x -> x <= last)) >= {NEEDED}").select("a", "b").distinct()
+    return both.filter(f"whole or size(filter(common, x -> x <= last)) >= {NEEDED}").select("a", "b", "whole")
 
 
-@tidy
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        last, keep = (None, None), []
-        pivots, a = batch.column(2), batch.column(0)
-        mine = shingle_sets(batch.column(3))
-        for i, two in enumerate(mine):
-            key = a[i].as_py()
-            if i == 0 or key != last[0] or not pivots[i].equals(pivots[i - 1]):
-                last = key, next(shingle_sets(pivots.slice(i, 1)))
-            one = last[1]
-            common = len(np.intersect1d(one, two, assume_unique=True))
-            keep.append(100 * common >= 75 * (len(one) + len(two) - common) > 0)
-        yield pa.RecordBatch.from_arrays([a, batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-
-def _some(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents of the ids; the ids are broadcast only where they are few."""
-    table = written(ids.distinct(), "ids").df
-    wanted = F.broadcast(table) if table.count() <= MAX_BROADCAST_IDS else table
-    return docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi")
-
-
-def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs whose full sets, from the whole texts, have a Jaccard of 0.75 or more."""
-    whole = _some(docs, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")))
-    kind = dict(docs.dtypes)["doc_id"]
-    both = pairs.join(whole.select(F.col("doc_id").alias("b"), F.col("text").alias("t2")), "b")
-    both = both.join(whole.select(F.col("doc_id").alias("a"), F.col("text").alias("t1")), "a")
-    return both.select("a", "b", "t1", "t2").mapInArrow(_confirm, f"a {kind}, b {kind}")
+def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs of ``estimated`` whose full sets have a Jaccard of 0.75 or more."""
+    side = lambda k, n: sets.select(F.col("rep").alias(k), F.col("n").alias(f"n{n}"), F.col("set").alias(f"s{n}"))
+    both = pairs.filter("not whole").join(side("b", 2), "b").join(side("a", 1), "a")
+    return pairs.filter("whole").select("a", "b").union(both.filter(7 * F.size(F.array_intersect("s1", "s2")).cast("long") >= 3 * (F.col("n1") + F.col("n2"))).select("a", "b"))
 
 
 def linked(classes: DataFrame, docs: DataFrame) -> Written | None:
-    """The star forest of the confirmed links: all of the short lists, and of the long ones enough to connect what is connected."""
-
-    def alike(pairs: DataFrame) -> DataFrame:
-        possible = written(estimated(pairs, classes), "pairs")
-        found = written(confirmed(possible.df, docs), "links").df
-        possible.drop()
-        return found
-
+    """The star forest of the confirmed links between classes: all of the short lists, and of the long ones enough to connect what is connected."""
     firsts = first_values(classes)
     hot = written(firsts.filter("hot").select("rep").distinct(), "reps")
+    short = written(estimated(short_pairs(firsts), classes), "pairs")
+    left = short.df.filter("not whole")
+    sets = full_sets(classes, left.select(F.col("a").alias("rep")).union(left.select("b")).union(hot.df), docs)
+    links = confirmed(short.df, sets.df)
     if hot.df.isEmpty():
-        return star_forest(alike(short_pairs(firsts)), "a", "b")
-    long = written(long_lists(hot.df, docs), "lists")
-    forest = star_forest(alike(short_pairs(firsts).union(star_pairs(long.df)).distinct()), "a", "b")
-    rest = written(rest_pairs(_with_component(long.df, forest)), "rest")
-    long.drop()
-    if rest.df.isEmpty():
-        return forest
-    more = alike(rest.df)
-    return forest if more.isEmpty() else star_forest(more if forest is None else more.union(forest.df), "a", "b")
+        forest, made = star_forest(links, "a", "b"), []
+    else:
+        long = long_lists(sets.df.join(hot.df, "rep", "left_semi"))
+        stars = written(estimated(star_pairs(long.df), classes), "pairs")
+        forest = star_forest(links.union(confirmed(stars.df, sets.df)), "a", "b")
+        rest = written(estimated(rest_pairs(_with_component(long.df, forest)), classes), "rest")
+        made = [long, stars, rest]
+        if not rest.df.isEmpty():
+            more = confirmed(rest.df, sets.df)
+            was, forest = forest, star_forest(more if forest is None else more.union(forest.df), "a", "b")
+            made += [was] if was else []
+    for table in [hot, short, sets, *made]:
+        table.drop()
+    return forest
 
 
 def _with_component(rows: DataFrame, forest: Written | None) -> DataFrame:
@@ -289,6 +292,26 @@ def _with_component(rows: DataFrame, forest: Written | None) -> DataFrame:
     return rows.join(found, "rep", "left").withColumn("component", F.coalesce("_c", "rep")).drop("_c")
 
 
+def _bridged(forest: Written | None, classes: DataFrame, own: DataFrame) -> Written | None:
+    """The forest with the classes joined that rows of one id (``doc_id, d1, d2``) belong to."""
+    of = own.distinct().join(classes.select("d1", "d2", "rep"), ["d1", "d2"]).select("doc_id", "rep")
+    ties = of.join(of.groupBy("doc_id").agg(F.min("rep").alias("b")), "doc_id").select(F.col("rep").alias("a"), "b")
+    out = star_forest(ties if forest is None else ties.union(forest.df), "a", "b")
+    if forest is not None:
+        forest.drop()
+    return out
+
+
+def _members(classes: DataFrame, forest: Written | None) -> DataFrame:
+    """``d1, d2, component`` of each class: the smallest id of its component."""
+    if forest is None:
+        return classes.select("d1", "d2", F.col("least").alias("component"))
+    nodes = forest.df.select("node", "component").union(forest.df.select(F.col("component").alias("node"), "component").distinct())
+    ids = nodes.join(classes.select(F.col("rep").alias("node"), "least"), "node")
+    named = ids.select("node", F.col("component").alias("root")).join(ids.groupBy(F.col("component").alias("root")).agg(F.min("least").alias("lowest")), "root")
+    return classes.join(named.select(F.col("node").alias("rep"), "lowest"), "rep", "left").select("d1", "d2", F.coalesce("lowest", "least").alias("component"))
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``df``: ``doc_id, n_shingles, component_id, kept``."""
     with small_batches(df.sparkSession, BATCH):
@@ -299,12 +322,27 @@ def _near_duplicates(docs: DataFrame) -> DataFrame:
     rows = written(sketches(docs), "sketches")
     some = rows.df.filter("n_shingles > 0 and doc_id is not null")
     one = F.min_by(F.struct("n_shingles", "n_first", "sketch"), "doc_id")
-    classes = written(some.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), one.alias("s")).select("d1", "d2", "rep", "s.*"), "classes")
+    grouped = some.groupBy("d1", "d2").agg(F.min("doc_id").alias("least"), one.alias("s"))
+    classes = written(grouped.select(F.monotonically_increasing_id().alias("rep"), "d1", "d2", "least", "s.*"), "classes")
+    halves = F.struct("d1", "d2")
+    mixed = rows.df.filter("doc_id is not null").groupBy("doc_id").agg(F.min(halves).alias("lo"), F.max(halves).alias("hi")).filter("lo < hi")
+    several = written(mixed.select("doc_id"), "several")  # ids of several sets
+    repeated = not several.df.isEmpty()
     forest = linked(classes.df, docs)
-    of = _with_component(classes.df.select("d1", "d2", "rep"), forest).select("d1", "d2", "component")
-    own = rows.df.select("doc_id", "n_shingles", "d1", "d2").join(written(of, "members").df, ["d1", "d2"], "left")
+    if repeated:
+        forest = _bridged(forest, classes.df, some.join(several.df, "doc_id", "left_semi").select("doc_id", "d1", "d2"))
+    members = written(_members(classes.df, forest), "members")
+    for table in [classes, *([forest] if forest else [])]:
+        table.drop()
+    own = rows.df.select("doc_id", "n_shingles", "d1", "d2").join(members.df, ["d1", "d2"], "left")
     component = F.when(F.col("doc_id").isNull() | (F.col("n_shingles") == 0), F.col("doc_id")).otherwise(F.coalesce("component", "doc_id"))
-    return own.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    out = own.select("doc_id", "n_shingles", component.alias("component_id"))
+    if repeated:
+        least = out.join(several.df, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("component_id").alias("least"))
+        out = out.join(least, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("least", "component_id").alias("component_id"))
+    else:
+        several.drop()
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,11 @@
 """op6 and the pipeline: brute force over all pairs, large groups, and dirty tables."""
 
+import duckdb
 import numpy as np
 import pytest
 
 from cladewise.llm import op6_near_dedup as op6
+from cladewise.plans import storage
 from tests.llm.helpers import dirty, empty, lower, words
 from tests.oracle import duck
 
@@ -72,6 +74,35 @@ def test_groups_longer_than_a_hot_list(spark, size, common, edits):
     assert got(df) == brute(rows)
 
 
+def by_sql(rows):
+    """What OP6_SQL says of the rows."""
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", rows)
+    rel = con.sql(op6.OP6_SQL)
+    at = [rel.columns.index(c) for c in ("doc_id", "n_shingles", "component_id", "kept")]
+    return sorted((tuple(r[k] for k in at) for r in rel.fetchall()), key=repr)
+
+
+@pytest.mark.parametrize("size,edits", [(60, 6), (140, 9), (400, 20)])
+def test_ids_of_several_texts(spark, size, edits):
+    rng = np.random.default_rng(size)
+    near = []
+    for i in range(40):
+        ws = [f"b{k}" for k in range(size)]
+        for k in rng.choice(size, int(rng.integers(0, edits)), replace=False):
+            ws[k] = f"u{i}x{k}"
+        near.append((1000 + i, " ".join(ws)))
+    # The same ids once more, with texts of equal size and other words; two ids tie their groups; an id of an empty and a linked text.
+    rows = near + [(i, " ".join(f"z{i}y{k}" for k in range(size))) for i, _ in near]
+    rows += [(7, near[0][1]), (7, f"c {near[0][1]}"), (3, ""), (3, near[1][1]), (4, "alone one two three four five"), (4, None), (4, "other words that stand alone here")]
+    before = set(storage._kept)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert got(df) == by_sql(rows)
+    # Only what the result still reads is left.
+    assert sorted(x.rsplit("/", 1)[1].split("-")[1] for x in storage._kept - before) == ["members", "several", "sketches"]
+
+
 def test_ways_beyond_the_bounds_agree(spark, monkeypatch):
     rows = copies(2, 40, 90, 50, 8)
     df = spark.createDataFrame(rows, "doc_id long, text string")
