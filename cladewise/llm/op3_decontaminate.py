@@ -1,17 +1,23 @@
 """Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-1. Every word n-gram of every item is a seed, rare or not. The items go to all
-   tasks, in parts of about ``MAX_SEEDS`` seeds with a pass over the texts each.
-2. A document's places of an item's seeds, with a margin of twice the item's
-   words, make passages: an alignment of ``THRESHOLD`` spans no more words.
-   A passage is left out only if no alignment with it can reach ``THRESHOLD``.
+1. Every word n-gram of every item is a seed. The items go to all tasks, in parts
+   of about ``MAX_SEEDS`` seeds with a pass over the texts each. Rare seeds, of at
+   most ``RARE`` items, name their items at once. The place of a common one (the
+   wording that many items begin with) names those of its items of which the
+   words around it hold so many, the most common quarter aside, as an alignment
+   of ``THRESHOLD`` needs; they are counted by an index of the items' words.
+2. A document's places of an item's own seeds, with a margin of twice the item's
+   words, make passages: an alignment of ``THRESHOLD`` spans no more words. Long
+   passages are cut into overlapping windows of four times the item's words, so
+   the work grows with the places, however many items a document holds. A window
+   is left out only if no alignment with it can reach ``THRESHOLD``.
 3. Smith-Waterman alignment of words (match 2, mismatch -1, gap -1) scores each
    pair of passage and item; the score is divided by that of the item against
    itself. Pairs of ``THRESHOLD`` or more are leaks: copies of which words were
    replaced, dropped or added, and copies of the larger part of an item, where
    one n-gram is whole.
 
-Words are runs of X.
+Words are runs of ASCII letters and digits and of all characters beyond ASCII.
 Items with equal words are one item, named by its smallest id and counted in
 ``n_items``. Items with fewer words than a seed are seeds whole.
 
@@ -39,7 +45,9 @@ THRESHOLD = 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Seeds (some 30 bytes each, with the words of their items) of one broadcast; items with more go out in parts.
 MAX_SEEDS = 2_000_000
-#: Pairs of a place and an item taken at a time.
+#: Items that hold a rare seed, at most.
+RARE = 16
+#: Pairs of a place and an item taken at a time, about.
 PLACES = 1 << 18
 #: Cells of one batch of alignments.
 CELLS = 1 << 21
@@ -83,7 +91,10 @@ def items(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text")
 
 
 class Items(NamedTuple):
-    """Items as the tasks get them: sorted seeds, of each the items that hold it (``owners`` from ``first``), and each item's id, count and words (from ``begins``)."""
+    """Items as the tasks get them: sorted seeds, of each the items that hold it (``owners`` from ``first``), and each item's id, count and words (from ``begins``).
+
+    ``keys``: sorted words without each item's most common quarter; of each the items (``holders`` from ``spread``) and how often they hold it. ``least``: so many of these an alignment of an item holds.
+    """
 
     seeds: np.ndarray
     first: np.ndarray
@@ -92,16 +103,31 @@ class Items(NamedTuple):
     counts: pa.Array
     words: np.ndarray
     begins: np.ndarray
+    keys: np.ndarray
+    spread: np.ndarray
+    holders: np.ndarray
+    times: np.ndarray
+    least: np.ndarray
 
 
 def _packed(table: pa.Table) -> Items:
     seeds, words_ = (table.column(name).combine_chunks() for name in ("seeds", "words"))
     each, sizes = (pc.list_value_length(x).to_numpy(zero_copy_only=False) for x in (seeds, words_))
-    values, owners = seeds.flatten().to_numpy(), np.repeat(np.arange(len(each)), each)
+    n = len(each)
+    values, owners = seeds.flatten().to_numpy(), np.repeat(np.arange(n), each)
     order = np.argsort(values, kind="stable")
     distinct, first = np.unique(values[order], return_index=True)
     begins = np.concatenate([[0], np.cumsum(sizes)])
-    return Items(distinct, np.append(first, len(values)), owners[order], table.column("item_id").combine_chunks(), table.column("n_items").combine_chunks(), words_.flatten().to_numpy().view(np.uint64), begins)
+    hashes, item = words_.flatten().to_numpy().view(np.uint64), np.repeat(np.arange(n), sizes)
+    keys, at = np.unique(hashes, return_inverse=True)
+    held = np.bincount(np.unique(at * n + item) // max(1, n), minlength=len(keys))
+    common_first = np.lexsort((-held[at], item))
+    rarer = common_first[np.arange(len(at)) - begins[item[common_first]] >= sizes[item[common_first]] // 4]
+    pairs, times = np.unique(at[rarer] * n + item[rarer], return_counts=True)
+    spread = np.searchsorted(pairs // max(1, n), np.arange(len(keys) + 1))
+    least = np.ceil(THRESHOLD * sizes).astype(np.int64) - sizes // 4
+    ids, counts = (table.column(name).combine_chunks() for name in ("item_id", "n_items"))
+    return Items(distinct, np.append(first, len(values)), owners[order], ids, counts, hashes, begins, keys, spread, pairs % max(1, n), times, least)
 
 
 def _find(seeds: np.ndarray, rows: np.ndarray, hashes: np.ndarray, whole: np.ndarray, short: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -123,14 +149,24 @@ def _find(seeds: np.ndarray, rows: np.ndarray, hashes: np.ndarray, whole: np.nda
     return row[order], spots[order], which[order]
 
 
-def _passages(known: Items, rows: np.ndarray, found: tuple[np.ndarray, np.ndarray, np.ndarray]) -> Iterator[tuple[np.ndarray, ...]]:
-    """Row, item, begin and end of the passages around the places of each item's seeds, for some rows of a piece at a time."""
+def _windows(rows: np.ndarray, r: np.ndarray, first: np.ndarray, last: np.ndarray, margin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows of two margins, one margin apart, over stretches of places with a margin on either side: the stretch of each, begin and end. What is no longer than a margin lies in one of them."""
+    begin, end = np.maximum(rows[r], first - margin), np.minimum(rows[r + 1], last + margin)
+    count = np.maximum(1, -(-(end - begin) // margin) - 1)
+    of = np.repeat(np.arange(len(r)), count)
+    begin = begin[of] + (np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)) * margin[of]
+    return of, begin, np.minimum(end[of], begin + 2 * margin[of])
+
+
+def _rare(known: Items, rows: np.ndarray, found: tuple[np.ndarray, np.ndarray, np.ndarray]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Row, item, begin and end of the windows around the places of each item's rare seeds, for some places at a time.
+
+    An alignment that holds a place lies within that place's own margin, so the places may be parted anywhere.
+    """
     row, spots, which = found
     many = known.first[which + 1] - known.first[which]
     upto = np.concatenate([[0], np.cumsum(many)])
-    hits = np.searchsorted(row, np.arange(len(rows)))
-    for lo, hi in pieces(upto[hits], PLACES):
-        a, b = hits[lo], hits[hi]
+    for a, b in pieces(upto, PLACES):
         k = np.repeat(np.arange(a, b), many[a:b])
         if not len(k):
             continue
@@ -142,8 +178,47 @@ def _passages(known: Items, rows: np.ndarray, found: tuple[np.ndarray, np.ndarra
         new[1:] = (r[1:] != r[:-1]) | (item[1:] != item[:-1]) | (at[1:] - at[:-1] > 2 * margin[1:])
         head = np.flatnonzero(new)
         tail = np.append(head[1:], len(k)) - 1
-        r, item, margin = r[head], item[head], margin[head]
-        yield r, item, np.maximum(rows[r], at[head] - margin), np.minimum(rows[r + 1], at[tail] + margin)
+        of, begin, end = _windows(rows, r[head], at[head], at[tail], margin[head])
+        yield r[head][of], item[head][of], begin, end
+
+
+def _common(known: Items, rows: np.ndarray, hashes: np.ndarray, found: tuple[np.ndarray, np.ndarray, np.ndarray]) -> Iterator[tuple[np.ndarray, ...]]:
+    """The same for common seeds: around their places, for the items of each order of length, those of which the window holds enough words."""
+    row, spots, which = found
+    sizes = np.diff(known.begins)
+    order = np.frexp(sizes)[1]
+    some, back = np.unique(which, return_inverse=True)
+    owners = [known.owners[known.first[s] : known.first[s + 1]] for s in some]
+    for length in np.unique(order[np.concatenate(owners)]) if len(some) else ():
+        mine = np.flatnonzero(np.array([(order[x] == length).any() for x in owners])[back])
+        r, at, seed = row[mine], spots[mine], back[mine]
+        margin = 2 * int(sizes[order == length].max())
+        new = np.ones(len(mine), bool)
+        new[1:] = (r[1:] != r[:-1]) | (at[1:] - at[:-1] > 2 * margin)
+        head = np.flatnonzero(new)
+        tail = np.append(head[1:], len(mine)) - 1
+        of, begins, ends = _windows(rows, r[head], at[head], at[tail], np.full(len(head), margin))
+        for stretch, begin, end in zip(of.tolist(), begins.tolist(), ends.tolist(), strict=True):
+            inside = np.unique(seed[np.searchsorted(at, begin) : np.searchsorted(at, end)])
+            if not len(inside):
+                continue
+            here = np.unique(hashes[begin:end])
+            key = np.minimum(np.searchsorted(known.keys, here), len(known.keys) - 1)
+            key = key[known.keys[key] == here]
+            each = known.spread[key + 1] - known.spread[key]
+            post = np.repeat(known.spread[key] - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))
+            enough = np.bincount(known.holders[post], known.times[post], len(sizes)) >= known.least
+            enough &= order == length
+            item = np.unique(np.concatenate([owners[x][enough[owners[x]]] for x in inside]))
+            if len(item):
+                yield np.full(len(item), r[head[stretch]]), item, np.full(len(item), begin), np.full(len(item), end)
+
+
+def _passages(known: Items, rows: np.ndarray, hashes: np.ndarray, found: tuple[np.ndarray, np.ndarray, np.ndarray]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Row, item, begin and end of all windows to align."""
+    rare = known.first[found[2] + 1] - known.first[found[2]] <= RARE
+    yield from _rare(known, rows, tuple(x[rare] for x in found))
+    yield from _common(known, rows, hashes, tuple(x[~rare] for x in found))
 
 
 def most(passage: np.ndarray, wanted: np.ndarray) -> int:
@@ -201,7 +276,7 @@ def _copies(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatc
     sizes = np.diff(known.begins)
     for batch in batches:
         for lo, _, _, _, rows, hashes, whole in _hashed(batch.column(1)):
-            for r, item, begin, end in _passages(known, rows, _find(known.seeds, rows, hashes, whole, short)):
+            for r, item, begin, end in _passages(known, rows, hashes, _find(known.seeds, rows, hashes, whole, short)):
                 texts_ = [hashes[a:b] for a, b in zip(begin, end, strict=True)]
                 wanted = [known.words[known.begins[i] : known.begins[i + 1]] for i in item]
                 pick = [k for k, (x, y) in enumerate(zip(texts_, wanted, strict=True)) if most(x, y) >= THRESHOLD * MATCH * len(y)]
