@@ -28,3 +28,9 @@ def shares(labels: DataFrame, column: str, fold: Column) -> tuple[int, int]:
     one = labels.filter(F.col("doc_id").isNotNull() & F.col(column).isin(0, 1) & ~fold).groupBy("doc_id").agg(F.max(column).alias("label"))
     row = one.agg(F.count(F.when(F.col("label") == 0, 1)).alias("n0"), F.count(F.when(F.col("label") == 1, 1)).alias("n1")).first()
     return row["n0"], row["n1"]
+
+
+def texts_of(docs: DataFrame, chosen: DataFrame, text_col: str = "text") -> DataFrame:
+    """``doc_id, label, text`` of the sample's ids, one row each: where an id has several texts, the first in their order."""
+    rows = docs.select("doc_id", F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    return rows.groupBy("doc_id", "label").agg(F.min("text").alias("text"))

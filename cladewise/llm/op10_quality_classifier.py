@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cladewise.llm.arrow_text import hash_words, lists, pieces, texts, tidy, windows, words
-from cladewise.llm.labelled import remainder, sample
+from cladewise.llm.labelled import remainder, sample, texts_of
 from cladewise.llm.op2_html_extract import STOP_WORDS
 
 #: Labelled rows that the fit sees at most.
@@ -167,8 +167,7 @@ def _score(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch
 def train(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> Forest:
     """Fit on labelled rows outside the held-out fold (crc32 of the id, modulo 4, is 2)."""
     chosen = sample(labels, "quality", remainder(F.col("doc_id"), 4) == 2, SAMPLE, False)
-    rows = docs.select("doc_id", F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
-    table = rows.mapInArrow(_measure, f"doc_id {dict(docs.dtypes)['doc_id']}, label int, x array<double>").toArrow()
+    table = texts_of(docs, chosen, text_col).mapInArrow(_measure, f"doc_id {dict(docs.dtypes)['doc_id']}, label int, x array<double>").toArrow()
     if not table.num_rows:
         return fit(np.zeros((0, len(STATISTICS))), np.zeros(0))
     table = table.take(pa.array(np.argsort(table.column("doc_id").to_numpy(), kind="stable")))

@@ -1,11 +1,14 @@
 """Toxicity: a character n-gram linear classifier with naive Bayes log-count ratios.
 
-Binary features are the hashed character 3-, 4- and 5-grams of the lower-cased
-text. From a bounded sample of labelled rows come the log-count ratio r of each
-feature, log((p + 1) / (P + 2)) - log((q + 1) / (Q + 2)) over the documents of
-either class that hold it, and the ``FEATURES`` features that tell the classes
-apart best. A logistic regression on r times presence, with classes weighted by
-the roots of their shares, gives the weights. Each text is scored whole.
+Features are the hashed character 3-, 4- and 5-grams of the lower-cased text,
+spaces included. A feature's value in a text lies between 0 and 1: ``PRESENT`` for
+being there, the rest for how often, up to once in ``LETTERS`` letters; so one word
+counts in a text of any length, and a manner of writing by its share. From a
+bounded sample of labelled rows come the log-count ratio r of each feature,
+log((p + 1) / (P + 2)) - log((q + 1) / (Q + 2)) over the sums of its values in the
+documents of either class, and the ``FEATURES`` features that tell the classes
+apart best. A logistic regression on r times value, with classes weighted by the
+roots of their shares, gives the weights. Each text is scored whole.
 
 Fitting runs on the driver over at most ``SAMPLE`` rows of each class (a
 documented bound); scoring is one pass over all rows with a broadcast model of
@@ -25,17 +28,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cladewise.llm.arrow_text import pieces, texts, tidy
-from cladewise.llm.labelled import remainder, sample, shares
+from cladewise.llm.labelled import remainder, sample, shares, texts_of
 from cladewise.plans.storage import written
 
 SIZES = (3, 4, 5)
 BITS = 20
+PRESENT, LETTERS = 0.25, 300
 FEATURES = 1 << 12
 #: Labelled rows of each class that the fit sees at most.
 SAMPLE = 4000
 #: Bytes of their texts at most; where they have more, the first ones in the order of the sample's hash are taken.
 SAMPLE_BYTES = 96 << 20
 PENALTY = 1.0
+#: Added to a feature's spread, which a few rows would put at nothing.
+LEAST_SPREAD = 0.02
 ROUNDS = 150
 PIECE = 1 << 19
 _STEP, _SPREAD = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93)
@@ -57,8 +63,8 @@ def grams(found: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield left[: len(bucket)] >= n, bucket.astype(np.int64)
 
 
-def features(found: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (text, feature) pairs, in order; ``table`` gives a bucket's feature, or -1."""
+def features(found: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (text, feature) pairs, in order, with their values; ``table`` gives a bucket's feature, or -1."""
     lens = np.array([len(x.lower()) for x in found], np.int64)
     row = np.repeat(np.arange(len(found)), lens)
     keys = []
@@ -66,8 +72,9 @@ def features(found: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarra
         feature = table[bucket]
         hit = np.flatnonzero(inside & (feature >= 0))
         keys.append((row[hit] << BITS) | feature[hit])
-    both = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
-    return both >> BITS, both & ((1 << BITS) - 1)
+    both, counts = np.unique(np.concatenate(keys), return_counts=True) if keys else (np.zeros(0, np.int64),) * 2
+    at = both >> BITS
+    return at, both & ((1 << BITS) - 1), PRESENT + (1 - PRESENT) * np.minimum(1, counts * LETTERS / np.maximum(lens[at], LETTERS))
 
 
 def _split(column) -> Iterator[list[str]]:
@@ -84,40 +91,49 @@ class Model:
 
     def score(self, found: list[str]) -> np.ndarray:
         """Scores of the texts."""
-        row, feature = features(found, self.table) if len(self.weights) else (np.zeros(0, np.int64),) * 2
-        z = self.bias + np.bincount(row, self.weights[feature], len(found)) if len(row) else np.full(len(found), self.bias)
+        row, feature, value = features(found, self.table) if len(self.weights) else (np.zeros(0, np.int64),) * 3
+        z = self.bias + np.bincount(row, self.weights[feature] * value, len(found)) if len(row) else np.full(len(found), self.bias)
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def fit(column: pa.Array, label: np.ndarray, shares_: tuple[int, int]) -> Model:
-    """The model of labelled texts; ``shares_``: how many rows of each class there are in all."""
-    n0, n1 = int((label == 0).sum()), int((label == 1).sum())
-    if not n0 or not n1:
-        return Model(np.full(1 << BITS, -1, np.int32), np.zeros(0), float(np.log((n1 + 1) / (n0 + 2))))
+def log_counts(column: pa.Array, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of the values of each feature, and of their squares, over the texts of either class."""
     whole = np.arange(1 << BITS, dtype=np.int32)
-    counts = np.zeros((2, 1 << BITS), np.int32)
+    sums, squares = np.zeros((2, 1 << BITS)), np.zeros((2, 1 << BITS))
     at = 0
     for found in _split(column):
-        row, feature = features(found, whole)
+        row, feature, value = features(found, whole)
         of = label[at : at + len(found)][row]
         for c in (0, 1):
-            counts[c] += np.bincount(feature[of == c], minlength=1 << BITS).astype(np.int32)
+            sums[c] += np.bincount(feature[of == c], value[of == c], 1 << BITS)
+            squares[c] += np.bincount(feature[of == c], value[of == c] ** 2, 1 << BITS)
         at += len(found)
-    q, p = (counts[0] + 1) / (n0 + 2), (counts[1] + 1) / (n1 + 2)
+    return sums, squares
+
+
+def fit(column: pa.Array, label: np.ndarray, shares_: tuple[int, int]) -> Model:
+    """The model of labelled texts; ``shares_``: how many rows of each class there are in all."""
+    n0, n1 = int((label == 0).sum()), int((label == 1).sum())
+    if not n0 or not n1:
+        return Model(np.full(1 << BITS, -1, np.int32), np.zeros(0), float(np.log((n1 + 1) / (n0 + 2))))
+    sums, squares = log_counts(column, label)
+    q, p = (sums[0] + 1) / (n0 + 2), (sums[1] + 1) / (n1 + 2)
     ratio = np.log(p / q)
-    apart = np.abs(p - q) / np.sqrt((p * (1 - p) + q * (1 - q)) / 2)
+    spread = np.maximum(0, squares[0] / n0 - q**2) + np.maximum(0, squares[1] / n1 - p**2) + LEAST_SPREAD
+    apart = np.abs(p - q) / np.sqrt(spread / 2)
     chosen = np.sort(np.argsort(-apart, kind="stable")[:FEATURES])
     table = np.full(1 << BITS, -1, np.int32)
     table[chosen] = np.arange(len(chosen))
     ratio = ratio[chosen]
-    rows, columns, at = [], [], 0
+    rows, columns, values, at = [], [], [], 0
     for found in _split(column):
-        row, feature = features(found, table)
+        row, feature, value = features(found, table)
         rows.append(row + at)
         columns.append(feature)
+        values.append(value)
         at += len(found)
     row, feature = np.concatenate(rows), np.concatenate(columns)
-    value = ratio[feature]
+    value = ratio[feature] * np.concatenate(values)
     # Half way, in logarithms, between the classes' shares and balance.
     weight = np.where(label == 1, shares_[1] ** 0.5 / n1, shares_[0] ** 0.5 / n0)
     weight = weight / weight.mean()
@@ -175,8 +191,7 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> Model:
     """Fit on labelled rows outside the held-out fold (crc32 of the id, modulo 5, is 0)."""
     fold = remainder(F.col("doc_id"), 5) == 0
     chosen = sample(labels, "toxic", fold, SAMPLE, True)
-    rows = docs.select("doc_id", F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label", F.xxhash64("doc_id").alias("h"))
-    table = written(rows, "labelled")
+    table = written(texts_of(docs, chosen, text_col).withColumn("h", F.xxhash64("doc_id")), "labelled")
     sizes = table.df.select("h", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")).orderBy("h").toArrow()
     fits = int(np.searchsorted(np.cumsum(sizes.column("size").to_numpy().astype(np.int64)), SAMPLE_BYTES, "right"))
     last = sizes.column("h")[min(fits, sizes.num_rows - 1)].as_py() if sizes.num_rows else 0
@@ -209,7 +224,8 @@ def _keep(batches: Iterator[pa.RecordBatch], shared, at: int) -> Iterator[pa.Rec
 def keep_rows(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows of ``df`` that aren't predicted toxic, with their own columns."""
     shared, at = df.sparkSession.sparkContext.broadcast(model), df.columns.index(text_col)
-    return df.mapInArrow(lambda x: _keep(x, shared, at), df.schema)
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])  # any names may come
+    return plain.mapInArrow(lambda x: _keep(x, shared, at), plain.schema).toDF(*df.columns)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
