@@ -30,6 +30,8 @@ from cladewise.llm.vocabulary import WORD_BPE, Vocabulary, default_path, load
 
 # Fixed value: the pattern of words.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: Capitals that Python's Unicode tables don't know yet, and their lower case.
+NEW_CAPITALS = (("\ua7cb", "\u0264"), ("\ua7dc", "\u019b"))
 KEPT_WORDS = 400_000
 LIMIT = 2048
 
@@ -85,6 +87,8 @@ def normal(text: str) -> str:
     """NFC and lower case, letter by letter: a capital sigma has one lower case wherever it stands."""
     if not text.isascii():
         text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+        for capital, small in NEW_CAPITALS:
+            text = text.replace(capital, small)
     return text.lower()
 
 

@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cladewise.llm.names import packed
+
 #: Bit, name and failure test of each rule. Bits keep their meaning for ever; new rules take new bits.
 RULES: tuple[tuple[int, str, str], ...] = (
     (0, "few_words", "n_words < 50"),
@@ -49,7 +51,7 @@ def measure(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole
     """One row for each row of ``df``: the id and the measurements of its text, and with ``whole_rows`` the row itself as the struct ``row``."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     row = ["row"] if whole_rows else []
-    rows = df.select(F.col(id_col).alias("doc_id"), text.alias("_text"), *[F.struct(*df.columns).alias(x) for x in row])
+    rows = df.select(F.col(id_col).alias("doc_id"), text.alias("_text"), *[packed(df).alias(x) for x in row])
     rows = rows.select(
         "doc_id",
         *row,
