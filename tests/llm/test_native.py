@@ -2,6 +2,7 @@
 
 import re
 
+import duckdb
 import pytest
 
 from cladewise.llm import op1_url_filter as op1
@@ -9,6 +10,8 @@ from cladewise.llm import op4_license_scan as op4
 from cladewise.llm import op9_quality_rules as op9
 from cladewise.llm import queries
 from tests.llm.helpers import LONG, dirty, empty, lower, tuples, words
+from tests.oracle import duck
+from tests.oracle import rows as rows_of
 from tests.oracle import same
 
 SF = "/root/testdata/sf0.001"
@@ -48,6 +51,41 @@ def test_redirects_spread_blocks_and_allows_come_first(spark):
     assert got == {1: "block", 2: "block", 3: "allow", 4: "allow", 5: "block", 6: "block", 7: "block", 8: "block", 9: "allow"}
 
 
+def linked_pages():
+    """Each page's reference leads to a target; the last urls carry block rules."""
+    head = lambda tag: f"<html><head>{tag}</head><body>x</body></html>"
+    link = lambda u: head(f'<link rel="alternate canonical" href="{u}">')
+    rows = [
+        page(1, "http://g.site/p/q", link("../r")), page(2, "http://g.site/r", head("<META content='0; URL=\"./y\"' http-equiv=Refresh>")), page(3, "http://g.site/y", link("?x=1")), page(4, "http://g.site/y?x=1", link("/a/./b/../../net")),
+        page(5, "http://g.site/net", link("//Net/de/1")), page(6, "http://h.site/", link("mailto:x@y")), page(7, "http://h.site/c", head("<!-- <link rel=canonical href=http://net/de/1> --><script>'<link rel=canonical href=http://net/de/1>'</script>")),
+        page(8, "http://i.site/a/b", head('<base href="http://j.site/sub/page"><link href="deep" rel="canonical">')), page(9, "http://j.site/sub/deep", link("http://org/es/1?a=1&amp;b=&#50;&#x33;")), page(10, "http://org/es/1?a=1&b=23"),
+        page(11, "http://k.site/x", head('<base href="../q/"><link rel=canonical href="./z/..">')), page(12, "http://k.site/q/", link("http://l.com/en/")), page(13, "http://m.site", link("http://n.site/../u#f")), page(14, "http://n.site/u", link("http://o.com/en/1")),
+        page(15, "http://p.site/", link("#top")), page(16, "http://q.site/", link("")), page(17, None, link("http://net/de/1")), page(18, "http://r.site/ü/x", link("é?q=&lt;&#8364;&bogus;&")), page(19, "http://r.site/ü/é?q=<€&bogus;&", link("http://net/de/1")),
+        page(20, "http://s.site/", head('<link data-href="http://net/de/1" rel="canonical-not" href="http://net/de/1">')), page(21, "http://t.site/", None),
+    ]
+    return rows
+
+
+def test_references_resolve_in_full(spark):
+    got = {k: v[3] for k, v in judged(spark, linked_pages()).items()}
+    assert {k for k, v in got.items() if v == "block"} == {1, 2, 3, 4, 5, 8, 9, 10, 11, 12, 13, 14, 18, 19}
+
+
+def test_sql_of_linked_pages(spark, tmp_path):
+    spark.createDataFrame(linked_pages(), "page_id long, url string, html string, host string, verdict string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    df = op1.op1_url_filter(spark, str(tmp_path))
+    rel = duckdb.connect().sql(op1.OP1_SQL.replace("FROM pages", f"FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')"))
+    assert rows_of(df.columns, [tuple(r) for r in df.collect()]) == rows_of(rel.columns, rel.fetchall())
+
+
+def test_many_rules_are_a_table(spark):
+    many = (*op1.RULES, *[("block", f"h{i}.site", "/") for i in range(300)], ("allow", "h7.site", "/"))
+    rows = [*linked_pages(), page(30, "http://h5.site/x"), page(31, "http://a.h7.site/"), page(32, "http://h7.site/", '<link rel=canonical href="http://v.site/">'), page(33, "http://v.site/")]
+    assert judged(spark, rows, rules=many) == judged(spark, rows, rules=spark.createDataFrame(many, "verdict string, rule_host string, rule_path string"))
+    got = judged(spark, rows, rules=many)
+    assert got[30][2:] == ("h5.site/", "block") and got[31][2:] == ("h7.site/", "allow") and got[33][2:] == (None, "allow") and got[1][3] == "block"
+
+
 def test_hub_and_long_chain(spark):
     rows = [page(i, f"http://s{i}.site/", f'<link rel="canonical" href="http://s{i + 1 if i < 20 else 0}.site/">') for i in range(60)] + [page(99, "http://s7.site/", '<link rel="canonical" href="http://x.org/es/1">')]
     assert {v[3] for v in judged(spark, rows).values()} == {"block"}
@@ -82,6 +120,47 @@ def test_licenses_of_dirty_tables(spark):
     assert op4.scan(empty(spark)).count() == 0
 
 
+HEADERS = {
+    "gpl-3": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "gpl-2": "This file is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "lgpl": "it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or later",
+    "agpl": "under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License",
+    "mit": "// SPDX-License-Identifier: MIT",
+    "apache-2": "# SPDX-License-Identifier: Apache-2.0 OR WTFPL",
+    "cc-by-sa": "This photo is CC BY-SA 4.0.",
+    "gpl-3 ": "Distributed under the GNU General Public Licence v3.",
+    "cc0": "To the extent possible under law, Ann Example has waived all copyright and related or neighboring rights to this work.",
+    "bsd": "Redistribution and use in source and binary forms, with or without any modification, are permitted provided that the following terms are met:",
+    "cc-by": "Creative Commons Attribution 4.0 International",
+    "mpl": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+}
+
+
+def test_license_headers_and_plain_documents(spark, monkeypatch):
+    rows = [(i, f"Some text before it. {t} And after.") for i, t in enumerate(HEADERS.values())]
+    plain = [t for (t,) in duck("/root/testdata/sf0.01").sql("select text from documents where not regexp_matches(lower(text), 'licen|cc by|cc-by|rights reserved|permission is hereby')").fetchall()]
+    assert len(plain) > 500
+    rows += [(1000 + i, t) for i, t in enumerate(plain)] + [(3000, "the general public may use version 3 of the license of this program under the terms of the law"), (3001, "she will license the software to any person for free under the terms of the deal")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["labels"] for r in op4.scan(df).collect()}
+    assert [got[i] for i in range(len(HEADERS))] == [x.strip() for x in HEADERS]
+    assert {v for k, v in got.items() if k >= 1000} == {""}
+    # Masks of any width give the same.
+    few = df.filter("doc_id < 30")
+    one = tuples(op4.scan(few), "doc_id", "labels", "score")
+    monkeypatch.setattr(op4, "WIDE", 7)
+    assert tuples(op4.scan(few), "doc_id", "labels", "score") == one
+
+
+def test_notices_longer_than_a_mask(spark):
+    text = next(t for label, t in op4.TEMPLATES if label == "mit" and len(t.split()) > op4.WIDE + 2)
+    ws = text.split()
+    edited = " ".join(w for k, w in enumerate(ws) if k % 12 != 7)
+    found = op4.spans(spark.createDataFrame([(1, text), (2, edited), (3, " ".join(ws[10:40]))], "doc_id long, text string")).filter(f"len = {len(ws)}")
+    got = {r["doc_id"]: r for r in found.orderBy("covered").collect()}  # the longest span of each
+    assert (got[1]["covered"], got[1]["found"]) == (len(ws), True) and got[2]["found"] and not got[3]["found"] and got[3]["covered"] == 30
+
+
 def repeated(ws):
     windows = [tuple(ws[i : i + 3]) for i in range(len(ws) - 2)]
     return len({i + k for i, w in enumerate(windows) if windows.count(w) > 1 for k in range(3)})

@@ -4,7 +4,10 @@ import duckdb
 import numpy as np
 import pytest
 
+from cladewise.llm import op3_decontaminate as op3
+from cladewise.llm import op4_license_scan as op4
 from cladewise.llm import op6_near_dedup as op6
+from cladewise.llm import op9_quality_rules as op9
 from cladewise.plans import storage
 from tests.llm.helpers import dirty, empty, lower, words
 from tests.oracle import duck
@@ -168,3 +171,39 @@ def test_rows_of_one_id_with_different_texts(spark, tmp_path):
     assert set(found) == {(3, text("a")), (5, own[0]), (5, f"{text('c')} {leak}"), (8, text("d")), (8, None), (8, "")}
     clean = [(r["doc_id"], r["text"]) for r in pipeline.decontamination(spark, left, str(tmp_path)).collect()]
     assert sorted(clean, key=repr) == sorted([x for x in found if leak not in (x[1] or "")], key=repr)
+
+
+@pytest.mark.parametrize("case", [False, True])
+def test_columns_of_any_name(spark, tmp_path, case):
+    """Names that the stages use themselves, and, where Spark can read them at all, names that differ only in case."""
+    import corpus_pipeline as pipeline
+
+    names = ["_key", "key", "row", "label", "h", "id", "digest", "rep", "value", "kept", "score", "a.b", "word s", "part", "copies"] + (["Doc_ID", "TEXT"] if case else [])
+    text = lambda c: " ".join(f"{c}{i} of the{i}" for i in range(40))
+    leak = " ".join(f"leak{i}" for i in range(20))
+    texts = [(1, text("a")), (2, text("a") + " more"), (3, text("b")), (3, text("c")), (3, text("c")), (4, f"{text('d')} {leak}"), (5, None), (None, text("e")), (6, "few words")]
+    rows = [(i, t, "x", *[f"{n}{k}" for n in names]) for k, (i, t) in enumerate(texts)]
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.conf.set("spark.sql.caseSensitive", str(case).lower())
+    try:
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, " + ", ".join(f"`{n}` string" for n in names))
+        for name, stage in pipeline.STAGES[:-1]:
+            out = pipeline.written(stage(spark, docs, str(tmp_path)), name).df
+            assert out.columns == docs.columns
+            docs = out
+        # Of the two equal rows the first by its other columns stays.
+        assert sorted(map(tuple, docs.collect()), key=repr) == sorted((rows[k] for k in (0, 2, 3, 7)), key=repr)
+        assert pipeline.bpe(spark, docs, str(tmp_path)).count() == 4
+        for query in (op6.near_duplicates(docs), op4.scan(docs), op9.ledger(docs), op3.leaks(docs, spark.createDataFrame([(1, text("b"))], "item_id long, text string"))):
+            assert query.count()
+    finally:
+        spark.conf.unset("spark.sql.caseSensitive")
+
+
+def test_run_leaves_what_it_reads(spark):
+    import corpus_pipeline as pipeline
+
+    before = set(storage._kept)
+    assert pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
+    assert [x.rsplit("/", 1)[1].split("-")[1] for x in storage._kept - before] == ["decontamination"]
