@@ -7,6 +7,7 @@ local session (as in tests) that names none gets a folder of its own.
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +26,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _kept: set[str] = set()
+_made: contextvars.ContextVar[list | None] = contextvars.ContextVar("made", default=None)
+
+
+@contextlib.contextmanager
+def made():
+    """The list of the tables written within, for the caller to drop those that nothing reads any more."""
+    tables: list[Written] = []
+    token = _made.set(tables)
+    try:
+        yield tables
+    finally:
+        _made.reset(token)
 
 
 @contextlib.contextmanager
@@ -48,6 +61,8 @@ class Written:
         df.write.parquet(self.path)
         self.df = spark.read.schema(df.schema).parquet(self.path)
         _kept.add(self.path)
+        if (tables := _made.get()) is not None:
+            tables.append(self)
 
     def drop(self) -> None:
         """Delete the files; later reads of ``df`` fail."""
