@@ -8,6 +8,8 @@ group grows with the input.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,12 +27,15 @@ def _matrix(column) -> np.ndarray:
     return flat.flatten().to_numpy().reshape(len(flat), -1)
 
 
-def pairs(packed: DataFrame, spec: DistanceSpec, node: str = "sample") -> DataFrame:
-    """``src, dst, d`` of all pairs: both directions where the distance is directed, else src < dst.
+#: What a pair of blocks gives: from the rows of the sources and of the targets, their distances, and whether both are one block.
+Made = Callable[[pa.Table, pa.Table, np.ndarray, bool], pa.Table]
 
-    Identical ids are taken as one row, so callers give distinct ids. Fewer than two rows give none.
+
+def by_blocks(packed: DataFrame, spec: DistanceSpec, made: Made, schema: str, node: str = "sample", carry: tuple[str, ...] = ()) -> DataFrame:
+    """What ``made`` gives for each pair of blocks; for both directions where the distance is directed.
+
+    The rows that it gets have ``id`` and the columns of ``carry``. The distances themselves are stored nowhere.
     """
-    kind = dict(packed.dtypes)[node]
     n = packed.count()
     blocks = max(1, -(-n // BLOCK))
     loci = np.array(complete_loci(packed), int) if (spec.matrix, spec.missing) == ("symmetric", "complete_delete") else None
@@ -40,25 +45,39 @@ def pairs(packed: DataFrame, spec: DistanceSpec, node: str = "sample") -> DataFr
     def kernel(table: pa.Table) -> pa.Table:
         first, second = table.column("one")[0].as_py(), table.column("two")[0].as_py()
         own = table.column("block").to_numpy()
-        ids, rows = table.column("id"), _matrix(table.column("alleles"))
+        facts, rows = table.select(["id", *carry]), _matrix(table.column("alleles"))
         a, b = np.flatnonzero(own == first), np.flatnonzero(own == second)
-        left, right = ids.take(pa.array(a)).to_numpy(), ids.take(pa.array(b)).to_numpy()
-        out = []
-        for p, q, u, v in ((a, b, left, right), (b, a, right, left))[: 2 if directed and first != second else 1]:
-            if len(p) and len(q):
-                d = distances(rows[p], rows[q], spec, loci, presence)
-                src, dst = np.repeat(u, len(v)), np.tile(v, len(u))
-                keep = src != dst if directed or first != second else src < dst
-                out.append((src[keep], dst[keep], d.ravel()[keep]))
-        src, dst, d = (np.concatenate([x[k] for x in out]) if out else np.zeros(0) for k in range(3))
+        left, right = facts.take(pa.array(a)), facts.take(pa.array(b))
+        turns = ((a, b, left, right), (b, a, right, left))[: 2 if directed and first != second else 1]
+        out = [made(u, v, distances(rows[p], rows[q], spec, loci, presence), first == second) for p, q, u, v in turns if len(p) and len(q)]
+        return pa.concat_tables(out) if out else made(left.slice(0, 0), right.slice(0, 0), np.zeros((0, 0)), False)
+
+    rows = packed.select(F.col(node).alias("id"), "alleles", *carry, F.pmod(F.xxhash64(node), F.lit(blocks)).cast("int").alias("block"))
+    spread = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    spread = spread.select("id", "alleles", *carry, "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
+    return spread.groupBy("one", "two").applyInArrow(kernel, schema)
+
+
+def pairs(packed: DataFrame, spec: DistanceSpec, node: str = "sample", below: float | None = None) -> DataFrame:
+    """``src, dst, d`` of all pairs: both directions where the distance is directed, else src < dst. With ``below``, only of nearer ones.
+
+    Identical ids are taken as one row, so callers give distinct ids. Fewer than two rows give none.
+    """
+    kind = dict(packed.dtypes)[node]
+    directed = spec.directed
+
+    def made(left: pa.Table, right: pa.Table, d: np.ndarray, same: bool) -> pa.Table:
+        kind_, u, v = left.column("id").type, left.column("id").to_numpy(), right.column("id").to_numpy()
+        src, dst = np.repeat(u, len(v)), np.tile(v, len(u))
+        keep = src != dst if directed or not same else src < dst
+        if below is not None:
+            keep &= d.ravel() < below
+        src, dst = src[keep], dst[keep]
         if not directed:
             src, dst = np.minimum(src, dst), np.maximum(src, dst)
-        return pa.table({"src": pa.array(src, ids.type), "dst": pa.array(dst, ids.type), "d": pa.array(d, pa.float64())})
+        return pa.table({"src": pa.array(src, kind_), "dst": pa.array(dst, kind_), "d": pa.array(d.ravel()[keep], pa.float64())})
 
-    rows = packed.select(F.col(node).alias("id"), "alleles", F.pmod(F.xxhash64(node), F.lit(blocks)).cast("int").alias("block"))
-    spread = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    spread = spread.select("id", "alleles", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
-    return spread.groupBy("one", "two").applyInArrow(kernel, f"src {kind}, dst {kind}, d double")
+    return by_blocks(packed, spec, made, f"src {kind}, dst {kind}, d double", node)
 
 
 def presence_weights(packed: DataFrame, n: int) -> np.ndarray:

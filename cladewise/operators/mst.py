@@ -11,14 +11,13 @@ from pyspark.sql import functions as F
 from cladewise.functions import kernels
 from cladewise.model import DistanceSpec, TreeSpec
 from cladewise.operators.components import star_forest
-from cladewise.operators.distance import both_ways, link_lengths, pairs
+from cladewise.operators.distance import by_blocks, link_lengths
 from cladewise.operators.profile import dedup, drop_empty, indexed
-from cladewise.operators.rank import eburst, harmonic
+from cladewise.operators.rank import ranks as node_ranks
 from cladewise.plans.storage import written
 
-#: Nodes that a tree kernel of one task takes at most (an n x n matrix of 8-byte numbers).
-MAX_DENSE = 10_000
-
+#: Nodes that a tree kernel whose steps follow one another takes at most (on the driver, some 40 bytes for each pair of them).
+MAX_DENSE = 20_000
 
 #: Edges (after each task has dropped those that close a cycle among its own) that one task finishes; more go through Boruvka's rounds.
 MAX_KRUSKAL = 2_000_000
@@ -90,12 +89,51 @@ def boruvka(edges: DataFrame) -> DataFrame:
     return out.select("u", "v", "key")
 
 
-def symmetric_edges(full: DataFrame, ranks: DataFrame, index: DataFrame, scale: int = 1) -> DataFrame:
-    """Undirected edges with keys (rounded distance, better rank, both idx), from distances in one direction."""
-    side = lambda end: index.join(ranks, "rep").select(F.col("rep").alias(end), F.col("rank").alias(f"{end}_rank"), F.col("idx").alias(f"{end}_idx"))
-    both = full.join(side("src"), "src").join(side("dst"), "dst")
-    key = F.struct(F.rint(F.col("d") * scale).cast("long").alias("r"), F.least("src_rank", "dst_rank").alias("w"), F.least("src_idx", "dst_idx").alias("i"), F.greatest("src_idx", "dst_idx").alias("j"))
-    return both.select(F.col("src").alias("u"), F.col("dst").alias("v"), key.alias("key"))
+def _least_tree(order: np.ndarray, same: bool) -> list[tuple[int, int]]:
+    """The minimum spanning tree of a pair of blocks, by Prim: (row, column) of its edges. ``order`` holds the place of each edge in the total order."""
+    p, q = order.shape
+    if same:
+        whole = order.copy()
+        np.fill_diagonal(whole, np.iinfo(np.int64).max)
+    else:
+        whole = np.full((p + q, p + q), np.iinfo(np.int64).max)
+        whole[:p, p:], whole[p:, :p] = order, order.T
+    n, far = len(whole), np.iinfo(np.int64).max
+    best, via, left = whole[0].copy(), np.zeros(n, np.int64), np.ones(n, bool)
+    left[0] = False
+    out = []
+    for _ in range(n - 1):
+        v = int(np.where(left, best, far).argmin())
+        out.append((int(via[v]), v))
+        left[v] = False
+        nearer = left & (whole[v] < best)
+        best[nearer], via[nearer] = whole[v][nearer], v
+    return out if same else [(min(a, b), max(a, b) - p) for a, b in out]
+
+
+def block_forests(nodes: DataFrame, ranks: DataFrame, spec: DistanceSpec, scale: int = 1) -> DataFrame:
+    """``u, v, key`` (rounded distance, better rank, both idx) of the edges in the minimum tree of some pair of blocks: at most one for each of its nodes.
+
+    An edge that is in no tree of its own pair of blocks closes a cycle with smaller ones, so it is in no minimum tree; all others are never stored.
+    """
+    kind = dict(nodes.dtypes)["rep"]
+
+    def made(left: pa.Table, right: pa.Table, d: np.ndarray, same: bool) -> pa.Table:
+        (wu, iu), (wv, iv) = ([x.column(c).to_numpy().astype(np.int64) for c in ("rank", "idx")] for x in (left, right))
+        r = np.rint(d * scale).astype(np.int64)
+        w, i, j = np.minimum(wu[:, None], wv[None, :]), np.minimum(iu[:, None], iv[None, :]), np.maximum(iu[:, None], iv[None, :])
+        place = np.empty(r.size, np.int64)
+        place[np.lexsort((j.ravel(), i.ravel(), w.ravel(), r.ravel()))] = np.arange(r.size)
+        place = place.reshape(r.shape)
+        if same:  # each edge stands there twice
+            place = np.minimum(place, place.T)
+        chosen = _least_tree(place, same) if r.size else []
+        a, b = np.array(chosen, np.int64).reshape(-1, 2).T
+        key = pa.StructArray.from_arrays([pa.array(x[a, b], pa.int64() if k == 0 else pa.int32()) for k, x in enumerate((r, w, i, j))], names=list("rwij"))
+        return pa.table({"u": left.column("id").take(pa.array(a)), "v": right.column("id").take(pa.array(b)), "key": key})
+
+    rows = nodes.select("rep", "alleles", F.col("idx").cast("int").alias("idx")).join(ranks, "rep")
+    return by_blocks(rows, spec, made, f"u {kind}, v {kind}, key struct<r: bigint, w: int, i: int, j: int>", "rep", ("rank", "idx"))
 
 
 def shortcuts(full: DataFrame, ranks: DataFrame, n: int) -> DataFrame:
@@ -111,18 +149,31 @@ def ready(packed: DataFrame) -> DataFrame:
     return written(indexed(dedup(drop_empty(packed))), "profiles").df
 
 
-def dense(full: DataFrame, nodes: DataFrame, ranks: DataFrame) -> tuple[list, np.ndarray, np.ndarray]:
-    """Names, the distance matrix and ranks on the driver, for the kernels whose steps follow one another. At most MAX_DENSE nodes."""
+def dense(nodes: DataFrame, spec: DistanceSpec, ranks: DataFrame) -> tuple[list, np.ndarray, np.ndarray]:
+    """Names, the distance matrix and ranks on the driver, for the kernels whose steps follow one another. At most MAX_DENSE nodes.
+
+    Pairs of blocks come one after the other, as bytes, and go straight into the matrix.
+    """
     rows = nodes.select("rep", "idx").join(ranks, "rep").orderBy("idx").toArrow()
     names = rows.column("rep").to_pylist()
     if len(names) > MAX_DENSE:
         raise ValueError(f"{len(names)} profiles: a tree of this kind takes {MAX_DENSE} at most")
-    place = {name: i for i, name in enumerate(names)}
+
+    def made(left: pa.Table, right: pa.Table, d: np.ndarray, same: bool) -> pa.Table:
+        one, two = (x.column("idx").to_numpy().astype(np.int32).tobytes() for x in (left, right))
+        return pa.table({"src": [one], "dst": [two], "d": [np.ascontiguousarray(d, float).tobytes()]}, pa.schema([("src", pa.binary()), ("dst", pa.binary()), ("d", pa.binary())]))
+
+    spread = nodes.select("rep", "alleles", F.col("idx").cast("int").alias("idx"))
+    table = written(by_blocks(spread, spec, made, "src binary, dst binary, d binary", "rep", ("idx",)), "blocks")
     d = np.zeros((len(names), len(names)))
-    table = full.select("src", "dst", "d").toArrow()
-    lookup = np.vectorize(place.__getitem__, otypes=[int])
-    if table.num_rows:
-        d[lookup(np.array(table.column("src").to_pylist(), object)), lookup(np.array(table.column("dst").to_pylist(), object))] = table.column("d").to_numpy()
+    for row in table.df.toLocalIterator(prefetchPartitions=True):
+        src, dst = np.frombuffer(row["src"], np.int32), np.frombuffer(row["dst"], np.int32)
+        block = np.frombuffer(row["d"]).reshape(len(src), len(dst))
+        d[np.ix_(src, dst)] = block
+        if not spec.directed:
+            d[np.ix_(dst, src)] = block.T
+    table.drop()
+    np.fill_diagonal(d, 0)
     return names, d, rows.column("rank").to_numpy()
 
 
@@ -135,27 +186,25 @@ def tree_edges(packed: DataFrame, spec: TreeSpec) -> tuple[DataFrame, list]:
     if n < 2:
         return nodes, []
     dist = spec.distance if spec.method in ("MSTree", "distance") else DistanceSpec("symmetric", spec.distance.missing)
-    once = written(pairs(nodes.select("rep", "alleles"), dist, "rep"), "distances").df
-    full = once if dist.directed else both_ways(once)
     heuristic = "eBurst" if spec.method == "goeBurst" else spec.heuristic
-    ranks = written((harmonic if heuristic == "harmonic" else eburst)(full, nodes), "ranks").df
+    ranks = written(node_ranks(nodes, dist, heuristic), "ranks").df
     if spec.method in ("NJ", "RapidNJ", "ninja", "fastme"):
-        names, d, _ = dense(full, nodes, ranks)
+        names, d, _ = dense(nodes, dist, ranks)
         edges = kernels.neighbour_joining(d)
         return nodes, [[names[a] if a < n else ("inner", a), names[b] if b < n else ("inner", b), x] for a, b, x in edges]
     if dist.directed or spec.recraft:
-        names, d, rank = dense(full, nodes, ranks)
+        names, d, rank = dense(nodes, dist, ranks)
         if dist.directed:
             edges = kernels.directed_tree(d, rank)
         else:
             place = {name: i for i, name in enumerate(names)}
-            edges = [[place[r["u"]], place[r["v"]], r["key"]["r"]] for r in spanning_tree(symmetric_edges(once, ranks, nodes)).collect()]
+            edges = [[place[r["u"]], place[r["v"]], r["key"]["r"]] for r in spanning_tree(block_forests(nodes, ranks, dist)).collect()]
         if spec.recraft:
             edges = kernels.recraft(edges, d, rank, loci)
         found = [[names[s], names[t], x] for s, t, x in edges]
     else:
         scale = 10000 if dist.matrix == "blockwise" else 1
-        found = [[r["u"], r["v"], r["key"]["r"] / scale] for r in spanning_tree(symmetric_edges(once, ranks, nodes, scale)).collect()]
+        found = [[r["u"], r["v"], r["key"]["r"] / scale] for r in spanning_tree(block_forests(nodes, ranks, dist, scale)).collect()]
     if dist.matrix != "blockwise":
         kind = dict(nodes.dtypes)["rep"]
         table = nodes.sparkSession.createDataFrame([(s, t) for s, t, _ in found], f"src {kind}, dst {kind}")

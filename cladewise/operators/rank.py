@@ -2,16 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cladewise.model import DistanceSpec
+from cladewise.operators.distance import by_blocks
+from cladewise.plans.storage import written
+
 
 def harmonic(full: DataFrame, nodes: DataFrame) -> DataFrame:
     """``rep, rank``: by n / sum of 1 / (d + 0.1) (a node's own distance 0 included), then larger groups, then idx.
 
     ``full`` has both directions. Weights are compared to 9 digits, so that the order of a sum can't swap ties.
     """
-    sums = full.groupBy(F.col("src").alias("rep")).agg(F.sum(1 / (F.col("d") + 0.1)).alias("s"))
+    return _by_sums(full.groupBy(F.col("src").alias("rep")).agg(F.sum(1 / (F.col("d") + 0.1)).alias("s")), nodes)
+
+
+def _by_sums(sums: DataFrame, nodes: DataFrame) -> DataFrame:
     n = nodes.count()
     weight = F.round(n / (F.coalesce("s", F.lit(0.0)) + 10), 9)
     return nodes.join(sums, "rep", "left").withColumn("w", weight).select("rep", F.expr("cast(row_number() over (order by w, -size, idx) - 1 as int)").alias("rank"))
@@ -19,7 +30,10 @@ def harmonic(full: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def eburst(full: DataFrame, nodes: DataFrame) -> DataFrame:
     """``rep, rank``: by the most nodes at distance 1, then 2, and so on, at last by those at 0 with the group's size; then idx."""
-    bins = full.groupBy(F.col("src").alias("rep"), F.floor("d").cast("int").alias("bin")).agg(F.count("*").alias("n"))
+    return _by_bins(full.groupBy(F.col("src").alias("rep"), F.floor("d").cast("int").alias("bin")).agg(F.count("*").alias("n")), nodes)
+
+
+def _by_bins(bins: DataFrame, nodes: DataFrame) -> DataFrame:
     top = bins.agg(F.max("bin")).first()[0] or 0
     maps = bins.groupBy("rep").agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("m"))
     at = lambda i: F.coalesce(F.element_at("m", i), F.lit(0))
@@ -28,6 +42,44 @@ def eburst(full: DataFrame, nodes: DataFrame) -> DataFrame:
     return nodes.join(maps, "rep", "left").withColumn("key", key).select("rep", F.expr("cast(row_number() over (order by key, idx) - 1 as int)").alias("rank"))
 
 
+def _ends(left: pa.Table, right: pa.Table, d: np.ndarray, same: bool, directed: bool) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """The sources of a pair of blocks with their rows of distances; undirected ones count from both sides."""
+    yield left.column("id").combine_chunks(), d
+    if not directed and not same:
+        yield right.column("id").combine_chunks(), d.T
+
+
+def ranks(nodes: DataFrame, spec: DistanceSpec, heuristic: str) -> DataFrame:
+    """``rep, rank`` straight from the profiles: each pair of blocks gives sums or counts by row, never the distances."""
+    kind = dict(nodes.dtypes)["rep"]
+
+    def sums(left: pa.Table, right: pa.Table, d: np.ndarray, same: bool) -> pa.Table:
+        near = 1 / (d + 0.1)
+        if same:
+            np.fill_diagonal(near, 0)
+        found = list(_ends(left, right, near, same, spec.directed))
+        return pa.table({"rep": pa.chunked_array([x for x, _ in found]), "s": pa.chunked_array([pa.array(x.sum(axis=1), pa.float64()) for _, x in found])})
+
+    def counts(left: pa.Table, right: pa.Table, d: np.ndarray, same: bool) -> pa.Table:
+        whole = np.floor(d).astype(np.int64)
+        if same:
+            np.fill_diagonal(whole, -1)
+        wide, out = int(whole.max(initial=0)) + 2, []
+        for ids, x in _ends(left, right, whole, same, spec.directed):
+            cells, n = np.unique((np.arange(len(x))[:, None] * wide + x + 1).ravel(), return_counts=True)
+            real = cells % wide > 0
+            cells, n = cells[real], n[real]
+            out.append(pa.table({"rep": ids.take(pa.array(cells // wide)), "bin": pa.array(cells % wide - 1, pa.int32()), "n": pa.array(n, pa.int64())}))
+        return pa.concat_tables(out)
+
+    rows = nodes.select("rep", "alleles")
+    if heuristic == "harmonic":
+        found = by_blocks(rows, spec, sums, f"rep {kind}, s double", "rep")
+        return _by_sums(found.groupBy("rep").agg(F.sum("s").alias("s")), nodes)
+    bins = written(by_blocks(rows, spec, counts, f"rep {kind}, bin int, n bigint", "rep").groupBy("rep", "bin").agg(F.sum("n").alias("n")), "bins")
+    return _by_bins(bins.df, nodes)
+
+
 def cost(d: Column, rank: Column) -> Column:
     """An edge's cost: the distance rounded half to even, then the source's rank (as a pair of whole numbers, so that no digits are lost)."""
     return F.struct(F.rint(d).cast("long").alias("r"), rank.alias("w"))

@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cladewise.functions import kernels
 from cladewise.functions.estimate import estimate
 from cladewise.model import CategorySpec, DistanceSpec
-from cladewise.operators import distance, evaluate, grid, metadata, mst, profile, rank, tree
+from cladewise.operators import components, distance, evaluate, grid, metadata, mst, profile, rank, tree
 from cladewise.plans import views
 from cladewise.plans.storage import written
-from cladewise.sources import sinks
+from cladewise.sources import sinks, trees
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -146,14 +147,12 @@ r AS (SELECT reps.rep, idx, size, row_number() OVER (ORDER BY list_append(key, -
 
 @register("rank_harmonic", f"WITH {views.P1}, {views.REPS}, {_DIRECTED}, {_HARMONIC} SELECT rep, CAST(rank AS INT) AS rank FROM r")
 def _harmonic(spark, sf_dir):
-    nodes, _, full = _full(spark, views.events_profile, sf_dir, DistanceSpec("asymmetric"))
-    return rank.harmonic(full, nodes)
+    return rank.ranks(mst.ready(views.events_profile(spark, sf_dir)), DistanceSpec("asymmetric"), "harmonic")
 
 
 @register("rank_eburst", f"WITH {views.P2}, {views.REPS}, {_PAIRS}, {_EBURST} SELECT rep, CAST(rank AS INT) AS rank FROM r")
 def _eburst(spark, sf_dir):
-    nodes, _, full = _full(spark, views.orders_profile, sf_dir, DistanceSpec())
-    return rank.eburst(full, nodes)
+    return rank.ranks(mst.ready(views.orders_profile(spark, sf_dir)), DistanceSpec(), "eBurst")
 
 
 def _minimax(steps: int) -> str:
@@ -170,8 +169,9 @@ def _mst(spark, sf_dir):
 
 
 def _mst_table(spark, sf_dir):
-    nodes, once, full = _full(spark, views.events_profile, sf_dir, DistanceSpec())
-    found = mst.spanning_tree(mst.symmetric_edges(once, written(rank.eburst(full, nodes), "ranks").df, nodes))
+    nodes = mst.ready(views.events_profile(spark, sf_dir))
+    ranks = written(rank.ranks(nodes, DistanceSpec(), "eBurst"), "ranks").df
+    found = mst.spanning_tree(mst.block_forests(nodes, ranks, DistanceSpec()))
     return nodes, found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), F.col("key.r").alias("length"))
 
 
@@ -198,8 +198,62 @@ def _rooted(spark, sf_dir):
 SELECT src, dst, CAST(floor(cost) AS BIGINT) AS length FROM (SELECT *, row_number() OVER (PARTITION BY dst ORDER BY cost, rank) AS k FROM c) WHERE k = 1""",
 )
 def _shortcuts(spark, sf_dir):
-    nodes, _, full = _full(spark, views.orders_profile, sf_dir, DistanceSpec("asymmetric"))
-    return mst.shortcuts(full, rank.harmonic(full, nodes), nodes.count())
+    nodes, spec = mst.ready(views.orders_profile(spark, sf_dir)), DistanceSpec("asymmetric")
+    n = nodes.count()
+    near = distance.pairs(nodes.select("rep", "alleles"), spec, "rep", below=kernels.cutoff(n) + 1)
+    return mst.shortcuts(near, written(rank.ranks(nodes, spec, "harmonic"), "ranks").df, n)
+
+
+@register(
+    "rooted_tree",
+    f"""WITH RECURSIVE {views.P1}, {views.REPS}, {_PAIRS}, {_EBURST}, {_minimax(8)}, x AS (SELECT least(u, v) AS u, greatest(u, v) AS v, len FROM t), b AS (SELECT u, v, len FROM x UNION ALL SELECT v, u, len FROM x),
+s(node, parent, length) AS (SELECT (SELECT u FROM x ORDER BY len DESC, u, v LIMIT 1), NULL::BIGINT, 0.0::DOUBLE UNION ALL SELECT b.v, b.u, CAST(b.len AS DOUBLE) FROM s JOIN b ON b.u = s.node WHERE s.parent IS NULL OR b.v <> s.parent),
+i AS (SELECT DISTINCT parent AS node FROM s WHERE parent IS NOT NULL)
+SELECT CAST(s.node AS VARCHAR) AS node, CAST(parent AS VARCHAR) AS parent, CASE WHEN i.node IS NULL THEN CAST(s.node AS VARCHAR) END AS name, length FROM s LEFT JOIN i ON i.node = s.node
+UNION ALL SELECT 'leaf_' || CAST(node AS VARCHAR), CAST(node AS VARCHAR), CAST(node AS VARCHAR), 0.0::DOUBLE FROM i""",
+)
+def _rooted_tree(spark, sf_dir):
+    """The tree as it is written: rooted at the source of the longest edge, inner samples with a leaf of length 0."""
+    edges = [[r["u"], r["v"], r["length"]] for r in _mst_table(spark, sf_dir)[1].orderBy(F.desc("length"), "u", "v").collect()]
+    text = lambda v: None if v is None else f"leaf_{v[1]}" if isinstance(v, tuple) else str(v)
+    rows = [(text(v), text(up), name, float(x)) for v, up, name, x in tree.rooted_nodes(edges, [])]
+    return spark.createDataFrame(rows, "node string, parent string, name string, length double")
+
+
+@register(
+    "mstree_v2_checks",
+    f"WITH {views.P1}, {views.REPS} SELECT count(*) - 1 AS n_edges, count(*) AS n_nodes, 1 AS n_roots, 0 AS n_wrong_lengths FROM reps",
+)
+def _mstree_v2_checks(spark, sf_dir):
+    """What holds of every directed tree: one root, each node once, and the lengths of the edges between profiles."""
+    from cladewise.model import TreeSpec
+
+    packed = views.events_profile(spark, sf_dir)
+    _, edges = mst.tree_edges(packed, TreeSpec())
+    found = spark.createDataFrame([(s, t, float(x)) for s, t, x in edges], "src long, dst long, length double")
+    ends = found.select(F.col("src").alias("node")).union(found.select("dst")).distinct()
+    # The pieces that the edges join the nodes to.
+    whole = components.components(ends, found, "node").agg(F.count_distinct("component").alias("n_roots"), F.count("*").alias("n_nodes"))
+    cells = profile.unpack(packed)
+    side = lambda end: cells.select(F.col("sample").alias(end), "locus", F.col("allele").alias(f"{end}_allele"))
+    both = found.join(side("src"), "src").join(side("dst"), ["dst", "locus"])
+    wrong = both.groupBy("src", "dst", "length").agg(F.count(F.when(F.expr("src_allele > 0 and dst_allele > 0 and src_allele <> dst_allele"), 1)).alias("n")).filter("n <> length")
+    return found.agg(F.count("*").alias("n_edges")).crossJoin(whole).crossJoin(wrong.agg(F.count("*").alias("n_wrong_lengths"))).select("n_edges", "n_nodes", "n_roots", "n_wrong_lengths")
+
+
+def _leaves_of(name: str, method: str) -> None:
+    @register(name, f"WITH {views.P1} SELECT CAST(sid AS VARCHAR) AS name, 1 AS n FROM (SELECT DISTINCT sid FROM cells)")
+    def query(spark, sf_dir):
+        """Every sample is a leaf of the written tree, once."""
+        from cladewise.backend import tree_text
+        from cladewise.model import TreeSpec
+
+        nodes = trees.read_tree(spark, tree_text(views.events_profile(spark, sf_dir), TreeSpec(method)))
+        return nodes.filter("name is not null").groupBy("name").agg(F.count("*").alias("n"))
+
+
+_leaves_of("newick_leaves", "MSTree")
+_leaves_of("nj_leaves", "NJ")
 
 
 @register("mstree_v2_edges")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cladewise.model import DistanceSpec, TreeSpec
 from cladewise.operators import evaluate, grid, metadata, mst, profile, tree
 from cladewise.plans import views
-from cladewise.plans.catalog import _CLIMB, register
+from cladewise.plans.catalog import _CLIMB, _DIFFER, _EBURST, _PAIRS, _minimax, register
 from cladewise.sources import profile_files, sinks, trees
 
 PROFILE = "## comment\n#Strain\tST\t#note\tL1\tL2\tL3\na\t1\tx\t1\t2\t3\nb\t1\tx\t1\t2\t3\nc d\t2\ty\t-\t2\t0\ne\t3\ty\t0\tn\t-\n"
@@ -216,9 +216,8 @@ def _accuracy(spark, sf_dir):
     return evaluate.scores(out, ["method"])
 
 
-@register("goeburst_edges")
+@register("goeburst_edges", f"WITH {views.P1}, {views.REPS}, {_PAIRS}, {_EBURST}, {_minimax(8)} SELECT least(u, v) AS src, greatest(u, v) AS dst, CAST({_DIFFER} AS DOUBLE) AS length FROM t JOIN p a ON a.sid = u JOIN p b ON b.sid = v AND a.locus = b.locus GROUP BY u, v")
 def _goeburst(spark, sf_dir):
-    """The spanning tree of the orders profile with eBurst ranks."""
-    _, edges = mst.tree_edges(views.orders_profile(spark, sf_dir), TreeSpec("goeBurst"))
-    kind = "src long, dst long, length double"
-    return spark.createDataFrame([(s, t, float(x)) for s, t, x in edges], kind)
+    """The spanning tree of the events profile with eBurst ranks, and the loci that differ along its edges."""
+    _, edges = mst.tree_edges(views.events_profile(spark, sf_dir), TreeSpec("goeBurst"))
+    return spark.createDataFrame([(min(s, t), max(s, t), float(x)) for s, t, x in edges], "src long, dst long, length double")
