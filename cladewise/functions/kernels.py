@@ -215,14 +215,18 @@ def recraft(branches: list, d: np.ndarray, rank: np.ndarray, loci: int) -> list[
     return queue
 
 
-def neighbour_joining(d: np.ndarray) -> list[tuple[int, int, float]]:
-    """(parent, child, length) of the neighbour-joining tree; nodes from n on are inner, the last joins three."""
+def neighbour_joining(d: np.ndarray, weighted: bool = False) -> list[tuple[int, int, float]]:
+    """(parent, child, length) of the neighbour-joining tree; nodes from n on are inner, the last joins three.
+
+    ``weighted``: a new node's distances mix those of its two by the share that makes their variance least (variances grow as distances do).
+    """
     n = len(d)
     if n < 2:
         return []
     if n == 2:
         return [(0, 1, float(d[0, 1]))]
     d, names, edges, fresh = d.astype(float).copy(), list(range(n)), [], n
+    v = d.copy()
     while len(names) > 3:
         m = len(names)
         total = d.sum(axis=1)
@@ -232,11 +236,15 @@ def neighbour_joining(d: np.ndarray) -> list[tuple[int, int, float]]:
         i, j = min(i, j), max(i, j)
         half = d[i, j] / 2 + (total[i] - total[j]) / (2 * (m - 2))
         edges += [(fresh, names[i], float(half)), (fresh, names[j], float(d[i, j] - half))]
-        new = (d[i] + d[j] - d[i, j]) / 2
-        d[i], d[:, i] = new, new
-        d[i, i] = 0
+        share = 0.5
+        if weighted and v[i, j] > 0:
+            share = min(1.0, max(0.0, 0.5 + float((v[j] - v[i]).sum() - (v[j, i] - v[i, j]) - (v[j, j] - v[i, i])) / (2 * (m - 2) * v[i, j])))
+        new = share * (d[i] - half) + (1 - share) * (d[j] - (d[i, j] - half))
+        spread = share * v[i] + (1 - share) * v[j] - share * (1 - share) * v[i, j]
+        d[i], d[:, i], v[i], v[:, i] = new, new, spread, spread
+        d[i, i] = v[i, i] = 0
         keep = [k for k in range(m) if k != j]
-        d = d[np.ix_(keep, keep)]
+        d, v = d[np.ix_(keep, keep)], v[np.ix_(keep, keep)]
         names[i] = fresh
         names.pop(j)
         fresh += 1

@@ -94,3 +94,8 @@ def percent(value: Column) -> Column:
 def yes_no(value: Column) -> Column:
     """Yes or No."""
     return F.when(F.coalesce(value, F.lit(False)), "Yes").otherwise("No")
+
+
+def refiltered(rows: DataFrame, shown: DataFrame | None, condition: Column, narrowing: bool = False) -> DataFrame:
+    """The rows of a new filter: from those shown before where it only narrows the old one, else from all."""
+    return (shown if narrowing and shown is not None else rows).filter(condition)

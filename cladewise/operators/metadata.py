@@ -185,3 +185,43 @@ def best_places(candidates: DataFrame, key: str = "place_key") -> DataFrame:
     vote = lambda c: F.expr(f"case when count_if({c} = m_{c}) * 2 > count(*) then max(m_{c}) else '' end").alias(c)
     modes = kept.groupBy(key).agg(F.mode("country").alias("m_country"), F.mode("city").alias("m_city"))
     return kept.join(modes, key).groupBy(key).agg(F.avg((F.col("x0") + F.col("x1")) / 2).alias("longitude"), F.avg((F.col("y0") + F.col("y1")) / 2).alias("latitude"), vote("country"), vote("city"))
+
+
+# The stops of the gradients, as parts of the way.
+GRADIENTS: dict[str, tuple[tuple[float, str], ...]] = {
+    "cool": ((0, "FFFF00"), (0.25, "00FF00"), (0.5, "00FFFF"), (0.75, "0000FF"), (1, "00007D")),
+    "heat": ((0, "FFFF7D"), (0.25, "FFFF00"), (0.75, "FF0000"), (1, "7D0000")),
+    "rainbow": ((0, "FF0000"), (0.2, "FFFF00"), (0.4, "00FF00"), (0.6, "00FFFF"), (0.8, "0000FF"), (1, "FF00FF")),
+}
+
+
+def gradient(place: Column, count: Column, name: str = "cool") -> Column:
+    """The colour of the value at ``place`` (from 1) of ``count``, between the stops of a gradient (mixed in red, green and blue)."""
+    at = F.when(count <= 1, F.lit(0.0)).otherwise((place - 1) / (count - 1))
+    out = F.lit("#" + GRADIENTS[name][-1][1])
+    for (low, one), (high, two) in reversed(list(zip(GRADIENTS[name], GRADIENTS[name][1:], strict=False))):
+        share = (at - low) / (high - low)
+        parts = [F.lpad(F.hex(F.floor(int(one[k : k + 2], 16) + share * (int(two[k : k + 2], 16) - int(one[k : k + 2], 16)) + 0.5).cast("long")), 2, "0") for k in (0, 2, 4)]
+        out = F.when(at < high, F.concat(F.lit("#"), *parts)).otherwise(out)
+    return out
+
+
+def selected_only(rows: DataFrame, chosen: DataFrame, key: str = "ID") -> DataFrame:
+    """Records of the selected nodes (``node_id``)."""
+    return rows.join(chosen.select(F.col("node_id").alias(key)).distinct(), key, "left_semi")
+
+
+def with_selection(rows: DataFrame, chosen: DataFrame, key: str = "ID") -> DataFrame:
+    """The records with ``selected``, in step with the nodes selected in the tree."""
+    flags = chosen.select(F.col("node_id").alias(key)).distinct().withColumn("selected", F.lit(True))
+    return rows.join(flags, key, "left").withColumn("selected", F.coalesce("selected", F.lit(False)))
+
+
+def add_column(rows: DataFrame, name: str, value: str = "") -> DataFrame:
+    """A new column of one value; one that is there keeps its own."""
+    return rows if name in rows.columns else rows.withColumn(name, F.lit(value))
+
+
+def remove_column(rows: DataFrame, name: str, key: str = "ID") -> DataFrame:
+    """The records without a column; the key stays."""
+    return rows if name == key else rows.drop(name)

@@ -190,7 +190,7 @@ def tree_edges(packed: DataFrame, spec: TreeSpec) -> tuple[DataFrame, list]:
     ranks = written(node_ranks(nodes, dist, heuristic), "ranks").df
     if spec.method in ("NJ", "RapidNJ", "ninja", "fastme"):
         names, d, _ = dense(nodes, dist, ranks)
-        edges = kernels.neighbour_joining(d)
+        edges = kernels.neighbour_joining(d, weighted=spec.method == "fastme")
         return nodes, [[names[a] if a < n else ("inner", a), names[b] if b < n else ("inner", b), x] for a, b, x in edges]
     if dist.directed or spec.recraft:
         names, d, rank = dense(nodes, dist, ranks)

@@ -306,3 +306,13 @@ def radial_layout(nodes: DataFrame) -> DataFrame:
     spread = descendants(nodes, nodes).join(angle, "node_id").groupBy(F.col("top_id").alias("node_id")).agg(F.avg("a").alias("a"))
     down = descendants(nodes, nodes).join(nodes.select(F.col("node_id").alias("top_id"), clean_length(F.col("length")).alias("l")), "top_id").groupBy("node_id").agg(F.sum("l").alias("r"))
     return spread.join(down, "node_id").select("node_id", (F.col("r") * F.cos("a")).alias("x"), (F.col("r") * F.sin("a")).alias("y"))
+
+
+def select_all(nodes: DataFrame, chosen: bool = True) -> DataFrame:
+    """Every node selected, or none: the flag ``selected``."""
+    return nodes.withColumn("selected", F.lit(chosen))
+
+
+def listing(nodes: DataFrame) -> DataFrame:
+    """``node_id, place``: the named nodes in order of their names, numbered from 1."""
+    return nodes.filter("not is_hypo").select("node_id", F.expr("row_number() over (order by node_id)").cast("long").alias("place"))

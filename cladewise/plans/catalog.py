@@ -483,7 +483,17 @@ def _classes(spark, sf_dir):
 
 
 _FLAGS = f"{_QUARTETS}, s AS (SELECT a, b, c, d, {_pairing('t')} AS x, {_pairing('f')} AS y FROM q), z AS (SELECT a, b, c, d, CASE WHEN y = x THEN 1 ELSE 0 END AS tp, CASE WHEN y <> x THEN 1 ELSE 0 END AS fp, CASE WHEN y IS NULL OR y <> x THEN 1 ELSE 0 END AS fn FROM s WHERE x IS NOT NULL)"
-_RATIOS = "sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn, CASE WHEN sum(tp + fp) > 0 THEN round(sum(tp) / sum(tp + fp)::DOUBLE, 9) ELSE -1 END AS precision, CASE WHEN sum(tp + fn) > 0 THEN round(sum(tp) / sum(tp + fn)::DOUBLE, 9) ELSE -1 END AS sensitivity"
+_RATIOS = "sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn, " + ", ".join(
+    f"CASE WHEN {below} > 0 THEN round({above} / ({below})::DOUBLE, 9) ELSE -1 END AS {name}"
+    for name, above, below in (
+        ("precision", "sum(tp)", "sum(tp + fp)"),
+        ("sensitivity", "sum(tp)", "sum(tp + fn)"),
+        ("f1", "sum(2 * tp)", "sum(2 * tp + fn + fp)"),
+        ("f05", "sum(1.25 * tp)", "sum(1.25 * tp + 0.25 * fn + fp)"),
+        ("f2", "sum(5 * tp)", "sum(5 * tp + 4 * fn + fp)"),
+        ("accuracy", "sum(tp)", "sum(tp + fp + fn)"),
+    )
+)
 
 
 def _flags(spark, sf_dir):
@@ -491,7 +501,8 @@ def _flags(spark, sf_dir):
 
 
 def _rounded(rows, by):
-    return evaluate.scores(rows, by).select(*by, "tp", "fp", "fn", F.round("precision", 9).alias("precision"), F.round("sensitivity", 9).alias("sensitivity"))
+    names = ("precision", "sensitivity", "f1", "f05", "f2", "accuracy")
+    return evaluate.scores(rows, by).select(*by, "tp", "fp", "fn", *[F.round(c, 9).alias(c) for c in names])
 
 
 @register("quartet_stats", f"WITH {_FLAGS} SELECT 'tree' AS method, {_RATIOS} FROM z")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from cladewise.model import DistanceSpec, TreeSpec
-from cladewise.operators import evaluate, grid, metadata, mst, profile, tree
+from cladewise.operators import distance, evaluate, grid, metadata, mst, profile, tree
 from cladewise.plans import views
 from cladewise.plans.catalog import _CLIMB, _DIFFER, _EBURST, _PAIRS, _minimax, register
+from cladewise.plans.storage import shared_dir
 from cladewise.sources import profile_files, sinks, trees
 
 PROFILE = "## comment\n#Strain\tST\t#note\tL1\tL2\tL3\na\t1\tx\t1\t2\t3\nb\t1\tx\t1\t2\t3\nc d\t2\ty\t-\t2\t0\ne\t3\ty\t0\tn\t-\n"
@@ -197,25 +200,143 @@ def _places(spark, sf_dir):
     return found.withColumn("longitude", F.round("longitude", 6)).withColumn("latitude", F.round("latitude", 6))
 
 
+#: The configurations that are compared: trees of directed distances with and without rearrangement, of eBurst ranks under two rules for missing alleles, of symmetric distances, and by neighbour joining.
+METHODS = {
+    "MSTreeV2": TreeSpec(),
+    "goeBurst as_allele": TreeSpec("goeBurst", DistanceSpec(missing="as_allele")),
+    "goeBurst pair_delete": TreeSpec("goeBurst"),
+    "MSTree asymmetric": TreeSpec("MSTree", DistanceSpec("asymmetric"), "harmonic"),
+    "MSTree asymmetric recrafted": TreeSpec("MSTree", DistanceSpec("asymmetric"), "harmonic", True),
+    "MSTree symmetric": TreeSpec("MSTree"),
+    "NJ": TreeSpec("NJ"),
+}
+
+
 @register("tree_accuracy")
 def _accuracy(spark, sf_dir):
-    """Quartet scores of several methods' trees of one profile against the neighbour-joining tree of it."""
+    """Quartet scores of seven methods' trees of one profile against the grouping that is known of its samples."""
+    from cladewise.backend import tree_text
+
     packed = views.nations_profile(spark, sf_dir)
     leaves = packed.select(F.col("sample").cast("string").alias("leaf"))
-    found = {}
-    for name, spec in (("NJ", TreeSpec("NJ")), ("MSTree", TreeSpec("MSTree")), ("MSTreeV2", TreeSpec()), ("MSTree as_allele", TreeSpec("MSTree", DistanceSpec(missing="as_allele")))):
-        from cladewise.backend import tree_text
-
+    known = views.table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("leaf"), F.col("n_regionkey").cast("string").alias("clade")).join(leaves, "leaf", "left_semi")
+    truth, out = evaluate.splits(known, leaves), None
+    for name, spec in METHODS.items():
         nodes = trees.read_tree(spark, tree_text(packed, spec)).select("node_id", "parent_id", "is_hypo")
-        found[name] = evaluate.splits(evaluate.clades(nodes), leaves)
-    out = None
-    for name, splits in found.items():
-        if name != "NJ":
-            rows = evaluate.compare(found["NJ"], splits).withColumn("method", F.lit(name))
-            out = rows if out is None else out.unionByName(rows)
+        rows = evaluate.compare(truth, evaluate.splits(evaluate.clades(nodes), leaves)).withColumn("method", F.lit(name))
+        out = rows if out is None else out.unionByName(rows)
     return evaluate.scores(out, ["method"])
 
 
+_PN_PAIRS = "x AS (SELECT a.sid AS src, b.sid AS dst, count(*) FILTER (a.allele <> b.allele) AS differ FROM cells a JOIN cells b ON a.locus = b.locus AND a.sid < b.sid GROUP BY 1, 2)"
+
+
+@register(
+    "quartet_distances",
+    f"""WITH {views.PN}, {_PN_PAIRS}, s AS (SELECT DISTINCT sid FROM cells), q AS (SELECT a.sid AS a, b.sid AS b, c.sid AS c, d.sid AS d FROM s a JOIN s b ON a.sid < b.sid JOIN s c ON b.sid < c.sid JOIN s d ON c.sid < d.sid),
+m AS (SELECT a, b, c, d, sum(x.differ) / 20.0::DOUBLE * 2000 / 6 AS mean FROM q JOIN x ON (src = a AND dst IN (b, c, q.d)) OR (src = b AND dst IN (c, q.d)) OR (src = c AND dst = q.d) GROUP BY 1, 2, 3, 4)
+SELECT a, b, c, d, round(mean, 6) AS mean, CAST(CASE WHEN mean <= 1950 THEN least(floor((mean + 50) / 100) * 100, 1900) ELSE 2000 END AS BIGINT) AS bin FROM m""",
+)
+def _quartet_distances(spark, sf_dir):
+    """Mean distance of each four samples, and its bin."""
+    packed = views.nations_profile(spark, sf_dir)
+    found = distance.pairs(packed, DistanceSpec(missing="as_allele"))
+    means = evaluate.quartet_distance(evaluate.quartets(packed.select(F.col("sample").alias("leaf"))), found, 20)
+    return means.select("a", "b", "c", "d", F.round("mean", 6).alias("mean"), evaluate.distance_bin(F.col("mean")).alias("bin"))
+
+
+@register(
+    "scores_by_kind",
+    """WITH s AS (SELECT o_orderstatus AS method, CAST(floor(o_custkey / 50) AS BIGINT) AS chunk, count(*) FILTER (o_orderkey % 6 = 0) AS tp_b, count(*) FILTER (o_orderkey % 6 = 1) AS fp_b, count(*) FILTER (o_orderkey % 6 = 2) AS fn_b,
+  count(*) FILTER (o_orderkey % 6 = 3) AS tp_u, count(*) FILTER (o_orderkey % 6 = 4) AS fp_u, count(*) FILTER (o_orderkey % 6 = 5) AS fn_u FROM orders GROUP BY 1, 2),
+k AS (SELECT chunk, method, 'B' AS kind, tp_b AS tp, fp_b AS fp, fn_b AS fn FROM s UNION ALL SELECT chunk, method, 'U', tp_u, fp_u, fn_u FROM s UNION ALL SELECT chunk, method, 'total', tp_b + tp_u, fp_b + fp_u, fn_b + fn_u FROM s)
+SELECT chunk, method, kind, CASE WHEN tp + fp > 0 THEN round(tp / (tp + fp)::DOUBLE, 9) ELSE -1 END AS precision, CASE WHEN tp + fn > 0 THEN round(tp / (tp + fn)::DOUBLE, 9) ELSE -1 END AS sensitivity FROM k""",
+)
+def _scores_by_kind(spark, sf_dir):
+    """Precision and sensitivity of balanced, unbalanced and all splits over chunks of files."""
+    names = ("tp_b", "fp_b", "fn_b", "tp_u", "fp_u", "fn_u")
+    rows = views.table(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderstatus").alias("method"), *[F.when(F.col("o_orderkey") % 6 == i, 1).otherwise(0).alias(n) for i, n in enumerate(names)])
+    found = evaluate.by_kind(evaluate.chunked_sums(rows, "o_custkey", ["method"], list(names)), ["chunk", "method"])
+    return found.select("chunk", "method", "kind", F.round("precision", 9).alias("precision"), F.round("sensitivity", 9).alias("sensitivity"))
+
+
+@register("named_by_leaf", f"WITH {views.TREE}, t AS (SELECT *, CASE WHEN is_hypo THEN NULL ELSE node_id END AS name FROM tree), z AS (SELECT parent_id, arg_min(node_id, ord) AS leaf FROM t WHERE name IS NOT NULL AND length = 0 GROUP BY 1) SELECT t.node_id, t.parent_id, coalesce(t.name, z.leaf) AS name, t.length FROM t LEFT JOIN z ON z.parent_id = t.node_id WHERE t.node_id NOT IN (SELECT leaf FROM z)")
+def _named_by_leaf(spark, sf_dir):
+    nodes = views.tree(spark, sf_dir).withColumn("name", F.when(~F.col("is_hypo"), F.col("node_id")))
+    return evaluate.named_by_leaf(nodes).select("node_id", "parent_id", "name", "length")
+
+
+@register("node_listing", f"WITH {views.TREE} SELECT node_id, row_number() OVER (ORDER BY node_id) AS place, true AS selected FROM tree WHERE NOT is_hypo")
+def _listing(spark, sf_dir):
+    return tree.select_all(tree.listing(views.tree(spark, sf_dir)))
+
+
+@register("selected_records", f"WITH {views.META}, {views.TREE}, c AS (SELECT node_id FROM tree WHERE NOT is_hypo AND length > 3) SELECT ID, segment, '' AS note FROM meta WHERE ID IN (SELECT node_id FROM c)")
+def _selected_records(spark, sf_dir):
+    chosen = views.tree(spark, sf_dir).filter("not is_hypo and length > 3")
+    rows = metadata.selected_only(views.metadata(spark, sf_dir), chosen)
+    return metadata.remove_column(metadata.add_column(rows, "note"), "nation").select("ID", "segment", "note")
+
+
+@register("selection_in_step", f"WITH {views.META}, {views.TREE} SELECT ID, ID IN (SELECT node_id FROM tree WHERE NOT is_hypo AND length > 3) AS selected FROM meta")
+def _in_step(spark, sf_dir):
+    chosen = views.tree(spark, sf_dir).filter("not is_hypo and length > 3")
+    return metadata.with_selection(views.metadata(spark, sf_dir), chosen).select("ID", "selected")
+
+
+@register("narrowed_filter", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 1000")
+def _narrowed(spark, sf_dir):
+    rows = views.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    shown = grid.refiltered(rows, None, F.col("o_orderstatus") == "F")
+    return grid.refiltered(rows, shown, F.col("o_totalprice") > 1000, narrowing=True).select("o_orderkey")
+
+
+def _gradient_sql() -> str:
+    at = "CASE WHEN n <= 1 THEN 0.0::DOUBLE ELSE (place - 1) / (n - 1)::DOUBLE END"
+    arms = []
+    for (low, one), (high, two) in zip(metadata.GRADIENTS["heat"], metadata.GRADIENTS["heat"][1:]):
+        part = lambda k: f"printf('%02X', CAST(floor({int(one[k : k + 2], 16)} + (way - {low}) / {high - low} * {int(two[k : k + 2], 16) - int(one[k : k + 2], 16)} + 0.5) AS BIGINT))"  # noqa: B023, E731
+        arms.append(f"WHEN way < {high} THEN '#' || {part(0)} || {part(2)} || {part(4)}")
+    return f"SELECT n_name, CASE {' '.join(arms)} ELSE '#{metadata.GRADIENTS['heat'][-1][1]}' END AS colour FROM (SELECT n_name, {at} AS way FROM (SELECT n_name, row_number() OVER (ORDER BY n_name) AS place, count(*) OVER () AS n FROM nation))"
+
+
+@register("gradient_colours", _gradient_sql())
+def _gradient(spark, sf_dir):
+    rows = views.table(spark, sf_dir, "nation").select("n_name", F.expr("row_number() over (order by n_name)").alias("place"), F.expr("count(*) over ()").alias("n"))
+    return rows.select("n_name", metadata.gradient(F.col("place"), F.col("n"), "heat").alias("colour"))
+
+
+def _text_file(df, name: str) -> str:
+    """The lines of a DataFrame ``line, ord`` as one text in the shared folder, for scans of what the tables hold."""
+    path = f"{shared_dir(df.sparkSession)}/cladewise-{name}-{uuid.uuid4().hex}"
+    df.orderBy("ord").select("line").coalesce(1).write.text(path)
+    return path
+
+
+@register("profile_of_table", f"WITH {views.P1} SELECT CAST(sid AS VARCHAR) AS sample, CAST(locus AS INT) AS locus, CAST(allele AS VARCHAR) AS allele FROM cells")
+def _profile_of_table(spark, sf_dir):
+    """A profile file written from the events and read again."""
+    head = spark.createDataFrame([("#Strain\t#note\t" + "\t".join(f"L{i}" for i in range(24)), -1)], "line string, ord long")
+    rows = views.events_profile(spark, sf_dir).select(F.concat_ws("\t", F.col("sample").cast("string"), F.lit("x"), F.array_join(F.col("alleles").cast("array<string>"), "\t")).alias("line"), F.col("sample").cast("long").alias("ord"))
+    return profile_files.read_profile(spark, _text_file(head.union(rows), "profile"))
+
+
+@register("metadata_of_table", """SELECT CAST(c_nationkey AS VARCHAR) AS "ID", arg_max(c_name, c_custkey) AS "Name", arg_max(CAST(c_custkey AS VARCHAR), c_custkey) AS "Last" FROM customer GROUP BY 1""")
+def _metadata_of_table(spark, sf_dir):
+    """A metadata file written from the customers and read again, by tab as the server reads it: of the rows of one nation the last."""
+    head = spark.createDataFrame([("ID\tName\tLast", -1)], "line string, ord long")
+    rows = views.table(spark, sf_dir, "customer").select(F.concat_ws("\t", F.col("c_nationkey").cast("string"), "c_name", F.col("c_custkey").cast("string")).alias("line"), F.col("c_custkey").alias("ord"))
+    return profile_files.read_metadata(spark, _text_file(head.union(rows), "metadata"), "\t")
+
+
+@register("newick_of_table", "SELECT 'n' || n_nationkey AS name, CAST(n_nationkey % 4 AS DOUBLE) AS length, 2 AS depth FROM nation")
+def _newick_of_table(spark, sf_dir):
+    """A Newick text made of the nations by region, one text for each region, and parsed."""
+    leaf = F.concat(F.lit("n"), F.col("n_nationkey").cast("string"), F.lit(":"), (F.col("n_nationkey") % 4).cast("string"))
+    texts = views.table(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("tree_id")).agg(F.concat(F.lit("(("), F.array_join(F.array_sort(F.collect_list(leaf)), ","), F.lit(")90:1.5);")).alias("text"))
+    return trees.parse_trees(texts).filter("not is_hypo").select("name", "length", "depth")
+
+
 @register("goeburst_edges", f"WITH {views.P1}, {views.REPS}, {_PAIRS}, {_EBURST}, {_minimax(8)} SELECT least(u, v) AS src, greatest(u, v) AS dst, CAST({_DIFFER} AS DOUBLE) AS length FROM t JOIN p a ON a.sid = u JOIN p b ON b.sid = v AND a.locus = b.locus GROUP BY u, v")
 def _goeburst(spark, sf_dir):
     """The spanning tree of the events profile with eBurst ranks, and the loci that differ along its edges."""

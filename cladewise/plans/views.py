@@ -82,3 +82,7 @@ TREE = """tree AS (SELECT 'w' AS node_id, NULL AS parent_id, CAST(NULL AS DOUBLE
   UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, n_nationkey % 4, 2, true, 0 FROM nation
   UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, c_custkey % 7, 3, false, c_custkey FROM customer)"""
 META = """meta AS (SELECT 'c' || c_custkey AS ID, c_mktsegment AS segment, n_name AS nation, CAST(CAST(floor(c_acctbal) AS BIGINT) AS VARCHAR) AS balance, c_custkey AS ord FROM customer JOIN nation ON n_nationkey = c_nationkey)"""
+#: Cells of ``nations_profile``.
+PN = """cells AS (SELECT s.sid, l.locus, coalesce(o.a, 0) AS allele FROM (SELECT DISTINCT c_nationkey AS sid FROM customer) s CROSS JOIN (SELECT range AS locus FROM range(20)) l
+  LEFT JOIN (SELECT c_nationkey AS sid, CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 0 WHEN 'BUILDING' THEN 1 WHEN 'FURNITURE' THEN 2 WHEN 'HOUSEHOLD' THEN 3 ELSE 4 END * 4 + CAST(least(greatest(floor((c_acctbal + 1000) / 2750), 0), 3) AS INT) AS locus,
+    least(count(*), 9) AS a FROM customer GROUP BY 1, 2) o ON o.sid = s.sid AND o.locus = l.locus)"""

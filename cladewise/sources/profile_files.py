@@ -64,11 +64,11 @@ def read_fasta(spark: SparkSession, source: str) -> DataFrame:
     return named.select("sample", F.posexplode(F.filter(F.split("s", ""), lambda c: c != "")).alias("locus", "allele"))
 
 
-def read_metadata(spark: SparkSession, source: str) -> DataFrame:
-    """All columns as strings. The separator is a comma if the header has one, else a tab; no quoting. Of rows with one key (``ID``, else the first column) the last wins."""
+def read_metadata(spark: SparkSession, source: str, separator: str | None = None) -> DataFrame:
+    """All columns as strings. Unless given, the separator is a comma if the header has one, else a tab; no quoting. Of rows with one key (``ID``, else the first column) the last wins."""
     rows = lines(spark, source)
     first = rows.filter("line <> ''").orderBy("ord").first()
-    sep = "," if "," in first["line"] else "\t"
+    sep = separator or ("," if "," in first["line"] else "\t")
     names = first["line"].strip("\r\n").split(sep)
     key = "ID" if "ID" in names else names[0]
     cells = rows.filter((F.col("line") != "") & (F.col("ord") != first["ord"])).select("ord", F.split(F.regexp_replace("line", "\r$", ""), re.escape(sep)).alias("f"))

@@ -66,18 +66,31 @@ def parse_newick(text: str, translate: dict[str, str] | None = None) -> list[tup
 
 
 def parse_nexus(text: str) -> list[tuple]:
-    """Rows of NODES of the first tree in the ``trees`` block, with its ``translate`` map."""
+    """Rows of NODES of the first tree in the ``trees`` block, with its ``translate`` map; without one, numbers stand for the labels of the ``taxa`` block."""
     if not (m := re.search(r"begin\s+trees\s*;(.*?)(?:end\s*;|endblock\s*;|\Z)", text, re.I | re.S)):
         raise ValueError("no trees block")
     block, names = m[1], {}
     if t := re.search(r"\btranslate\b(.*?);", block, re.I | re.S):
         names = {k: v.strip("'") for k, v in re.findall(r"(\S+)\s+('[^']*'|[^\s,]+)\s*(?:,|\Z)", t[1].strip())}
         block = block[: t.start()] + block[t.end() :]
+    else:
+        names = {str(i): label for i, label in enumerate(taxa(text), 1)}
+        names = {k: v for k, v in names.items() if k not in names.values()}
     if not (m := re.search(r"\bu?tree\b[^=]*=\s*((?:\[[^\]]*\]\s*)*)(\(.*?;)", block, re.I | re.S)):
         raise ValueError("no tree")
     return parse_newick(m[2], names)
 
 
+def taxa(text: str) -> list[str]:
+    """The labels of the ``taxa`` block, quoted or plain."""
+    block = re.search(r"begin\s+taxa\s*;(.*?)(?:end\s*;|endblock\s*;|\Z)", text, re.I | re.S)
+    found = re.search(r"\btaxlabels\b((?:'(?:[^']|'')*'|\"[^\"]*\"|\[[^\]]*\]|[^;'\"\[])*);", block[1], re.I | re.S) if block else None
+    if not found:
+        return []
+    labels = re.findall(r"'(?:[^']|'')*'|\"[^\"]*\"|[^\s'\"]+", re.sub(r"\[[^\]]*\]", " ", found[1]))
+    return [x[1:-1].replace("''", "'") if x[0] in "'\"" else x for x in labels]
+
+
 def tree_list(text: str) -> list[tuple[str, list[tuple]]]:
     """(name, rows of NODES) of each ``tree NAME = newick`` line; a leaf ``{a,b}`` becomes a node with the leaves a and b."""
     out = []

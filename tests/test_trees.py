@@ -72,6 +72,73 @@ def test_neighbour_joining_is_exact_on_additive_distances():
     assert all(abs(far(i, j) - d[i, j]) < 1e-9 for i in range(4) for j in range(4))
 
 
+@pytest.mark.parametrize("n", [4, 7, 12])
+def test_weighted_joining_is_exact_on_additive_distances(n):
+    rng = np.random.default_rng(n)
+    up, length = {0: None}, {}
+    for v in range(1, 2 * n):
+        up[v], length[v] = int(rng.integers(0, v)), float(rng.integers(1, 9))
+    line = lambda v: [v] if up[v] is None else [v, *line(up[v])]
+    leaves = [v for v in up if v not in set(up.values())]
+
+    def far(a, b):
+        x, y = line(a), line(b)
+        return sum(length[v] for v in set(x) ^ set(y))
+
+    d = np.array([[far(a, b) for b in leaves] for a in leaves])
+    near = {}
+    for a, b, x in kernels.neighbour_joining(d, weighted=True):
+        near.setdefault(a, []).append((b, x))
+        near.setdefault(b, []).append((a, x))
+
+    def path(a, b, seen=()):
+        return 0 if a == b else min((x + path(c, b, (*seen, a)) for c, x in near[a] if c not in seen), default=np.inf)
+
+    assert all(abs(path(i, j) - d[i, j]) < 1e-6 for i in range(len(d)) for j in range(len(d)))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(2, 9), st.integers(0, 10**6))
+def test_recrafted_branches_still_span(n, seed):
+    rng = np.random.default_rng(seed)
+    a = rng.integers(0, 3, (n, 6)) + 1
+    d = kernels.distances(a, a, DistanceSpec("asymmetric"))
+    rank = rng.permutation(n)
+    tree_ = kernels.directed_tree(d, rank)
+    out = kernels.recraft([list(e) for e in tree_], d, rank, 6)
+    root = list(range(n))
+    for s, t, x in out:
+        assert x == d[s, t] and root[s] != root[t]
+        root = [root[s] if r == root[t] else r for r in root]
+    assert len(out) == n - 1 and len(set(root)) == 1
+
+
+def test_arborescence_of_many_nodes_takes_no_cubic_time():
+    import time
+
+    rng = np.random.default_rng(2)
+    took = {}
+    for n in (400, 1600):
+        a = rng.integers(0, 6, (n, 24))
+        cost = np.rint(kernels.distances(a, a, DistanceSpec("asymmetric", "absolute_distance"))) + np.arange(n)[:, None] / n
+        began = time.process_time()
+        assert len(kernels.arborescence(cost)) == n - 1
+        took[n] = time.process_time() - began
+    assert took[1600] < 40 * max(0.05, took[400])
+
+
+def test_block_forests_are_enough(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = spark.createDataFrame([(i, [int(x) for x in rng.integers(0, 3, 7)]) for i in range(60)], "sample long, alleles array<int>")
+    found = {}
+    for block in (512, 7):
+        monkeypatch.setattr(distance, "BLOCK", block)
+        for spec in (TreeSpec("MSTree"), TreeSpec("goeBurst"), TreeSpec("MSTree", DistanceSpec("blockwise")), TreeSpec()):
+            _, edges = mst.tree_edges(rows, spec)
+            found.setdefault(spec, []).append(sorted((min(s, t), max(s, t), x) for s, t, x in edges))
+    assert all(a == b for a, b in found.values())
+
+
 def test_contemporary_limits():
     assert not kernels.contemporary(1, 1, 50, 2, 100)
     assert kernels.contemporary(5, 5, 3, 3, 100)
@@ -159,6 +226,12 @@ def test_nexus():
     assert [r[2] for r in rows if r[2]] == ["one", "two x"] and rows[1][6] == {"x": ["1", "2"], "y": ["3"]}
 
 
+def test_nexus_taxa_block():
+    text = "#NEXUS\nbegin taxa;\ndimensions ntax=3;\ntaxlabels 'a b' \"c;d\" [x] it''s;\nend;\nbegin trees;\ntree t = (1:1,(2:2,3:3):1);\nend;"
+    assert trees.taxa(text.replace("it''s", "'it''s'")) == ["a b", "c;d", "it's"]
+    assert [r[2] for r in trees.parse_nexus(text.replace("it''s", "'it''s'")) if r[2]] == ["a b", "c;d", "it's"]
+
+
 def test_tree_list_expands_composite_leaves():
     (name, rows), = trees.tree_list("tree t1 = [&U] ({a,b}:1,c:2);\n")
     assert name == "t1" and sorted(r[2] for r in rows if r[2]) == ["a", "b", "c"]
