@@ -147,3 +147,21 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
   fail_bits = 0 AS kept, n_lines, n_bangs, fail_bits FROM f
 """
+
+
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of policy v1 fails, alone fails, and would keep if it were left out, over all documents."""
+    return ablations(ledger(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+
+
+def _ablations_sql() -> str:
+    mask = policy_mask("v1")
+    each = [
+        f"SELECT '{name}' AS rule, CAST(count(*) FILTER (b & {1 << bit} <> 0) AS BIGINT) AS n_failed, CAST(count(*) FILTER (b = {1 << bit}) AS BIGINT) AS n_only, CAST(count(*) FILTER (b & {mask & ~(1 << bit)} = 0) AS BIGINT) AS n_kept_without FROM b"
+        for bit, name, _ in RULES
+        if name in POLICIES["v1"]
+    ]
+    return f"WITH led AS ({OP9_SQL}), b AS (SELECT fail_bits & {mask} AS b FROM led)\n" + "\nUNION ALL ".join(each)
+
+
+ABLATIONS_SQL = _ablations_sql()

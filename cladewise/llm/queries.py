@@ -24,10 +24,12 @@ QUERIES = {
     "op8_token_counts": op8.op8_token_counts,
     "op9_quality_rules": op9.op9_quality_rules,
     "op10_quality_classifier": op10.op10_quality_classifier,
+    "quality_ablations": op9.quality_ablations,
 }
 ORACLE_SQL = {
     "op1_url_filter": op1.OP1_SQL,
     "op4_license_scan": op4.OP4_SQL,
     "op6_near_dedup": op6.OP6_SQL,
     "op9_quality_rules": op9.OP9_SQL,
+    "quality_ablations": op9.ABLATIONS_SQL,
 }
