@@ -310,14 +310,15 @@ def _labels(spark, sf_dir):
 
 @register(
     "subtree_keep",
-    f"""WITH RECURSIVE {views.TREE}, live(node_id) AS (SELECT node_id FROM tree WHERE NOT is_hypo AND ord % 60 = 0 UNION SELECT t.parent_id FROM live JOIN tree t ON t.node_id = live.node_id WHERE t.parent_id IS NOT NULL),
+    f"""WITH RECURSIVE {views.TREE}, live(node_id) AS (SELECT 'c' || c_custkey FROM customer WHERE c_mktsegment = 'BUILDING' UNION SELECT t.parent_id FROM live JOIN tree t ON t.node_id = live.node_id WHERE t.parent_id IS NOT NULL),
 n AS (SELECT t.node_id, t.parent_id, coalesce(t.length, 0.0::DOUBLE) AS length, t.is_hypo, (SELECT count(*) FROM live l JOIN tree c ON c.node_id = l.node_id WHERE c.parent_id = t.node_id) AS kids FROM tree t JOIN live ON live.node_id = t.node_id),
 c(node_id, parent_id, length, is_hypo) AS (SELECT node_id, parent_id, length, is_hypo FROM n WHERE NOT (is_hypo AND kids <= 1) UNION ALL SELECT c.node_id, n.parent_id, c.length + n.length, c.is_hypo FROM c JOIN n ON n.node_id = c.parent_id WHERE n.is_hypo AND n.kids <= 1)
 SELECT c.node_id, c.parent_id, CASE WHEN c.parent_id IS NOT NULL THEN c.length END AS length, c.is_hypo FROM c LEFT JOIN n ON n.node_id = c.parent_id WHERE n.node_id IS NULL OR NOT (n.is_hypo AND n.kids <= 1)""",
 )
 def _subtree(spark, sf_dir):
     nodes = views.tree(spark, sf_dir)
-    return tree.induced(nodes, nodes.filter("not is_hypo and ord % 60 = 0"))
+    chosen = views.table(spark, sf_dir, "customer").filter("c_mktsegment = 'BUILDING'").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("node_id"))
+    return tree.induced(nodes, nodes.join(chosen, "node_id", "left_semi"))
 
 
 @register("link_extent", f"WITH {views.TREE} SELECT max(greatest(length, 0)) AS longest, min(greatest(length, 0)) AS shortest, count(*) AS n FROM tree WHERE parent_id IS NOT NULL")

@@ -1,12 +1,14 @@
 """Metadata, grid, sinks and streams beyond the registered queries."""
 
+import json
+
 import pytest
 
 from cladewise.model import DistanceSpec, TreeSpec
 from cladewise.operators import evaluate, grid, metadata, profile, rank, tree
 from cladewise.operators.components import components
 from cladewise.plans.storage import shared_dir, sweep, written
-from cladewise.sources import sinks
+from cladewise.sources import sinks, trees
 from cladewise.streaming.upsert import upsert_stream
 
 
@@ -161,4 +163,9 @@ def test_server(spark):
     assert status("/maketree", {"method": "MSTree"})[0] == 204
     assert status("/maketree", {"profile": "#S\tL1\na\t1\nb\t2\n", "method": "MSTree"})[1].endswith(";")
     assert status("/maketree", {"profile": "#S\tL1\na\t1\n", "method": "__import__('os')"})[0] == 500
+    shared = status("/sendToMicroReact", {"tree": "((a:1,b:2):1,c:3);", "metadata": "ID\tLat\tKind\na\t1\tx\nc\t2\ty\n", "colors": '{"Kind": {"x": "#ff0000"}}', "name": "n"})
+    assert shared[0] == 200 and json.loads(shared[1])["name"] == "n"
+    assert sorted(r[2] for r in trees.parse_newick(json.loads(shared[1])["tree"]) if r[2]) == ["a", "c"]
+    assert "#ff0000" in json.loads(shared[1])["data"] and len(json.loads(shared[1])["data"].splitlines()) == 3
+    assert status("/sendToMicroReact", {"tree": "((a", "metadata": "ID\na\n"})[0] == 500
     server.shutdown()
