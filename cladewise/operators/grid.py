@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cladewise.operators.numbering import numbered
+
 SEPARATOR = ":|:"
 
 
@@ -76,7 +78,7 @@ def flattened(rows: DataFrame, keys: list[str], order: list[str], collapsed: Dat
         inside = F.col("group_key").startswith(F.concat("_shut", F.lit(SEPARATOR))) | ((F.col("group_key") == F.col("_shut")) & (F.col("level") == len(keys)))
         both = both.join(F.broadcast(shut), inside, "left_anti")
     by = [x for i, k in enumerate(keys) for x in ((F.col("level") >= i).asc(), F.col(k).asc_nulls_first(), (F.col("level") > i).asc())]
-    return both.withColumn("place", F.row_number().over(Window.orderBy(*by, *[f"_o{i}" for i in range(len(order))], "id")).cast("long")).select("place", "level", "group_key", "id")
+    return numbered(both, [*by, *[f"_o{i}" for i in range(len(order))], "id"]).select("place", "level", "group_key", "id")
 
 
 def row_diff(old: DataFrame, new: DataFrame, place: str = "place") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cladewise.model import CategorySpec
+from cladewise.operators.numbering import numbered
 
 PALETTE = ("#1f77b4", "#ff7f0e", "#2ca02c", "#d62728", "#9467bd", "#8c564b", "#e377c2", "#7f7f7f", "#bcbd22", "#17becf")
 NO_COLOUR = "#FFFFFF"
@@ -41,7 +42,7 @@ def category_counts(metadata: DataFrame, spec: CategorySpec, nodes: DataFrame |
     counts = rows.filter(~blank(F.col(spec.column))).groupBy(F.col(spec.column).cast("string").alias("value")).agg(F.count("*").alias("n")).filter(F.col("n") >= spec.least)
     by_value = [F.expr("try_cast(value as double)")] if spec.numeric else []
     order = [F.desc("n"), *by_value, "value"] if spec.by_size else [*by_value, "value"]
-    return counts.withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("long"))
+    return numbered(counts, order)
 
 
 def top_and_others(counts: DataFrame, top: int, palette: tuple[str, ...] = PALETTE, custom: dict[str, str] | None = None) -> DataFrame:
@@ -108,7 +109,7 @@ def typed_order(column: str, descending: bool = False, tie: str = "id") -> list[
 
 def reindexed(rows: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
     """Rows numbered from 1 in an order."""
-    return rows.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long"))
+    return numbered(rows, order, name)
 
 
 def visible(metadata: DataFrame, nodes: DataFrame, show_hypothetical: bool = False, key: str = "ID") -> DataFrame:

@@ -169,3 +169,14 @@ def test_server(spark):
     assert "#ff0000" in json.loads(shared[1])["data"] and len(json.loads(shared[1])["data"].splitlines()) == 3
     assert status("/sendToMicroReact", {"tree": "((a", "metadata": "ID\na\n"})[0] == 500
     server.shutdown()
+
+
+def test_numbers_across_partitions(spark):
+    from pyspark.sql import functions as F
+
+    from cladewise.operators.numbering import numbered
+
+    rows = spark.range(5000).select(F.col("id"), (F.col("id") * 7919 % 5003).alias("k")).repartition(9)
+    got = [(r["place"], r["k"]) for r in numbered(rows, [F.desc("k")]).orderBy("place").collect()]
+    assert got == [(i, k) for i, k in enumerate(sorted((i * 7919 % 5003 for i in range(5000)), reverse=True), 1)]
+    assert numbered(rows.limit(0), ["k"]).collect() == []
