@@ -12,9 +12,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from cladewise.llm import arrow_text, op2_html_extract, op3_decontaminate, op5_bpe, op7_toxicity, op8_token_counts, op10_quality_classifier
-from cladewise.llm.labelled import sample
+from cladewise.llm.labelled import sample, texts_of
 from cladewise.llm.vocabulary import BYTE_BPE, WORD_BPE, default_path, load
-from tests.llm.helpers import LONG, crc, dirty, empty, lower, words
+from tests.llm.helpers import LONG, crc, dirty, empty, lower, tuples, words
 from tests.oracle import duck
 
 SF = "/root/testdata/sf0.01"
@@ -357,6 +357,8 @@ def test_held_out_accuracy(spark, module, column, least):
     assert all(r["held_out"] == (crc(r["doc_id"]) % (5 if column == "toxic" else 4) == (0 if column == "toxic" else 2)) for r in rows)
     assert all(0 <= r["score"] <= 1 for r in rows) and len(rows) == 10000
     assert np.mean([r["predicted"] == labels[r["doc_id"]] for r in held]) > least
+    hits = sum(r["predicted"] == labels[r["doc_id"]] == 1 for r in held)
+    assert hits >= 0.9 * sum(labels[r["doc_id"]] == 1 for r in held) and hits >= 0.97 * sum(r["predicted"] for r in held)
 
 
 @pytest.mark.parametrize("module", [op7_toxicity, op10_quality_classifier])
@@ -375,6 +377,33 @@ def test_dirty_classifiers(spark, module):
         assert module.keep_rows(df, model).columns == df.columns
 
 
+def test_log_count_ratios_by_hand():
+    found = ["Bad bad bad words", "bad", "good words here", "", "fine words " * 90, None, "ab"]
+    label = np.array([1, 1, 0, 0, 0, 0, 1])
+    sums, squares = op7_toxicity.log_counts(pa.array(found, pa.string()), label)
+    values = [{}, {}]
+    for text, c in zip(found, label):
+        text = (text or "").lower()
+        counts = {}
+        for n in (3, 4, 5):
+            for k in range(len(text) - n + 1):
+                counts[text[k : k + n]] = counts.get(text[k : k + n], 0) + 1
+        for g, k in counts.items():
+            values[c].setdefault(g, []).append(0.25 + 0.75 * min(1, k * 300 / max(len(text), 300)))
+    place = lambda g: next(int(b[0]) for n, (_, b) in zip((3, 4, 5), op7_toxicity.grams([g])) if n == len(g))
+    for c in (0, 1):
+        assert len({place(g) for g in values[c]}) == len(values[c]) == (sums[c] > 0).sum()
+        assert all(np.isclose(sums[c][place(g)], sum(v)) and np.isclose(squares[c][place(g)], sum(x * x for x in v)) for g, v in values[c].items())
+    model = op7_toxicity.fit(pa.array(found, pa.string()), label, (4, 3))
+    assert model.score(["bad words"])[0] > model.score(["good words here"])[0]
+
+
+def test_a_sample_has_one_row_for_each_id(spark):
+    docs = spark.createDataFrame([(1, "b", 7), (1, "a", 8), (1, None, 9), (2, None, 1), (3, "c", 2), (None, "d", 3)] + [(5, "x", 0)] * 50, "doc_id long, text string, label int")
+    chosen = spark.createDataFrame([(1, 1), (2, 0), (5, 1), (9, 0)], "doc_id long, label int")
+    assert tuples(texts_of(docs, chosen), "doc_id", "label", "text") == sorted([(1, 1, "a"), (2, 0, None), (5, 1, "x")], key=repr)
+
+
 def test_forest_is_walked_as_it_grew():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(800, 3))
