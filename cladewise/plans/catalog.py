@@ -50,7 +50,10 @@ _BOTH = "a.allele > 0 AND b.allele > 0"
 _DIFFER = f"count(*) FILTER ({_BOTH} AND a.allele <> b.allele)"
 _LOCI = "CAST(count(*) AS DOUBLE)"
 _TARGET = "count(*) FILTER (b.allele > 0 AND a.allele <> b.allele)"
-_PRESENCE = ", w AS (SELECT locus, sum(CASE WHEN allele > 0 THEN 1 ELSE 0 END) AS m FROM p GROUP BY locus), pp AS (SELECT locus, CAST(m * (m - 1) AS DOUBLE) / ((SELECT count(*) FROM reps) * ((SELECT count(*) FROM reps) - 1)) AS pl FROM w)"
+_PRESENCE = (
+    ", w AS (SELECT locus, sum(CASE WHEN allele > 0 THEN 1 ELSE 0 END) AS m FROM p GROUP BY locus), pp AS (SELECT locus, "
+    "CAST(m * (m - 1) AS DOUBLE) / ((SELECT count(*) FROM reps) * ((SELECT count(*) FROM reps) - 1)) AS pl FROM w)"
+)
 _WEIGHTED = f"sum(CASE WHEN {_BOTH} AND a.allele <> b.allele THEN 1.0::DOUBLE WHEN a.allele = 0 AND b.allele > 0 THEN pl ELSE 0.0::DOUBLE END)"
 _distance_query("dist_symmetric_pair_delete", views.events_profile, views.P1, DistanceSpec(), f"({_DIFFER} + 0.01::DOUBLE) * {_LOCI} / (count(*) FILTER ({_BOTH}) + 0.01::DOUBLE)")
 _distance_query("dist_symmetric_as_allele", views.events_profile, views.P1, DistanceSpec(missing="as_allele"), "CAST(count(*) FILTER (a.allele <> b.allele) AS DOUBLE)")
@@ -73,7 +76,10 @@ def _blockwise(spark, sf_dir):
     return found.withColumn("d", F.round("d", 6))
 
 
-_PAIRS = f"e AS (SELECT a.sid AS src, b.sid AS dst, ({_DIFFER} + 0.01::DOUBLE) * {_LOCI} / (count(*) FILTER ({_BOTH}) + 0.01::DOUBLE) AS d FROM p a JOIN p b ON a.locus = b.locus WHERE a.sid <> b.sid GROUP BY 1, 2)"
+_PAIRS = (
+    f"e AS (SELECT a.sid AS src, b.sid AS dst, ({_DIFFER} + 0.01::DOUBLE) * {_LOCI} / (count(*) FILTER ({_BOTH}) + 0.01::DOUBLE) AS d FROM p a "
+    f"JOIN p b ON a.locus = b.locus WHERE a.sid <> b.sid GROUP BY 1, 2)"
+)
 _DIRECTED = f"e AS (SELECT a.sid AS src, b.sid AS dst, {_TARGET} * {_LOCI} / count(*) FILTER (b.allele > 0) AS d FROM p a JOIN p b ON a.locus = b.locus WHERE a.sid <> b.sid GROUP BY 1, 2)"
 
 
@@ -139,7 +145,10 @@ def _call(spark, sf_dir):
 
 
 # ---- ranks and trees
-_HARMONIC = "r AS (SELECT rep, idx, size, row_number() OVER (ORDER BY round((SELECT count(*) FROM reps) / (coalesce(s, 0) + 10), 9), -size, idx) - 1 AS rank FROM reps LEFT JOIN (SELECT src, sum(1 / (d + 0.1::DOUBLE)) AS s FROM e GROUP BY src) ON src = rep)"
+_HARMONIC = (
+    "r AS (SELECT rep, idx, size, row_number() OVER (ORDER BY round((SELECT count(*) FROM reps) / (coalesce(s, 0) + 10), 9), -size, idx) - 1 AS rank "
+    "FROM reps LEFT JOIN (SELECT src, sum(1 / (d + 0.1::DOUBLE)) AS s FROM e GROUP BY src) ON src = rep)"
+)
 _EBURST = """h AS (SELECT src, CAST(floor(d) AS BIGINT) AS bin, count(*) AS n FROM e GROUP BY 1, 2), hb AS (SELECT rep, unnest(range(1, (SELECT max(bin) FROM h) + 1)) AS bin FROM reps),
 k AS (SELECT rep, list(-coalesce(n, 0) ORDER BY hb.bin) AS key FROM hb LEFT JOIN h ON h.src = hb.rep AND h.bin = hb.bin GROUP BY rep),
 r AS (SELECT reps.rep, idx, size, row_number() OVER (ORDER BY list_append(key, -(coalesce(n, 0) + 1 + size)), idx) - 1 AS rank FROM reps JOIN k ON k.rep = reps.rep LEFT JOIN h ON h.src = reps.rep AND h.bin = 0)"""
@@ -155,9 +164,12 @@ def _eburst(spark, sf_dir):
     return rank.ranks(mst.ready(views.orders_profile(spark, sf_dir)), DistanceSpec(), "eBurst")
 
 
-def _minimax(steps: int) -> str:
+def _minimax(steps: int, scale: int = 1) -> str:
     """CTEs: an edge is in the tree where its place among all edges is the least possible largest place on a path between its ends."""
-    out = ["o AS (SELECT a.idx AS i, b.idx AS j, e.src AS u, e.dst AS v, round_even(d, 0) AS len, row_number() OVER (ORDER BY round_even(d, 0), least(a.rank, b.rank), a.idx, b.idx) AS w FROM e JOIN r a ON a.rep = e.src JOIN r b ON b.rep = e.dst WHERE a.idx < b.idx)"]
+    out = [(
+        f"o AS (SELECT a.idx AS i, b.idx AS j, e.src AS u, e.dst AS v, round_even(d * {scale}, 0) AS len, row_number() OVER (ORDER BY round_even(d * {scale}, 0), least(a.rank, "
+        "b.rank), a.idx, b.idx) AS w FROM e JOIN r a ON a.rep = e.src JOIN r b ON b.rep = e.dst WHERE a.idx < b.idx)"
+    )]
     out.append("m0 AS (SELECT i, j, w FROM o UNION ALL SELECT j, i, w FROM o UNION ALL SELECT idx, idx, 0 FROM reps)")
     out += [f"m{k} AS MATERIALIZED (SELECT a.i, b.j, min(greatest(a.w, b.w)) AS w FROM m{k - 1} a JOIN m{k - 1} b ON a.j = b.i GROUP BY 1, 2)" for k in range(1, steps + 1)]
     return ", ".join(out) + f", t AS (SELECT o.u, o.v, o.len FROM o JOIN m{steps} m ON m.i = o.i AND m.j = o.j AND m.w = o.w)"
@@ -168,6 +180,22 @@ def _mst(spark, sf_dir):
     return _mst_table(spark, sf_dir)[1]
 
 
+_BLOCKWISE = (
+    "x AS (SELECT a.sid AS src, b.sid AS dst, a.locus, a.allele - b.allele AS delta, lag(a.allele - b.allele, 1, 0) OVER (PARTITION BY a.sid, b.sid ORDER BY a.locus) AS before "
+    "FROM p a JOIN p b ON a.locus = b.locus WHERE a.sid <> b.sid), "
+    "e AS (SELECT src, dst, count(*) FILTER (delta <> 0 AND delta <> before) + 0.01::DOUBLE * (count(*) FILTER (delta <> 0) - count(*) FILTER (delta <> 0 AND delta <> before)) AS d FROM x GROUP BY 1, 2)"
+)
+
+
+@register("mst_blockwise_edges", f"WITH {views.P1}, {views.REPS}, {_BLOCKWISE}, {_EBURST}, {_minimax(8, 10000)} SELECT least(u, v) AS u, greatest(u, v) AS v, len / 10000.0::DOUBLE AS length FROM t")
+def _mst_blockwise(spark, sf_dir):
+    """The spanning tree of blockwise distances, compared to four digits."""
+    nodes, spec = mst.ready(views.events_profile(spark, sf_dir)), DistanceSpec("blockwise")
+    ranks = written(rank.ranks(nodes, spec, "eBurst"), "ranks").df
+    found = mst.spanning_tree(mst.block_forests(nodes, ranks, spec, 10000))
+    return found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), (F.col("key.r") / 10000).alias("length"))
+
+
 def _mst_table(spark, sf_dir):
     nodes = mst.ready(views.events_profile(spark, sf_dir))
     ranks = written(rank.ranks(nodes, DistanceSpec(), "eBurst"), "ranks").df
@@ -175,7 +203,10 @@ def _mst_table(spark, sf_dir):
     return nodes, found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), F.col("key.r").alias("length"))
 
 
-@register("link_lengths", f"WITH {views.P1}, {views.REPS}, {_PAIRS}, {_EBURST}, {_minimax(8)} SELECT least(u, v) AS src, greatest(u, v) AS dst, {_DIFFER} AS length FROM t JOIN p a ON a.sid = u JOIN p b ON b.sid = v AND a.locus = b.locus GROUP BY u, v")
+@register("link_lengths", (
+    f"WITH {views.P1}, {views.REPS}, {_PAIRS}, {_EBURST}, {_minimax(8)} SELECT least(u, v) AS src, greatest(u, v) AS dst, {_DIFFER} AS length FROM t "
+    f"JOIN p a ON a.sid = u JOIN p b ON b.sid = v AND a.locus = b.locus GROUP BY u, v"
+))
 def _links(spark, sf_dir):
     nodes, edges = _mst_table(spark, sf_dir)
     return distance.link_lengths(edges.select(F.col("u").alias("src"), F.col("v").alias("dst")), nodes)
@@ -284,7 +315,11 @@ def _newick(spark, sf_dir):
 
 
 # ---- tree tables
-_CLIMB = f"WITH RECURSIVE {views.TREE}, g(node_id, top, go) AS (SELECT node_id, node_id, coalesce(length <= 1, false) FROM tree UNION ALL SELECT g.node_id, t.parent_id, coalesce(u.length <= 1, false) FROM g JOIN tree t ON t.node_id = g.top JOIN tree u ON u.node_id = t.parent_id WHERE g.go), groups AS (SELECT node_id, top AS group_id FROM g WHERE NOT go)"
+_CLIMB = (
+    f"WITH RECURSIVE {views.TREE}, g(node_id, top, go) AS (SELECT node_id, node_id, coalesce(length <= 1, false) FROM tree UNION ALL SELECT g.node_id, "
+    f"t.parent_id, coalesce(u.length <= 1, false) FROM g JOIN tree t ON t.node_id = g.top JOIN tree u ON u.node_id = t.parent_id WHERE g.go), "
+    f"groups AS (SELECT node_id, top AS group_id FROM g WHERE NOT go)"
+)
 
 
 @register("collapse_groups", f"{_CLIMB} SELECT node_id, group_id FROM groups")
@@ -292,7 +327,10 @@ def _collapse(spark, sf_dir):
     return tree.collapse(views.tree(spark, sf_dir), 1.0)
 
 
-@register("quotient_links", f"{_CLIMB} SELECT DISTINCT a.group_id AS source, b.group_id AS target, t.length AS value FROM tree t JOIN groups a ON a.node_id = t.parent_id JOIN groups b ON b.node_id = t.node_id WHERE a.group_id <> b.group_id")
+@register("quotient_links", (
+    f"{_CLIMB} SELECT DISTINCT a.group_id AS source, b.group_id AS target, t.length AS value FROM tree t JOIN groups a ON a.node_id = t.parent_id "
+    f"JOIN groups b ON b.node_id = t.node_id WHERE a.group_id <> b.group_id"
+))
 def _quotient(spark, sf_dir):
     nodes = views.tree(spark, sf_dir)
     return tree.quotient(nodes, tree.collapse(nodes, 1.0))
@@ -340,7 +378,10 @@ def _radius(spark, sf_dir):
     return groups.select("group_id", F.round(tree.radius(F.col("size"), F.col("size") == 0), 6).alias("radius"))
 
 
-@register("rectangle_selection", "SELECT vec_id AS node_id FROM embeddings WHERE CAST(embedding[1] AS DOUBLE) >= -0.1 AND CAST(embedding[1] AS DOUBLE) < 0.1 AND CAST(embedding[2] AS DOUBLE) >= 0.0 AND CAST(embedding[2] AS DOUBLE) < 0.2")
+@register("rectangle_selection", (
+    "SELECT vec_id AS node_id FROM embeddings WHERE CAST(embedding[1] AS DOUBLE) >= -0.1 AND CAST(embedding[1] AS DOUBLE) < 0.1 "
+    "AND CAST(embedding[2] AS DOUBLE) >= 0.0 AND CAST(embedding[2] AS DOUBLE) < 0.2"
+))
 def _rectangle(spark, sf_dir):
     at = views.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("node_id"), F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
     return tree.in_rectangle(at, -0.1, 0.0, 0.1, 0.2).select("node_id")
@@ -354,14 +395,21 @@ def _categories(spark, sf_dir):
 
 @register(
     "category_topk_others",
-    f"WITH {views.META}, c AS (SELECT balance AS value, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, CAST(balance AS DOUBLE), balance) AS place FROM meta GROUP BY balance) SELECT CASE WHEN place <= 30 THEN value ELSE 'Others' END AS value, CAST(sum(n) AS BIGINT) AS n FROM c GROUP BY 1",
+    (
+        f"WITH {views.META}, c AS (SELECT balance AS value, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, CAST(balance AS DOUBLE), "
+        f"balance) AS place FROM meta GROUP BY balance) SELECT CASE WHEN place <= 30 THEN value ELSE 'Others' END AS value, CAST(sum(n) AS BIGINT) AS n FROM c "
+        f"GROUP BY 1"
+    ),
 )
 def _topk(spark, sf_dir):
     counts = metadata.category_counts(views.metadata(spark, sf_dir), CategorySpec("balance", numeric=True))
     return metadata.top_and_others(counts, 30).select("value", "n")
 
 
-@register("node_composition", f"{_CLIMB}, {views.META} SELECT group_id, coalesce(segment, 'missing') AS value, count(*) AS n FROM groups JOIN tree t ON t.node_id = groups.node_id LEFT JOIN meta ON meta.ID = groups.node_id WHERE NOT is_hypo GROUP BY 1, 2")
+@register("node_composition", (
+    f"{_CLIMB}, {views.META} SELECT group_id, coalesce(segment, 'missing') AS value, count(*) AS n FROM groups JOIN tree t ON t.node_id = groups.node_id "
+    f"LEFT JOIN meta ON meta.ID = groups.node_id WHERE NOT is_hypo GROUP BY 1, 2"
+))
 def _composition(spark, sf_dir):
     nodes = views.tree(spark, sf_dir)
     members = tree.collapse(nodes, 1.0).join(nodes.filter("not is_hypo").select("node_id"), "node_id", "left_semi")
@@ -373,7 +421,10 @@ def _node_labels(spark, sf_dir):
     return metadata.node_labels(views.tree(spark, sf_dir), views.metadata(spark, sf_dir), "nation", "ord")
 
 
-@register("search_nodes", f"WITH {views.META} SELECT DISTINCT ID FROM meta WHERE regexp_matches(segment, '^build', 'i') OR regexp_matches(nation, '^build', 'i') OR regexp_matches(ID, '^build', 'i') OR regexp_matches(balance, '^build', 'i')")
+@register("search_nodes", (
+    f"WITH {views.META} SELECT DISTINCT ID FROM meta WHERE regexp_matches(segment, '^build', 'i') OR regexp_matches(nation, '^build', 'i') "
+    f"OR regexp_matches(ID, '^build', 'i') OR regexp_matches(balance, '^build', 'i')"
+))
 def _search(spark, sf_dir):
     return metadata.search(views.metadata(spark, sf_dir), "^build")
 
@@ -390,24 +441,37 @@ def _sort(spark, sf_dir):
 
 @register(
     "metadata_upsert",
-    f"WITH {views.META}, old AS (SELECT ID, segment, nation FROM meta WHERE ord % 3 <> 0), new AS (SELECT ID, CASE WHEN ord % 2 = 0 THEN 'NEW' END AS segment, balance FROM meta WHERE ord % 3 <> 1) SELECT coalesce(new.ID, old.ID) AS ID, coalesce(new.segment, old.segment) AS segment, old.nation, new.balance, coalesce(new.ID, old.ID) AS \"__Node\" FROM old FULL JOIN new ON new.ID = old.ID",
+    (
+        f"WITH {views.META}, old AS (SELECT ID, segment, nation FROM meta WHERE ord % 3 <> 0), new AS (SELECT ID, CASE "
+        f"WHEN ord % 2 = 0 THEN 'NEW' END AS segment, balance FROM meta WHERE ord % 3 <> 1) SELECT coalesce(new.ID, old.ID) AS ID, coalesce(new.segment, "
+        f"old.segment) AS segment, old.nation, new.balance, coalesce(new.ID, old.ID) AS \"__Node\" FROM old FULL JOIN new ON new.ID = old.ID"
+    ),
 )
 def _upsert(spark, sf_dir):
     rows = views.metadata(spark, sf_dir)
     return metadata.upsert(rows.filter("ord % 3 <> 0").select("ID", "segment", "nation"), rows.filter("ord % 3 <> 1").select("ID", F.when(F.col("ord") % 2 == 0, "NEW").alias("segment"), "balance"))
 
 
-@register("date_extent", "WITH d AS (SELECT CAST(ts AS DATE) AS d FROM events) SELECT min(d) AS first, max(d) AS last, count(*) FILTER (d IS NULL) AS n_undated, min(d) + CAST(floor((max(d) - min(d)) / 2) AS INT) AS middle FROM d")
+@register("date_extent", (
+    "WITH d AS (SELECT CAST(ts AS DATE) AS d FROM events) SELECT min(d) AS first, max(d) AS last, count(*) FILTER (d IS NULL) AS n_undated, "
+    "min(d) + CAST(floor((max(d) - min(d)) / 2) AS INT) AS middle FROM d"
+))
 def _dates(spark, sf_dir):
     return metadata.date_extent(views.table(spark, sf_dir, "events").select(F.date_format("ts", "yyyy-MM-dd").alias("d")), "d")
 
 
-@register("whole_numbers", "SELECT p_partkey, CASE WHEN regexp_extract(p_name || ' ' || p_brand, '(-*\\d+)', 1) IN ('') OR regexp_extract(p_name || ' ' || p_brand, '(-*\\d+)', 1) LIKE '-%' THEN '' ELSE regexp_extract(p_name || ' ' || p_brand, '(-*\\d+)', 1) END AS number FROM part")
+@register("whole_numbers", (
+    "SELECT p_partkey, CASE WHEN regexp_extract(p_name || ' ' || p_brand, '(-*\\d+)', 1) IN ('') OR regexp_extract(p_name || ' ' || p_brand, '(-*\\d+)', "
+    "1) LIKE '-%' THEN '' ELSE regexp_extract(p_name || ' ' || p_brand, '(-*\\d+)', 1) END AS number FROM part"
+))
 def _numbers(spark, sf_dir):
     return views.table(spark, sf_dir, "part").select("p_partkey", metadata.whole_number(F.concat_ws(" ", "p_name", "p_brand")).alias("number"))
 
 
-@register("replaced_range", f"WITH {views.META}, n AS (SELECT *, row_number() OVER (ORDER BY ord) AS place FROM meta) SELECT ID, place, CASE WHEN place BETWEEN 5 AND 20 THEN 'X' ELSE segment END AS segment FROM n")
+@register("replaced_range", (
+    f"WITH {views.META}, n AS (SELECT *, row_number() OVER (ORDER BY ord) AS place FROM meta) SELECT ID, place, CASE WHEN place BETWEEN 5 AND 20 THEN 'X' "
+    f"ELSE segment END AS segment FROM n"
+))
 def _replaced(spark, sf_dir):
     rows = metadata.reindexed(views.metadata(spark, sf_dir), [F.col("ord").asc()])
     return metadata.replace_range(rows, "X", 5, 20, ["segment"]).select("ID", "place", "segment")
@@ -424,7 +488,12 @@ def _totals(spark, sf_dir):
     return rows.select("level", "group_key", "n", F.round("avg_l_quantity", 6).alias("avg_l_quantity"), F.round("sum_l_quantity", 2).alias("sum_l_quantity"), "min_l_quantity", "max_l_quantity")
 
 
-@register("grouped_levels", "SELECT CAST(l AS INT) AS level, key AS group_key, id, row_number() OVER (ORDER BY s, l >= 1, p, l > 1, k) AS place FROM (SELECT 0 AS l, o_orderstatus AS key, NULL AS id, o_orderstatus AS s, NULL AS p, NULL AS k FROM orders GROUP BY o_orderstatus UNION ALL SELECT 1, o_orderstatus || ':|:' || o_orderpriority, NULL, o_orderstatus, o_orderpriority, NULL FROM orders GROUP BY o_orderstatus, o_orderpriority UNION ALL SELECT 2, o_orderstatus || ':|:' || o_orderpriority, CAST(o_orderkey AS VARCHAR), o_orderstatus, o_orderpriority, o_orderkey FROM orders)")
+@register("grouped_levels", (
+    "SELECT CAST(l AS INT) AS level, key AS group_key, id, row_number() OVER (ORDER BY s, l >= 1, p, l > 1, k) AS place FROM (SELECT 0 AS l, "
+    "o_orderstatus AS key, NULL AS id, o_orderstatus AS s, NULL AS p, NULL AS k FROM orders GROUP BY o_orderstatus UNION ALL SELECT 1, "
+    "o_orderstatus || ':|:' || o_orderpriority, NULL, o_orderstatus, o_orderpriority, NULL FROM orders GROUP BY o_orderstatus, o_orderpriority UNION ALL "
+    "SELECT 2, o_orderstatus || ':|:' || o_orderpriority, CAST(o_orderkey AS VARCHAR), o_orderstatus, o_orderpriority, o_orderkey FROM orders)"
+))
 def _levels(spark, sf_dir):
     rows = views.table(spark, sf_dir, "orders").withColumnRenamed("o_orderkey", "id")
     return grid.flattened(rows, ["o_orderstatus", "o_orderpriority"], ["id"])
@@ -435,7 +504,11 @@ def _page(spark, sf_dir):
     return grid.page(views.table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), [F.desc("o_totalprice"), F.asc("o_orderkey")], 2, 25)
 
 
-@register("row_diff", "SELECT coalesce(a.o_orderkey, b.k) AS place FROM (SELECT * FROM orders WHERE o_orderkey % 5 <> 0) a FULL JOIN (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 7 = 0 THEN 'X' ELSE o_orderstatus END AS s FROM orders WHERE o_orderkey % 11 <> 0) b ON a.o_orderkey = b.k WHERE a.o_orderstatus IS DISTINCT FROM b.s")
+@register("row_diff", (
+    "SELECT coalesce(a.o_orderkey, b.k) AS place FROM (SELECT * FROM orders WHERE o_orderkey % 5 <> 0) a FULL JOIN (SELECT o_orderkey AS k, CASE "
+    "WHEN o_orderkey % 7 = 0 THEN 'X' ELSE o_orderstatus END AS s FROM orders WHERE o_orderkey % 11 <> 0) b ON a.o_orderkey = b.k "
+    "WHERE a.o_orderstatus IS DISTINCT FROM b.s"
+))
 def _diff(spark, sf_dir):
     rows = views.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("place"), F.col("o_orderstatus").alias("s"))
     return grid.row_diff(rows.filter("place % 5 <> 0"), rows.filter("place % 11 <> 0").withColumn("s", F.when(F.col("place") % 7 == 0, "X").otherwise(F.col("s"))))
@@ -477,13 +550,20 @@ def _quartet_splits(spark, sf_dir):
     return _splits(spark, sf_dir, F.col("n_regionkey"))
 
 
-@register("quartet_classes", f"WITH {_QUARTETS}, s AS (SELECT a, b, c, d, {_pairing('t')} AS pairing, a_t, b_t, c_t, d_t FROM q) SELECT a, b, c, d, CASE WHEN (a_t = b_t AND c_t = d_t) OR (a_t = c_t AND b_t = d_t) OR (a_t = d_t AND b_t = c_t) THEN 'balanced' ELSE 'unbalanced' END AS kind FROM s WHERE pairing IS NOT NULL")
+@register("quartet_classes", (
+    f"WITH {_QUARTETS}, s AS (SELECT a, b, c, d, {_pairing('t')} AS pairing, a_t, b_t, c_t, d_t FROM q) SELECT a, b, c, d, CASE WHEN (a_t = b_t "
+    f"AND c_t = d_t) OR (a_t = c_t AND b_t = d_t) OR (a_t = d_t AND b_t = c_t) THEN 'balanced' ELSE 'unbalanced' END AS kind FROM s "
+    f"WHERE pairing IS NOT NULL"
+))
 def _classes(spark, sf_dir):
     leaves = views.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("leaf"))
     return evaluate.balanced(_clades(spark, sf_dir, F.col("n_regionkey")), leaves)
 
 
-_FLAGS = f"{_QUARTETS}, s AS (SELECT a, b, c, d, {_pairing('t')} AS x, {_pairing('f')} AS y FROM q), z AS (SELECT a, b, c, d, CASE WHEN y = x THEN 1 ELSE 0 END AS tp, CASE WHEN y <> x THEN 1 ELSE 0 END AS fp, CASE WHEN y IS NULL OR y <> x THEN 1 ELSE 0 END AS fn FROM s WHERE x IS NOT NULL)"
+_FLAGS = (
+    f"{_QUARTETS}, s AS (SELECT a, b, c, d, {_pairing('t')} AS x, {_pairing('f')} AS y FROM q), z AS (SELECT a, b, c, d, CASE WHEN y = x THEN 1 "
+    f"ELSE 0 END AS tp, CASE WHEN y <> x THEN 1 ELSE 0 END AS fp, CASE WHEN y IS NULL OR y <> x THEN 1 ELSE 0 END AS fn FROM s WHERE x IS NOT NULL)"
+)
 _RATIOS = "sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn, " + ", ".join(
     f"CASE WHEN {below} > 0 THEN round({above} / ({below})::DOUBLE, 9) ELSE -1 END AS {name}"
     for name, above, below in (
@@ -511,7 +591,10 @@ def _stats(spark, sf_dir):
     return _rounded(_flags(spark, sf_dir).withColumn("method", F.lit("tree")), ["method"])
 
 
-@register("binned_precision", f"WITH {_FLAGS} SELECT CAST(CASE WHEN 10.0 * (a + b + c + d) <= 1950 THEN least(floor((10.0 * (a + b + c + d) + 50) / 100) * 100, 1900) ELSE 2000 END AS BIGINT) AS bin, {_RATIOS} FROM z GROUP BY 1")
+@register("binned_precision", (
+    f"WITH {_FLAGS} SELECT CAST(CASE WHEN 10.0 * (a + b + c + d) <= 1950 THEN least(floor((10.0 * (a + b + c + d) + 50) / 100) * 100, 1900) "
+    f"ELSE 2000 END AS BIGINT) AS bin, {_RATIOS} FROM z GROUP BY 1"
+))
 def _binned(spark, sf_dir):
     rows = _flags(spark, sf_dir).withColumn("bin", evaluate.distance_bin(10.0 * (F.col("a") + F.col("b") + F.col("c") + F.col("d"))))
     return _rounded(rows, ["bin"])
@@ -523,7 +606,10 @@ def _chunks(spark, sf_dir):
     return evaluate.chunked_sums(rows, "o_custkey", ["method"], ["total"]).withColumn("total", F.round("total", 2))
 
 
-@register("cut_means", "SELECT l_returnflag AS method, CASE WHEN l_quantity > 0 AND l_quantity <= 10 THEN '(0, 10]' WHEN l_quantity > 10 AND l_quantity <= 25 THEN '(10, 25]' WHEN l_quantity > 25 AND l_quantity <= 50 THEN '(25, 50]' END AS bin, round(avg(l_discount), 6) AS mean FROM lineitem GROUP BY 1, 2")
+@register("cut_means", (
+    "SELECT l_returnflag AS method, CASE WHEN l_quantity > 0 AND l_quantity <= 10 THEN '(0, 10]' WHEN l_quantity > 10 AND l_quantity <= 25 THEN '(10, 25]' "
+    "WHEN l_quantity > 25 AND l_quantity <= 50 THEN '(25, 50]' END AS bin, round(avg(l_discount), 6) AS mean FROM lineitem GROUP BY 1, 2"
+))
 def _cut(spark, sf_dir):
     rows = views.table(spark, sf_dir, "lineitem")
     return rows.groupBy(F.col("l_returnflag").alias("method"), evaluate.right_closed_bin(F.col("l_quantity"), [0, 10, 25, 50]).alias("bin")).agg(F.round(F.avg("l_discount"), 6).alias("mean"))
@@ -531,7 +617,11 @@ def _cut(spark, sf_dir):
 
 @register(
     "resource_estimate",
-    "WITH n AS (SELECT c_custkey::DOUBLE AS n FROM customer) SELECT CAST(n AS BIGINT) AS n, round(greatest(2.431284e-6 * n * n + 2.701426667e-9 * 2000 * n * n / 5 + 33.753, 5), 6) AS seconds, greatest(103.77 * n * n + 516625000, 52428800) AS bytes FROM n",
+    (
+        "WITH n AS (SELECT c_custkey::DOUBLE AS n FROM customer) SELECT CAST(n AS BIGINT) AS n, "
+        "round(greatest(2.431284e-6 * n * n + 2.701426667e-9 * 2000 * n * n / 5 + 33.753, 5), 6) AS seconds, greatest(103.77 * n * n + 516625000, "
+        "52428800) AS bytes FROM n"
+    ),
 )
 def _estimate(spark, sf_dir):
     seconds, size = estimate(F.col("c_custkey").cast("double"), F.lit(2000.0), "MSTree", "asymmetric", 5)

@@ -62,7 +62,10 @@ def _project(spark, sf_dir):
     return sinks.project(trees.read_tree(spark, NEWICK))
 
 
-@register("descendants", f"WITH RECURSIVE {views.TREE}, d(top_id, node_id) AS (SELECT node_id, node_id FROM tree WHERE depth = 1 UNION ALL SELECT d.top_id, t.node_id FROM d JOIN tree t ON t.parent_id = d.node_id) SELECT * FROM d")
+@register("descendants", (
+    f"WITH RECURSIVE {views.TREE}, d(top_id, node_id) AS (SELECT node_id, node_id FROM tree WHERE depth = 1 UNION ALL SELECT d.top_id, t.node_id FROM d "
+    f"JOIN tree t ON t.parent_id = d.node_id) SELECT * FROM d"
+))
 def _descendants(spark, sf_dir):
     nodes = views.tree(spark, sf_dir)
     return tree.descendants(nodes, nodes.filter("depth = 1"))
@@ -74,7 +77,10 @@ def _find(spark, sf_dir):
     return tree.find_links(links, spark.createDataFrame([("r1", "n3"), (None, "n4")], "source string, target string"))
 
 
-@register("scaled_links", f"WITH {views.TREE} SELECT node_id, round(length / 6 * 100, 6) AS linear, CASE WHEN length <= 0 THEN 0.0::DOUBLE ELSE round(ln(greatest(length, 1)) / ln(6) * 100, 6) END AS log FROM tree WHERE parent_id IS NOT NULL")
+@register("scaled_links", (
+    f"WITH {views.TREE} SELECT node_id, round(length / 6 * 100, 6) AS linear, CASE WHEN length <= 0 THEN 0.0::DOUBLE ELSE round(ln(greatest(length, "
+    f"1)) / ln(6) * 100, 6) END AS log FROM tree WHERE parent_id IS NOT NULL"
+))
 def _scaled(spark, sf_dir):
     links = views.tree(spark, sf_dir).filter("parent_id is not null")
     return links.select("node_id", F.round(tree.scaled(F.col("length"), 1.0, 6.0, 100.0), 6).alias("linear"), F.round(tree.scaled(F.col("length"), 1.0, 6.0, 100.0, True), 6).alias("log"))
@@ -119,7 +125,12 @@ def _radial(spark, sf_dir):
     return at.select("node_id", (F.round("x", 4) + 0.0).alias("x"), (F.round("y", 4) + 0.0).alias("y"))
 
 
-@register("forced_groups", f"WITH RECURSIVE {views.TREE}, go AS (SELECT node_id, parent_id, parent_id IS NOT NULL AND (node_id IN ('n1', 'n2') OR (length <= 1 AND (node_id <> 'n4' OR length <= 0))) AS j FROM tree), g(node_id, top, go) AS (SELECT node_id, node_id, j FROM go UNION ALL SELECT g.node_id, t.parent_id, u.j FROM g JOIN go t ON t.node_id = g.top JOIN go u ON u.node_id = t.parent_id WHERE g.go) SELECT node_id, top AS group_id FROM g WHERE NOT go")
+@register("forced_groups", (
+    f"WITH RECURSIVE {views.TREE}, go AS (SELECT node_id, parent_id, parent_id IS NOT NULL AND (node_id IN ('n1', 'n2') OR (length <= 1 "
+    f"AND (node_id <> 'n4' OR length <= 0))) AS j FROM tree), g(node_id, top, go) AS (SELECT node_id, node_id, j FROM go UNION ALL SELECT g.node_id, "
+    f"t.parent_id, u.j FROM g JOIN go t ON t.node_id = g.top JOIN go u ON u.node_id = t.parent_id WHERE g.go) SELECT node_id, top AS group_id FROM g "
+    f"WHERE NOT go"
+))
 def _forced(spark, sf_dir):
     nodes = views.tree(spark, sf_dir)
     return tree.collapse(nodes, 1.0, force=nodes.filter("node_id in ('n1', 'n2')"), keep=nodes.filter("node_id = 'n4'"))
@@ -135,7 +146,10 @@ def _value(spark, sf_dir):
     return metadata.select_value(views.metadata(spark, sf_dir), "segment", "BUILDING")
 
 
-@register("composition_items", f"{_CLIMB}, {views.META}, c AS (SELECT group_id, segment AS value, count(*) AS n FROM groups JOIN meta ON ID = node_id GROUP BY 1, 2) SELECT group_id, value, unnest(range(1, n + 1)) AS item FROM c")
+@register("composition_items", (
+    f"{_CLIMB}, {views.META}, c AS (SELECT group_id, segment AS value, count(*) AS n FROM groups JOIN meta ON ID = node_id GROUP BY 1, 2) SELECT group_id, "
+    f"value, unnest(range(1, n + 1)) AS item FROM c"
+))
 def _items(spark, sf_dir):
     nodes = views.tree(spark, sf_dir)
     members = tree.collapse(nodes, 1.0).join(nodes.filter("not is_hypo").select("node_id"), "node_id", "left_semi")
@@ -165,7 +179,11 @@ def _predefined(spark, sf_dir):
     return grid.predefined(groups, "o_orderstatus", ["F", "O", "P", "X"])
 
 
-@register("collapsed_levels", "SELECT CAST(l AS INT) AS level, key AS group_key, row_number() OVER (ORDER BY s, l >= 1, p) AS place FROM (SELECT 0 AS l, o_orderstatus AS key, o_orderstatus AS s, NULL AS p FROM orders GROUP BY o_orderstatus UNION ALL SELECT 1, o_orderstatus || ':|:' || o_orderpriority, o_orderstatus, o_orderpriority FROM orders WHERE o_orderstatus <> 'F' GROUP BY o_orderstatus, o_orderpriority)")
+@register("collapsed_levels", (
+    "SELECT CAST(l AS INT) AS level, key AS group_key, row_number() OVER (ORDER BY s, l >= 1, p) AS place FROM (SELECT 0 AS l, o_orderstatus AS key, "
+    "o_orderstatus AS s, NULL AS p FROM orders GROUP BY o_orderstatus UNION ALL SELECT 1, o_orderstatus || ':|:' || o_orderpriority, o_orderstatus, "
+    "o_orderpriority FROM orders WHERE o_orderstatus <> 'F' GROUP BY o_orderstatus, o_orderpriority)"
+))
 def _collapsed(spark, sf_dir):
     rows = views.table(spark, sf_dir, "orders").withColumnRenamed("o_orderkey", "id")
     shut = rows.select(F.when(F.col("o_orderstatus") == "F", "F").otherwise(F.concat_ws(grid.SEPARATOR, "o_orderstatus", "o_orderpriority")).alias("group_key")).distinct()
@@ -177,7 +195,10 @@ def _text_sort(spark, sf_dir):
     return metadata.reindexed(views.table(spark, sf_dir, "customer"), [F.col("c_custkey").cast("string").asc()]).select("c_custkey", "place")
 
 
-@register("formatted", "SELECT l_orderkey, l_linenumber, CAST(CAST(round(l_discount * 100) AS BIGINT) AS VARCHAR) || '%' AS share, CASE WHEN l_returnflag = 'R' THEN 'Yes' ELSE 'No' END AS returned FROM lineitem")
+@register("formatted", (
+    "SELECT l_orderkey, l_linenumber, CAST(CAST(round(l_discount * 100) AS BIGINT) AS VARCHAR) || '%' AS share, CASE WHEN l_returnflag = 'R' THEN 'Yes' "
+    "ELSE 'No' END AS returned FROM lineitem"
+))
 def _formatted(spark, sf_dir):
     rows = views.table(spark, sf_dir, "lineitem")
     return rows.select("l_orderkey", "l_linenumber", grid.percent(F.col("l_discount") * 100).alias("share"), grid.yes_no(F.col("l_returnflag") == "R").alias("returned"))
@@ -260,7 +281,11 @@ def _scores_by_kind(spark, sf_dir):
     return found.select("chunk", "method", "kind", F.round("precision", 9).alias("precision"), F.round("sensitivity", 9).alias("sensitivity"))
 
 
-@register("named_by_leaf", f"WITH {views.TREE}, t AS (SELECT *, CASE WHEN is_hypo THEN NULL ELSE node_id END AS name FROM tree), z AS (SELECT parent_id, arg_min(node_id, ord) AS leaf FROM t WHERE name IS NOT NULL AND length = 0 GROUP BY 1) SELECT t.node_id, t.parent_id, coalesce(t.name, z.leaf) AS name, t.length FROM t LEFT JOIN z ON z.parent_id = t.node_id WHERE t.node_id NOT IN (SELECT leaf FROM z)")
+@register("named_by_leaf", (
+    f"WITH {views.TREE}, t AS (SELECT *, CASE WHEN is_hypo THEN NULL ELSE node_id END AS name FROM tree), z AS (SELECT parent_id, arg_min(node_id, "
+    f"ord) AS leaf FROM t WHERE name IS NOT NULL AND length = 0 GROUP BY 1) SELECT t.node_id, t.parent_id, coalesce(t.name, z.leaf) AS name, t.length "
+    f"FROM t LEFT JOIN z ON z.parent_id = t.node_id WHERE t.node_id NOT IN (SELECT leaf FROM z)"
+))
 def _named_by_leaf(spark, sf_dir):
     nodes = views.tree(spark, sf_dir).withColumn("name", F.when(~F.col("is_hypo"), F.col("node_id")))
     return evaluate.named_by_leaf(nodes).select("node_id", "parent_id", "name", "length")
@@ -271,7 +296,10 @@ def _listing(spark, sf_dir):
     return tree.select_all(tree.listing(views.tree(spark, sf_dir)))
 
 
-@register("selected_records", f"WITH {views.META}, {views.TREE}, c AS (SELECT node_id FROM tree WHERE NOT is_hypo AND length > 3) SELECT ID, segment, '' AS note FROM meta WHERE ID IN (SELECT node_id FROM c)")
+@register("selected_records", (
+    f"WITH {views.META}, {views.TREE}, c AS (SELECT node_id FROM tree WHERE NOT is_hypo AND length > 3) SELECT ID, segment, '' AS note FROM meta "
+    f"WHERE ID IN (SELECT node_id FROM c)"
+))
 def _selected_records(spark, sf_dir):
     chosen = views.tree(spark, sf_dir).filter("not is_hypo and length > 3")
     rows = metadata.selected_only(views.metadata(spark, sf_dir), chosen)
@@ -297,7 +325,10 @@ def _gradient_sql() -> str:
     for (low, one), (high, two) in zip(metadata.GRADIENTS["heat"], metadata.GRADIENTS["heat"][1:]):
         part = lambda k: f"printf('%02X', CAST(floor({int(one[k : k + 2], 16)} + (way - {low}) / {high - low} * {int(two[k : k + 2], 16) - int(one[k : k + 2], 16)} + 0.5) AS BIGINT))"  # noqa: B023, E731
         arms.append(f"WHEN way < {high} THEN '#' || {part(0)} || {part(2)} || {part(4)}")
-    return f"SELECT n_name, CASE {' '.join(arms)} ELSE '#{metadata.GRADIENTS['heat'][-1][1]}' END AS colour FROM (SELECT n_name, {at} AS way FROM (SELECT n_name, row_number() OVER (ORDER BY n_name) AS place, count(*) OVER () AS n FROM nation))"
+    return (
+        f"SELECT n_name, CASE {' '.join(arms)} ELSE '#{metadata.GRADIENTS['heat'][-1][1]}' END AS colour FROM (SELECT n_name, {at} AS way FROM (SELECT n_name, "
+        f"row_number() OVER (ORDER BY n_name) AS place, count(*) OVER () AS n FROM nation))"
+    )
 
 
 @register("gradient_colours", _gradient_sql())
@@ -337,7 +368,10 @@ def _newick_of_table(spark, sf_dir):
     return trees.parse_trees(texts).filter("not is_hypo").select("name", "length", "depth")
 
 
-@register("goeburst_edges", f"WITH {views.P1}, {views.REPS}, {_PAIRS}, {_EBURST}, {_minimax(8)} SELECT least(u, v) AS src, greatest(u, v) AS dst, CAST({_DIFFER} AS DOUBLE) AS length FROM t JOIN p a ON a.sid = u JOIN p b ON b.sid = v AND a.locus = b.locus GROUP BY u, v")
+@register("goeburst_edges", (
+    f"WITH {views.P1}, {views.REPS}, {_PAIRS}, {_EBURST}, {_minimax(8)} SELECT least(u, v) AS src, greatest(u, v) AS dst, "
+    f"CAST({_DIFFER} AS DOUBLE) AS length FROM t JOIN p a ON a.sid = u JOIN p b ON b.sid = v AND a.locus = b.locus GROUP BY u, v"
+))
 def _goeburst(spark, sf_dir):
     """The spanning tree of the events profile with eBurst ranks, and the loci that differ along its edges."""
     _, edges = mst.tree_edges(views.events_profile(spark, sf_dir), TreeSpec("goeBurst"))
