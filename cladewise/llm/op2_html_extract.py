@@ -12,7 +12,8 @@ Where a block stands shifts the rules. Menus, headers, footers, asides and the
 like, by tag or role, are boilerplate. So are elements whose names (id, class)
 say sidebar, notice, advert, comments and so on, and forms; but a name is one
 vote: where all prose of the page, or all its ``article`` and ``main`` elements,
-stand inside such elements, the outermost are taken for wrappers of the page.
+stand inside such elements, those around the article, or around the most prose,
+are taken for wrappers of the page.
 Within an ``article`` or ``main`` element (where there is none, a division named
 content, story or the like) long blocks need no stop words; blocks outside it are
 boilerplate, unless the elements hold less than ``ARTICLE_SHARE`` of the page's
@@ -297,57 +298,73 @@ def two_passes(n: list[int], stops: list[float], linked: list[int], inside: list
     return [said.get(i, x) for i, x in enumerate(out)]
 
 
+def _wrappers(page: Page, sizes: list[int], prose: list[bool], article: list[bool]) -> set[int]:
+    """The named elements that are taken for wrappers of the page: those around the article, or else around the most prose, where it stands in the fewest of them.
+
+    ``article``: blocks in an article element that are long and no list of links.
+    """
+    hard, deep, top, other = [False], [0], [0], [False]
+    for k in range(1, len(page.cue)):
+        up, named = page.parent[k], page.cue[k] == NAMED
+        hard.append(hard[up] or page.cue[k] == BARRED)
+        deep.append(deep[up] + named)
+        top.append(top[up] or (k if named else 0))
+        other.append(other[up] or named and page.article[k])  # an article's own name is no wrapper's
+    of = [b.element for b, _ in page.blocks]
+    inside = [i for i, k in enumerate(of) if article[i] and not hard[k] and not other[k]]
+    if not any(article):
+        words: Counter[int] = Counter()
+        for i, k in enumerate(of):
+            if prose[i] and not hard[k]:
+                words[top[k]] += sizes[i]
+        most = max(words.values(), default=0)
+        inside = [i for i, k in enumerate(of) if prose[i] and not hard[k] and words[top[k]] >= max(WRAPPED, most / 2)]
+    least = min((deep[of[i]] for i in inside), default=0)
+    out: set[int] = set()
+    seen = {0}
+    for i in inside:
+        k = of[i]
+        if deep[k] == least:
+            while k not in seen:
+                seen.add(k)
+                if page.cue[k] == NAMED:
+                    out.add(k)
+                k = page.parent[k]
+    return out
+
+
 def labels(page: Page) -> list[int]:
     """The label of each block of a page."""
     found = page.blocks
-    sizes = measures([text for _, text in found])
-    linked = [b.linked for b, _ in found]
-    prose = [n >= LONG and s >= STOP_SHARE and k <= MAX_LINKS * n for (n, s), k in zip(sizes, linked, strict=True)]
-    long = [n >= LONG and k <= MAX_LINKS * n for (n, _), k in zip(sizes, linked, strict=True)]
-    cue = list(page.cue)
-
-    def state() -> tuple[list[bool], list[bool]]:
-        """Of each element: whether it is in boilerplate, and in the article."""
-        barred, inside = [False], [False]
+    measured = measures([text for _, text in found])
+    sizes, stops = [n for n, _ in measured], [s for _, s in measured]
+    linked, of = [b.linked for b, _ in found], [b.element for b, _ in found]
+    long = [n >= LONG and k <= MAX_LINKS * n for n, k in zip(sizes, linked, strict=True)]
+    prose = [x and s >= STOP_SHARE for x, s in zip(long, stops, strict=True)]
+    inside = [False]
+    for k in range(1, len(page.cue)):
+        inside.append(inside[page.parent[k]] or page.article[k])
+
+    def barred(cue: list[int]) -> list[bool]:
+        out = [False]
         for k in range(1, len(cue)):
-            up = page.parent[k]
-            barred.append(barred[up] or cue[k] != PLAIN)
-            inside.append(inside[up] or page.article[k])
-        return barred, inside
-
-    def outermost(blocks: list[int]) -> Counter[int]:
-        """The outermost named elements around blocks that stand in no barred element, with their words."""
-        out: Counter[int] = Counter()
-        for i in blocks:
-            k, top, ok = found[i][0].element, 0, True
-            while k:
-                ok, top = ok and cue[k] != BARRED, k if cue[k] == NAMED else top
-                k = page.parent[k]
-            if ok and top:
-                out[top] += sizes[i][0]
+            out.append(out[page.parent[k]] or cue[k] != PLAIN)
         return out
 
-    while True:
-        barred, inside = state()
-        of = [b.element for b, _ in found]
-        # Names hold as long as an article, or else some prose, is left outside them.
-        article = [i for i, k in enumerate(of) if inside[k] and long[i]]
-        left = sum(sizes[i][0] for i, k in enumerate(of) if prose[i] and not barred[k])
-        if any(page.article[k] and not barred[k] for k in range(len(cue))) or left >= (WRAPPED if article else 1):
-            break
-        if article:  # an article's own name is no wrapper's
-            wrappers = {k for k in outermost(article) if not page.article[k]}
-        else:
-            wrappers = {k for k, n in outermost([i for i, x in enumerate(prose) if x]).items() if n >= WRAPPED}
-        if not wrappers:
-            break
-        for k in wrappers:
-            cue[k] = PLAIN
-    words = lambda test: sum(sizes[i][0] for i, k in enumerate(of) if prose[i] and not barred[k] and test(k))
-    whole = any(inside[k] and not barred[k] for k in of) and words(lambda k: inside[k]) >= ARTICLE_SHARE * words(lambda k: True)
+    def words(test: list[bool]) -> int:
+        return sum(sizes[i] for i, k in enumerate(of) if prose[i] and test[k])
+
+    # Names hold as long as an article, or else some prose, is left outside them.
+    bar = barred(page.cue)
+    article = [x and inside[k] for x, k in zip(long, of, strict=True)]
+    left = words([not x for x in bar])
+    if not any(a and not x for a, x in zip(page.article, bar, strict=True)) and left < (WRAPPED if any(article) else 1):
+        around = _wrappers(page, sizes, prose, article)
+        bar = barred([PLAIN if k in around else c for k, c in enumerate(page.cue)])
+    whole = any(inside[k] and not bar[k] for k in of) and words([a and not x for a, x in zip(inside, bar, strict=True)]) >= ARTICLE_SHARE * words([not x for x in bar])
     favoured = [whole and inside[k] for k in of]
-    out = [barred[k] or whole and not inside[k] for k in of]
-    return two_passes([n for n, _ in sizes], [s for _, s in sizes], linked, favoured, out, [b.container for b, _ in found], [b.heading for b, _ in found])
+    out = [bar[k] or whole and not inside[k] for k in of]
+    return two_passes(sizes, stops, linked, favoured, out, [b.container for b, _ in found], [b.heading for b, _ in found])
 
 
 def main_text(page: str | None) -> str:
