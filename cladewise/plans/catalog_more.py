@@ -376,3 +376,30 @@ def _goeburst(spark, sf_dir):
     """The spanning tree of the events profile with eBurst ranks, and the loci that differ along its edges."""
     _, edges = mst.tree_edges(views.events_profile(spark, sf_dir), TreeSpec("goeBurst"))
     return spark.createDataFrame([(min(s, t), max(s, t), float(x)) for s, t, x in edges], "src long, dst long, length double")
+
+
+@register("run_names", "SELECT p_partkey, regexp_extract(p_brand, '^[^_.]+') AS method, CASE WHEN p_size % 2 = 0 THEN CAST(p_size AS DOUBLE) END AS rate FROM part")
+def _run_names(spark, sf_dir):
+    """Method and rate of result files named after the parts."""
+    name = F.concat(F.lit("runs/out/"), "p_brand", F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("_"), F.col("p_size").cast("string"))).otherwise(""), F.lit(".tsv"))
+    return views.table(spark, sf_dir, "part").select("p_partkey", evaluate.run_parts(name).alias("r")).select("p_partkey", "r.*")
+
+
+@register("consecutive_rows", "SELECT CAST((k + 1) // 2 AS INT) AS place, first, second FROM (SELECT row_number() OVER (ORDER BY o_orderkey) AS k, o_totalprice AS first, lead(o_totalprice) OVER (ORDER BY o_orderkey) AS second FROM orders) WHERE k % 2 = 1")
+def _consecutive(spark, sf_dir):
+    return evaluate.consecutive(views.table(spark, sf_dir, "orders"), "o_orderkey", "o_totalprice")
+
+
+@register("column_order", _values("place, name", *[f"({i}, '{n}')" for i, n in enumerate(("segment", "ID", "nation", "balance", "ord"))]))
+def _column_order(spark, sf_dir):
+    """The metadata's columns, one moved to the left and one dropped that differs from another only by case."""
+    moved = metadata.moved_column(views.metadata(spark, sf_dir), "segment", -1)
+    return spark.createDataFrame(list(enumerate(metadata.distinct_columns([*moved.columns, "Nation"]))), "place int, name string")
+
+
+@register("kept_subtree", f"WITH {views.TREE}, {views.META}, k AS (SELECT ID FROM meta WHERE nation = 'FRANCE' OR segment = 'MACHINERY') SELECT ID AS node_id FROM k")
+def _kept_subtree(spark, sf_dir):
+    """The leaves that are left when the leaves of some records are kept and all others go."""
+    nodes = views.tree(spark, sf_dir)
+    keep = views.metadata(spark, sf_dir).filter("nation = 'FRANCE' or segment = 'MACHINERY'").select(F.col("ID").alias("node_id"))
+    return tree.induced(nodes, nodes.join(keep, "node_id", "left_semi")).filter("not is_hypo").select("node_id")
