@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from cladewise.llm import op1_url_filter as op1
 from cladewise.llm import op10_quality_classifier as op10
+from cladewise.llm import op11_resample as op11
 from cladewise.llm import op2_html_extract as op2
 from cladewise.llm import op3_decontaminate as op3
 from cladewise.llm import op4_license_scan as op4
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_token_counts": op8.op8_token_counts,
     "op9_quality_rules": op9.op9_quality_rules,
     "op10_quality_classifier": op10.op10_quality_classifier,
+    "op11_resample": op11.op11_resample,
     "quality_ablations": op9.quality_ablations,
 }
 ORACLE_SQL = {
@@ -31,5 +33,6 @@ ORACLE_SQL = {
     "op4_license_scan": op4.OP4_SQL,
     "op6_near_dedup": op6.OP6_SQL,
     "op9_quality_rules": op9.OP9_SQL,
+    "op11_resample": op11.OP11_SQL,
     "quality_ablations": op9.ABLATIONS_SQL,
 }
