@@ -5,6 +5,7 @@ from __future__ import annotations
 from cladewise.llm import op1_url_filter as op1
 from cladewise.llm import op10_quality_classifier as op10
 from cladewise.llm import op11_resample as op11
+from cladewise.llm import op13_ranked_search as op13
 from cladewise.llm import op2_html_extract as op2
 from cladewise.llm import op3_decontaminate as op3
 from cladewise.llm import op4_license_scan as op4
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_quality_rules": op9.op9_quality_rules,
     "op10_quality_classifier": op10.op10_quality_classifier,
     "op11_resample": op11.op11_resample,
+    "op13_ranked_search": op13.op13_ranked_search,
     "quality_ablations": op9.quality_ablations,
 }
 ORACLE_SQL = {
@@ -34,5 +36,6 @@ ORACLE_SQL = {
     "op6_near_dedup": op6.OP6_SQL,
     "op9_quality_rules": op9.OP9_SQL,
     "op11_resample": op11.OP11_SQL,
+    "op13_ranked_search": op13.OP13_SQL,
     "quality_ablations": op9.ABLATIONS_SQL,
 }
