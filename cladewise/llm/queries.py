@@ -5,6 +5,7 @@ from __future__ import annotations
 from cladewise.llm import op1_url_filter as op1
 from cladewise.llm import op10_quality_classifier as op10
 from cladewise.llm import op11_resample as op11
+from cladewise.llm import op12_context_tree as op12
 from cladewise.llm import op13_ranked_search as op13
 from cladewise.llm import op2_html_extract as op2
 from cladewise.llm import op3_decontaminate as op3
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_quality_rules": op9.op9_quality_rules,
     "op10_quality_classifier": op10.op10_quality_classifier,
     "op11_resample": op11.op11_resample,
+    "op12_context_tree": op12.op12_context_tree,
     "op13_ranked_search": op13.op13_ranked_search,
     "quality_ablations": op9.quality_ablations,
 }
