@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cladewise.functions import kernels
 from cladewise.functions.estimate import estimate
 from cladewise.model import CategorySpec, DistanceSpec
-from cladewise.operators import components, distance, evaluate, grid, metadata, mst, profile, rank, tree
+from cladewise.operators import components, distance, evaluate, grid, metadata, mst, near, profile, rank, tree
 from cladewise.plans import views
 from cladewise.plans.storage import written
 from cladewise.sources import sinks, trees
@@ -231,8 +231,27 @@ SELECT src, dst, CAST(floor(cost) AS BIGINT) AS length FROM (SELECT *, row_numbe
 def _shortcuts(spark, sf_dir):
     nodes, spec = mst.ready(views.orders_profile(spark, sf_dir)), DistanceSpec("asymmetric")
     n = nodes.count()
-    near = distance.pairs(nodes.select("rep", "alleles"), spec, "rep", below=kernels.cutoff(n) + 1)
-    return mst.shortcuts(near, written(rank.ranks(nodes, spec, "harmonic"), "ranks").df, n)
+    ranks = written(rank.ranks(nodes, spec, "harmonic"), "ranks").df
+    return mst.shortcuts(near.best_sources(nodes, ranks, spec, kernels.cutoff(n) + 1), ranks, n)
+
+
+_NEAR = f"WITH {views.P1}, {views.REPS} SELECT a.sid AS src, b.sid AS dst, CAST(count(*) FILTER (a.allele <> b.allele) AS DOUBLE) AS d FROM p a JOIN p b ON a.locus = b.locus WHERE a.sid < b.sid GROUP BY 1, 2 HAVING count(*) FILTER (a.allele <> b.allele) < 14"
+
+
+@register("near_pairs", _NEAR)
+def _near(spark, sf_dir):
+    """Profiles that differ at 13 of 24 loci at most."""
+    return near.near_pairs(_reps(views.events_profile(spark, sf_dir)), DistanceSpec(missing="as_allele"), 14)
+
+
+@register(
+    "near_targets",
+    f"WITH {views.P1}, {views.REPS}, {_DIRECTED} SELECT dst, count(*) AS n, round(min(d), 6) AS nearest FROM e WHERE d < 13 GROUP BY dst",
+)
+def _near_targets(spark, sf_dir):
+    """How many sources a profile has at a directed distance below 13, and how far the nearest is."""
+    found = near.near_pairs(_reps(views.events_profile(spark, sf_dir)), DistanceSpec("asymmetric"), 13)
+    return found.groupBy("dst").agg(F.count("*").alias("n"), F.round(F.min("d"), 6).alias("nearest"))
 
 
 @register(
