@@ -16,8 +16,8 @@ from cladewise.operators.profile import dedup, drop_empty, indexed
 from cladewise.operators.rank import ranks as node_ranks
 from cladewise.plans.storage import written
 
-#: Nodes that a tree kernel whose steps follow one another takes at most (on the driver, some 40 bytes for each pair of them).
-MAX_DENSE = 20_000
+#: Nodes that a tree kernel whose steps follow one another takes at most, as measured (on the driver, some 40 bytes for each pair of them).
+MAX_DENSE = 10_000
 
 #: Edges (after each task has dropped those that close a cycle among its own) that one task finishes; more go through Boruvka's rounds.
 MAX_KRUSKAL = 2_000_000
@@ -177,36 +177,52 @@ def dense(nodes: DataFrame, spec: DistanceSpec, ranks: DataFrame) -> tuple[list,
     return names, d, rows.column("rank").to_numpy()
 
 
+def _ranked(packed: DataFrame, spec: TreeSpec) -> tuple[DataFrame, DistanceSpec, DataFrame]:
+    """The distinct profiles, the distance by which a tree is made of them, and their ranks."""
+    nodes = ready(packed)
+    dist = spec.distance if spec.method in ("MSTree", "distance") else DistanceSpec("symmetric", spec.distance.missing)
+    heuristic = "eBurst" if spec.method == "goeBurst" else spec.heuristic
+    return nodes, dist, written(node_ranks(nodes, dist, heuristic), "ranks").df
+
+
+def _lengths(edges: DataFrame, nodes: DataFrame, dist: DistanceSpec) -> DataFrame:
+    """``src, dst, length`` of the tree's edges: the loci that differ, or for blockwise distances the distance itself."""
+    if dist.matrix == "blockwise":
+        return edges.select(F.col("u").alias("src"), F.col("v").alias("dst"), (F.col("key.r") / 10000).alias("length"))
+    return link_lengths(edges.select(F.col("u").alias("src"), F.col("v").alias("dst")), nodes, dist.missing)
+
+
+def tree_table(packed: DataFrame, spec: TreeSpec) -> tuple[DataFrame, DataFrame]:
+    """The distinct profiles, and the edges ``src, dst, length`` of a tree of undirected distances without rearrangement: a table from end to end, of any size."""
+    spec = spec.resolved()
+    nodes, dist, ranks = _ranked(packed, spec)
+    if spec.method not in ("MSTree", "goeBurst") or dist.directed or spec.recraft:
+        raise ValueError(f"a tree of method {spec.method} is made on the driver")
+    return nodes, _lengths(spanning_tree(block_forests(nodes, ranks, dist, 10000 if dist.matrix == "blockwise" else 1)), nodes, dist)
+
+
 def tree_edges(packed: DataFrame, spec: TreeSpec) -> tuple[DataFrame, list]:
     """The distinct profiles, and the tree's edges [source, target, length] between names."""
     spec = spec.resolved()
-    nodes = ready(packed)
+    if spec.method in ("MSTree", "goeBurst") and not spec.distance.directed and not spec.recraft:
+        nodes, edges = tree_table(packed, spec)
+        return nodes, [[r["src"], r["dst"], r["length"]] for r in edges.collect()]
+    nodes, dist, ranks = _ranked(packed, spec)
     n = nodes.count()
     loci = nodes.select(F.size("alleles")).first()[0] if n else 0
     if n < 2:
         return nodes, []
-    dist = spec.distance if spec.method in ("MSTree", "distance") else DistanceSpec("symmetric", spec.distance.missing)
-    heuristic = "eBurst" if spec.method == "goeBurst" else spec.heuristic
-    ranks = written(node_ranks(nodes, dist, heuristic), "ranks").df
+    names, d, rank = dense(nodes, dist, ranks)
     if spec.method in ("NJ", "RapidNJ", "ninja", "fastme"):
-        names, d, _ = dense(nodes, dist, ranks)
         edges = kernels.neighbour_joining(d, weighted=spec.method == "fastme")
         return nodes, [[names[a] if a < n else ("inner", a), names[b] if b < n else ("inner", b), x] for a, b, x in edges]
-    if dist.directed or spec.recraft:
-        names, d, rank = dense(nodes, dist, ranks)
-        if dist.directed:
-            edges = kernels.directed_tree(d, rank)
-        else:
-            place = {name: i for i, name in enumerate(names)}
-            edges = [[place[r["u"]], place[r["v"]], r["key"]["r"]] for r in spanning_tree(block_forests(nodes, ranks, dist)).collect()]
-        if spec.recraft:
-            edges = kernels.recraft(edges, d, rank, loci)
-        found = [[names[s], names[t], x] for s, t, x in edges]
+    if dist.directed:
+        edges = kernels.directed_tree(d, rank)
     else:
-        scale = 10000 if dist.matrix == "blockwise" else 1
-        found = [[r["u"], r["v"], r["key"]["r"] / scale] for r in spanning_tree(block_forests(nodes, ranks, dist, scale)).collect()]
-    if dist.matrix != "blockwise":
-        kind = dict(nodes.dtypes)["rep"]
-        table = nodes.sparkSession.createDataFrame([(s, t) for s, t, _ in found], f"src {kind}, dst {kind}")
-        found = [[r["src"], r["dst"], r["length"]] for r in link_lengths(table, nodes, dist.missing).collect()]
-    return nodes, found
+        place = {name: i for i, name in enumerate(names)}
+        edges = [[place[r["u"]], place[r["v"]], r["key"]["r"]] for r in spanning_tree(block_forests(nodes, ranks, dist)).collect()]
+    if spec.recraft:
+        edges = kernels.recraft(edges, d, rank, loci)
+    kind = dict(nodes.dtypes)["rep"]
+    table = nodes.sparkSession.createDataFrame([(names[s], names[t], None) for s, t, _ in edges], f"u {kind}, v {kind}, key int")
+    return nodes, [[r["src"], r["dst"], r["length"]] for r in _lengths(table, nodes, dist).collect()]

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cladewise.operators import climb
+from cladewise.operators.numbering import numbered
 from cladewise.plans.storage import written
 
 
@@ -121,27 +122,18 @@ def midpoint(nodes: list[tuple]) -> list[tuple]:
 
 
 def root_frame(edges: DataFrame, root) -> DataFrame:
-    """``node, parent, length, depth`` of a tree's undirected edges ``u, v, length`` as seen from ``root``.
+    """``node, parent, length, depth`` of a tree's undirected edges ``u, v, length`` as seen from ``root``, by ranks along a tour."""
+    return climb.rooted(edges, root)
 
-    One task walks the edges: a tree has a row for each node, where its distances had one for each pair.
-    """
-    kind = dict(edges.dtypes)["u"]
-
-    def walk(table: pa.Table) -> pa.Table:
-        near: dict = {}
-        for u, v, x in zip(*(table.column(c).to_pylist() for c in ("u", "v", "length")), strict=True):
-            near.setdefault(u, []).append((v, x))
-            near.setdefault(v, []).append((u, x))
-        out, stack = [], [(root, None, 0.0, 0)]
-        while stack:
-            row = stack.pop()
-            out.append(row)
-            stack += [(v, row[0], x, row[3] + 1) for v, x in near.get(row[0], []) if v != row[1]]
-        nodes = table.schema.field("u").type
-        types = (nodes, nodes, pa.float64(), pa.int32())
-        return pa.table({name: pa.array([r[i] for r in out], types[i]) for i, name in enumerate(("node", "parent", "length", "depth"))})
 
-    return edges.select("u", "v", "length").groupBy(F.lit("all")).applyInArrow(walk, f"node {kind}, parent {kind}, length double, depth int")
+def shown_nodes(frame: DataFrame) -> DataFrame:
+    """``node, parent, name, length`` (text) of a rooted frame as it is written: an inner sample becomes an unnamed node with a leaf of length 0."""
+    text = lambda c: F.col(c).cast("string")
+    inner = frame.filter("parent is not null").select(text("parent").alias("_inner")).distinct()
+    rows = frame.select(text("node").alias("node"), text("parent").alias("parent"), "length").join(inner, F.col("node") == F.col("_inner"), "left")
+    named = rows.select("node", "parent", F.when(F.col("_inner").isNull(), F.col("node")).alias("name"), "length")
+    leaves = inner.select(F.concat(F.lit("leaf_"), "_inner").alias("node"), F.col("_inner").alias("parent"), F.col("_inner").alias("name"), F.lit(0.0).alias("length"))
+    return named.union(leaves)
 
 
 def clean_length(length: Column) -> Column:
@@ -160,22 +152,8 @@ def collapse(nodes: DataFrame, threshold: float, force: DataFrame | None = None,
         joined = joined.join(keep.select("node_id").distinct().withColumn("_k", F.lit(True)), "node_id", "left").filter("_k is null or value <= 0").drop("_k")
     if force is not None:
         joined = joined.union(links.join(force.select("node_id").distinct(), "node_id", "left_semi").select(*joined.columns))
-    up = joined.select(F.col("node_id").alias("_n"), F.col("parent_id").alias("_up")).distinct()
-    now = nodes.select("node_id").join(up, F.col("node_id") == F.col("_n"), "left").select("node_id", F.coalesce("_up", "node_id").alias("group_id"))
-    return _to_tops(now)
-
-
-def _to_tops(now: DataFrame) -> DataFrame:
-    """``node_id, group_id`` followed to the end of each chain, by doubling: a join for each power of two of the longest."""
-    now = written(now, "tops")
-    while True:
-        ahead = now.df.select(F.col("node_id").alias("_n"), F.col("group_id").alias("_g")).filter("_n <> _g")
-        step = now.df.join(ahead, F.col("group_id") == F.col("_n"), "left").select("node_id", F.coalesce("_g", "group_id").alias("group_id"), F.col("_g").isNotNull().alias("moved"))
-        after = written(step, "tops")
-        now.drop()
-        now = after
-        if now.df.filter("moved").isEmpty():
-            return now.df.select("node_id", "group_id")
+    ends = climb.followed(joined.select(F.col("node_id").alias("at"), F.col("parent_id").alias("to"), F.lit(1).cast("long").alias("n")).distinct())
+    return nodes.select("node_id").join(ends.select(F.col("at").alias("node_id"), "to"), "node_id", "left").select("node_id", F.coalesce("to", "node_id").alias("group_id"))
 
 
 def group_labels(nodes: DataFrame, groups: DataFrame) -> DataFrame:
@@ -203,33 +181,19 @@ def auto_threshold(nodes: DataFrame, most: int = 20000) -> float:
 def induced(nodes: DataFrame, keep: DataFrame) -> DataFrame:
     """The tree of the kept leaves: ``node_id, parent_id, length, is_hypo``. Hypothetical nodes without two branches go, and the lengths along a removed chain add up.
 
-    Two passes, each of as many joins as the tree is deep in powers of two: ancestors of the kept leaves by doubled parent pointers, then chains by the same doubling.
+    Two climbs, each in rounds that double: marks from the kept nodes up, and along the chains of nodes that go.
     """
-    live = written(nodes.join(_ancestors(nodes, keep), "node_id", "left_semi").select("node_id", "parent_id", clean_length(F.col("length")).alias("length"), "is_hypo"), "live").df
+    live = nodes.join(climb.at_or_above(nodes, keep), "node_id", "left_semi").select("node_id", "parent_id", clean_length(F.col("length")).alias("length"), "is_hypo")
     degree = live.groupBy(F.col("parent_id").alias("node_id")).agg(F.count("*").alias("children"))
-    marked = live.join(degree, "node_id", "left").withColumn("children", F.coalesce("children", F.lit(0)))
     # A chain node is passed over: hypothetical, with one child.
-    marked = written(marked.withColumn("passed", F.col("is_hypo") & (F.col("children") <= 1)), "marked").df
-    state = marked.filter("not passed").select("node_id", "parent_id", "length", "is_hypo")
-    hop = marked.filter("passed").select(F.col("node_id").alias("h"), F.col("parent_id").alias("hp"), F.col("length").alias("hl"))
-    while True:
-        state = written(state.join(hop, F.col("parent_id") == F.col("h"), "left").select("node_id", F.when(F.col("h").isNull(), F.col("parent_id")).otherwise(F.col("hp")).alias("parent_id"), F.when(F.col("h").isNull(), F.col("length")).otherwise(F.col("length") + F.col("hl")).alias("length"), "is_hypo"), "state").df
-        if state.join(hop, F.col("parent_id") == F.col("h"), "left_semi").isEmpty():
-            return state.withColumn("length", F.when(F.col("parent_id").isNull(), F.lit(None)).otherwise(F.col("length")))
-        two = hop.alias("x").join(hop.alias("y"), F.col("x.hp") == F.col("y.h"), "left")
-        hop = written(two.select(F.col("x.h").alias("h"), F.when(F.col("y.h").isNull(), F.col("x.hp")).otherwise(F.col("y.hp")).alias("hp"), (F.col("x.hl") + F.coalesce("y.hl", F.lit(0.0))).alias("hl")), "hop").df
-
-
-def _ancestors(nodes: DataFrame, keep: DataFrame) -> DataFrame:
-    """``node_id`` of the kept nodes and all above them."""
-    found = nodes.join(keep.select("node_id").distinct(), "node_id", "left_semi").select("node_id")
-    found = written(found, "found").df
-    while True:
-        up = found.join(nodes.select("node_id", "parent_id"), "node_id").select(F.col("parent_id").alias("node_id")).filter("node_id is not null").distinct()
-        more = written(up.join(found, "node_id", "left_anti"), "more").df
-        if more.isEmpty():
-            return found
-        found = written(found.union(more), "found").df
+    passed = F.col("is_hypo") & (F.coalesce("children", F.lit(0)) <= 1)
+    marked = written(live.join(degree, "node_id", "left").withColumn("passed", passed).drop("children"), "marked").df
+    # A chain that ends at the root has no node above it.
+    hop = climb.followed(marked.filter("passed").select(F.col("node_id").alias("at"), F.col("parent_id").alias("to"), F.col("length").alias("n")))
+    hop = hop.select(F.col("at").alias("_at"), F.col("to").alias("_to"), F.col("n").alias("_n"))
+    state = marked.filter("not passed").join(hop, F.col("parent_id") == F.col("_at"), "left")
+    parent, length = F.when(F.col("_at").isNull(), F.col("parent_id")).otherwise(F.col("_to")), F.col("length") + F.coalesce("_n", F.lit(0.0))
+    return state.select("node_id", parent.alias("parent_id"), F.when(parent.isNotNull(), length).alias("length"), "is_hypo")
 
 
 def without(nodes: DataFrame, gone: DataFrame) -> DataFrame:
@@ -253,15 +217,31 @@ def in_rectangle(layout: DataFrame, x0: float, y0: float, x1: float, y1: float)
 
 
 def descendants(nodes: DataFrame, top: DataFrame) -> DataFrame:
-    """``top_id, node_id`` of every node below (or at) each node of ``top``: one join for each level below."""
-    down = nodes.select(F.col("parent_id").alias("_p"), F.col("node_id").alias("_c")).filter("_p is not null")
-    level = nodes.join(top.select("node_id").distinct(), "node_id", "left_semi").select(F.col("node_id").alias("top_id"), "node_id")
-    out = level
-    while True:
-        level = written(level.join(down, F.col("node_id") == F.col("_p")).select("top_id", F.col("_c").alias("node_id")), "level").df
-        if level.isEmpty():
-            return out
-        out = out.union(level)
+    """``top_id, node_id`` of every node below (or at) each node of ``top``."""
+    return climb.pairs_below(nodes, top)
+
+
+def tagged(nodes: DataFrame, chosen: DataFrame) -> DataFrame:
+    """``nodes`` with ``tagged``: whether a node lies below a chosen one."""
+    under = climb.nearest(nodes, chosen).select(F.col("node_id").alias("_above"))
+    return nodes.join(under, F.col("parent_id") == F.col("_above"), "left").withColumn("tagged", F.col("_above").isNotNull()).drop("_above")
+
+
+def tracked(nodes: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The links (``source, target``) on the ways from the chosen nodes up to the root."""
+    return nodes.filter("parent_id is not null").join(climb.at_or_above(nodes, chosen), "node_id", "left_semi").select(F.col("parent_id").alias("source"), F.col("node_id").alias("target"))
+
+
+def highlighted(groups: DataFrame, wanted: DataFrame, by: str = "id") -> DataFrame:
+    """``group_id, highlighted`` of each group of ``node_id, group_id``: whether ``wanted`` (``id``) names a member, or with ``by='node'`` the group itself."""
+    column = "node_id" if by == "id" else "group_id"
+    hit = groups.join(wanted.select(F.col("id").alias(column)).distinct(), column, "left_semi").select("group_id").distinct().withColumn("_hit", F.lit(True))
+    return groups.select("group_id").distinct().join(hit, "group_id", "left").select("group_id", F.col("_hit").isNotNull().alias("highlighted"))
+
+
+def all_ids(nodes: DataFrame) -> DataFrame:
+    """``node_id`` of all nodes that stand for samples."""
+    return nodes.filter("not is_hypo and node_id not like '\\_hypo\\_%'").select("node_id")
 
 
 def find_links(links: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -315,4 +295,4 @@ def select_all(nodes: DataFrame, chosen: bool = True) -> DataFrame:
 
 def listing(nodes: DataFrame) -> DataFrame:
     """``node_id, place``: the named nodes in order of their names, numbered from 1."""
-    return nodes.filter("not is_hypo").select("node_id", F.expr("row_number() over (order by node_id)").cast("long").alias("place"))
+    return numbered(nodes.filter("not is_hypo").select("node_id"), ["node_id"])

@@ -264,10 +264,10 @@ UNION ALL SELECT 'leaf_' || CAST(node AS VARCHAR), CAST(node AS VARCHAR), CAST(n
 )
 def _rooted_tree(spark, sf_dir):
     """The tree as it is written: rooted at the source of the longest edge, inner samples with a leaf of length 0."""
-    edges = [[r["u"], r["v"], r["length"]] for r in _mst_table(spark, sf_dir)[1].orderBy(F.desc("length"), "u", "v").collect()]
-    text = lambda v: None if v is None else f"leaf_{v[1]}" if isinstance(v, tuple) else str(v)
-    rows = [(text(v), text(up), name, float(x)) for v, up, name, x in tree.rooted_nodes(edges, [])]
-    return spark.createDataFrame(rows, "node string, parent string, name string, length double")
+    edges = _mst_table(spark, sf_dir)[1].withColumn("length", F.col("length").cast("double"))
+    edges = written(edges, "edges").df
+    longest = edges.orderBy(F.desc("length"), "u", "v").first()
+    return tree.shown_nodes(tree.root_frame(edges, longest["u"]))
 
 
 @register(

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from cladewise.model import DistanceSpec, TreeSpec
 from cladewise.operators import distance, evaluate, grid, metadata, mst, profile, tree
 from cladewise.plans import views
 from cladewise.plans.catalog import _CLIMB, _DIFFER, _EBURST, _PAIRS, _minimax, register
-from cladewise.plans.storage import shared_dir
+from cladewise.plans.storage import written
 from cladewise.sources import profile_files, sinks, trees
 
 PROFILE = "## comment\n#Strain\tST\t#note\tL1\tL2\tL3\na\t1\tx\t1\t2\t3\nb\t1\tx\t1\t2\t3\nc d\t2\ty\t-\t2\t0\ne\t3\ty\t0\tn\t-\n"
@@ -71,6 +69,44 @@ def _descendants(spark, sf_dir):
     return tree.descendants(nodes, nodes.filter("depth = 1"))
 
 
+_BUILDING = "k AS (SELECT 'c' || c_custkey AS node_id FROM customer WHERE c_mktsegment = 'BUILDING' UNION ALL SELECT 'n' || n_nationkey FROM nation WHERE n_regionkey = 1)"
+
+
+def _building(spark, sf_dir):
+    """Customers of a market segment and nations of a region, as nodes."""
+    leaves = views.table(spark, sf_dir, "customer").filter("c_mktsegment = 'BUILDING'").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("node_id"))
+    return leaves.union(views.table(spark, sf_dir, "nation").filter("n_regionkey = 1").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string"))))
+
+
+@register("tagged_nodes", (
+    f"WITH RECURSIVE {views.TREE}, {_BUILDING}, d(node_id) AS (SELECT t.node_id FROM tree t JOIN k ON k.node_id = t.parent_id UNION SELECT t.node_id FROM d "
+    f"JOIN tree t ON t.parent_id = d.node_id) SELECT node_id, node_id IN (SELECT node_id FROM d) AS tagged FROM tree"
+))
+def _tagged(spark, sf_dir):
+    """Nodes below the chosen ones."""
+    return tree.tagged(views.tree(spark, sf_dir), _building(spark, sf_dir)).select("node_id", "tagged")
+
+
+@register("tracked_links", (
+    f"WITH RECURSIVE {views.TREE}, {_BUILDING}, u(node_id) AS (SELECT node_id FROM k UNION SELECT t.parent_id FROM u JOIN tree t ON t.node_id = u.node_id "
+    f"WHERE t.parent_id IS NOT NULL) SELECT t.parent_id AS source, t.node_id AS target FROM tree t JOIN u ON u.node_id = t.node_id WHERE t.parent_id IS NOT NULL"
+))
+def _tracked(spark, sf_dir):
+    """Links on the ways from the chosen nodes to the root."""
+    return tree.tracked(views.tree(spark, sf_dir), _building(spark, sf_dir))
+
+
+@register("highlighted_groups", f"{_CLIMB}, {_BUILDING} SELECT group_id, bool_or(node_id IN (SELECT node_id FROM k)) AS highlighted FROM groups GROUP BY group_id")
+def _highlighted(spark, sf_dir):
+    """Collapsed groups of which a member is chosen."""
+    return tree.highlighted(tree.collapse(views.tree(spark, sf_dir), 1.0), _building(spark, sf_dir).withColumnRenamed("node_id", "id"))
+
+
+@register("all_ids", f"WITH {views.TREE} SELECT node_id FROM tree WHERE NOT is_hypo")
+def _all_ids(spark, sf_dir):
+    return tree.all_ids(views.tree(spark, sf_dir))
+
+
 @register("find_links", f"WITH {views.TREE} SELECT parent_id AS source, node_id AS target, length AS value FROM tree WHERE node_id IN ('n3', 'n4') AND (node_id = 'n4' OR parent_id = 'r1')")
 def _find(spark, sf_dir):
     links = views.tree(spark, sf_dir).filter("parent_id is not null").select(F.col("parent_id").alias("source"), F.col("node_id").alias("target"), F.col("length").alias("value"))
@@ -338,10 +374,8 @@ def _gradient(spark, sf_dir):
 
 
 def _text_file(df, name: str) -> str:
-    """The lines of a DataFrame ``line, ord`` as one text in the shared folder, for scans of what the tables hold."""
-    path = f"{shared_dir(df.sparkSession)}/cladewise-{name}-{uuid.uuid4().hex}"
-    df.orderBy("ord").select("line").coalesce(1).write.text(path)
-    return path
+    """The lines of a DataFrame ``line, ord`` as a folder of text files in order, for scans of what the tables hold."""
+    return written(df.orderBy("ord").select("line"), name, "text").path
 
 
 @register("profile_of_table", f"WITH {views.P1} SELECT CAST(sid AS VARCHAR) AS sample, CAST(locus AS INT) AS locus, CAST(allele AS VARCHAR) AS allele FROM cells")
@@ -374,8 +408,8 @@ def _newick_of_table(spark, sf_dir):
 ))
 def _goeburst(spark, sf_dir):
     """The spanning tree of the events profile with eBurst ranks, and the loci that differ along its edges."""
-    _, edges = mst.tree_edges(views.events_profile(spark, sf_dir), TreeSpec("goeBurst"))
-    return spark.createDataFrame([(min(s, t), max(s, t), float(x)) for s, t, x in edges], "src long, dst long, length double")
+    edges = mst.tree_table(views.events_profile(spark, sf_dir), TreeSpec("goeBurst"))[1]
+    return edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), F.col("length").cast("double").alias("length"))
 
 
 @register("run_names", "SELECT p_partkey, regexp_extract(p_brand, '^[^_.]+') AS method, CASE WHEN p_size % 2 = 0 THEN CAST(p_size AS DOUBLE) END AS rate FROM part")

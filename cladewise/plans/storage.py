@@ -1,7 +1,8 @@
 """Tables that cut lineage: written to the folder every executor shares.
 
-The folder is the one the session names in ``spark.checkpoint.dir``. Only a
-local session (as in tests) that names none gets a folder of its own.
+The folder is the one the session names in ``spark.checkpoint.dir``. A local
+session that names none (as a shell does) has its warehouse; on a cluster that is
+an error.
 """
 
 from __future__ import annotations
@@ -12,8 +13,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-LOCAL_FALLBACK = "file:/tmp/checkpoints/cladewise"
-
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder, without a trailing slash."""
@@ -21,7 +20,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = LOCAL_FALLBACK
+        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints"
     return base.rstrip("/")
 
 
@@ -53,13 +52,13 @@ def small_batches(spark: SparkSession, rows: int):
 
 
 class Written:
-    """A DataFrame written as Parquet and read again; ``drop()`` deletes the files."""
+    """A DataFrame written as Parquet (or, with one string column, as lines of text) and read again; ``drop()`` deletes the files."""
 
-    def __init__(self, df: DataFrame, name: str = "table"):
+    def __init__(self, df: DataFrame, name: str = "table", form: str = "parquet"):
         spark = df.sparkSession
         self.path = f"{shared_dir(spark)}/cladewise-{name}-{uuid.uuid4().hex}"
-        df.write.parquet(self.path)
-        self.df = spark.read.schema(df.schema).parquet(self.path)
+        df.write.format(form).save(self.path)
+        self.df = spark.read.schema(df.schema).format(form).load(self.path)
         _kept.add(self.path)
         if (tables := _made.get()) is not None:
             tables.append(self)
@@ -83,6 +82,6 @@ def sweep(spark: SparkSession) -> int:
     return len(left)
 
 
-def written(df: DataFrame, name: str = "table") -> Written:
+def written(df: DataFrame, name: str = "table", form: str = "parquet") -> Written:
     """Write ``df`` to the shared folder and return the table read back."""
-    return Written(df, name)
+    return Written(df, name, form)

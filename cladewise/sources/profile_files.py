@@ -14,10 +14,12 @@ SKIPPED_COLUMNS = ("st_id", "st")
 
 
 def lines(spark: SparkSession, source: str) -> DataFrame:
-    """``line, ord``: of a literal text (it holds a newline), or of a file or folder (gzip by its name)."""
+    """``line, ord``: of a literal text (it holds a newline), or of a file or folder (gzip by its name), whose files follow one another by name."""
     if "\n" in source:
         return spark.createDataFrame(list(enumerate(source.split("\n"))), "ord long, line string").select("line", "ord")
-    return spark.read.text(source).withColumnRenamed("value", "line").withColumn("ord", F.monotonically_increasing_id())
+    # A line's place: its file, its block of the file, and its place in the task that reads the block.
+    place = [F.lpad(c.cast("string"), 20, "0") for c in (F.col("_metadata.file_block_start"), F.monotonically_increasing_id())]
+    return spark.read.text(source).select(F.col("value").alias("line"), F.concat_ws(" ", "_metadata.file_path", *place).alias("ord"))
 
 
 def header(rows: DataFrame) -> tuple[list[str], bool]:

@@ -2,6 +2,7 @@
 
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -17,7 +18,8 @@ def spark():
 
     session = (
         SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "3g").getOrCreate()
+        .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "3g")
+        .config("spark.checkpoint.dir", f"file:{tempfile.mkdtemp(prefix='spark-')}").getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
