@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cladewise.operators.numbering import numbered
+
 #: Upper-cased tokens that stand for a missing allele; the empty string is an allele.
 MISSING = ("0", "N", "-")
 
@@ -73,11 +75,8 @@ def dedup(packed: DataFrame) -> DataFrame:
 
 
 def indexed(reps: DataFrame) -> DataFrame:
-    """``reps`` with ``idx`` from 0 in the order of the last locus, then the one before it, and so on.
-
-    The order is global, so one task numbers the rows; there are as many as the tree has nodes.
-    """
-    return reps.withColumn("idx", F.expr("row_number() over (order by reverse(alleles)) - 1"))
+    """``reps`` with ``idx`` from 0 in the order of the last locus, then the one before it, and so on."""
+    return numbered(reps, [F.reverse("alleles")], "idx").withColumn("idx", F.col("idx") - 1)
 
 
 def call_alleles(sequences: DataFrame, window: int = 900, step: int = 1000) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from cladewise.model import DistanceSpec
 from cladewise.operators.distance import by_blocks
+from cladewise.operators.numbering import numbered
 from cladewise.plans.storage import written
 
 
@@ -25,7 +26,12 @@ def harmonic(full: DataFrame, nodes: DataFrame) -> DataFrame:
 def _by_sums(sums: DataFrame, nodes: DataFrame) -> DataFrame:
     n = nodes.count()
     weight = F.round(n / (F.coalesce("s", F.lit(0.0)) + 10), 9)
-    return nodes.join(sums, "rep", "left").withColumn("w", weight).select("rep", F.expr("cast(row_number() over (order by w, -size, idx) - 1 as int)").alias("rank"))
+    return _placed(nodes.join(sums, "rep", "left").select("rep", weight.alias("w"), "size", "idx"), ["w", F.desc("size"), "idx"])
+
+
+def _placed(rows: DataFrame, order: list) -> DataFrame:
+    """``rep, rank`` from 0 in an order."""
+    return numbered(rows, order, "place").select("rep", (F.col("place") - 1).cast("int").alias("rank"))
 
 
 def eburst(full: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -34,12 +40,13 @@ def eburst(full: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _by_bins(bins: DataFrame, nodes: DataFrame) -> DataFrame:
-    top = bins.agg(F.max("bin")).first()[0] or 0
-    maps = bins.groupBy("rep").agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("m"))
-    at = lambda i: F.coalesce(F.element_at("m", i), F.lit(0))
-    far = F.transform(F.sequence(F.lit(1), F.lit(top)), lambda i: -at(i)) if top >= 1 else F.array().cast("array<bigint>")
-    key = F.concat(far, F.array(-(at(F.lit(0)) + 1 + F.col("size"))))
-    return nodes.join(maps, "rep", "left").withColumn("key", key).select("rep", F.expr("cast(row_number() over (order by key, idx) - 1 as int)").alias("rank"))
+    """Lists of (distance, -count), nearest first, compare as the counts at every distance would: of two lists the one that goes on has more where the other has none, so each ends behind all distances."""
+    last = 2**31 - 1
+    far = F.array_sort(F.collect_list(F.when(F.col("bin") >= 1, F.struct("bin", (-F.col("n")).alias("n")))))
+    lists = bins.groupBy("rep").agg(far.alias("far"), F.sum(F.when(F.col("bin") == 0, F.col("n")).otherwise(0)).alias("same"))
+    end = F.array(F.struct(F.lit(last).alias("bin"), (-(F.coalesce("same", F.lit(0)) + 1 + F.col("size"))).alias("n")))
+    none = F.array().cast("array<struct<bin:int,n:bigint>>")
+    return _placed(nodes.join(lists, "rep", "left").select("rep", F.concat(F.coalesce("far", none), end).alias("key"), "idx"), ["key", "idx"])
 
 
 def _ends(left: pa.Table, right: pa.Table, d: np.ndarray, same: bool, directed: bool) -> Iterator[tuple[pa.Array, np.ndarray]]:
