@@ -27,24 +27,25 @@ def _told(df: DataFrame, flag: str, name: str) -> tuple[Written, int]:
 
 
 def followed(pointers: DataFrame, longest: int | None = None) -> DataFrame:
-    """``at, to, n`` with ``to`` followed until it names no row (or is null), and ``n`` added up on the way.
+    """``at, to`` and sums, with ``to`` followed until it names no row (or is null), and all other columns added up on the way.
 
     Pointers on a circle never end: with ``longest``, the rounds end where a way of so many steps has; rows that still point at a row are on a circle.
     """
-    now = written(pointers.select("at", "to", "n", F.lit(True).alias("moved")), "pointers")
-    way = 1
+    sums = [c for c in pointers.columns if c not in ("at", "to")]
+    now = written(pointers.select("at", "to", *sums, F.lit(True).alias("moved")), "pointers")
+    way, on = 1, F.col("_at").isNotNull()
     while longest is None or way < longest:
-        other = now.df.select(F.col("at").alias("_at"), F.col("to").alias("_to"), F.col("n").alias("_n"))
-        step = now.df.select("at", "to", "n", F.lit(False).alias("moved"))
+        other = now.df.select(F.col("at").alias("_at"), F.col("to").alias("_to"), *[F.col(c).alias(f"_{c}") for c in sums])
+        step = now.df.select("at", "to", *sums, F.lit(False).alias("moved"))
         for _ in range(STEPS):
-            on = F.col("_at").isNotNull()
-            step = step.join(other, step["to"] == other["_at"], "left").select("at", F.when(on, F.col("_to")).otherwise(F.col("to")).alias("to"), (F.col("n") + F.when(on, F.col("_n")).otherwise(0)).alias("n"), (F.col("moved") | on).alias("moved"))
+            added = [(F.col(c) + F.when(on, F.col(f"_{c}")).otherwise(0)).alias(c) for c in sums]
+            step = step.join(other, step["to"] == other["_at"], "left").select("at", F.when(on, F.col("_to")).otherwise(F.col("to")).alias("to"), *added, (F.col("moved") | on).alias("moved"))
         after, moved = _told(step, "moved", "pointers")
         now.drop()
         now, way = after, way * (1 + STEPS)
         if not moved:
             break
-    return now.df.select("at", "to", "n")
+    return now.df.select("at", "to", *sums)
 
 
 def up(nodes: DataFrame, n: str = "1L") -> DataFrame:

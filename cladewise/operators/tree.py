@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cladewise.operators import climb
+from cladewise.operators.radial import clean_length, radial_layout  # noqa: F401  (layouts are tree operators too)
 from cladewise.operators.numbering import numbered
 from cladewise.plans.storage import written
 
@@ -136,11 +137,6 @@ def shown_nodes(frame: DataFrame) -> DataFrame:
     return named.union(leaves)
 
 
-def clean_length(length: Column) -> Column:
-    """Negative and undefined lengths are 0."""
-    return F.when(length.isNull() | F.isnan(length) | (length < 0), 0.0).otherwise(length)
-
-
 def collapse(nodes: DataFrame, threshold: float, force: DataFrame | None = None, keep: DataFrame | None = None) -> DataFrame:
     """``node_id, group_id``: nodes joined to their parents over links of at most ``threshold``, named by the root-most node.
 
@@ -278,16 +274,6 @@ def with_length(nodes: DataFrame, changes: DataFrame) -> DataFrame:
     return nodes.join(new, "node_id", "left").withColumn("original_length", F.col("length")).withColumn("length", F.coalesce("_v", "length")).drop("_v")
 
 
-def radial_layout(nodes: DataFrame) -> DataFrame:
-    """``node_id, x, y``: each leaf takes an equal share of the circle, an inner node the middle of its leaves' shares, at its distance from the root."""
-    leaves = nodes.filter("not is_hypo")
-    n = leaves.count()
-    angle = leaves.select("node_id", (F.expr("row_number() over (order by node_id) - 1") * (2 * 3.141592653589793 / max(1, n))).alias("a"))
-    spread = descendants(nodes, nodes).join(angle, "node_id").groupBy(F.col("top_id").alias("node_id")).agg(F.avg("a").alias("a"))
-    down = descendants(nodes, nodes).join(nodes.select(F.col("node_id").alias("top_id"), clean_length(F.col("length")).alias("l")), "top_id").groupBy("node_id").agg(F.sum("l").alias("r"))
-    return spread.join(down, "node_id").select("node_id", (F.col("r") * F.cos("a")).alias("x"), (F.col("r") * F.sin("a")).alias("y"))
-
-
 def select_all(nodes: DataFrame, chosen: bool = True) -> DataFrame:
     """Every node selected, or none: the flag ``selected``."""
     return nodes.withColumn("selected", F.lit(chosen))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cladewise.model import DistanceSpec, TreeSpec
-from cladewise.operators import distance, evaluate, grid, metadata, mst, profile, tree
+from cladewise.operators import distance, evaluate, grid, metadata, mst, profile, radial, tree
 from cladewise.plans import views
 from cladewise.plans.catalog import _CLIMB, _DIFFER, _EBURST, _PAIRS, _minimax, register
 from cladewise.plans.storage import written
@@ -149,14 +149,43 @@ def _threshold(spark, sf_dir):
     return spark.createDataFrame([(tree.auto_threshold(views.tree(spark, sf_dir), 100),)], "threshold double")
 
 
-@register(
-    "radial_layout",
-    f"""WITH RECURSIVE {views.TREE}, d(top_id, node_id) AS (SELECT node_id, node_id FROM tree UNION ALL SELECT d.top_id, t.node_id FROM d JOIN tree t ON t.parent_id = d.node_id),
-a AS (SELECT node_id, (row_number() OVER (ORDER BY node_id) - 1) * (2 * pi() / count(*) OVER ()) AS a FROM tree WHERE NOT is_hypo), s AS (SELECT top_id AS node_id, avg(a) AS a FROM d JOIN a ON a.node_id = d.node_id GROUP BY 1),
-r AS (SELECT d.node_id, sum(coalesce(t.length, 0)) AS r FROM d JOIN tree t ON t.node_id = d.top_id GROUP BY 1) SELECT s.node_id, round(r * cos(a), 4) + 0.0::DOUBLE AS x, round(r * sin(a), 4) + 0.0::DOUBLE AS y FROM s JOIN r ON r.node_id = s.node_id""",
-)
+def _radial_sql() -> str:
+    """The same folds over the tree's four levels, in SQL."""
+    ctes = [
+        "kids AS (SELECT parent_id AS node_id, count(*) AS children FROM tree WHERE parent_id IS NOT NULL GROUP BY 1)",
+        "z AS (SELECT t.node_id, t.parent_id, depth, coalesce(greatest(length, 0), 0) AS link, CASE WHEN children IS NULL THEN 1.0::DOUBLE ELSE 0.01::DOUBLE END AS size, coalesce(children, 0) AS children FROM tree t LEFT JOIN kids ON kids.node_id = t.node_id)",
+        "m AS (SELECT z.*, p.size AS parent_size FROM z LEFT JOIN z p ON p.node_id = z.parent_id)",
+        "g AS (SELECT max(link) FILTER (parent_id IS NOT NULL) / 500.0::DOUBLE * 2 AS r0, max(link) FILTER (parent_id IS NOT NULL) / 500.0::DOUBLE * 2 * pi() / sum(size) AS guess FROM m)",
+        f"arcs0 AS (SELECT i AS no, guess * pow(4.0::DOUBLE, i - 3) AS arc FROM g, range({radial.ARCS}) r(i))",
+    ]
+    for fold in range(radial.FOLDS):
+        for d in (3, 2, 1, 0):
+            below = f"LEFT JOIN (SELECT no, parent_id, max(far) AS reach, sum(turn + arc / far) AS angle FROM f{fold}_{d + 1} GROUP BY 1, 2) b ON b.no = a.no AND b.parent_id = m.node_id" if d < 3 else "LEFT JOIN (SELECT 0 AS no, NULL AS parent_id, 0.0::DOUBLE AS reach, 0.0::DOUBLE AS angle) b ON false"
+            ctes.append(
+                f"f{fold}_{d} AS (SELECT *, CASE WHEN cos(pi() - half) > whole / off THEN off ELSE greatest(sqrt(pow(whole * cos(half) + off, 2) + pow(whole * sin(half), 2)), off, whole) END AS far, "
+                f"CASE WHEN cos(pi() - half) > whole / off THEN asin(least(1, whole / off)) ELSE atan2(whole * sin(half), whole * cos(half) + off) END AS turn FROM (SELECT *, least(width, pi()) AS half FROM (SELECT *, greatest(angle, own * own_angle / whole) AS width FROM (SELECT a.no, a.arc, m.*, "
+                f"coalesce(b.angle, 0.0::DOUBLE) AS angle, r0 * sqrt(size) AS own, asin(least(1.0::DOUBLE, a.arc * sqrt(size) / r0)) AS own_angle, greatest(r0 * sqrt(size), coalesce(b.reach, 0.0::DOUBLE)) AS whole, r0 * sqrt(coalesce(parent_size, 1.0::DOUBLE)) + link AS off "
+                f"FROM m CROSS JOIN g CROSS JOIN arcs{fold} a {below} WHERE m.depth = {d}))))"
+            )
+        ctes.append(f"w{fold} AS (SELECT no, arc, max(width) AS width FROM ({' UNION ALL '.join(f'SELECT no, arc, width FROM f{fold}_{d}' for d in range(4))}) GROUP BY 1, 2)")
+        ctes.append(f"o{fold} AS (SELECT coalesce(max(no) FILTER (width <= pi()), 0) AS best, count(*) FILTER (width <= pi()) AS fits FROM w{fold})")
+        if fold < radial.FOLDS - 1:
+            ctes.append(f"l{fold} AS (SELECT x.arc AS low, CASE WHEN fits > 0 THEN y.arc ELSE x.arc END AS high FROM o{fold} JOIN arcs{fold} x ON x.no = best JOIN arcs{fold} y ON y.no = least(best + 1, {radial.ARCS - 1}))")
+            ctes.append(f"arcs{fold + 1} AS (SELECT i AS no, low * pow(high / low, i / {radial.ARCS}.0::DOUBLE) AS arc FROM l{fold}, range({radial.ARCS}) r(i))")
+    last = radial.FOLDS - 1
+    ctes += [
+        f"f AS (SELECT x.* FROM ({' UNION ALL '.join(f'SELECT * FROM f{last}_{d}' for d in range(4))}) x JOIN o{last} ON x.no = best)",
+        "c AS (SELECT f.node_id, f.parent_id, f.link, f.parent_size, p.angle AS parent_angle, p.parent_id IS NULL AS from_root, f.turn + f.arc / f.far AS room, f.off, CASE WHEN p.children > 2 THEN list_reduce(list_prepend(0::BIGINT, list_transform(string_split(f.node_id, ''), lambda x: unicode(x)::BIGINT)), lambda h, x: (h * 31 + x) & 4294967295) ELSE 0 END AS hash, "
+        "CASE WHEN p.parent_id IS NULL THEN greatest(0, (pi() - p.angle) / p.children) ELSE 0 END AS gap FROM f JOIN f p ON p.node_id = f.parent_id)",
+        "d AS (SELECT node_id, parent_id, off, room + coalesce(sum(2 * (room + gap)) OVER (PARTITION BY parent_id ORDER BY CASE WHEN hash >= 2147483648 THEN hash - 4294967296 ELSE hash END, node_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) - CASE WHEN from_root THEN 0 ELSE parent_angle END AS offset_ FROM c)",
+        "q(node_id, angle, x, y) AS (SELECT node_id, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE FROM tree WHERE parent_id IS NULL UNION ALL SELECT d.node_id, q.angle + offset_, q.x + off * cos(q.angle + offset_), q.y + off * sin(q.angle + offset_) FROM q JOIN d ON d.parent_id = q.node_id)",
+    ]
+    return f"WITH RECURSIVE {views.TREE}, {', '.join(ctes)} SELECT node_id, round(x, 4) + 0.0::DOUBLE AS x, round(y, 4) + 0.0::DOUBLE AS y FROM q"
+
+
+@register("radial_layout", _radial_sql())
 def _radial(spark, sf_dir):
-    """Positions on a circle."""
+    """Positions of all nodes, each subtree in a fan of its own."""
     at = tree.radial_layout(views.tree(spark, sf_dir))
     return at.select("node_id", (F.round("x", 4) + 0.0).alias("x"), (F.round("y", 4) + 0.0).alias("y"))
 

@@ -108,12 +108,6 @@ def test_written_tables(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "t")).first()[0] == "ID\tv"
 
 
-def test_radial_layout_is_at_the_length_s_distance(spark):
-    nodes = spark.createDataFrame([("r", None, None, True), ("a", "r", 2.0, False), ("b", "r", 3.0, False)], "node_id string, parent_id string, length double, is_hypo boolean")
-    at = {r["node_id"]: (r["x"] ** 2 + r["y"] ** 2) ** 0.5 for r in tree.radial_layout(nodes).collect()}
-    assert at == pytest.approx({"r": 0.0, "a": 2.0, "b": 3.0})
-
-
 def test_upsert_stream(spark, tmp_path):
     source, folder = str(tmp_path / "in"), str(tmp_path / "out")
     schema = "ID string, a string, b string"
