@@ -1,6 +1,7 @@
 """op1, op4 and op9: SQL at a small size, brute force, and dirty tables."""
 
 import re
+import time
 
 import duckdb
 import pytest
@@ -62,13 +63,26 @@ def linked_pages():
         page(11, "http://k.site/x", head('<base href="../q/"><link rel=canonical href="./z/..">')), page(12, "http://k.site/q/", link("http://l.com/en/")), page(13, "http://m.site", link("http://n.site/../u#f")), page(14, "http://n.site/u", link("http://o.com/en/1")),
         page(15, "http://p.site/", link("#top")), page(16, "http://q.site/", link("")), page(17, None, link("http://net/de/1")), page(18, "http://r.site/ü/x", link("é?q=&lt;&#8364;&bogus;&")), page(19, "http://r.site/ü/é?q=<€&bogus;&", link("http://net/de/1")),
         page(20, "http://s.site/", head('<link data-href="http://net/de/1" rel="canonical-not" href="http://net/de/1">')), page(21, "http://t.site/", None),
+        # Quotes open after = alone, and hold what they like; a tag that never closes is none.
+        page(22, "http://u1.site/", head('<link title="a>b" rel="canonical" href="http://net/de/1">')), page(23, "http://u2.site/", head("<link title=it's rel=canonical href=http://net/de/1>")), page(24, "http://u3.site/", '<link rel=canonical href="http://net/de/1 <p>'),
+        page(25, "http://u4.site/", head("<link rel=canonical href= >")), page(26, "http://u5.site/", head("<link rel=canonical href=http://net/de/1 title= >")), page(27, "http://u6.site/", "<link a<link rel=canonical href=http://net/de/1>"), page(28, "http://u7.site/", "<link rel=canonical href=http://net/de/1 <p>"),
+        page(29, "http://u8.site/", head("<meta content='0;url=http://net/de/1' name='>' http-equiv = \n refresh>")), page(30, None, None), page(None, None, ""),
     ]
     return rows
 
 
 def test_references_resolve_in_full(spark):
     got = {k: v[3] for k, v in judged(spark, linked_pages()).items()}
-    assert {k for k, v in got.items() if v == "block"} == {1, 2, 3, 4, 5, 8, 9, 10, 11, 12, 13, 14, 18, 19}
+    assert {k for k, v in got.items() if v == "block"} == {1, 2, 3, 4, 5, 8, 9, 10, 11, 12, 13, 14, 18, 19, 22, 23, 26, 27, 29}
+
+
+@pytest.mark.parametrize("tag", ['<link ', '<link a="', "<meta a='<base b=\"", '<base = ', '<link rel=canonical href=x ', '<!-- <link ', '<link a="b" ', '<link ' + ' ' * 50])
+def test_tags_that_never_close(spark, tag):
+    """A page of 100,000 of them is searched once, and the link before them is kept."""
+    df = spark.createDataFrame([page(1, "http://a.site/", "<link rel=canonical href=http://net/de/1>" + tag * 100_000)], "page_id long, url string, html string, host string, verdict string")
+    began = time.time()
+    assert op1.links(df).count() >= 1
+    assert time.time() - began < 5
 
 
 def test_sql_of_linked_pages(spark, tmp_path):
