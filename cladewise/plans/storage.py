@@ -40,15 +40,18 @@ def made():
 
 
 @contextlib.contextmanager
-def small_batches(spark: SparkSession, rows: int):
-    """Arrow batches of at most so many rows for what is written within; the session's setting comes back afterwards."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+def small_batches(spark: SparkSession, rows: int, size: int | None = None):
+    """Arrow batches of at most so many rows (and bytes, of which one row may have more) for what is written within; the session's settings come back afterwards."""
+    held = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows} | ({"spark.sql.execution.arrow.maxBytesPerBatch": size} if size else {})
+    before = {name: spark.conf.get(name) for name in held}
+    for name, most in held.items():
+        now = int(before[name].rstrip("bB"))
+        spark.conf.set(name, str(min(most, now) if now > 0 else most))
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 class Written:
