@@ -5,7 +5,7 @@
    most ``RARE`` items, name their items at once. The place of a common one (the
    wording that many items begin with) names those of its items of which the
    words around it hold so many, the most common quarter aside, as an alignment
-   of ``THRESHOLD`` needs; they are counted by an index of the items' words.
+   of ``THRESHOLD`` needs; an index of each item's rarest words finds them.
 2. A document's places of an item's own seeds, with a margin of twice the item's
    words, make passages: an alignment of ``THRESHOLD`` spans no more words. Long
    passages are cut into overlapping windows of four times the item's words, so
@@ -93,7 +93,9 @@ def items(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text")
 class Items(NamedTuple):
     """Items as the tasks get them: sorted seeds, of each the items that hold it (``owners`` from ``first``), and each item's id, count and words (from ``begins``).
 
-    ``keys``: sorted words without each item's most common quarter; of each the items (``holders`` from ``spread``) and how often they hold it. ``least``: so many of these an alignment of an item holds.
+    ``keys``: sorted words. Of an item the most common quarter aside, its words (``mine`` from ``own``, as places in ``keys``) and how often it holds each (``times``), rarest first; ``least``: so many of these an alignment holds.
+    A window with so many holds one of the item's rarest, all but ``least`` - 1 of them; of each word the items that have it among these are ``holders`` from ``spread``.
+    ``lengths``: of each seed the orders of length of its items, as bits.
     """
 
     seeds: np.ndarray
@@ -104,10 +106,13 @@ class Items(NamedTuple):
     words: np.ndarray
     begins: np.ndarray
     keys: np.ndarray
-    spread: np.ndarray
-    holders: np.ndarray
+    own: np.ndarray
+    mine: np.ndarray
     times: np.ndarray
     least: np.ndarray
+    spread: np.ndarray
+    holders: np.ndarray
+    lengths: np.ndarray
 
 
 def _packed(table: pa.Table) -> Items:
@@ -123,11 +128,20 @@ def _packed(table: pa.Table) -> Items:
     held = np.bincount(np.unique(at * n + item) // max(1, n), minlength=len(keys))
     common_first = np.lexsort((-held[at], item))
     rarer = common_first[np.arange(len(at)) - begins[item[common_first]] >= sizes[item[common_first]] // 4]
-    pairs, times = np.unique(at[rarer] * n + item[rarer], return_counts=True)
-    spread = np.searchsorted(pairs // max(1, n), np.arange(len(keys) + 1))
+    pairs, times = np.unique(item[rarer] * len(keys) + at[rarer], return_counts=True)
+    whose, word = pairs // max(1, len(keys)), pairs % max(1, len(keys))
+    by_rarity = np.lexsort((word, held[word], whose))
+    whose, word, times = whose[by_rarity], word[by_rarity], times[by_rarity]
     least = np.ceil(THRESHOLD * sizes).astype(np.int64) - sizes // 4
+    own = np.searchsorted(whose, np.arange(n + 1))
+    before = np.concatenate([[0], np.cumsum(times)])
+    telling = np.flatnonzero(before[:-1] - before[own[whose]] <= before[own[whose + 1]] - before[own[whose]] - least[whose])
+    telling = telling[np.argsort(word[telling], kind="stable")]
+    spread = np.searchsorted(word[telling], np.arange(len(keys) + 1))
     ids, counts = (table.column(name).combine_chunks() for name in ("item_id", "n_items"))
-    return Items(distinct, np.append(first, len(values)), owners[order], ids, counts, hashes, begins, keys, spread, pairs % max(1, n), times, least)
+    owned = owners[order]
+    lengths = np.bitwise_or.reduceat(np.int64(1) << np.frexp(sizes)[1][owned].astype(np.int64), first) if len(first) else first
+    return Items(distinct, np.append(first, len(values)), owned, ids, counts, hashes, begins, keys, own, word, times, least, spread, whose[telling], lengths)
 
 
 def _find(seeds: np.ndarray, rows: np.ndarray, hashes: np.ndarray, whole: np.ndarray, short: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -187,11 +201,12 @@ def _common(known: Items, rows: np.ndarray, hashes: np.ndarray, found: tuple[np.
     row, spots, which = found
     sizes = np.diff(known.begins)
     order = np.frexp(sizes)[1]
-    some, back = np.unique(which, return_inverse=True)
-    owners = [known.owners[known.first[s] : known.first[s + 1]] for s in some]
-    for length in np.unique(order[np.concatenate(owners)]) if len(some) else ():
-        mine = np.flatnonzero(np.array([(order[x] == length).any() for x in owners])[back])
-        r, at, seed = row[mine], spots[mine], back[mine]
+    bits = known.lengths[which]
+    for length in range(int(np.bitwise_or.reduce(bits, initial=0)).bit_length()):
+        mine = np.flatnonzero((bits >> length) & 1)
+        if not len(mine):
+            continue
+        r, at, seed = row[mine], spots[mine], which[mine]
         margin = 2 * int(sizes[order == length].max())
         new = np.ones(len(mine), bool)
         new[1:] = (r[1:] != r[:-1]) | (at[1:] - at[:-1] > 2 * margin)
@@ -200,20 +215,35 @@ def _common(known: Items, rows: np.ndarray, hashes: np.ndarray, found: tuple[np.
         of, begins, ends = _windows(rows, r[head], at[head], at[tail], np.full(len(head), margin))
         for stretch, begin, end in zip(of.tolist(), begins.tolist(), ends.tolist(), strict=True):
             inside = np.unique(seed[np.searchsorted(at, begin) : np.searchsorted(at, end)])
-            if not len(inside):
-                continue
-            here = np.unique(hashes[begin:end])
-            key = np.minimum(np.searchsorted(known.keys, here), len(known.keys) - 1)
-            key = key[known.keys[key] == here]
-            each = known.spread[key + 1] - known.spread[key]
-            post = np.repeat(known.spread[key] - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))
-            enough = np.bincount(known.holders[post], known.times[post], len(sizes)) >= known.least
-            enough &= order == length
-            item = np.unique(np.concatenate([owners[x][enough[owners[x]]] for x in inside]))
+            item = _likely(known, inside, hashes[begin:end]) if len(inside) else inside
+            item = item[order[item] == length]
             if len(item):
                 yield np.full(len(item), r[head[stretch]]), item, np.full(len(item), begin), np.full(len(item), end)
 
 
+def _reach(begins: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the lists ``which`` of many laid end to end, and the length of each."""
+    each = begins[which + 1] - begins[which]
+    return np.repeat(begins[which] - (np.cumsum(each) - each), each) + np.arange(int(each.sum())), each
+
+
+def _likely(known: Items, inside: np.ndarray, window: np.ndarray) -> np.ndarray:
+    """The items with a seed of ``inside`` of which the window holds enough words. Only lists of words that tell items apart are read, so wording that all items share costs nothing."""
+    here = np.unique(window)
+    key = np.minimum(np.searchsorted(known.keys, here), len(known.keys) - 1)
+    key = key[known.keys[key] == here]
+    item = np.unique(known.holders[_reach(known.spread, key)[0]])
+    holds = np.zeros(len(item), bool)
+    for seed in inside:
+        owners = known.owners[known.first[seed] : known.first[seed + 1]]
+        holds |= owners[np.minimum(np.searchsorted(owners, item), len(owners) - 1)] == item
+    item = item[holds]
+    post, each = _reach(known.own, item)
+    present = np.minimum(np.searchsorted(key, known.mine[post]), max(0, len(key) - 1))
+    found = known.times[post] * (key[present] == known.mine[post]) if len(post) else post
+    return item[np.bincount(np.repeat(np.arange(len(item)), each), found, len(item)) >= known.least[item]]
+
+
 def _passages(known: Items, rows: np.ndarray, hashes: np.ndarray, found: tuple[np.ndarray, np.ndarray, np.ndarray]) -> Iterator[tuple[np.ndarray, ...]]:
     """Row, item, begin and end of all windows to align."""
     rare = known.first[found[2] + 1] - known.first[found[2]] <= RARE

@@ -241,7 +241,7 @@ def test_a_document_that_holds_the_whole_benchmark(monkeypatch):
         assert set(kernel(" ".join(items), items)) == set(range(n))
         took[n] = time.process_time() - began
     # Four times the items, each with some five seeds that all items hold.
-    assert took[3200] < 60
+    assert took[3200] < 8 * took[800]
     items, few = items[:60], " ".join(items[:60])
     one = kernel(few, items)
     monkeypatch.setattr(op3_decontaminate, "PLACES", 50)
