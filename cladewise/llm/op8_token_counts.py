@@ -3,7 +3,8 @@
 The symbols of a word are linked; a heap gives the lowest-rank adjacent pair
 (the leftmost of equals), which merges and offers its new neighbours. A word
 counts its first symbols less its merges; no identifier is put out. A worker
-keeps the counts of the words it has met, up to ``KEPT_WORDS``.
+keeps the counts of the words of up to ``KEPT_LETTERS`` letters that it has met, up
+to ``KEPT_WORDS``.
 
 Texts are normalised as the vocabulary's file says: NFC, then lower case letter
 by letter; white space is dropped. Special tokens standing in a text count one
@@ -32,7 +33,7 @@ from cladewise.llm.vocabulary import WORD_BPE, Vocabulary, default_path, load
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Capitals that Python's Unicode tables don't know yet, and their lower case.
 NEW_CAPITALS = (("\ua7cb", "\u0264"), ("\ua7dc", "\u019b"))
-KEPT_WORDS = 400_000
+KEPT_WORDS, KEPT_LETTERS = 400_000, 48
 LIMIT = 2048
 
 
@@ -49,7 +50,9 @@ class Counts(dict):
         first = self.first
         sym = [first[b] for b in data]
         sym[-1] = self.last[data[-1]]
-        self[word] = found = self.count(sym)
+        found = self.count(sym)
+        if len(word) <= KEPT_LETTERS:
+            self[word] = found
         return found
 
     def count(self, sym: list[int]) -> int:
