@@ -16,10 +16,12 @@ from pyspark.sql import functions as F
 
 from cladewise.llm import op3_decontaminate, op5_bpe, op6_near_dedup, op7_toxicity, op9_quality_rules
 from cladewise.llm.names import packed
-from cladewise.plans.storage import made, written
+from cladewise.plans.storage import made, small_batches, written
 
 #: More ids than this (8 bytes each) are not broadcast but joined in a shuffle.
 MAX_BROADCAST_IDS = 500_000
+#: Rows and bytes of an Arrow batch of the last stage.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
 def _keyed(docs: DataFrame) -> tuple[DataFrame, bool]:
@@ -73,8 +75,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of the encoded and decoded documents."""
-    return op5_bpe.digests(op5_bpe.round_trip(docs))
+    """Token counts and digests of the encoded and decoded documents, written in batches of few bytes: ids, texts and pieces of a batch take many times its room."""
+    with small_batches(spark, BATCH_ROWS, BATCH_BYTES):
+        return written(op5_bpe.digests(op5_bpe.round_trip(docs)), "digests").df
 
 
 STAGES = [
@@ -90,12 +93,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to the documents, each written and read again for the next; only what the last one reads is left."""
+    """The stages applied to the documents, each written and read again for the next; only the last one's result is left."""
     docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
-    for name, stage in STAGES[:-1]:
+    for name, stage in STAGES:
         with made() as tables:
             new = written(stage(spark, docs, sf_dir), name)
         for table in last + [t for t in tables if t is not new]:
             table.drop()
         docs, last = new.df, [new]
-    return STAGES[-1][1](spark, docs, sf_dir)
+    return docs
