@@ -346,6 +346,38 @@ def _scores_by_kind(spark, sf_dir):
     return found.select("chunk", "method", "kind", F.round("precision", 9).alias("precision"), F.round("sensitivity", 9).alias("sensitivity"))
 
 
+def _two_levels(a: str, b: str) -> str:
+    """The pairing of four leaves in a tree of groups (columns ``a``) and groups of these (``b``)."""
+    two = lambda g, p, q, r, s: f"(({p}.{g} = {q}.{g} AND {r}.{g} <> {p}.{g} AND {s}.{g} <> {p}.{g}) OR ({r}.{g} = {s}.{g} AND {p}.{g} <> {r}.{g} AND {q}.{g} <> {r}.{g}))"
+    arms = [f"WHEN {two(a, *x)} OR {two(b, *x)} THEN {i}" for i, x in enumerate((("p", "q", "r", "s"), ("p", "r", "q", "s"), ("p", "s", "q", "r")), 1)]
+    return f"CASE {' '.join(arms)} ELSE 0 END"
+
+
+@register(
+    "quartet_counts",
+    f"""WITH t AS (SELECT n_regionkey AS region, n_nationkey AS nation, c_mktsegment AS segment, c_mktsegment || CAST(n_regionkey AS VARCHAR) AS part, count(*) AS n, row_number() OVER (ORDER BY n_nationkey, c_mktsegment) AS k FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY 1, 2, 3),
+x AS (SELECT {_two_levels("nation", "region")} AS one, {_two_levels("part", "segment")} AS two,
+  CASE WHEN p.k = s.k THEN p.n * (p.n - 1) * (p.n - 2) * (p.n - 3) // 24 WHEN p.k = r.k THEN p.n * (p.n - 1) * (p.n - 2) // 6 * s.n WHEN q.k = s.k THEN p.n * (q.n * (q.n - 1) * (q.n - 2) // 6) WHEN p.k = q.k AND r.k = s.k THEN (p.n * (p.n - 1) // 2) * (r.n * (r.n - 1) // 2)
+    WHEN p.k = q.k THEN p.n * (p.n - 1) // 2 * r.n * s.n WHEN q.k = r.k THEN p.n * (q.n * (q.n - 1) // 2) * s.n WHEN r.k = s.k THEN p.n * q.n * (r.n * (r.n - 1) // 2) ELSE p.n * q.n * r.n * s.n END AS m
+  FROM t p JOIN t q ON p.k <= q.k JOIN t r ON q.k <= r.k JOIN t s ON r.k <= s.k)
+SELECT CAST(sum(m) FILTER (one > 0 AND one = two) AS BIGINT) AS tp, CAST(sum(m) FILTER (one > 0 AND two > 0 AND one <> two) AS BIGINT) AS fp, CAST(sum(m) FILTER (one > 0 AND one <> two) AS BIGINT) AS fn FROM x""",
+)
+def _quartet_counts(spark, sf_dir):
+    """Shared quartets of two trees of all customers: by nation and region, and by region within the market segment."""
+    customer, nation = views.table(spark, sf_dir, "customer"), views.table(spark, sf_dir, "nation")
+    rows = customer.join(F.broadcast(nation), customer["c_nationkey"] == nation["n_nationkey"])
+
+    def of(inner, outer):
+        leaf, in_, out = F.concat(F.lit("c"), F.col("c_custkey").cast("string")), F.concat(F.lit("i"), inner), F.concat(F.lit("o"), outer)
+        nodes = rows.select(leaf.alias("node_id"), in_.alias("parent_id"), leaf.alias("name"))
+        for child, parent in ((in_, out), (out, F.lit("root"))):
+            nodes = nodes.union(rows.select(child, parent, F.lit(None).cast("string")).distinct())
+        return nodes.union(spark.range(1).select(F.lit("root"), F.lit(None).cast("string"), F.lit(None).cast("string")))
+
+    key = lambda c: F.col(c).cast("string")
+    return evaluate.quartet_counts(of(key("n_nationkey"), key("n_regionkey")), of(F.concat("c_mktsegment", key("n_regionkey")), F.col("c_mktsegment")))
+
+
 @register("named_by_leaf", (
     f"WITH {views.TREE}, t AS (SELECT *, CASE WHEN is_hypo THEN NULL ELSE node_id END AS name FROM tree), z AS (SELECT parent_id, arg_min(node_id, "
     f"ord) AS leaf FROM t WHERE name IS NOT NULL AND length = 0 GROUP BY 1) SELECT t.node_id, t.parent_id, coalesce(t.name, z.leaf) AS name, t.length "
