@@ -1,4 +1,4 @@
-"""Further registered queries: scans of literal texts, tree and grid operators on small tables."""
+"""Further registered queries: scans of texts made of the tables, tree and grid operators."""
 
 from __future__ import annotations
 
@@ -9,55 +9,115 @@ from cladewise.operators import distance, evaluate, grid, metadata, mst, profile
 from cladewise.plans import views
 from cladewise.plans.catalog import _CLIMB, _DIFFER, _EBURST, _PAIRS, _minimax, register
 from cladewise.plans.storage import written
-from cladewise.sources import profile_files, sinks, trees
-
-PROFILE = "## comment\n#Strain\tST\t#note\tL1\tL2\tL3\na\t1\tx\t1\t2\t3\nb\t1\tx\t1\t2\t3\nc d\t2\ty\t-\t2\t0\ne\t3\ty\t0\tn\t-\n"
-FASTA = ">a first\nAC\nGN\n>b\nacg-\n"
-TABLE = "ID,Country,Year\n1,X,2000\n2,Y,\n1,Z,2001\n"
-NEWICK = "((a:1,b:2)95:0.5,c:3)root;"
-NEXUS = "#NEXUS\nbegin trees;\ntranslate 1 one, 2 two;\ntree t = [&R] ((1[&x={1,2},y=3]:1,2:2):0.5,3:1);\nend;\n"
-
+from cladewise.sources import nexus, profile_files, sinks, trees
 
 def _values(names: str, *rows: str) -> str:
     return f"SELECT * FROM (VALUES {', '.join(rows)}) AS t({names})"
 
 
-@register("profile_scan", _values("sample, locus, allele", *[f"('{s}', {i}, '{a}')" for s, v in (("a", "123"), ("b", "123"), ("c_d", "-20"), ("e", "0N-")) for i, a in enumerate(v)]))
+@register(
+    "profile_scan",
+    """WITH s AS (SELECT s_suppkey AS k, CAST(s_nationkey AS VARCHAR) AS a, CASE WHEN s_suppkey % 3 = 0 THEN '-' ELSE CAST(s_suppkey % 7 AS VARCHAR) END AS b, 'N' || CAST(s_suppkey % 4 AS VARCHAR) AS c FROM supplier)
+SELECT 'S__' || CAST(k AS VARCHAR) || '_' AS sample, CAST(unnest([0, 1, 2]) AS INT) AS locus, unnest([a, b, c]) AS allele FROM s""",
+)
 def _profile_scan(spark, sf_dir):
-    return profile_files.read_profile(spark, PROFILE)
+    """A profile with comments, a named header, columns that are no loci, and names to be cleaned, written from the suppliers and read again."""
+    head = spark.createDataFrame([("## made of the suppliers", -3), ("#Other\tX", -2), ("#Strain\tST\t#note\tL1\tL2\tL3", -1)], "line string, ord long")
+    text = lambda c: F.col(c).cast("string")
+    cells = [F.concat(F.lit("S ("), text("s_suppkey"), F.lit(")")), F.lit("1"), F.lit("x"), text("s_nationkey"), F.when(F.col("s_suppkey") % 3 == 0, "-").otherwise((F.col("s_suppkey") % 7).cast("string")), F.concat(F.lit("n"), (F.col("s_suppkey") % 4).cast("string"))]
+    rows = views.table(spark, sf_dir, "supplier").select(F.concat_ws("\t", *cells).alias("line"), F.col("s_suppkey").alias("ord"))
+    return profile_files.read_profile(spark, _text_file(head.union(rows), "profile"))
 
 
-@register("fasta_scan", _values("sample, locus, allele", *[f"('{s}', {i}, '{a}')" for s, v in (("a", "ACGN"), ("b", "ACG-")) for i, a in enumerate(v)]))
+@register(
+    "fasta_scan",
+    """SELECT 'c' || CAST(c_custkey AS VARCHAR) AS sample, CAST(unnest(range(14)) AS INT) AS locus, unnest(string_split(upper(rpad(c_mktsegment || CAST(c_nationkey AS VARCHAR), 14, '-')), '')) AS allele FROM customer""",
+)
 def _fasta_scan(spark, sf_dir):
-    return profile_files.read_profile(spark, FASTA)
+    """Aligned sequences over several lines, in small letters, written from the customers and read again."""
+    letters = F.lower(F.rpad(F.concat("c_mktsegment", F.col("c_nationkey").cast("string")), 14, "-"))
+    record = F.concat(F.lit(">c"), F.col("c_custkey").cast("string"), F.lit(" a note\n"), F.substring(letters, 1, 6), F.lit("\n"), F.substring(letters, 7, 5), F.lit(" \n"), F.substring(letters, 12, 3))
+    return profile_files.read_profile(spark, _text_file(views.table(spark, sf_dir, "customer").select(record.alias("line"), F.col("c_custkey").alias("ord")), "fasta"))
 
 
-@register("metadata_scan", _values('"ID", "Country", "Year"', "('1', 'Z', '2001')", "('2', 'Y', '')"))
+@register("metadata_scan", """SELECT CAST(s_nationkey AS VARCHAR) AS "ID", arg_max(s_name, s_suppkey) AS "Name", '' AS "Year", arg_max(CAST(s_suppkey AS VARCHAR), s_suppkey) AS "Last" FROM supplier GROUP BY 1""")
 def _metadata_scan(spark, sf_dir):
-    return profile_files.read_metadata(spark, TABLE)
+    """A metadata file by comma, written from the suppliers and read again: of the rows of one nation the last."""
+    head = spark.createDataFrame([("ID,Name,Year,Last", -1)], "line string, ord long")
+    rows = views.table(spark, sf_dir, "supplier").select(F.concat_ws(",", F.col("s_nationkey").cast("string"), "s_name", F.lit(""), F.col("s_suppkey").cast("string")).alias("line"), F.col("s_suppkey").alias("ord"))
+    return profile_files.read_metadata(spark, _text_file(head.union(rows), "metadata"))
 
 
-_TREE_COLUMNS = "node_id, parent_id, name, length, depth, is_hypo"
+_LEAVES = "c AS (SELECT c_nationkey AS tree_id, c_custkey AS k, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS i, c_mktsegment AS segment FROM customer)"
 
 
-@register("newick_scan", _values(_TREE_COLUMNS, "('_hypo_0', NULL, NULL, NULL, 0, true)", "('_hypo_1', '_hypo_0', NULL, 0.5::DOUBLE, 1, true)", "('a', '_hypo_1', 'a', 1.0, 2, false)", "('b', '_hypo_1', 'b', 2.0, 2, false)", "('c', '_hypo_0', 'c', 3.0, 1, false)"))
+@register(
+    "newick_scan",
+    f"""WITH {_LEAVES}, t AS (SELECT DISTINCT tree_id FROM c)
+SELECT tree_id, '_hypo_0' AS node_id, NULL AS parent_id, NULL AS name, NULL::DOUBLE AS length, 0 AS depth, true AS is_hypo FROM t UNION ALL SELECT tree_id, '_hypo_1', '_hypo_0', NULL, 0.5::DOUBLE, 1, true FROM t
+UNION ALL SELECT tree_id, 'c ' || CAST(k AS VARCHAR), '_hypo_1', 'c ' || CAST(k AS VARCHAR), (k % 7)::DOUBLE, 2, false FROM c UNION ALL SELECT tree_id, 'it''s', '_hypo_0', 'it''s', 3e-2::DOUBLE, 1, false FROM t""",
+)
 def _newick_scan(spark, sf_dir):
-    return trees.read_tree(spark, NEWICK).drop("annotations")
+    """A Newick text for each nation, of its customers with quoted names, a support value and lengths of several forms, parsed."""
+    leaf = F.concat(F.lit("'c "), F.col("c_custkey").cast("string"), F.lit("':"), (F.col("c_custkey") % 7).cast("string"))
+    rows = views.table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("tree_id")).agg(F.sort_array(F.collect_list(F.struct("c_custkey", leaf.alias("leaf")))).alias("c"))
+    texts = rows.select("tree_id", F.concat(F.lit("(("), F.array_join("c.leaf", ","), F.lit(")95:0.5,'it''s':3e-2)root;")).alias("text"))
+    return trees.parse_trees(texts).drop("annotations")
 
 
-@register("nexus_scan", _values("node_id, parent_id, length, x", "('_hypo_0', NULL, NULL, NULL)", "('_hypo_1', '_hypo_0', 0.5::DOUBLE, NULL)", "('one', '_hypo_1', 1.0, '1,2')", "('two', '_hypo_1', 2.0, NULL)", "('3', '_hypo_0', 1.0, NULL)"))
+@register(
+    "nexus_scan",
+    f"""WITH {_LEAVES}, t AS (SELECT DISTINCT tree_id FROM c)
+SELECT tree_id, 'of [' || CAST(tree_id AS VARCHAR) || '] it''s' AS tree, true AS is_default, true AS rooted, 'c(' || CAST(k AS VARCHAR) || ') [''' || segment || ''']' AS name, (k % 7)::DOUBLE AS length, segment || ',x' AS kinds, 'a,b' AS quoted, NULL AS error FROM c
+UNION ALL SELECT tree_id, 'second', false, false, 'c(' || CAST(k AS VARCHAR) || ') [''' || segment || ''']', NULL, NULL, NULL, NULL FROM c WHERE i = 1 UNION ALL SELECT tree_id, 'second', false, false, 'plain', NULL, NULL, NULL, NULL FROM t
+UNION ALL SELECT tree_id + 100, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'a quote is not closed' FROM t""",
+)
 def _nexus_scan(spark, sf_dir):
-    return trees.read_tree(spark, NEXUS).select("node_id", "parent_id", "length", F.array_join(F.col("annotations")["x"], ",").alias("x"))
+    """A NEXUS text for each nation: quoted labels with quotes, brackets and parentheses in them, nested comments, a translation, annotations, two trees; and one that is broken off."""
+    each = views.table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("tree_id")).agg(F.sort_array(F.collect_list(F.struct("c_custkey", "c_mktsegment"))).alias("c"))
+    number = lambda x: x["c_custkey"].cast("string")
+    label = lambda x: F.concat(F.lit("'c("), number(x), F.lit(") [''"), x["c_mktsegment"], F.lit("'']'"))
+    joined = lambda f: F.array_join(F.transform("c", f), ",")
+    leaf = lambda x: F.concat(number(x), F.lit("[&kinds={"), x["c_mktsegment"], F.lit(",x},!quoted=\"a,b\"]:"), (x["c_custkey"] % 7).cast("string"))
+    text = F.concat(
+        F.lit("#NEXUS\n[made [of the] customers; 'all']\nBegin taxa;\n  title 'a; b';\n  taxlabels "), F.array_join(F.transform("c", label), " "), F.lit(";\nEndBlock;\nbegin TREES;\n translate "), joined(lambda x: F.concat(number(x), F.lit(" "), label(x))),
+        F.lit(";\n tree * 'of ["), F.col("tree_id").cast("string"), F.lit("] it''s' = [&R] ("), joined(leaf), F.lit(")[&p=1]:1;\n utree second=[&U](\""), number(F.element_at("c", 1)), F.lit("\",plain);\nend;\n"),
+    )
+    texts = each.select("tree_id", text.alias("text"))
+    broken = texts.select((F.col("tree_id") + 100).alias("tree_id"), F.concat("text", F.lit("begin x; y 'z;")).alias("text"))
+    rows = nexus.nexus_trees(texts.union(broken)).filter("not is_hypo or error is not null")
+    note = lambda k: F.array_join(F.col("annotations")[k], ",").alias(k)
+    return rows.select("tree_id", "tree", "is_default", "rooted", "name", "length", note("kinds"), note("quoted"), "error")
+
+
+_FIRST = "string_split(substr(text, 1, 2048), chr(10))[1]"
 
 
-@register("format_sniffing", _values("text, kind", "('>a', 'profile')", "('#Strain' || chr(9) || 'L1', 'profile')", "('#NEXUS', 'tree')", "('ID,Year', 'metadata')", "('(a,b);', 'tree')"))
+@register(
+    "format_sniffing",
+    f"""WITH t AS (SELECT doc_id AS id, 'document' AS origin, text FROM documents UNION ALL SELECT page_id, 'page', html FROM pages UNION ALL SELECT c_custkey, 'row', CASE c_custkey % 4 WHEN 0 THEN '>' || c_name WHEN 1 THEN '#Strain' || chr(9) || c_name WHEN 2 THEN c_name || ',' || c_mktsegment ELSE '(' || c_name || ',x);' END || chr(10) || 'a,b' FROM customer)
+SELECT origin, id, CASE WHEN starts_with({_FIRST}, '>') OR (starts_with({_FIRST}, '#') AND NOT starts_with(upper({_FIRST}), '#NEXUS')) THEN 'profile'
+  WHEN (contains({_FIRST}, ',') OR contains({_FIRST}, chr(9))) AND substr({_FIRST}, 1, 1) NOT IN ('(', '[', ' ', '{{') THEN 'metadata' ELSE 'tree' END AS kind FROM t WHERE text IS NOT NULL""",
+)
 def _sniff(spark, sf_dir):
-    return spark.createDataFrame([(t, profile_files.detect_format(t)) for t in (">a", "#Strain\tL1", "#NEXUS", "ID,Year", "(a,b);")], "text string, kind string")
+    """What the texts of the tables would be read as."""
+    key, name = F.col("c_custkey"), F.col("c_name")
+    row = F.when(key % 4 == 0, F.concat(F.lit(">"), name)).when(key % 4 == 1, F.concat(F.lit("#Strain\t"), name)).when(key % 4 == 2, F.concat(name, F.lit(","), "c_mktsegment")).otherwise(F.concat(F.lit("("), name, F.lit(",x);")))
+    texts = views.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.lit("document").alias("origin"), "text").union(views.table(spark, sf_dir, "pages").select("page_id", F.lit("page"), "html"))
+    texts = texts.union(views.table(spark, sf_dir, "customer").select("c_custkey", F.lit("row"), F.concat(row, F.lit("\na,b"))))
+    return texts.filter("text is not null").select("origin", "id", profile_files.format_of(F.col("text")).alias("kind"))
 
 
-@register("project_document", """SELECT '{"nodes":["_hypo_0","_hypo_1","a","b","c"],"links":[{"source":"_hypo_0","target":"_hypo_1","distance":0.5},{"source":"_hypo_0","target":"c","distance":3.0},{"source":"_hypo_1","target":"a","distance":1.0},{"source":"_hypo_1","target":"b","distance":2.0}]}' AS project""")
+@register(
+    "project_document",
+    f"""WITH {views.TREE}, t AS (SELECT t.*, CASE WHEN t.depth = 3 THEN t.parent_id ELSE t.node_id END AS tree_id FROM tree t WHERE t.depth >= 2),
+l AS (SELECT tree_id, list({{'source': parent_id, 'target': node_id, 'distance': length}} ORDER BY parent_id, node_id) AS links FROM t WHERE depth = 3 GROUP BY 1)
+SELECT t.tree_id, CAST(to_json({{'nodes': list(node_id ORDER BY node_id), 'links': coalesce(any_value(links), [])}}) AS VARCHAR) AS project FROM t LEFT JOIN l ON l.tree_id = t.tree_id GROUP BY t.tree_id""",
+)
 def _project(spark, sf_dir):
-    return sinks.project(trees.read_tree(spark, NEWICK))
+    """A project document for each nation with its customers."""
+    nodes = views.tree(spark, sf_dir).filter("depth >= 2").withColumn("tree_id", F.when(F.col("depth") == 3, F.col("parent_id")).otherwise(F.col("node_id")))
+    return sinks.projects(nodes.withColumn("parent_id", F.when(F.col("depth") == 3, F.col("parent_id"))), "tree_id")
 
 
 @register("descendants", (
@@ -279,10 +339,24 @@ def _clean(spark, sf_dir):
     return views.table(spark, sf_dir, "part").select("p_partkey", profile.clean_name(F.concat("p_name", F.lit(" ("), "p_brand", F.lit(");"))).alias("name"), profile.clean_allele(F.col("p_type")).alias("allele"))
 
 
-@register("best_places", "SELECT 'p' AS place_key, 1.05::DOUBLE AS longitude, 1.0::DOUBLE AS latitude, 'A' AS country, '' AS city")
+@register(
+    "best_places",
+    """WITH c AS (SELECT c_nationkey AS place_key, 0.5::DOUBLE + c_custkey / 4000.0::DOUBLE AS importance, (c_custkey % 3) * 0.05::DOUBLE AS x0, 2.0::DOUBLE + (c_custkey % 11) * 0.1::DOUBLE AS x1, (c_custkey % 5)::DOUBLE AS y0, (c_custkey % 5 + 2)::DOUBLE AS y1, c_mktsegment AS country, CASE WHEN c_custkey % 5 < 3 THEN 'x' ELSE 'y' END AS city FROM customer),
+n AS (SELECT * FROM (SELECT *, max(importance) OVER (PARTITION BY place_key) AS top FROM c) WHERE importance >= 0.7::DOUBLE * top),
+b AS (SELECT place_key, arg_max({'x0': x0, 'x1': x1, 'y0': y0, 'y1': y1}, importance) AS b FROM n GROUP BY 1),
+k AS (SELECT n.* FROM n JOIN b ON b.place_key = n.place_key WHERE (greatest(least(x1, b.b.x1) - greatest(x0, b.b.x0), 0) >= 0.9::DOUBLE * least(x1 - x0, b.b.x1 - b.b.x0) AND greatest(least(y1, b.b.y1) - greatest(y0, b.b.y0), 0) >= 0.9::DOUBLE * least(y1 - y0, b.b.y1 - b.b.y0)) OR importance >= 0.85::DOUBLE * top),
+a AS (SELECT place_key, count(*) AS n, round(avg((x0 + x1) / 2), 6) AS longitude, round(avg((y0 + y1) / 2), 6) AS latitude FROM k GROUP BY 1),
+v AS (SELECT k.place_key, country FROM k JOIN a ON a.place_key = k.place_key GROUP BY k.place_key, country, n HAVING count(*) * 2 > n), w AS (SELECT k.place_key, city FROM k JOIN a ON a.place_key = k.place_key GROUP BY k.place_key, city, n HAVING count(*) * 2 > n)
+SELECT a.place_key, longitude, latitude, coalesce(country, '') AS country, coalesce(city, '') AS city FROM a LEFT JOIN v ON v.place_key = a.place_key LEFT JOIN w ON w.place_key = a.place_key""",
+)
 def _places(spark, sf_dir):
-    rows = [("p", 1.0, 0.0, 2.0, 0.0, 2.0, "A", "x"), ("p", 0.9, 0.1, 2.1, 0.0, 2.0, "A", "y"), ("p", 0.75, 50.0, 51.0, 0.0, 2.0, "B", "x"), ("p", 0.5, 0.0, 2.0, 0.0, 2.0, "C", "x")]
-    found = metadata.best_places(spark.createDataFrame(rows, "place_key string, importance double, x0 double, x1 double, y0 double, y1 double, country string, city string"))
+    """The customers of a nation as answers of a geocoder, and one place made of them."""
+    key = F.col("c_custkey")
+    rows = views.table(spark, sf_dir, "customer").select(
+        F.col("c_nationkey").alias("place_key"), (0.5 + key / 4000.0).alias("importance"), ((key % 3) * 0.05).alias("x0"), (2.0 + (key % 11) * 0.1).alias("x1"), (key % 5).cast("double").alias("y0"), (key % 5 + 2).cast("double").alias("y1"),
+        F.col("c_mktsegment").alias("country"), F.when(key % 5 < 3, "x").otherwise("y").alias("city"),
+    )
+    found = metadata.best_places(rows)
     return found.withColumn("longitude", F.round("longitude", 6)).withColumn("latitude", F.round("latitude", 6))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cladewise.operators.profile import clean_allele, clean_name
@@ -79,8 +79,19 @@ def read_metadata(spark: SparkSession, source: str, separator: str | None = None
     return table.groupBy(F.col(key).alias("_key")).agg(last).select("r.*")
 
 
-def detect_format(text: str) -> str:
+def format_of(text: Column) -> Column:
     """``profile``, ``metadata`` or ``tree``, from the first line of the first 2048 letters."""
+    first = F.substring_index(F.substring(text, 1, 2048), "\n", 1)
+    tree = first.rlike(r"^[(\[ {]")
+    return (
+        F.when(first.startswith(">") | (first.startswith("#") & ~F.upper(first).startswith("#NEXUS")), "profile")
+        .when((F.contains(first, F.lit(",")) | F.contains(first, F.lit("\t"))) & ~tree, "metadata")
+        .otherwise("tree")
+    )
+
+
+def detect_format(text: str) -> str:
+    """The same of one text at hand."""
     first = text[:2048].split("\n")[0]
     if first.startswith(">") or first.startswith("#") and not first.upper().startswith("#NEXUS"):
         return "profile"

@@ -72,6 +72,13 @@ def project(nodes: DataFrame, metadata: DataFrame | None = None, options: dict[s
     return out.select(F.to_json(F.struct(*out.columns)).alias("project"))
 
 
+def projects(nodes: DataFrame, key: str) -> DataFrame:
+    """``key, project``: a JSON document of nodes and links for each of many trees of ``key, node_id, parent_id, length``."""
+    link = F.when(F.col("parent_id").isNotNull(), F.struct(F.col("parent_id").alias("source"), F.col("node_id").alias("target"), F.col("length").alias("distance")))
+    each = nodes.groupBy(key).agg(F.array_sort(F.collect_list("node_id")).alias("nodes"), F.array_sort(F.collect_list(link)).alias("links"))
+    return each.select(key, F.to_json(F.struct("nodes", "links")).alias("project"))
+
+
 def split_line(left: Column, right: Column) -> Column:
     """``a,b|c,d``."""
     return F.concat(F.array_join(left, ","), F.lit("|"), F.array_join(right, ","))

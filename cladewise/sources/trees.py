@@ -4,37 +4,47 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterable
+from itertools import takewhile
 
 from pyspark.sql import DataFrame, SparkSession
 
-TOKEN = re.compile(r"\s*('(?:[^']|'')*'|[^\s();,:\[]+|[();,:]|\[[^\]]*\])")
+from cladewise.sources.nexus import Token, lex, notes, parse
+
 NODES = "node_id string, parent_id string, name string, length double, depth int, is_hypo boolean, annotations map<string,array<string>>"
 
 
 def annotations(comment: str) -> dict[str, list[str]]:
     """``[&k=v,k={a,b}]`` as a map to lists."""
-    if not comment.startswith("[&"):
-        return {}
-    found = re.findall(r"([^,=\[\]&{}]+)=(\{[^}]*\}|\"[^\"]*\"|[^,\]]*)", comment[2:-1])
-    return {k.strip().lstrip("!"): [x.strip().strip('"') for x in v.strip("{}").split(",")] if v.startswith("{") else [v.strip().strip('"')] for k, v in found}
+    return notes(comment[1:-1])
 
 
 def parse_newick(text: str, translate: dict[str, str] | None = None) -> list[tuple]:
     """Rows of NODES in preorder. Inner nodes are named ``_hypo_<preorder number>``; their labels (support values) are dropped; a missing length is null."""
+    return build(takewhile(lambda t: t != ("mark", ";"), lex(text, newick=True)), translate)
+
+
+def build(tokens: Iterable[Token], translate: dict[str, str] | None = None) -> list[tuple]:
+    """Rows of NODES of a tree's tokens."""
     children: list[list[int]] = [[]]
-    label, length, notes, parent = [""], [None], [{}], [-1]
+    label, length, found, parent = [""], [None], [{}], [-1]
     at, colon = 0, False
-    for token in TOKEN.findall(text):
-        if token == ";":
-            break
-        if token == "(" or token == ",":
+    for kind, token in tokens:
+        if kind == "comment":
+            found[at] |= notes(token)
+        elif kind != "mark":
+            if colon:
+                length[at], colon = float(token), False
+            else:
+                label[at] = (translate or {}).get(token, token)
+        elif token in "(,":
             owner = at if token == "(" else parent[at]
             if owner < 0:
                 raise ValueError("a comma outside all brackets")
             children.append([])
             label.append("")
             length.append(None)
-            notes.append({})
+            found.append({})
             parent.append(owner)
             at = len(parent) - 1
             children[owner].append(at)
@@ -45,13 +55,8 @@ def parse_newick(text: str, translate: dict[str, str] | None = None) -> list[tup
                 raise ValueError("a bracket closes that none opened")
         elif token == ":":
             colon = True
-        elif token.startswith("["):
-            notes[at] |= annotations(token)
-        elif colon:
-            length[at], colon = float(token), False
         else:
-            name = token[1:-1].replace("''", "'") if token.startswith("'") else token
-            label[at] = (translate or {}).get(name, name)
+            raise ValueError(f"{token} within a tree")
     if parent[at] >= 0:
         raise ValueError("a bracket is not closed")
     rows, ids, stack, n = [], {}, [(0, 0)], 0
@@ -59,36 +64,23 @@ def parse_newick(text: str, translate: dict[str, str] | None = None) -> list[tup
         v, depth = stack.pop()
         inner = bool(children[v])
         ids[v] = f"_hypo_{n}" if inner else label[v]
-        rows.append((ids[v], ids.get(parent[v]), None if inner else label[v], length[v], depth, inner, notes[v]))
+        rows.append((ids[v], ids.get(parent[v]), None if inner else label[v], length[v], depth, inner, found[v]))
         n += 1
         stack += [(c, depth + 1) for c in reversed(children[v])]
     return rows
 
 
 def parse_nexus(text: str) -> list[tuple]:
-    """Rows of NODES of the first tree in the ``trees`` block, with its ``translate`` map; without one, numbers stand for the labels of the ``taxa`` block."""
-    if not (m := re.search(r"begin\s+trees\s*;(.*?)(?:end\s*;|endblock\s*;|\Z)", text, re.I | re.S)):
-        raise ValueError("no trees block")
-    block, names = m[1], {}
-    if t := re.search(r"\btranslate\b(.*?);", block, re.I | re.S):
-        names = {k: v.strip("'") for k, v in re.findall(r"(\S+)\s+('[^']*'|[^\s,]+)\s*(?:,|\Z)", t[1].strip())}
-        block = block[: t.start()] + block[t.end() :]
-    else:
-        names = {str(i): label for i, label in enumerate(taxa(text), 1)}
-        names = {k: v for k, v in names.items() if k not in names.values()}
-    if not (m := re.search(r"\bu?tree\b[^=]*=\s*((?:\[[^\]]*\]\s*)*)(\(.*?;)", block, re.I | re.S)):
+    """Rows of NODES of the first tree of a NEXUS file, with its translation; without one, numbers stand for the labels of the ``taxa`` block."""
+    found = parse(text).trees
+    if not found:
         raise ValueError("no tree")
-    return parse_newick(m[2], names)
+    return found[0].rows
 
 
 def taxa(text: str) -> list[str]:
     """The labels of the ``taxa`` block, quoted or plain."""
-    block = re.search(r"begin\s+taxa\s*;(.*?)(?:end\s*;|endblock\s*;|\Z)", text, re.I | re.S)
-    found = re.search(r"\btaxlabels\b((?:'(?:[^']|'')*'|\"[^\"]*\"|\[[^\]]*\]|[^;'\"\[])*);", block[1], re.I | re.S) if block else None
-    if not found:
-        return []
-    labels = re.findall(r"'(?:[^']|'')*'|\"[^\"]*\"|[^\s'\"]+", re.sub(r"\[[^\]]*\]", " ", found[1]))
-    return [x[1:-1].replace("''", "'") if x[0] in "'\"" else x for x in labels]
+    return parse(text).taxa
 
 
 def tree_list(text: str) -> list[tuple[str, list[tuple]]]:
