@@ -219,34 +219,65 @@ def neighbour_joining(d: np.ndarray, weighted: bool = False) -> list[tuple[int,
     """(parent, child, length) of the neighbour-joining tree; nodes from n on are inner, the last joins three.
 
     ``weighted``: a new node's distances mix those of its two by the share that makes their variance least (variances grow as distances do).
+
+    Rows stay where they are (a joined one is set to infinity, and the matrix shrinks when half are), their sums are kept up to date, and of a row no more is
+    looked at than a lower bound of its entries, unless that bound lies below the best pair found so far.
     """
     n = len(d)
     if n < 2:
         return []
     if n == 2:
         return [(0, 1, float(d[0, 1]))]
-    d, names, edges, fresh = d.astype(float).copy(), list(range(n)), [], n
-    v = d.copy()
-    while len(names) > 3:
-        m = len(names)
-        total = d.sum(axis=1)
-        q = (m - 2) * d - total[:, None] - total[None, :]
-        np.fill_diagonal(q, np.inf)
-        i, j = divmod(int(q.argmin()), m)
-        i, j = min(i, j), max(i, j)
-        half = d[i, j] / 2 + (total[i] - total[j]) / (2 * (m - 2))
-        edges += [(fresh, names[i], float(half)), (fresh, names[j], float(d[i, j] - half))]
+    d, name, live, edges, fresh, m = d.astype(float).copy(), np.arange(n), np.ones(n, bool), [], n, n
+    v = d.copy() if weighted else None
+    np.fill_diagonal(d, 0)
+    total = d.sum(axis=1)
+    np.fill_diagonal(d, np.inf)
+    low = d.min(axis=1)
+    while m > 3:
+        if 2 * m < len(d):
+            keep = np.flatnonzero(live)
+            d, name, total, low, live = d[np.ix_(keep, keep)], name[keep], total[keep], low[keep], live[keep]
+            v = v[np.ix_(keep, keep)] if weighted else None
+        i, j = _best_pair(d, total, low, live, m)
+        rest = live.copy()
+        rest[[i, j]] = False
+        k = np.flatnonzero(rest)
+        both = d[i, j]
+        half = both / 2 + (total[i] - total[j]) / (2 * (m - 2))
+        edges += [(fresh, int(name[i]), float(half)), (fresh, int(name[j]), float(both - half))]
         share = 0.5
-        if weighted and v[i, j] > 0:
-            share = min(1.0, max(0.0, 0.5 + float((v[j] - v[i]).sum() - (v[j, i] - v[i, j]) - (v[j, j] - v[i, i])) / (2 * (m - 2) * v[i, j])))
-        new = share * (d[i] - half) + (1 - share) * (d[j] - (d[i, j] - half))
-        spread = share * v[i] + (1 - share) * v[j] - share * (1 - share) * v[i, j]
-        d[i], d[:, i], v[i], v[:, i] = new, new, spread, spread
-        d[i, i] = v[i, i] = 0
-        keep = [k for k in range(m) if k != j]
-        d, v = d[np.ix_(keep, keep)], v[np.ix_(keep, keep)]
-        names[i] = fresh
-        names.pop(j)
-        fresh += 1
-    a, b, c = d[0, 1], d[0, 2], d[1, 2]
-    return edges + [(fresh, names[0], float((a + b - c) / 2)), (fresh, names[1], float((a + c - b) / 2)), (fresh, names[2], float((b + c - a) / 2))]
+        if weighted:
+            if v[i, j] > 0:
+                share = min(1.0, max(0.0, 0.5 + float((v[j, k] - v[i, k]).sum()) / (2 * (m - 2) * v[i, j])))
+            spread = share * v[i, k] + (1 - share) * v[j, k] - share * (1 - share) * v[i, j]
+            v[i, k], v[k, i] = spread, spread
+        new = share * (d[i, k] - half) + (1 - share) * (d[j, k] - (both - half))
+        total[k] += new - d[i, k] - d[j, k]
+        d[i], d[:, i], d[j], d[:, j] = np.inf, np.inf, np.inf, np.inf
+        d[i, k], d[k, i] = new, new
+        total[i], total[j], low[i], name[i], live[j] = new.sum(), 0.0, new.min(), fresh, False
+        low[k] = np.minimum(low[k], new)
+        fresh, m = fresh + 1, m - 1
+    one, two, three = np.flatnonzero(live)
+    a, b, c = d[one, two], d[one, three], d[two, three]
+    return edges + [(fresh, int(name[one]), float((a + b - c) / 2)), (fresh, int(name[two]), float((a + c - b) / 2)), (fresh, int(name[three]), float((b + c - a) / 2))]
+
+
+def _best_pair(d: np.ndarray, total: np.ndarray, low: np.ndarray, live: np.ndarray, m: int) -> tuple[int, int]:
+    """The pair of least (m - 2) d - both sums, the first of equal ones. ``low`` (no entry of a row is below it) gets better where rows are looked at."""
+    bound = np.where(live, (m - 2) * low - total, np.inf)
+    order = np.argsort(bound, kind="stable")[:m]
+    # Rounding must not hide a pair that is as good.
+    bound = bound - total[live].max() - 1e-9 * np.abs(total).max()
+    best, at, step = (np.inf, -1, -1), 0, 4
+    while at < m and bound[order[at]] <= best[0]:
+        rows = order[at : at + step]
+        part = d[rows]
+        low[rows] = part.min(axis=1)
+        q = (m - 2) * part - total[rows][:, None] - total[None, :]
+        column = q.argmin(axis=1)
+        for value, i, j in zip(q[np.arange(len(rows)), column].tolist(), rows.tolist(), column.tolist(), strict=True):
+            best = min(best, (value, min(i, j), max(i, j)))
+        at, step = at + step, min(128, 2 * step)
+    return best[1], best[2]

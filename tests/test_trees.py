@@ -2,6 +2,7 @@
 
 import itertools
 import json
+import time
 
 import numpy as np
 import pytest
@@ -287,3 +288,69 @@ def test_smoothing_and_midpoint():
     assert {v: x for v, _, _, x in tree.smooth(rows)} == {"r": 0.0, "a": 0.0, "b": 4.05, "c": 1.05}
     mid = tree.midpoint(rows)
     assert sum(x for *_, x in mid) == pytest.approx(5.05) and sorted(n for _, _, n, _ in mid if n) == ["a", "b", "c"]
+
+
+def plain_joining(d, weighted):
+    """Neighbour joining by the whole matrix at every step: the splits with their lengths."""
+    d = {(i, j): float(x) for (i, j), x in np.ndenumerate(d)}
+    v, live, under, out = dict(d), list(range(round(len(d) ** 0.5))), {}, {}
+    under = {i: frozenset([i]) for i in live}
+    fresh = len(live)
+    while len(live) > 3:
+        m, total = len(live), {i: sum(d[i, k] for k in live if k != i) for i in live}
+        i, j = min(((a, b) for a in live for b in live if a < b), key=lambda p: (m - 2) * d[p] - total[p[0]] - total[p[1]])
+        half = d[i, j] / 2 + (total[i] - total[j]) / (2 * (m - 2))
+        out[under[i]], out[under[j]] = half, d[i, j] - half
+        rest = [k for k in live if k not in (i, j)]
+        share = 0.5
+        if weighted and v[i, j] > 0:
+            share = min(1, max(0, 0.5 + sum(v[j, k] - v[i, k] for k in rest) / (2 * (m - 2) * v[i, j])))
+        for k in rest:
+            d[fresh, k] = d[k, fresh] = share * (d[i, k] - half) + (1 - share) * (d[j, k] - d[i, j] + half)
+            v[fresh, k] = v[k, fresh] = share * v[i, k] + (1 - share) * v[j, k] - share * (1 - share) * v[i, j]
+        under[fresh] = under[i] | under[j]
+        live, fresh = [*rest, fresh], fresh + 1
+    for a, b, c in (live, live[1:] + live[:1], live[2:] + live[:2]):
+        out[under[a]] = (d[a, b] + d[a, c] - d[b, c]) / 2
+    return out
+
+
+def by_split(lengths, n):
+    """Lengths by the side of each split that lacks leaf 0."""
+    return {s if 0 not in s else frozenset(range(n)) - s: x for s, x in lengths.items()}
+
+
+@pytest.mark.parametrize("weighted", [False, True])
+@pytest.mark.parametrize("n", [3, 4, 5, 12, 40])
+def test_neighbour_joining_against_whole_matrices(n, weighted):
+    points = np.random.default_rng(n).random((n, 4))
+    d = np.sqrt(((points[:, None] - points[None]) ** 2).sum(2))
+    under, lengths = {i: frozenset([i]) for i in range(n)}, {}
+    for parent, child, x in kernels.neighbour_joining(d, weighted):
+        lengths[under[child]] = x
+        under[parent] = under.get(parent, frozenset()) | under[child]
+    got, want = by_split(lengths, n), by_split(plain_joining(d, weighted), n)
+    # Of the last four nodes two pairs are equally good; with variances the lengths depend on which is taken.
+    assert set(got) == set(want)
+    assert weighted or got == {s: pytest.approx(x, abs=1e-9) for s, x in want.items()}
+
+
+def test_joining_of_many_nodes():
+    points = np.random.default_rng(1).random((1200, 10))
+    began = time.time()
+    assert len(kernels.neighbour_joining(np.sqrt(((points[:, None] - points[None]) ** 2).sum(2)))) == 2 * 1200 - 3
+    assert time.time() - began < 12
+
+
+@pytest.mark.parametrize(("d02", "d12", "d01", "start", "want"), [
+    (10, 10, 2, (1, 2), (0, 2)),  # as near to the better-ranked sample: the branch goes there
+    (16, 10, 2, (1, 2), (1, 2)),  # farther than both ways together: it stays
+    (14, 10, 2, (1, 2), (1, 2)),  # within 1.5 times as far, but farther than by way of the other
+    (10, 3, 6, (0, 2), (1, 2)),  # a neighbour that is nearer, and by way of which the branch is shorter
+])
+def test_one_branch_is_moved_as_worked_out_by_hand(d02, d12, d01, start, want):
+    d = np.array([[0, d01, d02], [d01, 0, d12], [d02, d12, 0]], float)
+    short = [0, 1, float(d01)]
+    found = kernels.recraft([short, [*start, d[start]]] if d01 <= d[start] else [[*start, d[start]], short], d, np.array([0, 1, 2]), 100)
+    assert sorted(tuple(sorted(b[:2])) for b in found) == sorted([(0, 1), want])
+    assert all(x == d[s, t] for s, t, x in found)
