@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cladewise.model import DistanceSpec, TreeSpec
-from cladewise.operators import distance, evaluate, grid, metadata, mst, profile, radial, tree
+from cladewise.operators import distance, evaluate, grid, metadata, mst, profile, radial, search_index, tree
 from cladewise.plans import views
 from cladewise.plans.catalog import _CLIMB, _DIFFER, _EBURST, _PAIRS, _minimax, register
-from cladewise.plans.storage import written
+from cladewise.plans.storage import room, written
 from cladewise.sources import nexus, profile_files, sinks, trees
 
 def _values(names: str, *rows: str) -> str:
@@ -261,6 +261,21 @@ def _forced(spark, sf_dir):
     return tree.collapse(nodes, 1.0, force=nodes.filter("node_id in ('n1', 'n2')"), keep=nodes.filter("node_id = 'n4'"))
 
 
+@register("indexed_search", (
+    f"WITH {views.META}, p AS (SELECT unnest(['^build', 'ran', 'a(ce|nd)', 'm.ch', '(united|saudi) +[a-z]', 'y{{2}}', 'ABI', 'c1']) AS pattern) SELECT DISTINCT pattern, ID FROM meta, p WHERE regexp_matches(segment, pattern, 'i') "
+    f"OR regexp_matches(nation, pattern, 'i') OR regexp_matches(ID, pattern, 'i') OR regexp_matches(balance, pattern, 'i') OR regexp_matches(CAST(ord AS VARCHAR), pattern, 'i')"
+))
+def _indexed_search(spark, sf_dir):
+    """Keyword searches of the metadata by its trigram index."""
+    rows, path = views.metadata(spark, sf_dir), room(spark, "index")
+    search_index.build(rows, path)
+    index, out = spark.read.parquet(path), None
+    for pattern in ("^build", "ran", "a(ce|nd)", "m.ch", "(united|saudi) +[a-z]", "y{2}", "ABI", "c1"):
+        found = search_index.indexed_search(rows, index, pattern).select(F.lit(pattern).alias("pattern"), "ID")
+        out = found if out is None else out.union(found)
+    return out
+
+
 @register("visible_rows", f"WITH {views.META} SELECT ID, nation FROM meta WHERE ord % 2 = 0")
 def _visible(spark, sf_dir):
     return metadata.visible(views.metadata(spark, sf_dir), views.tree(spark, sf_dir).filter("is_hypo or ord % 2 = 0")).select("ID", "nation")

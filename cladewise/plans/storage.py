@@ -54,15 +54,21 @@ def small_batches(spark: SparkSession, rows: int, size: int | None = None):
             spark.conf.set(name, value)
 
 
+def room(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, for ``sweep`` to delete."""
+    path = f"{shared_dir(spark)}/cladewise-{name}-{uuid.uuid4().hex}"
+    _kept.add(path)
+    return path
+
+
 class Written:
     """A DataFrame written as Parquet (or, with one string column, as lines of text) and read again; ``drop()`` deletes the files."""
 
     def __init__(self, df: DataFrame, name: str = "table", form: str = "parquet"):
         spark = df.sparkSession
-        self.path = f"{shared_dir(spark)}/cladewise-{name}-{uuid.uuid4().hex}"
+        self.path = room(spark, name)
         df.write.format(form).save(self.path)
         self.df = spark.read.schema(df.schema).format(form).load(self.path)
-        _kept.add(self.path)
         if (tables := _made.get()) is not None:
             tables.append(self)
 
