@@ -2,11 +2,14 @@
 
 The html is cut into blocks at block-level tags; comments, scripts, styles and
 other unseen elements give none. Pass 1 labels each block from its length,
-stop-word density and link density: many links are boilerplate, long blocks with
-stop words are text, and the others stay ambiguous. Pass 2 gives each ambiguous
-block the label of the nearest decided block of its own container (on a tie,
-text for a heading). Where its container has none, it is text between two blocks
-of text; and where nothing decides it, it is text inside the article only.
+stop-word density and link density: many links are boilerplate (but in the article
+a long block with stop words, of which some words are no link, is text), long
+blocks with stop words are text, and the others stay ambiguous. On a page without
+any text so far, the ambiguous blocks of a container count as one, so that short
+paragraphs make a long block. Pass 2 gives each ambiguous block the label of the
+nearest decided block of its own container (on a tie, text for a heading). Where
+its container has none, it is text between two blocks of text; and where nothing
+decides it, it is text inside the article only.
 
 Where a block stands shifts the rules. Menus, headers, footers, asides and the
 like, by tag or role, are boilerplate. So are elements whose names (id, class)
@@ -50,7 +53,7 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar".split())
 CUES = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion nav navbar navigation menu menus breadcrumb breadcrumbs header masthead footer sidebar aside widget cookie cookies consent gdpr notice notices banner popup modal overlay comment comments reply replies disqus discussion respond share sharing social related recommended newsletter subscribe signup login pagination pager toolbar toc skip".split()
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion nav navbar navigation menu menus breadcrumb breadcrumbs header masthead footer sidebar aside widget cookie cookies consent gdpr notice notices banner popup modal overlay comment comments reply replies disqus discussion respond responses feedback guestbook opinions share sharing social related recommended newsletter subscribe signup login pagination pager toolbar toc skip".split()
 )
 #: Parts of names that say the same wherever they stand (commentlist, topSidebar).
 CUE_PARTS = ("comment", "cookie", "sidebar", "advert", "promo", "newsletter", "breadcrumb", "footer", "sponsor", "popup", "disqus", "navigation", "navbar", "subscri")
@@ -270,10 +273,19 @@ def two_passes(n: list[int], stops: list[float], linked: list[int], inside: list
     """The label of each block. ``inside`` the article, long blocks need no stop words; ``barred`` blocks are boilerplate and decide no others."""
     out = []
     for i in range(len(n)):
-        if barred[i] or linked[i] > MAX_LINKS * n[i]:
+        prose = n[i] >= LONG and stops[i] >= STOP_SHARE
+        if barred[i] or linked[i] > MAX_LINKS * n[i] and not (inside[i] and prose and linked[i] < n[i]):
             out.append(NOT)
         else:
-            out.append(TEXT if n[i] >= LONG and (inside[i] or stops[i] >= STOP_SHARE) else OPEN)
+            out.append(TEXT if prose or inside[i] and n[i] >= LONG else OPEN)
+    if TEXT not in out:
+        pooled: Counter[int] = Counter()
+        stopped: Counter[int] = Counter()
+        for i, x in enumerate(out):
+            if x is OPEN:
+                pooled[container[i]] += n[i]
+                stopped[container[i]] += n[i] * stops[i]
+        out = [TEXT if x is OPEN and pooled[c] >= LONG and stopped[c] >= STOP_SHARE * pooled[c] else x for x, c in zip(out, container, strict=True)]
     # The nearest decided block before and after each one: of its container, and of any.
     near = []
     for order in (range(len(n)), range(len(n) - 1, -1, -1)):
