@@ -8,7 +8,9 @@ voted, ``WIDE`` of them in each mask, so templates may have any length.
 Neighbouring diagonals merge, and a span is verified by the template words that
 its votes cover and by the template's marked words (a version, a variant of the
 license), each of which must stand after the word before it. A base phrase's
-place is a diagonal on which every 3-gram of the phrase voted.
+place is a diagonal on which every 3-gram of the phrase voted. Names of one or two
+words ("GPLv3", "MIT License") are looked up by hashes of one and two words, of
+which only hits leave the row; each is a diagonal of its own.
 
 Only hits and one row for each text are shuffled; rows repeated in different
 partitions of the input stay apart, so that no task makes all copies of a row.
@@ -48,6 +50,7 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ),
     ("mit", "released under the mit license"),
     ("mit", "the mit license mit"),
+    ("mit", "mit license"),
     ("apache-2", "licensed under the apache license version 2 0"),
     (
         "apache-2",
@@ -59,6 +62,20 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
     ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
     ("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("bsd", "bsd 3 clause"),
+    ("bsd", "bsd 2 clause"),
+    ("bsd", "3 clause bsd"),
+    ("bsd", "2 clause bsd"),
+    ("bsd", "new bsd license"),
+    ("bsd", "simplified bsd license"),
+    ("bsd", "bsd license"),
+    ("gpl-1", "gnu general public license version 1"),
+    ("gpl-1", "gnu gpl version 1"),
+    ("gpl-3", "gplv3"),
+    ("gpl-2", "gplv2"),
+    ("lgpl", "lgplv2"),
+    ("lgpl", "lgplv3"),
+    ("agpl", "agplv3"),
     ("gpl-3", "gnu general public license version 3"),
     ("gpl-3", "gnu general public license v3"),
     ("gpl-3", "gnu gpl version 3"),
@@ -72,9 +89,12 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("agpl", "gnu affero general public license"),
     ("mpl", "this source code form is subject to the terms of the mozilla !public license"),
     ("mpl", "mozilla public license version 2"),
+    ("mpl", "mozilla public license v 2 0"),
+    ("mpl", "mozilla public license 2 0"),
+    ("mpl", "mpl 2 0"),
     ("epl", "eclipse public license"),
     ("epl", "this program and the accompanying materials are made available under the terms of the !eclipse public license"),
-    ("cc0", "cc0 1 0 universal"),
+    ("cc0", "cc0 1 0"),
     ("cc0", "cc0 public domain dedication"),
     ("cc0", "creative commons zero"),
     ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"),
@@ -91,9 +111,12 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("cc-by-nc", "licensed under cc by nc 4 0"),
     ("cc-by-nc", "creative commons attribution noncommercial"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("isc", "isc license"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
     ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software"),
+    ("zlib", "zlib license"),
     ("boost", "boost software license version 1 0"),
+    ("boost", "boost software license"),
     ("boost", "distributed under the boost software license version !1 0"),
     ("wtfpl", "do what the fuck you want to public license"),
     ("artistic", "the artistic license 2 0"),
@@ -103,9 +126,13 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
 SPDX: tuple[tuple[str, str], ...] = (
     ("mit", "MIT"), ("apache-2", "Apache-2.0"), ("bsd", "BSD-2-Clause"), ("bsd", "BSD-3-Clause"), ("gpl-2", "GPL-2.0"), ("gpl-3", "GPL-3.0"), ("lgpl", "LGPL-2.1"), ("lgpl", "LGPL-3.0"), ("agpl", "AGPL-3.0"), ("mpl", "MPL-2.0"),
     ("epl", "EPL-2.0"), ("cc0", "CC0-1.0"), ("cc-by", "CC-BY-4.0"), ("cc-by-sa", "CC-BY-SA-4.0"), ("cc-by-nd", "CC-BY-ND-4.0"), ("cc-by-nc", "CC-BY-NC-4.0"), ("isc", "ISC"), ("unlicense", "Unlicense"), ("zlib", "Zlib"), ("boost", "BSL-1.0"), ("wtfpl", "WTFPL"), ("artistic", "Artistic-2.0"),
+    ("gpl-1", "GPL-1.0"), ("lgpl", "LGPL-2.0"), ("agpl", "AGPL-1.0"), ("apache-1", "Apache-1.0"), ("apache-1", "Apache-1.1"), ("bsd", "0BSD"), ("bsd", "BSD-4-Clause"), ("mpl", "MPL-1.0"), ("mpl", "MPL-1.1"), ("epl", "EPL-1.0"), ("artistic", "Artistic-1.0"), ("mit", "MIT-0"), ("mit", "X11"),
+    *((f"cc-by{part}", f"CC-BY{part.upper()}-{version}") for part in ("", "-sa", "-nd", "-nc") for version in ("2.0", "2.5", "3.0")), ("cc-by-nc", "CC-BY-NC-SA-4.0"), ("cc-by-nc", "CC-BY-NC-ND-4.0"),
 )
 #: The hash of the row that each text has besides its 3-grams; a 3-gram with this hash joins it too, and the comparison of words drops that pair.
 OWN = -1
+#: A hit of a short name goes by its number among the names, times this, and its position.
+PLACES = 1 << 40
 
 
 def _templates() -> list[tuple[int, str, bool, list[str], list[int], int]]:
@@ -117,8 +144,8 @@ def _templates() -> list[tuple[int, str, bool, list[str], list[int], int]]:
         marked = [i for i, w in enumerate(text.split()) if w.startswith("!")]
         words = text.replace("!", "").split()
         n = len(words)
-        if n < K or 0 in marked:
-            raise ValueError(f"a template needs {K} words, and no mark on the first: {text}")
+        if base and n < K or 0 in marked:
+            raise ValueError(f"a base phrase needs {K} words, and a template no mark on its first: {text}")
         rows.append((tid, label, base, words, marked, n if base else n - n // (FEW_OF if n < LONG else MANY_OF)))
     return rows
 
@@ -128,16 +155,22 @@ def _masks() -> int:
     return -(-max(len(words) - K + 1 for _, _, _, words, _, _ in _templates()) // WIDE)
 
 
+def _short(n: int) -> list[str]:
+    """The distinct names of ``n`` words, fewer than K."""
+    return sorted({" ".join(words) for _, _, _, words, _, _ in _templates() if len(words) == n})
+
+
 def _array(kind: str, values: list) -> str:
     return f"cast(array({', '.join(repr(v) for v in values)}) as array<{kind}>)"
 
 
 def _template_grams(spark: SparkSession) -> DataFrame:
-    """``tid, tpos, t1, t2, t3, hash`` of each 3-gram, and the row that joins each text's own."""
+    """``tid, tpos, t1, t2, t3, hash`` of each 3-gram (of a shorter name: of all of it, with nulls behind), and the row that joins each text's own."""
     values = ", ".join(f"({tid}, {_array('string', words)})" for tid, _, _, words, _, _ in _templates())
-    grams = spark.sql(f"select tid, posexplode(transform(sequence(1, size(w) - {K - 1}), i -> slice(w, i, {K}))) as (tpos, g) from values {values} as t(tid, w)")
-    grams = grams.select("tid", "tpos", *[F.get("g", i).alias(f"t{i + 1}") for i in range(K)]).withColumn("hash", F.xxhash64("t1", "t2", "t3"))
-    return grams.union(spark.sql(f"select -1, 0, cast(null as string), cast(null as string), cast(null as string), {OWN}L"))
+    grams = spark.sql(f"select tid, posexplode(transform(sequence(1, greatest(size(w) - {K - 1}, 1)), i -> slice(w, i, {K}))) as (tpos, g) from values {values} as t(tid, w)")
+    grams = grams.select("tid", "tpos", *[F.get("g", i).alias(f"t{i + 1}") for i in range(K)])
+    hashed = grams.withColumn("hash", F.when(F.col("t2").isNull(), F.xxhash64("t1")).when(F.col("t3").isNull(), F.xxhash64("t1", "t2")).otherwise(F.xxhash64("t1", "t2", "t3")))
+    return hashed.union(spark.sql(f"select -1, 0, cast(null as string), cast(null as string), cast(null as string), {OWN}L"))
 
 
 def _template_facts(spark: SparkSession) -> DataFrame:
@@ -145,6 +178,14 @@ def _template_facts(spark: SparkSession) -> DataFrame:
     return spark.sql(f"select * from values {values} as t(tid, label, base, len, least, marked)")
 
 
+def _short_hits(n: int) -> str:
+    """SQL of an array: for each place of ``words`` with a name of ``n`` words, the name's number times PLACES, and the place (from 1)."""
+    names = f"array({', '.join(f'xxhash64({", ".join(repr(w) for w in name.split())})' for name in _short(n))})"
+    here = ", ".join(f"words[i - 1 + {k}]" for k in range(n))
+    found = f"transform(sequence(1, size(words) - {n - 1}), i -> (array_position({names}, xxhash64({here})) - 1) * {PLACES}L + i)"
+    return f"if(size(words) < {n}, array(), filter({found}, x -> x > 0))"
+
+
 def _covered() -> Column:
     """Template words that the masks' 3-grams cover."""
     whole = (1 << WIDE) - 1
@@ -160,10 +201,15 @@ def spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     rows = df.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("digest"), F.spark_partition_id().alias("part"), text.alias("_text"))
     rows = rows.select("doc_id", "digest", "part", F.expr(r"filter(split(_text, r'[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), w -> w <> '')").alias("words"))
     grams = f"if(size(words) < {K}, array(), transform(slice(words, 1, greatest(size(words) - {K - 1}, 0)), (w, i) -> xxhash64(w, words[i + 1], words[i + 2])))"
-    rows = rows.select("doc_id", "digest", "part", "words", F.size("words").alias("n_words"), F.expr(f"concat(array({OWN}L), {grams})").alias("grams"))
+    # Behind the 3-grams come the hits of two words, then those of one, known by the signs of their numbers.
+    every = f"concat(array({OWN}L), {grams}, {_short_hits(2)}, transform({_short_hits(1)}, x -> -x))"
+    rows = rows.select("doc_id", "digest", "part", "words", F.size("words").alias("n_words"), F.expr(every).alias("grams"))
     # _outer: the filter that an inner explode brings would be pushed below and split each text once for each 3-gram.
     rows = rows.select("doc_id", "digest", "part", "words", "n_words", F.posexplode_outer("grams").alias("pos", "hash"))
-    hits = rows.join(F.broadcast(_template_grams(df.sparkSession)), "hash").filter("if(pos = 0, tid = -1, words[pos - 1] = t1 and words[pos] = t2 and words[pos + 1] = t3)")
+    short = f"pos > greatest(n_words - {K - 1}, 0)"
+    rows = rows.withColumns({"pos": F.expr(f"if({short}, cast(abs(hash) % {PLACES} as int), pos)"), "hash": F.expr(f"if({short}, if(hash > 0, xxhash64(words[cast(hash % {PLACES} as int) - 1], get(words, cast(hash % {PLACES} as int))), xxhash64(words[cast(-hash % {PLACES} as int) - 1])), hash)"), "size": F.expr(f"if({short}, if(hash > 0, 2, 1), {K})")})
+    same = "words[pos - 1] = t1 and if(size > 1, words[pos] = t2, t2 is null) and if(size > 2, words[pos + 1] = t3, t3 is null)"
+    hits = rows.join(F.broadcast(_template_grams(df.sparkSession)), "hash").filter(f"if(pos = 0, tid = -1, {same})")
     key = ["doc_id", "digest", "part"]
     masks = [f"m{j}" for j in range(_masks())]
     voted = [F.expr(f"bit_or(if(tpos div {WIDE} = {j}, shiftleft(1L, cast(tpos % {WIDE} as int)), 0L))").alias(m) for j, m in enumerate(masks)]
@@ -177,7 +223,7 @@ def spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     )
     out = merged.withColumn("masks", F.array(*masks)).drop(*masks, "cluster").join(F.broadcast(_template_facts(df.sparkSession)), "tid", "left")
     after = f"forall(marked, i -> exists(array(i - 2, i - 1), g -> g >= 0 and g div {WIDE} < size(masks) and (shiftright(masks[cast(g div {WIDE} as int)], cast(g % {WIDE} as int)) & 1) = 1))"
-    return out.withColumn("covered", _covered()).withColumn("found", F.expr(f"label is not null and covered >= least and {after}")).drop("masks", "marked", "least")
+    return out.withColumn("covered", F.least(_covered(), F.coalesce("len", F.lit(0)))).withColumn("found", F.expr(f"label is not null and covered >= least and {after}")).drop("masks", "marked", "least")
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -201,17 +247,17 @@ def _oracle() -> str:
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id,
         list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM documents),
-g AS (SELECT rid, ws, unnest(range(1, len(ws) - 1)) AS p FROM d WHERE len(ws) >= 3),
+g AS (SELECT rid, ws, unnest(range(1, len(ws) - 1)) AS p FROM d WHERE len(ws) >= 3), o AS (SELECT rid, ws, unnest(range(1, len(ws) + 1)) AS p FROM d WHERE len(ws) >= 1),
 f(tid, label, base, least, marked, phrase) AS (VALUES {facts}),
 v AS (SELECT *, string_split(phrase, ' ') AS w FROM f),
-u AS (SELECT tid, w, unnest(range(0, len(w) - 2)) AS tpos FROM v),
+u AS (SELECT tid, w, unnest(range(0, len(w) - 2)) AS tpos FROM v WHERE len(w) >= 3),
 t AS (SELECT tid, tpos, w[tpos+1] || ' ' || w[tpos+2] || ' ' || w[tpos+3] AS s FROM u),
-h AS (SELECT rid, tid, tpos, p - 1 - tpos AS diag FROM g JOIN t ON t.s = ws[p] || ' ' || ws[p+1] || ' ' || ws[p+2]),
+h AS (SELECT rid, tid, tpos, p - 1 - tpos AS diag FROM g JOIN t ON t.s = ws[p] || ' ' || ws[p+1] || ' ' || ws[p+2] UNION ALL SELECT rid, tid, 0, p - 1 FROM o JOIN v ON phrase = ws[p] WHERE len(w) = 1 UNION ALL SELECT rid, tid, 0, p - 1 FROM o JOIN v ON phrase = ws[p] || ' ' || ws[p+1] WHERE len(w) = 2),
 c AS (SELECT *, CASE WHEN tid < {len(BASE)} THEN diag ELSE sum(new) OVER (PARTITION BY rid, tid ORDER BY diag RANGE UNBOUNDED PRECEDING) END AS cluster FROM
   (SELECT *, CASE WHEN diag - lag(diag) OVER (PARTITION BY rid, tid ORDER BY diag, tpos) <= {NEAR} THEN 0 ELSE 1 END AS new FROM h)),
 k AS (SELECT rid, tid, min(diag) AS diag, list(DISTINCT tpos) AS gs, count(DISTINCT tpos + o) AS cov
   FROM c CROSS JOIN (SELECT unnest([0, 1, 2]) AS o) GROUP BY rid, tid, cluster),
-s AS (SELECT rid, label, base, diag, cov, len(w) AS n, cov >= least AND len(list_filter(marked, lambda i: list_contains(gs, i - 1) OR list_contains(gs, i - 2))) = len(marked) AS found FROM k JOIN v USING (tid)),
+s AS (SELECT rid, label, base, diag, least(cov, len(w)) AS cov, len(w) AS n, cov >= least AND len(list_filter(marked, lambda i: list_contains(gs, i - 1) OR list_contains(gs, i - 2))) = len(marked) AS found FROM k JOIN v USING (tid)),
 a AS (SELECT rid, count(*) FILTER (base AND found) AS n_base, min(diag) FILTER (base AND found) AS first_word, max(diag) FILTER (base AND found) AS last_word,
   array_to_string(list_sort(list_distinct(list(label) FILTER (base AND found))), ',') AS base_labels,
   array_to_string(list_sort(list_distinct(list(label) FILTER (found))), ',') AS labels,

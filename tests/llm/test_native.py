@@ -166,6 +166,28 @@ def test_license_headers_and_plain_documents(spark, monkeypatch):
     assert tuples(op4.scan(few), "doc_id", "labels", "score") == one
 
 
+NAMES = {
+    "MIT License": "mit", "the MIT licence.": "mit", "GPLv3": "gpl-3", "gplv2,": "gpl-2", "LGPLv3": "lgpl", "AGPLv3": "agpl", "BSD 3-Clause License": "bsd", "2-clause BSD": "bsd", "Mozilla Public License, v. 2.0": "mpl", "MPL 2.0": "mpl", "CC0 1.0": "cc0", "GNU GPL version 1": "gpl-1", "ISC License": "isc",
+    "Eclipse Public License - v 1.0": "epl", "SPDX-License-Identifier: EPL-1.0": "epl", "SPDX-License-Identifier: GPL-1.0-or-later": "gpl-1", "SPDX-License-Identifier: CC-BY-SA-3.0": "cc-by,cc-by-sa", "SPDX-License-Identifier: Apache-1.1": "apache-1",
+    "gplv 3": "", "mit": "", "license mit": "", "MIT, a license": "", "v3 GPL": "", "3 clause": "", "GPLv3GPLv3": "",
+}
+
+
+def test_short_names(spark):
+    rows = [(i, t) for i, t in enumerate(NAMES)] + [(100 + i, f"word {t} word") for i, t in enumerate(NAMES)] + [(200, "GPLv3"), (201, "gplv3 gplv3 MIT License gplv2 MIT License"), (202, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in op4.scan(df).collect()}
+    cc = lambda x: x.replace("cc-by,cc-by-sa", "cc-by-sa")
+    assert {t: cc(got[i][0]) for i, t in enumerate(NAMES)} == {t: cc(x) for t, x in NAMES.items()} == {t: cc(got[100 + i][0]) for i, t in enumerate(NAMES)}
+    assert got[201] == ("gpl-2,gpl-3,mit", 1.0) and got[202] == ("", 0.0)
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", rows)
+    rel = con.sql(op4.OP4_SQL)
+    out = op4.scan(df).drop("copy")
+    assert rows_of(out.columns, [tuple(r) for r in out.collect()]) == rows_of(list(rel.columns), rel.fetchall())
+
+
 def test_notices_longer_than_a_mask(spark):
     text = next(t for label, t in op4.TEMPLATES if label == "mit" and len(t.split()) > op4.WIDE + 2)
     ws = text.split()
