@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cladewise.model import DistanceSpec, TreeSpec
-from cladewise.operators import distance, evaluate, grid, metadata, mst, profile, radial, search_index, tree
+from cladewise.operators import distance, evaluate, grid, metadata, mst, profile, radial, search_index, sorted_view, tree
 from cladewise.plans import views
 from cladewise.plans.catalog import _CLIMB, _DIFFER, _EBURST, _PAIRS, _minimax, register
 from cladewise.plans.storage import room, written
@@ -276,6 +276,20 @@ def _indexed_search(spark, sf_dir):
     return out
 
 
+@register(
+    "sorted_view",
+    """WITH e AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN o_totalprice + 1000 ELSE o_totalprice END AS price FROM orders WHERE o_orderkey % 11 <> 0 UNION ALL SELECT -o_orderkey - 1, o_totalprice / 2 FROM orders WHERE o_orderkey % 13 = 0)
+SELECT o_orderkey, price, row_number() OVER (ORDER BY price, o_orderkey) AS place FROM e""",
+)
+def _sorted_view(spark, sf_dir):
+    """The orders by price, in runs, after edits, insertions and deletions."""
+    rows = views.table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").alias("price"))
+    view = sorted_view.sorted_view(rows, ["price"], "o_orderkey")
+    moved = rows.filter("o_orderkey % 7 = 0").withColumn("price", F.col("price") + 1000)
+    fresh = rows.filter("o_orderkey % 13 = 0").select((-F.col("o_orderkey") - 1).alias("o_orderkey"), (F.col("price") / 2).alias("price"))
+    return view.edited(moved.union(fresh), rows.filter("o_orderkey % 11 = 0")).rows()
+
+
 @register("visible_rows", f"WITH {views.META} SELECT ID, nation FROM meta WHERE ord % 2 = 0")
 def _visible(spark, sf_dir):
     return metadata.visible(views.metadata(spark, sf_dir), views.tree(spark, sf_dir).filter("is_hypo or ord % 2 = 0")).select("ID", "nation")
