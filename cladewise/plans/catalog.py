@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from cladewise.functions import kernels
 from cladewise.functions.estimate import estimate
 from cladewise.model import CategorySpec, DistanceSpec
-from cladewise.operators import components, distance, evaluate, grid, metadata, mst, near, profile, rank, tree
+from cladewise.operators import components, distance, evaluate, grid, metadata, mst, near, profile, rank, tree, zorder
 from cladewise.plans import views
-from cladewise.plans.storage import written
+from cladewise.plans.storage import room, written
 from cladewise.sources import sinks, trees
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -402,8 +402,11 @@ def _radius(spark, sf_dir):
     "AND CAST(embedding[2] AS DOUBLE) >= 0.0 AND CAST(embedding[2] AS DOUBLE) < 0.2"
 ))
 def _rectangle(spark, sf_dir):
+    """Nodes in a rectangle of a layout that is written by a space-filling key."""
     at = views.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("node_id"), F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
-    return tree.in_rectangle(at, -0.1, 0.0, 0.1, 0.2).select("node_id")
+    path = room(spark, "layout")
+    zorder.write_layout(at, path)
+    return zorder.read_rectangle(spark, path, -0.1, 0.0, 0.1, 0.2).select("node_id")
 
 
 # ---- metadata
