@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cladewise.model import DistanceSpec, TreeSpec
 from cladewise.operators import distance, evaluate, grid, metadata, mst, profile, radial, search_index, sorted_view, tree
+from cladewise.operators.numbering import numbered
 from cladewise.plans import views
 from cladewise.plans.catalog import _CLIMB, _DIFFER, _EBURST, _PAIRS, _minimax, register
 from cladewise.plans.storage import room, written
@@ -533,8 +534,8 @@ def _gradient_sql() -> str:
 
 @register("gradient_colours", _gradient_sql())
 def _gradient(spark, sf_dir):
-    rows = views.table(spark, sf_dir, "nation").select("n_name", F.expr("row_number() over (order by n_name)").alias("place"), F.expr("count(*) over ()").alias("n"))
-    return rows.select("n_name", metadata.gradient(F.col("place"), F.col("n"), "heat").alias("colour"))
+    rows = numbered(views.table(spark, sf_dir, "nation").select("n_name"), ["n_name"])
+    return rows.select("n_name", metadata.gradient(F.col("place"), F.lit(rows.count()), "heat").alias("colour"))
 
 
 def _text_file(df, name: str) -> str:

@@ -5,7 +5,7 @@ import json
 import pytest
 
 from cladewise.model import DistanceSpec, TreeSpec
-from cladewise.operators import evaluate, grid, metadata, profile, rank, tree
+from cladewise.operators import evaluate, grid, metadata, profile, rank
 from cladewise.operators.components import components
 from cladewise.plans.storage import shared_dir, sweep, written
 from cladewise.sources import sinks, trees
