@@ -186,6 +186,12 @@ def _short_hits(n: int) -> str:
     return f"if(size(words) < {n}, array(), filter({found}, x -> x > 0))"
 
 
+def _may_be_short() -> str:
+    """SQL of whether a text holds the longest word of any short name: most texts hold none, and are looked at no further for these."""
+    longest = {max(name.split(), key=len) for n in range(1, K) for name in _short(n)}
+    return " or ".join(f"contains(_text, '{w}')" for w in sorted(longest) if not any(x in w for x in longest - {w}))
+
+
 def _covered() -> Column:
     """Template words that the masks' 3-grams cover."""
     whole = (1 << WIDE) - 1
@@ -199,10 +205,10 @@ def spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     # U+212A and U+0130 are the characters whose lower case holds a letter of a-z.
     text = F.lower(F.translate(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "\u212a\u0130", "éé"))
     rows = df.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("digest"), F.spark_partition_id().alias("part"), text.alias("_text"))
-    rows = rows.select("doc_id", "digest", "part", F.expr(r"filter(split(_text, r'[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), w -> w <> '')").alias("words"))
+    rows = rows.select("doc_id", "digest", "part", F.expr(r"filter(split(_text, r'[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), w -> w <> '')").alias("words"), F.expr(_may_be_short()).alias("named"))
     grams = f"if(size(words) < {K}, array(), transform(slice(words, 1, greatest(size(words) - {K - 1}, 0)), (w, i) -> xxhash64(w, words[i + 1], words[i + 2])))"
     # Behind the 3-grams come the hits of two words, then those of one, known by the signs of their numbers.
-    every = f"concat(array({OWN}L), {grams}, {_short_hits(2)}, transform({_short_hits(1)}, x -> -x))"
+    every = f"concat(array({OWN}L), {grams}, if(named, concat({_short_hits(2)}, transform({_short_hits(1)}, x -> -x)), array()))"
     rows = rows.select("doc_id", "digest", "part", "words", F.size("words").alias("n_words"), F.expr(every).alias("grams"))
     # _outer: the filter that an inner explode brings would be pushed below and split each text once for each 3-gram.
     rows = rows.select("doc_id", "digest", "part", "words", "n_words", F.posexplode_outer("grams").alias("pos", "hash"))
