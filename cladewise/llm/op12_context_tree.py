@@ -45,11 +45,11 @@ from cladewise.plans.storage import written
 
 DEPTH = 5
 #: Bytes of text that are scored together at most, with the values of their keys beside them; one longer text is alone.
-SPLIT = 64 << 20
+SPLIT = 32 << 20
 #: Bytes of text in a row of a split.
-PART = 4 << 20
+PART = 1 << 20
 #: Keys that wait before they are merged.
-WAITING = 6_000_000
+WAITING = 2_000_000
 FOLDS, HELD_OUT = 7, 2
 
 END = 0xFF
