@@ -210,3 +210,14 @@ def test_run_leaves_what_it_reads(spark):
     # One table: the last stage writes its rows, and what these were made of goes.
     left = [x.rsplit("/", 1)[1] for x in storage._kept - before]
     assert len(left) == 1 and all(left[0] in f for f in out.inputFiles()) and left[0].split("-")[1] == "bpe"
+
+
+def test_pipeline_stages_keep_map_columns(spark):
+    """Maps can't be compared, but rows that hold them can be kept; of rows equal in id and text the one whose other columns come first as JSON."""
+    import corpus_pipeline as pipeline
+
+    text = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(1, text, {"b": 2}), (1, text, {"a": 1}), (1, "another text of its own with other words in it altogether", None), (2, text, {}), (3, None, {"x": None}), (None, "a text without any id but words enough", {"y": 1})]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, more map<string,int>")
+    kept = sorted(((r["doc_id"], r["text"], r["more"]) for r in pipeline.near_dedup(spark, docs, "").collect()), key=repr)
+    assert kept == sorted([(1, text, {"a": 1}), (1, rows[2][1], None), (3, None, {"x": None}), (None, rows[5][1], {"y": 1})], key=repr)
