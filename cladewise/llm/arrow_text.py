@@ -44,18 +44,23 @@ def _power(n: int) -> np.ndarray:
     return _powers
 
 
+def give_back() -> None:
+    """Give free memory back to the system: workers are used again, and idle ones would keep it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
+        trim(0)
+
+
 def tidy(kernel: Callable) -> Callable:
-    """A kernel over Arrow batches that gives its memory back to the system at its end: workers are used again and idle ones would keep it."""
+    """A kernel over Arrow batches that gives its memory back at its end."""
 
     @wraps(kernel)
     def run(*args) -> Iterator[pa.RecordBatch]:
         try:
             yield from kernel(*args)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
-                trim(0)
+            give_back()
 
     return run
 

@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from cladewise.llm.arrow_text import LOWER, NOT_WHITE, hash_words, pieces, texts, tidy, words
+from cladewise.llm.arrow_text import LOWER, NOT_WHITE, give_back, hash_words, pieces, texts, tidy, words
 from cladewise.plans.storage import written
 
 DEPTH = 5
@@ -299,7 +299,13 @@ def _scorer(depth: int, train_tokens: int, types: int):
             }))
         return pa.concat_tables(out)
 
-    return score
+    def tidied(parts: pa.Table, found: pa.Table) -> pa.Table:
+        try:
+            return score(parts, found)
+        finally:
+            give_back()
+
+    return tidied
 
 
 def scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH) -> DataFrame:
