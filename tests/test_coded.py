@@ -61,3 +61,17 @@ def test_checks_of_the_directed_tree(spark):
     row = catalog.QUERIES["mstree_v2_checks"](spark, "/root/testdata/sf0.01").first()
     edges = catalog.QUERIES["mstree_v2_edges"](spark, "/root/testdata/sf0.01")
     assert (row.n_edges, row.n_nodes, row.n_roots, row.n_wrong_lengths) == (149, 150, 1, 0) and edges.count() == 149
+
+
+@pytest.mark.parametrize("weighted", [False, True])
+def test_neighbour_joining_looks_at_few_rows(monkeypatch, weighted):
+    looked, whole = [], kernels._best_of
+    monkeypatch.setattr(kernels, "_best_of", lambda rows, some, *rest: looked.append(len(some)) or whole(rows, some, *rest))
+    _, coded, _ = matrix(1200, DistanceSpec())
+    assert len(kernels.neighbour_joining(coded, weighted)) == 2 * 1200 - 3
+    assert sum(looked) < 80 * 1200
+
+
+def test_neighbour_joining_takes_no_ranks(spark, monkeypatch):
+    monkeypatch.setattr(mst, "node_ranks", lambda *_: pytest.fail("ranks"))
+    assert catalog.QUERIES["nj_tree"](spark, "/root/testdata/sf0.001").first().newick.count(":") > 10
