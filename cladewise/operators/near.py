@@ -9,6 +9,8 @@ nothing is lost whatever is missing.
 
 Small groups share a task, some ``BLOCK`` rows together; a group of more rows falls
 into blocks, and each pair of its blocks is a task. No task grows with the input.
+Where the groups would hold as many pairs as there are (bands too narrow to part
+the rows), all pairs of blocks are compared instead.
 """
 
 from __future__ import annotations
@@ -23,9 +25,12 @@ from pyspark.sql import functions as F
 
 from cladewise.functions.kernels import distances
 from cladewise.model import DistanceSpec
-from cladewise.operators.distance import BLOCK, _matrix
+from cladewise.operators.distance import _matrix, by_blocks
 from cladewise.plans.storage import written
 
+#: Rows of a group, or of a block of a large group, about.
+BLOCK = 512
+
 #: What a group gives: sources, targets, their distances, and which pairs are near and belong to this group.
 Made = Callable[[pa.Table, pa.Table, np.ndarray, np.ndarray], pa.Table]
 
@@ -70,19 +75,39 @@ def near_groups(packed: DataFrame, spec: DistanceSpec, below: float, made: Made,
     cut = _chosen(rows, first["loci"] if first else 0, most, lacking)
     whole = [_whole(lo, hi) if lacking else F.lit(True) for lo, hi in cut]
     easy = sum((w.cast("int") for w in whole), F.lit(0)) > most
-    found = _by_bands(rows.withColumn("easy", easy), spec, below, cut, whole, made, schema, carry) if cut else None
-    rest = rows.filter(~easy) if cut else rows
-    if not lacking and cut:
-        return found
-    left = _rest(rows, rest, spec, below, made, schema, carry)
-    return left if found is None else found.unionByName(left)
+    each, groups = _grouped(rows, cut, whole) if cut else (None, None)
+    if not cut or _narrow(groups, rows.count()):
+        return _all(rows, spec, below, made, schema, carry)
+    found = _by_bands(rows.withColumn("easy", easy), spec, below, cut, each, groups, made, schema, carry)
+    return found.unionByName(_rest(rows, rows.filter(~easy), spec, below, made, schema, carry)) if lacking else found
 
 
-def _by_bands(rows: DataFrame, spec: DistanceSpec, below: float, cut: list[tuple[int, int]], whole: list[Column], made: Made, schema: str, carry: tuple[str, ...]) -> DataFrame:
-    """Pairs of easy targets, in groups of equal bands."""
+def _all(rows: DataFrame, spec: DistanceSpec, below: float, made: Made, schema: str, carry: tuple[str, ...]) -> DataFrame:
+    """All pairs, by pairs of blocks."""
+
+    def near(left: pa.Table, right: pa.Table, d: np.ndarray, same: bool) -> pa.Table:
+        mine = d < below
+        if same:
+            mine &= ~np.eye(len(d), dtype=bool) if spec.directed else np.triu(np.ones(d.shape, bool), 1)
+        return made(left, right, d, mine)
+
+    return by_blocks(rows, spec, near, schema, "id", carry)
+
+
+def _narrow(groups: DataFrame, n: int) -> bool:
+    """Whether groups hold as many pairs together as all rows."""
+    return groups.agg(F.coalesce(F.sum(F.col("n").cast("double") * F.col("n")), F.lit(0.0))).first()[0] >= float(n) * n
+
+
+def _grouped(rows: DataFrame, cut: list[tuple[int, int]], whole: list[Column]) -> tuple[DataFrame, DataFrame]:
+    """The bands of each row, and the groups of two rows at least that are equal in one, with their sizes."""
     keys = [F.when(w, F.struct(F.lit(i).alias("band"), F.xxhash64(F.slice("alleles", lo + 1, hi - lo)).alias("key"))) for i, ((lo, hi), w) in enumerate(zip(cut, whole, strict=True))]
     each = rows.select("id", F.explode(F.array_compact(F.array(*keys))).alias("b")).select("id", "b.band", "b.key")
-    groups = written(each.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1"), "groups").df
+    return each, written(each.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1"), "groups").df
+
+
+def _by_bands(rows: DataFrame, spec: DistanceSpec, below: float, cut: list[tuple[int, int]], each: DataFrame, groups: DataFrame, made: Made, schema: str, carry: tuple[str, ...]) -> DataFrame:
+    """Pairs of easy targets, in groups of equal bands."""
     bins = max(1, (groups.agg(F.sum("n")).first()[0] or 0) // BLOCK)
     parts = F.ceil(F.col("n") / BLOCK).cast("int")
     alone = F.col("n") <= BLOCK
@@ -161,6 +186,26 @@ def near_pairs(packed: DataFrame, spec: DistanceSpec, below: float, node: str =
     return found if spec.directed else found.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "d")
 
 
+def near_counts(packed: DataFrame, spec: DistanceSpec, below: float, node: str = "rep") -> DataFrame:
+    """``dst, n, nearest``: how many sources each target has nearer than ``below``, and how far the nearest is; targets without any have no row.
+
+    A group sends on one row for each of its targets, however many pairs are near.
+    """
+    kind = dict(packed.dtypes)[node]
+
+    def ends(ids: pa.ChunkedArray, d: np.ndarray, mine: np.ndarray) -> pa.Table:
+        n = mine.sum(axis=0) if len(mine) else np.zeros(len(ids), np.int64)
+        at = np.flatnonzero(n)
+        return pa.table({"dst": ids.take(pa.array(at)), "n": pa.array(n[at], pa.int64()), "nearest": pa.array(np.where(mine, d, np.inf).min(axis=0, initial=np.inf)[at], pa.float64())})
+
+    def made(left: pa.Table, right: pa.Table, d: np.ndarray, mine: np.ndarray) -> pa.Table:
+        one = ends(right.column("id"), d, mine)
+        return one if spec.directed else pa.concat_tables([one, ends(left.column("id"), d.T, mine.T)])
+
+    found = near_groups(packed, spec, below, made, f"dst {kind}, n bigint, nearest double", node)
+    return found.groupBy("dst").agg(F.sum("n").alias("n"), F.min("nearest").alias("nearest"))
+
+
 def best_sources(nodes: DataFrame, ranks: DataFrame, spec: DistanceSpec, below: float) -> DataFrame:
     """``src, dst, d``: for each target the better-ranked source nearer than ``below`` of least d + rank / n, as each group finds it; a target may have several groups.
 
